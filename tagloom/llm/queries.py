@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import decontaminate, jaccard_join, line_crf, packing, pii
+from tagloom.llm import chat, decontaminate, jaccard_join, language_id, line_crf, media, packing, pii, secrets, token_counts
 from tagloom.llm.tables import held_out, table
 
 #: The key of the registered query; a deployment passes its own.
 PII_SECRET = "tagloom-example-key"
 
 
+#: A conversation of control strings that op2 formats with the others.
+CONTROL_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.train(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = ", ".join(f"({c}L, {t}L, '{r}', '{x}')" for c, t, r, x in CONTROL_CONVERSATION)
+    own = spark.sql(f"SELECT * FROM VALUES {rows} AS v(conv_id, turn, role, text)")
+    return chat.digests(chat.expand(turns.unionByName(own)))
+
+
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.replace_pii(docs, PII_SECRET, counted=True)
@@ -32,16 +49,34 @@ def op6_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_stored(media.store_texts(table(spark, sf_dir, "documents"))).drop("tile")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_pii_surrogates": op3_pii_surrogates,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_bin_slack_packing": op6_bin_slack_packing,
+    "op7_media_columns": op7_media_columns,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_token_counts": op10_token_counts,
 }
 
 #: SQL for the rows of the queries that SQL can express.

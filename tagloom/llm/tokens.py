@@ -110,3 +110,48 @@ class WordIds:
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
+
+
+class UnitCounts:
+    """Token counts of texts by a sentencepiece model that marks spaces.
+
+    Where no piece of the vocabulary has a space mark after another character, a
+    token never spans the place before a space. A text without leading, trailing
+    or double spaces is then tokenized word by word: each word alone, which gets
+    the mark in front that the space gives it inside the text.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.model = piece_tokenizer(path)
+        mark = "\N{LOWER ONE EIGHTH BLOCK}"
+        pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
+        self.splits = not any(mark in p.lstrip(mark) for p in pieces) and self.model.encode("a b", out_type=str) == [mark + "a", mark + "b"]
+        self.known: dict[str, int] = {}
+
+    def stable(self, before: str, after: str) -> bool:
+        """Whether no token can span the place between the two characters."""
+        return self.splits and before != " " and after == " "
+
+    def count(self, text: str) -> int:
+        if not self.splits or not text or text[0] == " " or text[-1] == " " or "  " in text:
+            return len(self.model.encode(text))
+        words = text.split(" ")
+        known = self.known
+        new = [w for w in set(words) if w not in known]
+        if new:
+            if len(known) > REMEMBER:
+                known.clear()
+                new = list(set(words))
+            known.update(zip(new, map(len, self.model.encode(new, num_threads=1)), strict=True))
+        return sum(map(known.__getitem__, words))
+
+    def boundaries(self, text: str) -> np.ndarray:
+        """Start in code points of every token of a text that is encoded alone."""
+        spans = self.model.encode(text, return_type="offset_mapping")
+        spans = spans.get("offset_mapping", spans.get("offsets")) if isinstance(spans, dict) else spans
+        return np.array([a for a, _ in spans], np.int64)
+
+
+@lru_cache(maxsize=2)
+def unit_counts(path: str) -> UnitCounts:
+    return UnitCounts(path)
