@@ -1,4 +1,4 @@
 """All registered queries outside the corpus subpackage."""
 
-from tagloom import queries_scoring  # noqa: F401
+from tagloom import queries_scoring, queries_tables  # noqa: F401
 from tagloom.registry import ORACLES, QUERIES  # noqa: F401
