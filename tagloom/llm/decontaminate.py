@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.tables import keyed_or_broadcast
+from tagloom.llm.tables import bounded_batches, keyed_or_broadcast
 from tagloom.llm.textblocks import blocks, codepoints, lookup, mix, through, utf8
 from tagloom.plans.staging import Staged
 
@@ -219,7 +219,7 @@ def benchmark_matches(
     bench = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, -(-chars // block_chars))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = None
     for k in range(count):
         part = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k)

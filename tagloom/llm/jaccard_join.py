@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tagloom.llm.tables import keyed_or_broadcast
+from tagloom.llm.tables import bounded_batches, keyed_or_broadcast
 from tagloom.llm.textblocks import BLOCK_BYTES, blocks, mix, shingle_sets, utf8
 from tagloom.operators.graph import connected_components
 from tagloom.plans.staging import Staged
@@ -326,7 +326,7 @@ def near_duplicates(
     table gives an empty result.
     """
     num, den = Fraction(threshold).numerator, Fraction(threshold).denominator
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shingled = Staged(texts.mapInArrow(_shingled(shingle_words, num, den), "id long, n long, h1 long, h2 long, kept binary"), "shingled")
     rows = shingled.df.where("n > 0 and id is not null")
     classes = Staged(rows.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "classes")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tagloom.llm.tables import held_out
+from tagloom.llm.tables import bounded_batches, held_out
 from tagloom.llm.textblocks import blocks, codepoints, lookup, mix, through, utf8
 
 UNDETERMINED = "und"
@@ -201,4 +201,4 @@ def identify(docs: DataFrame, model: Ecoc | None, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(doubt))], names=["id", "lang_pred", "score", "ambiguous"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, ambiguous boolean").withColumnRenamed("id", id_col)
+    return bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, ambiguous boolean").withColumnRenamed("id", id_col)

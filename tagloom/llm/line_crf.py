@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.tables import held_out
+from tagloom.llm.tables import bounded_batches, held_out
 from tagloom.llm.textblocks import blocks, codepoints, lookup, mix, through, utf8
 
 #: Kinds of characters: 0 other, 1 lower letter, 2 upper letter, 3 digit, 4 white space, 5 sentence mark, 6 bar or slash, 7 exclamation, 8 symbol.
@@ -280,7 +280,7 @@ def score(docs: DataFrame, model: LineCrf, text_col: str = "text", score_col: st
 
     carried = keep
     schema = docs.select(keep).schema.add(score_col, "double")
-    return docs.select(keep).mapInArrow(run, schema)
+    return bounded_batches(docs).select(keep).mapInArrow(run, schema)
 
 
 def score_slim(docs: DataFrame, model: LineCrf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,7 +293,7 @@ def score_slim(docs: DataFrame, model: LineCrf, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(parts))], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, model: LineCrf, threshold: float = 0.7, text_col: str = "text") -> DataFrame:

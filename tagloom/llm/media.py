@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.llm.tables import bounded_batches
 from tagloom.llm.textblocks import blocks, utf8
 
 _NETPBM = {b"P1": (1, True, 1), b"P2": (1, True, 0), b"P3": (3, True, 0), b"P4": (1, False, 1), b"P5": (1, False, 0), b"P6": (3, False, 0)}
@@ -187,7 +188,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id_col, n_bytes, media): each whole text's UTF-8, padded with zeros to a
     positive multiple of 64, as a grey PGM file 64 samples wide. A null is empty."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_stored, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_stored, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

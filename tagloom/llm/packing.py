@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tagloom.llm.tables import bounded_batches
+from tagloom.llm.textblocks import blocks, utf8
 from tagloom.llm.tokens import vocabulary, word_ids
 from tagloom.plans.staging import Staged
 
 #: Parts of each length's pieces that are ranked apart.
 SALTS = 256
-TEXTS_AT_ONCE = 256
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -79,16 +80,16 @@ def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_ids(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            raw, off = utf8(batch.column("text"))
             ids = batch.column("doc_id")
-            for at in range(0, len(texts), TEXTS_AT_ONCE):
+            for i, j in blocks(off):
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, x in enumerate(tokens.ids_of(texts[at : at + TEXTS_AT_ONCE]), at):
+                for k, x in enumerate(tokens.ids_of(raw[off[i] : off[j]], off[i : j + 1] - off[i]), i):
                     x = np.append(x, np.uint32(end_id)).astype("<u4")
-                    for k, s in enumerate(range(0, len(x), capacity)):
+                    for n, s in enumerate(range(0, len(x), capacity)):
                         part = x[s : s + capacity]
-                        row.append(i)
-                        piece.append(k)
+                        row.append(k)
+                        piece.append(n)
                         start.append(s)
                         length.append(len(part))
                         crc.append(zlib.crc32(part.tobytes()))
@@ -140,7 +141,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     rows are packed each. Other columns are ignored; no row gives no piece.
     """
     path = path or vocabulary("word_bpe_49k.json")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = Staged(texts.mapInArrow(_pieces(path, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces").df
     # Ranks must not change between the two reads of the pieces: they follow all columns.
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.llm.tables import bounded_batches
 from tagloom.llm.textblocks import utf8
 from tagloom.plans.staging import Staged
 
@@ -218,7 +219,7 @@ def _space(kind: str = "kind"):
 def registry(docs: DataFrame, secret: bytes, text_col: str = "text", max_rounds: int = 40) -> tuple[DataFrame, int]:
     """(kind, entity, attempt) of all distinct entities, with how many needed more
     than the first draw. Rounds go on while surrogates meet each other or an entity."""
-    found = docs.select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(_entities, "kind string, entity string").distinct()
+    found = bounded_batches(docs).select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(_entities, "kind string, entity string").distinct()
     now = Staged(found.withColumn("attempt", F.lit(0).cast("long")), "entities")
     schema = "kind string, entity string, attempt long, surrogate string"
     for _ in range(max_rounds):

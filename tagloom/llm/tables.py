@@ -22,3 +22,13 @@ def keyed_or_broadcast(small: DataFrame, rows: int, limit: int) -> DataFrame:
     """`small` with a broadcast hint while its counted rows are within `limit`;
     beyond it Spark joins by shuffling."""
     return F.broadcast(small) if rows <= limit else small
+
+
+def bounded_batches(docs: DataFrame, most: str = "8m") -> DataFrame:
+    """`docs`, with the session's Arrow batches held to `most` bytes (a smaller
+    setting stays), so that a worker's memory does not follow the length of texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = docs.sparkSession.conf
+    if conf.get(key, "64m") in ("67108864b", "64m", "67108864"):
+        conf.set(key, most)
+    return docs

@@ -12,15 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE_TABLE = np.zeros(256, dtype=bool)
+SPACE_TABLE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SLOT = _rng.integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,28 +74,44 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of each word of the texts, in order; A-Z are lower-cased and
-    words are the runs between the six ASCII white-space bytes."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray, kind: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, start, end) of each word of the texts, in order. `space` is the
+    table of bytes between words. With `kind`, classes of bytes (1 letter, 2 mark,
+    4 other), A-Z count as a-z, and words of letters and marks alone are cut
+    between the two."""
     n = len(raw)
+    none = np.zeros(0, np.int64)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    space = _SPACE[raw]
+        return np.zeros(0, np.uint64), none, none, none
+    gap = space[raw]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty(n, dtype=bool)
-    before[0], before[1:] = True, space[:-1]
+    before[0], before[1:] = True, gap[:-1]
     after = np.empty(n, dtype=bool)
-    after[-1], after[:-1] = True, space[1:]
-    starts = np.flatnonzero(~space & (before | edge[:-1]))
-    ends = np.flatnonzero(~space & (after | edge[1:]))
+    after[-1], after[:-1] = True, gap[1:]
+    starts = np.flatnonzero(~gap & (before | edge[:-1]))
+    ends = np.flatnonzero(~gap & (after | edge[1:])) + 1
+    if kind is not None and len(starts):
+        other = np.concatenate(([0], np.cumsum(kind == 4)))
+        cut = np.flatnonzero(((kind[1:] | kind[:-1]) == 3) & ~gap[1:] & ~gap[:-1] & ~edge[1:-1]) + 1
+        word = np.searchsorted(starts, cut, "right") - 1
+        cut = cut[other[ends[word]] == other[starts[word]]]
+        starts, ends = np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
     up, down = _powers.get(n)
     total = np.empty(n + 1, dtype=np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE_LOWER[raw] * up, out=total[1:])
-    word = (total[ends + 1] - total[starts]) * down[starts]
+    np.cumsum((_BYTE if kind is None else _BYTE_LOWER)[raw] * up, out=total[1:])
+    word = (total[ends] - total[starts]) * down[starts]
     rows = np.searchsorted(offsets, starts, "right") - 1
-    return mix(word + (ends - starts).astype(np.uint64) * _SLOT[7]), rows
+    return mix(word + (ends - starts).astype(np.uint64) * _SLOT[7]), rows, starts, ends
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of each word of the texts, in order; A-Z are lower-cased and
+    words are the runs between the six ASCII white-space bytes."""
+    hashes, rows, _, _ = word_spans(_LOWER[raw], offsets, SPACE_TABLE, None)
+    return hashes, rows
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[np.ndarray]:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.llm.tables import bounded_batches
 from tagloom.llm.textblocks import utf8
 from tagloom.llm.tokens import UnitCounts, unit_counts, vocabulary
 
@@ -35,7 +36,7 @@ def count_spliced(text: str, units: UnitCounts, chunk: int, overlap: int) -> int
     """The number of tokens of the text, from chunks of `chunk` characters."""
     total, start, cut, wide = 0, 0, 0, overlap
     tokens = units.boundaries(text[:chunk])
-    while start + chunk < len(text):
+    while start + chunk < len(text):  # a text of many bytes may have fewer characters than a chunk
         stop = start + chunk
         begin = max(cut, stop - wide)
         following = units.boundaries(text[begin : begin + chunk]) + begin if begin > cut else None
@@ -64,9 +65,18 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = unit_counts(path)
         for batch in batches:
-            sizes = np.diff(utf8(batch.column("text"))[1])
-            counts = np.array([0 if not t else count_spliced(t, units, chunk, overlap) if len(t) > chunk and units.splits else units.count(t) for t in batch.column("text").to_pylist()], np.int64)
+            raw, off = utf8(batch.column("text"))
+            sizes = np.diff(off)
+            huge = np.flatnonzero(sizes > chunk) if units.splits else np.zeros(0, np.int64)
+            # Huge texts are left out of the words' run and spliced from chunks instead.
+            kept = np.ones(len(raw), bool)
+            for k in huge:
+                kept[off[k] : off[k + 1]] = False
+            short = np.concatenate(([0], np.cumsum(np.where(sizes > chunk, 0, sizes)))) if len(huge) else off
+            counts = units.counts(raw[kept] if len(huge) else raw, short)
+            for k in huge:
+                counts[k] = count_spliced(raw[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace"), units, chunk, overlap)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(counts), pa.array(counts > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
