@@ -112,7 +112,7 @@ def first_wins(values: Column, key) -> Column:
 
 def split_people(c) -> Column:
     """Comma list to trimmed names, first spelling of each kept."""
-    names = F.filter(F.transform(F.split(F.coalesce(_col(c), F.lit("")), ","), F.trim), lambda n: n != "")
+    names = F.filter(F.transform(F.split(F.coalesce(_col(c), F.lit("")), ","), lambda n: F.trim(n)), lambda n: n != "")
     return first_wins(names, F.lower)
 
 

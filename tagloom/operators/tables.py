@@ -64,7 +64,7 @@ GROUP_SCHEMA = "context string, canon_tag string, final_tag string, member_count
 
 
 def _pipe(c: str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda v: F.trim(v)), lambda x: x != "")
 
 
 def read_groups_csv(spark: SparkSession, path: str) -> DataFrame:
