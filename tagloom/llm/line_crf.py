@@ -68,9 +68,9 @@ def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     lines = len(start)
     words = np.bincount(line, minlength=lines)
     # A word's hash: the sums of its folded characters under weights by place, up to 64.
-    place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n))) if len(first) else np.zeros(n, np.int64)
-    if len(first) and first[0] > 0:
-        place = np.concatenate((np.zeros(first[0], np.int64), place))[:n]
+    place = np.zeros(n, np.int64)
+    if len(first):
+        place[first[0] :] = np.arange(first[0], n) - np.repeat(first, np.diff(np.append(first, n)))
     value = np.where(dark & (kind != 5) & (kind != 7) & (kind != 8), mix(through(_FOLD, points).astype(np.uint64)) * _WEIGHT[np.minimum(place, 63)], np.uint64(0))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
     hashes = sums[last + 1] - sums[first]
