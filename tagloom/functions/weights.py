@@ -102,7 +102,16 @@ def review_relevance(positive: Column, negative: Column, reviews: Column) -> Col
     return F.when(total > 0, 0.72 * (positive * 100.0 / total) + 28.0 * F.least(F.log10(reviews + 1) / 5.0, F.lit(1.0)))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+    """Cosine of two vectors; 0 where one of them is null, empty or zero."""
+
+    def of(x: Column) -> Column:
+        dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
+        return F.struct(dot(x["a"], x["b"]).alias("d"), (F.sqrt(dot(x["a"], x["a"])) * F.sqrt(dot(x["b"], x["b"]))).alias("n"))
+
+    return F.coalesce(let(let(F.struct(a.alias("a"), b.alias("b")), of), lambda y: F.when(y["n"] > 0, y["d"] / y["n"])), F.lit(0.0))

@@ -19,7 +19,8 @@ from tagloom.operators.retrieval import hashed_tf_embedding
 from tagloom.plans.staging import stage
 
 COLUMNS = ["context", "canon_tag", "final_tag", "member_count", "total_occurrences", "member_tags", "pattern_type", "anchor_tokens"]
-_EMPTY = F.lit("")
+def _empty() -> Column:
+    return F.lit("")
 
 
 def collapse_normalized(raw: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def canon_v1(raw: DataFrame) -> DataFrame:
     best = F.min_by(F.col("m.tag"), F.struct(-F.col("m.n"), F.length("m.tag"), F.col("m.tag")))
     g = all_raw.groupBy("context", "base").agg(F.sum("m.n").alias("total_occurrences"), F.array_sort(F.collect_set("m.tag")).alias("member_tags"), best.alias("best"))
     own = F.col("context").startswith("genre_tree.") | F.col("context").isin("music_primary", "music_secondary", "setting_tags")
-    parent = F.when(own, F.col("base")).otherwise(F.coalesce(F.nullif(head_token("base"), _EMPTY), F.col("base")))
+    parent = F.when(own, F.col("base")).otherwise(F.coalesce(F.nullif(head_token("base"), _empty()), F.col("base")))
     return g.select(
         "context", F.col("base").alias("canon_tag"), format_display("best").alias("final_tag"), F.size("member_tags").alias("member_count"), F.col("total_occurrences").cast("int").alias("total_occurrences"), "member_tags",
         F.lit("v1").alias("pattern_type"), F.slice(tokenize_tag("base"), 1, 1).alias("anchor_tokens"), format_display(parent).alias("parent_tag"), F.when(parent == F.col("base"), 1).otherwise(2).alias("specificity"),
@@ -86,7 +87,7 @@ def canon_v2(groups: DataFrame) -> DataFrame:
     """Tags of equal content merge; of the input only merged single-member rows go."""
     x = groups.withColumn("core", concept_core("canon_tag"))
     big = x.where("core <> ''").groupBy("context", "core").agg(F.countDistinct("canon_tag").alias("k"), F.sum("total_occurrences").cast("int").alias("total_occurrences"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(_leaves())))).alias("member_tags")).where("k >= 2")
-    merged = big.select("context", F.col("core").alias("canon_tag"), _EMPTY.alias("final_tag"), F.size("member_tags").alias("member_count"), "total_occurrences", "member_tags", F.lit("concept_core").alias("pattern_type"), tokenize_tag("core").alias("anchor_tokens"))
+    merged = big.select("context", F.col("core").alias("canon_tag"), _empty().alias("final_tag"), F.size("member_tags").alias("member_count"), "total_occurrences", "member_tags", F.lit("concept_core").alias("pattern_type"), tokenize_tag("core").alias("anchor_tokens"))
     gone = x.where("member_count = 1").join(big.select("context", "core"), ["context", "core"], "left_semi").select("context", "canon_tag")
     return groups.select(*COLUMNS).join(gone, ["context", "canon_tag"], "left_anti").select(*COLUMNS).unionByName(merged)
 
@@ -155,7 +156,7 @@ def _merge(groups: DataFrame, accepted: DataFrame, pattern: str) -> DataFrame:
     merged = accepted.groupBy("context", "component").agg(
         pick.alias("canon_tag"), F.sum("total_occurrences").cast("int").alias("total_occurrences"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(_leaves())))).alias("member_tags"), F.first("anchors").alias("anchor_tokens")
     )
-    out = merged.select("context", "canon_tag", _EMPTY.alias("final_tag"), F.size("member_tags").alias("member_count"), "total_occurrences", "member_tags", F.lit(pattern).alias("pattern_type"), "anchor_tokens")
+    out = merged.select("context", "canon_tag", _empty().alias("final_tag"), F.size("member_tags").alias("member_count"), "total_occurrences", "member_tags", F.lit(pattern).alias("pattern_type"), "anchor_tokens")
     return groups.select(*COLUMNS).join(accepted.select("context", "canon_tag"), ["context", "canon_tag"], "left_anti").select(*COLUMNS).unionByName(out)
 
 
@@ -267,7 +268,7 @@ def component_anchor(counts: DataFrame, rows: DataFrame) -> DataFrame:
     total = counts.join(rows.select("rid", "component"), "rid").groupBy(*key, "token").agg(F.sum("n").alias("n")).where("n >= 2")
     best = total.groupBy(*key).agg(F.min_by("token", F.struct(-F.col("n"), F.col("token"))).alias("anchor"))
     first = rows.groupBy(*key).agg(F.min(F.struct("canon_tag", "anchor_tokens", semantic_tokens("canon_tag", V6).alias("toks"))).alias("f"))
-    fallback = F.coalesce(F.try_element_at("f.anchor_tokens", F.lit(1)), F.try_element_at("f.toks", F.lit(1)), _EMPTY)
+    fallback = F.coalesce(F.try_element_at("f.anchor_tokens", F.lit(1)), F.try_element_at("f.toks", F.lit(1)), _empty())
     return first.join(best, key, "left").select(*key, F.coalesce("anchor", fallback).alias("anchor"))
 
 
@@ -305,7 +306,7 @@ def canon_lookup_join(item_tags: DataFrame, mapping: DataFrame, tag: str = "tag"
 
 def build_mapping(groups: DataFrame) -> DataFrame:
     """(context, norm, rep): the last row in order of size, occurrences, context and tag wins."""
-    rep = F.coalesce(F.nullif("final_tag", _EMPTY), F.col("canon_tag"))
+    rep = F.coalesce(F.nullif("final_tag", _empty()), F.col("canon_tag"))
     x = groups.select("context", F.explode(F.array_union(_leaves(), F.array("canon_tag"))).alias("m"), rep.alias("rep"), "member_count", "total_occurrences", "canon_tag").withColumn("norm", normalize_tag("m"))
     last = W.partitionBy("context", "norm").orderBy(F.asc("member_count"), F.asc("total_occurrences"), F.desc(F.lower("canon_tag")), F.desc("canon_tag"))
     return x.withColumn("_r", F.row_number().over(last)).where("_r = 1").select("context", "norm", "rep")

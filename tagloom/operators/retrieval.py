@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tagloom.functions.text import norm_search_text, trigrams
-from tagloom.functions.weights import cosine
+from tagloom.functions.weights import cosine, let
 
 # The prescreen's predicates: fields of the base (or its boosts), field of the candidate, weight.
 PREDICATES = [
@@ -125,9 +125,9 @@ def hashed_tf_embedding(text: Column, size: int = 64) -> Column:
     """Unit vector of hashed word counts; the default encoder."""
     words = F.filter(F.split(norm_search_text(text), " "), lambda w: w != "")
     at = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda a: a == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(0.0).cast("float"))
+    counts = let(at, lambda held: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(held, lambda a: a == i)).cast("double")))
+    both = let(counts, lambda c: F.struct(c.alias("c"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v)).alias("n")))
+    return let(both, lambda x: F.transform(x["c"], lambda v: F.when(x["n"] > 0, v / x["n"]).otherwise(0.0).cast("float")))
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
