@@ -63,8 +63,9 @@ def running_profile(events: DataFrame, key: str = "user_id") -> DataFrame:
 
 
 def upsert_sink(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer that keeps one snapshot folder per batch: the previous
-    snapshot with the batch upserted. A batch that is run again writes its own
+    """A foreachBatch writer that keeps one snapshot folder per batch: of the previous
+    snapshot and the batch the last row of each key by `order`, so that the order
+    in which batches come does not matter. A batch that is run again writes its own
     folder again, so the result does not depend on retries."""
     from tagloom.operators.tables import upsert
 
@@ -74,7 +75,7 @@ def upsert_sink(path: str, keys: list[str], order: list[str]) -> Callable[[DataF
             last = batch.limit(0)
         else:
             last = spark.read.parquet(f"{path}/batch={batch_id - 1}")
-        upsert(last, batch, keys, order=order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        upsert(last.limit(0), last.unionByName(batch), keys, order=order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
