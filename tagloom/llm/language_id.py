@@ -163,8 +163,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(text_col).isNotNull() & (F.length(text_col) <= sample_chars))
     ids = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     kept = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "lang").limit(most_languages)
-    order = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = ids.join(F.broadcast(kept.select("lang")), "lang").withColumn("k", order).where(F.col("k") <= rows_each).select("id").distinct()
+    # Before they are ranked, twice the rows asked for are let through by hash, so that no task ranks all ids of a language.
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    order = F.row_number().over(W.partitionBy("lang").orderBy("place", "id"))
+    near = ids.join(F.broadcast(kept), "lang").withColumn("place", place).where(F.col("place") * F.col("c") <= float(2 * rows_each + 50) * (1 << 30))
+    chosen = near.withColumn("k", order).where(F.col("k") <= rows_each).select("id").distinct()
     rows = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(chosen), "id", "left_semi")
     sample = rows.select("text", "lang").mapInArrow(_grams_by_text, "lang string, grams binary, counts binary").toArrow()
     return fit(sample.column("lang").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint32) for x in sample.column("grams")], [np.frombuffer(x.as_buffer(), np.uint32) for x in sample.column("counts")])
