@@ -17,11 +17,12 @@ Plan (every step is exact; nothing is sampled or capped):
    of their token bitmaps, the range of set sizes and the largest number of
    shingles lost to equal bits. Two trees are walked against each other level
    by level; a pair of nodes goes on only if the sizes allow a link and
-   popcount(a AND b) + the lost shingles reaches the least overlap for it. Leaf
-   pairs are verified on the sets. Families over `leaf_rows` texts are cut by
+   popcount(a AND b) + the lost shingles reaches the least overlap for it. All
+   leaf pairs are verified on the sets. Families over `leaf_rows` texts are cut by
    set size into several trees; pairs of trees with compatible sizes are dealt
    to different tasks.
-5. Links (a spanning forest of each task's links) go to connected components.
+5. Every task counts the links of its sets, a class of copies with its size, and
+   gives a spanning forest of them to connected components.
 """
 
 from __future__ import annotations
@@ -270,44 +271,77 @@ class SignatureTree:
         return kids
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, held: int = 1_000_000, tokens: int = 8192, pairs: int = 8192) -> np.ndarray:
+    """Shingles that sets i and j have in common, for arrays of pairs. Ranges of
+    hashes of about `held` shingles are taken in turn; in each, the shingles that
+    several sets hold become columns of bitmaps, `tokens` at a time."""
+    common = np.zeros(len(i), np.int64)
+    if not len(i):
+        return common
+    used = np.unique(np.concatenate([i, j]))
+    sets, i, j = [sets[k] for k in used], np.searchsorted(used, i), np.searchsorted(used, j)
+    total = sum(len(s) for s in sets)
+    ranges = max(1, -(-total // held))
+    cuts = [(k << 64) // ranges for k in range(1, ranges)]
+    bounds = np.array([np.concatenate(([0], np.searchsorted(s, np.array(cuts, np.uint64)), [len(s)])) for s in sets], np.int64)
+    for k in range(ranges):
+        parts = [s[a:b] for s, a, b in zip(sets, bounds[:, k], bounds[:, k + 1], strict=True)]
+        key = np.concatenate(parts)
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in parts])
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], row[order]
+        token = np.cumsum(np.append(False, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        several = np.bincount(token, minlength=1) > 1
+        row, token = row[several[token]], (np.cumsum(several) - 1)[token[several[token]]]
+        for low in range(0, int(several.sum()), tokens):
+            a, b = np.searchsorted(token, [low, low + tokens])
+            dense = np.zeros((len(sets), min(tokens, -(-(int(token[b - 1]) - low + 1) // 64) * 64)), bool)
+            dense[row[a:b], token[a:b] - low] = True
+            bits = np.packbits(dense, axis=1).view(np.uint64)
+            for at in range(0, len(i), pairs):
+                x, y = i[at : at + pairs], j[at : at + pairs]
+                common[at : at + pairs] += np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+    return common
+
+
+def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest node reachable from each of n nodes over the links."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        after = label.copy()
+        np.minimum.at(after, i, low)
+        np.minimum.at(after, j, low)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
 
 
 def _join_trees(num: int, den: int):
+    """All links of a task: for each linked set its id, the root of its tree of
+    links within the task, and the number of texts that it is linked with here."""
+
     def run(group: pa.Table) -> pa.Table:
-        ids = np.asarray(group.column("id"))
-        side = np.asarray(group.column("side"))
+        ids, side, copies = (np.asarray(group.column(c)) for c in ("id", "side", "copies"))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
-        order = np.lexsort((ids, [len(s) for s in sets]))
-        root = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        left = [k for k in order if side[k] == 0]
-        right = [k for k in order if side[k] == 1]
-        one = SignatureTree([sets[k] for k in left])
-        two = SignatureTree([sets[k] for k in right]) if right else one
-        index = right or left
-        for i, j in one.pairs(two, num, den):
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                x, y = find(left[a]), find(index[b])
-                if x != y:
-                    p, q = one.sets[a], two.sets[b]
-                    if _common(p, q) >= least_overlap(len(p), len(q), num, den):
-                        if ids[x] > ids[y]:
-                            x, y = y, x
-                        root[y] = x
-        pairs = [(ids[k], ids[find(k)]) for k in list(root) if find(k) != k]
-        return pa.table({"src": pa.array([int(a) for a, _ in pairs], pa.int64()), "dst": pa.array([int(b) for _, b in pairs], pa.int64())})
+        order = np.lexsort((ids, [len(s) for s in sets], side))
+        # Repeated rows of one id with one text are one leaf.
+        order = [k for n, k in enumerate(order) if not (n and ids[k] == ids[order[n - 1]] and side[k] == side[order[n - 1]] and np.array_equal(sets[k], sets[order[n - 1]]))]
+        ids, side, copies, sets = ids[order], side[order], copies[order], [sets[k] for k in order]
+        left = int((side == 0).sum())
+        one = SignatureTree(sets[:left])
+        two, shift = (SignatureTree(sets[left:]), left) if left < len(sets) else (one, 0)
+        found = list(one.pairs(two, num, den))
+        i = np.concatenate([np.zeros(0, np.int64), *(a for a, _ in found)])
+        j = np.concatenate([np.zeros(0, np.int64), *(b for _, b in found)]) + shift
+        n = np.array([len(s) for s in sets], np.int64)
+        linked = _overlaps(sets, i, j) >= least_overlap(n[i], n[j], num, den)
+        i, j = i[linked], j[linked]
+        label = _labels(len(sets), i, j)
+        links = (np.bincount(i, weights=copies[j], minlength=len(sets)) + np.bincount(j, weights=copies[i], minlength=len(sets))).astype(np.int64)
+        some = np.flatnonzero(links)
+        return pa.table({"src": ids[some], "dst": ids[label[some]], "links": links[some]})
 
     return run
 
@@ -315,13 +349,16 @@ def _join_trees(num: int, den: int):
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = Fraction(3, 4), shingle_words: int = 5, leaf_rows: int = 1024, broadcast_rows: int = 500_000
 ) -> DataFrame:
-    """One row per document: `id_col`, n_shingles, component_id.
+    """One row per document: `id_col`, n_shingles, component_id, n_links.
 
     Words are the runs of non-white-space characters of the text with A-Z
     lower-cased. A text of fewer words than a shingle is one shingle; a null
     text or one without words has none and is linked with nothing. Repeated
     rows with one id count as one document each; a null id is left out of
-    links and has a null component. Columns other than these two are ignored.
+    links and has a null component. n_links is the number of other documents
+    that a document is linked with, its copies among them; where one id has
+    several texts, each of them has the links of all those that stand for a
+    class of copies. Columns other than these two are ignored.
     `threshold` is the least Jaccard similarity, compared exactly. An empty
     table gives an empty result.
     """
@@ -329,7 +366,7 @@ def near_duplicates(
     texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shingled = Staged(texts.mapInArrow(_shingled(shingle_words, num, den), "id long, n long, h1 long, h2 long, kept binary"), "shingled")
     rows = shingled.df.where("n > 0 and id is not null")
-    classes = Staged(rows.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "classes")
+    classes = Staged(rows.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     shingles = (classes.df.agg(F.sum("n")).first()[0] or 0) // 2
     bits = max(0, ceil(np.log2(max(1, shingles / 1_000_000))))
 
@@ -347,23 +384,24 @@ def near_duplicates(
     leaders = listed.df.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1")
     star = listed.df.join(leaders, "key").where("id <> leader").select("id", "leader").distinct()
     family = connected_components(star, "id", "leader").select(F.col("node").alias("id"), F.col("component").alias("family"))
-    sizes = listed.df.select("id", "n").distinct()
-    member = family.join(sizes, "id")
+    member = family.join(classes.df.select(F.col("rep").alias("id"), "n", "copies"), "id")
     big = member.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
     member = Staged(member.join(big, "family"), "members")
     dealt = _deal(member.df, leaf_rows, num, den)
     dealt_rows = Staged(dealt, "dealt")
-    live = dealt_rows.df.groupBy("id").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
+    live = dealt_rows.df.groupBy("id").agg(F.max("copies").alias("copies"), F.collect_list(F.struct("task", "side")).alias("tasks"))
     count = member.df.count()
     sets = texts.join(keyed_or_broadcast(live, count, broadcast_rows), "id").mapInArrow(
-        _with_sets(shingle_words), T.StructType([T.StructField("id", T.LongType()), *[f for f in live.schema.fields if f.name == "tasks"], T.StructField("shingles", T.BinaryType())])
+        _with_sets(shingle_words), T.StructType([T.StructField("id", T.LongType()), *[f for f in live.schema.fields if f.name in ("copies", "tasks")], T.StructField("shingles", T.BinaryType())])
     )
-    dealt_sets = sets.select(F.explode("tasks").alias("t"), "id", "shingles").select("t.task", "t.side", "id", "shingles")
-    links = dealt_sets.groupBy("task").applyInArrow(_join_trees(num, den), "src long, dst long")
-    labels = connected_components(links).select(F.col("node").alias("rep"), "component")
-    named = classes.df.join(labels, "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
+    dealt_sets = sets.select(F.explode("tasks").alias("t"), "id", "copies", "shingles").select("t.task", "t.side", "id", "copies", "shingles")
+    links = Staged(dealt_sets.groupBy("task").applyInArrow(_join_trees(num, den), "src long, dst long, links long"), "links")
+    tally = links.df.groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
+    labels = connected_components(links.df).join(tally, "node").select(F.col("node").alias("rep"), "component", "links")
+    named = classes.df.join(labels, "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = shingled_ids.join(named, ["n", "h1", "h2"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
+        F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).alias("n_links"),
     )
     packs.drop()
     listed.drop()
@@ -371,10 +409,10 @@ def near_duplicates(
 
 
 def _deal(member: DataFrame, leaf_rows: int, num: int, den: int) -> DataFrame:
-    """(id, task, side): a family of at most `leaf_rows` sets is one task. A
+    """(id, copies, task, side): a family of at most `leaf_rows` sets is one task. A
     larger one is cut into runs of set sizes, and two runs meet in a task if
     their size ranges can hold a link."""
-    small = member.where(F.col("members") <= leaf_rows).select("id", F.concat_ws(":", F.col("family")).alias("task"), F.lit(0).alias("side"))
+    small = member.where(F.col("members") <= leaf_rows).select("id", "copies", F.concat_ws(":", F.col("family")).alias("task"), F.lit(0).alias("side"))
     # A run is named by the quantile of its set sizes within the family, refined by a hash where one size is frequent.
     large = member.where(F.col("members") > leaf_rows).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(4096)))
     order = W.partitionBy("family").orderBy("n", "salt")
@@ -387,7 +425,7 @@ def _deal(member: DataFrame, leaf_rows: int, num: int, den: int) -> DataFrame:
     )
     sides = meet.select("family", F.concat_ws(":", "family", "r1", "r2").alias("task"), F.explode(F.when(F.col("r1") == F.col("r2"), F.array(F.struct(F.col("r1").alias("run"), F.lit(0).alias("side")))).otherwise(
         F.array(F.struct(F.col("r1").alias("run"), F.lit(0).alias("side")), F.struct(F.col("r2").alias("run"), F.lit(1).alias("side"))))).alias("s")).select("family", "task", "s.run", "s.side")
-    return small.unionByName(large.join(sides, ["family", "run"]).select("id", "task", "side"))
+    return small.unionByName(large.join(sides, ["family", "run"]).select("id", "copies", "task", "side"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000, **params) -> DataFrame:
