@@ -6,7 +6,9 @@ numbers keep their check digit's validity, addresses stay valid, names keep
 their gender. The same entity has the same surrogate in the whole corpus, and
 different entities have different ones: candidate surrogates of all distinct
 entities are compared, and where two meet, or where one is itself an entity of
-the corpus, all but one are drawn again until none do.
+the corpus, all but one are drawn again until none do. Where the space of a format is too
+crowded (one-letter addresses of a domain, short phone numbers), later draws of
+addresses, names and phone numbers are longer by a character every eight draws.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ PATTERNS = [
 _DIGITAL = re.compile("|".join(f"(?P<{k}>{p.replace(chr(92) + '1', '(?P=sep)').replace('([ -]?)', '(?P<sep>[ -]?)')})" for k, p in PATTERNS))
 _TITLED = re.compile(rf"(?<!\w)(?P<title>{_TITLE})\.?[  ](?P<name>{_NAME}(?:[ -]{_NAME}){{0,2}})")
 KINDS = [k for k, _ in PATTERNS] + ["name"]
+#: Draws after which surrogates grow by a character.
+WIDER_AFTER = 8
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
@@ -118,11 +122,14 @@ def _script(text: str) -> str:
 def surrogate_key(kind: str, key: str, attempt: int, secret: bytes) -> str:
     """The normal form of the surrogate of an entity; `dress` gives it a mention's looks."""
     s = _Stream(secret, kind, key, str(attempt))
+    more = attempt // WIDER_AFTER
     if kind in ("ssn", "phone", "card", "iban"):
         lead = {"iban": 4, "card": 1}.get(kind, 0)
         if kind == "phone" and len(key) > 10:
             lead = len(key) - 10  # the country's code
         out = [*key[:lead], *(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) for c in key[lead:])]
+        if kind == "phone":
+            out += [str(s.below(10)) for _ in range(more)]
         if kind == "card":
             good = luhn(key)
             at = s.below(10)
@@ -142,9 +149,9 @@ def surrogate_key(kind: str, key: str, attempt: int, secret: bytes) -> str:
         labels = domain.split(".")
         d = _Stream(secret, "domain", domain)  # a domain's addresses stay together
         host = [_letters(x, d) for x in labels[:-1]]
-        return f"{_letters(local, s)}@{'.'.join([*host, labels[-1]])}"
+        return f"{_letters(local, s)}{_letters('x' * more, s)}@{'.'.join([*host, labels[-1]])}"
     con, vow = _ALPHABETS[_script(key)]
-    stem = "".join(con[s.below(len(con))] + vow[s.below(len(vow))] for _ in range(2 + s.below(2)))
+    stem = "".join(con[s.below(len(con))] + vow[s.below(len(vow))] for _ in range(2 + s.below(2) + more))
     if kind.startswith("given"):
         ends = _ENDINGS[_script(key)]
         gender = kind.removeprefix("given_")
@@ -170,7 +177,7 @@ def dress(kind: str, mention: str, surrogate: str) -> str:
     """The surrogate with the case and separators of the mention."""
     if kind in ("card", "iban", "ssn", "phone"):
         it = iter(surrogate)
-        return "".join(next(it) if c.isalnum() else c for c in mention)
+        return "".join(next(it) if c.isalnum() else c for c in mention) + "".join(it)
     if mention.isupper() and any(c.isalpha() for c in mention):
         return surrogate.upper()
     if kind == "surname" or kind.startswith("given"):

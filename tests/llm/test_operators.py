@@ -186,6 +186,16 @@ def test_pii_registry_separates(spark, odd, empty, monkeypatch):
     assert pii.replace_pii(empty, "k", counted=True).count() == 0
 
 
+def test_pii_crowded_formats_grow(spark):
+    mails = [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    found, _ = pii.registry(spark.createDataFrame([(m,) for m in mails], "text string"), b"k")
+    drawn = {pii.surrogate_key(r.kind, r.entity, r.attempt, b"k") for r in found.collect()}
+    assert len(drawn) == len(mails) and not drawn & set(mails)
+    assert pii.find(" ".join(sorted(drawn))) and all(pii.find(m)[0][1] == len(m) for m in drawn)
+    wide = pii.surrogate_key("phone", "12345", 2 * pii.WIDER_AFTER, b"k")
+    assert len(wide) == 7 and pii.dress("phone", "+1 23 45", wide) == f"+{wide[0]} {wide[1:3]} {wide[3:]}"
+
+
 def test_pii_collisions_are_redrawn(spark):
     rows = [(k, f"ip 1.2.{k // 250}.{k % 250} end") for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
