@@ -1,8 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts are compared as their lower-cased letters and digits, so case, spacing and
-punctuation do not matter. Benchmark items are cut into overlapping windows; a
-window of m characters may differ by k = floor(rate * m) edits. By the q-gram
+punctuation do not matter. Benchmark items are cut into overlapping windows, long
+ones for edited passages and short ones so close that any passage of a stated
+length holds a whole one; a window of m characters may differ by k = floor(rate * m) edits. By the q-gram
 lemma a region within k edits shares at least m + 1 - q (k + 1) q-grams with the
 window, on diagonals that lie within k of each other. Shared q-grams are counted
 in overlapping bands of 2 (k + 1) diagonals; bands that reach the bound are
@@ -73,7 +74,8 @@ class Index:
         return np.maximum(1, self.lens + 1 - self.q * (self.budget + 1))
 
 
-def build_index(items: list[tuple[int, str]], q: int, rate: float, window: int, least: int) -> Index:
+def build_index(items: list[tuple[int, str]], q: int, rate: float, window: int, least: int, passage: int = 60) -> Index:
+    short = max(q, 2 * passage // 3)
     item, pieces, lens = [], [], []
     for key, text in items:
         p = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -81,8 +83,11 @@ def build_index(items: list[tuple[int, str]], q: int, rate: float, window: int,
         if len(low) < max(least, q):
             continue
         starts = [0] if len(low) <= window + window // 4 else sorted({*range(0, len(low) - window, window // 2), len(low) - window})
-        for s in starts:
-            w = low if len(starts) == 1 else low[s : s + window]
+        cut = [low if len(starts) == 1 else low[s : s + window] for s in starts]
+        if len(low) >= passage:
+            # Starts at most passage - short + 1 apart: the first one inside a passage has room for its window.
+            cut += [low[s : s + short] for s in sorted({*range(0, len(low) - short, max(1, passage - short + 1)), len(low) - short})]
+        for w in cut:
             item.append(key)
             pieces.append(w)
             lens.append(len(w))
@@ -203,14 +208,18 @@ def _matcher(ix: Index):
 
 
 def benchmark_matches(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = 8, rate: float = 0.08, window_chars: int = 100, least_chars: int = 20, block_chars: int = 8_000_000
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = 8, rate: float = 0.08, window_chars: int = 100, least_chars: int = 20, block_chars: int = 8_000_000, passage_chars: int = 60
 ) -> DataFrame:
     """Pairs (id_col, item_id) whose texts share a window within the edit budget:
     the region's start and end in code points of the document, the fewest edits
     of a window, and the number of windows found.
 
     Items are cut into windows of `window_chars` letters and digits, half
-    overlapping; an item of up to a quarter more is one window. Items with fewer
+    overlapping; an item of up to a quarter more is one window. Items of at least
+    `passage_chars` are cut into windows of two thirds of it as well, so that any
+    passage of `passage_chars` letters and digits of an item is found wherever it
+    starts and ends: it holds a whole window, with the edits that the window's
+    length allows (3 of 40). Items with fewer
     than `least_chars` letters and digits, and null texts or ids of items, are
     not searched for. A null or empty document matches nothing; repeated rows
     with one id are one document. The benchmark goes to the tasks in blocks of
@@ -223,7 +232,7 @@ def benchmark_matches(
     found = None
     for k in range(count):
         part = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k)
-        ix = build_index([(r.item_id, r.text) for r in part.toLocalIterator()], q, rate, window_chars, least_chars)
+        ix = build_index([(r.item_id, r.text) for r in part.toLocalIterator()], q, rate, window_chars, least_chars, passage_chars)
         rows = texts.mapInArrow(_matcher(ix), "id long, item_id long, start long, stop long, edits long")
         found = rows if found is None else found.unionByName(rows)
     return found.groupBy("id", "item_id").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("edits").alias("edits"), F.countDistinct("start").alias("windows")).withColumnRenamed("id", id_col)
