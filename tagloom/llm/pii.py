@@ -3,7 +3,8 @@
 Detected entities are replaced by keyed surrogates of the same type and format:
 digits stay digits, letters keep their script and case, separators stay, card
 numbers keep their check digit's validity, addresses stay valid, names keep
-their gender. The same entity has the same surrogate in the whole corpus, and
+their gender. A titled name counts with all its parts, and the parts also where they
+stand without a title in the same text. The same entity has the same surrogate in the whole corpus, and
 different entities have different ones: candidate surrogates of all distinct
 entities are compared, and where two meet, or where one is itself an entity of
 the corpus, all but one are drawn again until none do. Where the space of a format is too
@@ -44,7 +45,14 @@ PATTERNS = [
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-. ]\d{3}[-. ]\d{4})(?![\w-])"),
 ]
 _DIGITAL = re.compile("|".join(f"(?P<{k}>{p.replace(chr(92) + '1', '(?P=sep)').replace('([ -]?)', '(?P<sep>[ -]?)')})" for k, p in PATTERNS))
-_TITLED = re.compile(rf"(?<!\w)(?P<title>{_TITLE})\.?[  ](?P<name>{_NAME}(?:[ -]{_NAME}){{0,2}})")
+_GAP = r"(?:[ \t\xa0]+|[ \t\xa0]{0,8}\r?\n[ \t\xa0]{0,8})"
+_TITLED = re.compile(rf"(?<!\w)(?P<titles>(?:{_TITLE})(?:\.?{_GAP}(?:{_TITLE})(?!\w))*)\.?{_GAP}(?=[^\W\d_])")
+_WORD = re.compile(_NAME)
+_INITIAL = re.compile(r"[^\W\d_]\.")
+_JOINT = re.compile(r"[ \xa0]+|-")
+_ELIDED = re.compile(r"[^\W\d_]{1,4}['’](?=[^\W\d_])")
+_PARTICLE = re.compile(r"(?:v[ao]n(?: (?:de[rnm]?|het|'t))?|de(?: l[ao]s?)?|del|dell[aoe]|degli|dei|dalla|di|da|dos?|du|bin|bint|ibn|ben|a[fv]|ter|y|al(?=-)|el(?=-)|фон|ван|де)(?=[ \xa0-])")
+_PARTICLES = set("van von den der de del della dello delle degli dei dalla di da do dos du la las le los bin bint ibn ben af av ter al el фон ван де".split())
 KINDS = [k for k, _ in PATTERNS] + ["name"]
 #: Draws after which surrogates grow by a character.
 WIDER_AFTER = 8
@@ -53,26 +61,83 @@ WIDER_AFTER = 8
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, key) of the entities, in order, not overlapping. The
     key is what coreferent mentions share. A name is one entity for each part:
-    of several parts the last is the surname, of one part it is the surname."""
+    of several parts the last is the surname, of one part it is the surname. The
+    parts of titled names are entities wherever else they stand in the text with
+    a capital; particles stay."""
     out = [(m.start(), m.end(), m.lastgroup if m.lastgroup != "sep" else "card", m.group()) for m in _DIGITAL.finditer(text)]
     out = [(a, b, k, _key(k, t)) for a, b, k, t in out]
-    taken = [(a, b) for a, b, _, _ in out]
-    for m in _TITLED.finditer(text):
-        parts = [(p.start() + m.start("name"), p.group()) for p in re.finditer(_NAME, m.group("name"))]
-        capital = []
-        for at, p in parts:
-            if not p[0].isupper():
-                break
-            capital.append((at, p))
-        for n, (at, p) in enumerate(capital):
-            if any(a < at + len(p) and at < b for a, b in taken):
-                continue
-            kind = "surname" if n == len(capital) - 1 else f"given_{_GENDER[m.group('title')]}"
-            out.append((at, at + len(p), kind, _key(kind, p)))
+    out += _names(text, [(a, b) for a, b, _, _ in out])
     out.sort()
     return out
 
 
+def _bare(word: str) -> str:
+    return word[:-2] if word[-2:].casefold() in ("'s", "’s") else word
+
+
+def _parts(text: str, at: int) -> tuple[list[tuple[int, str]], int]:
+    """(place, part) of the name from `at`, across particles and initials, and its end."""
+    parts, end, pending = [], at, False
+    while True:
+        m = _PARTICLE.match(text, at) or _INITIAL.match(text, at)
+        if m:
+            if m.group().endswith(".") and not m.group()[0].isupper():
+                break
+        else:
+            m = _WORD.match(text, at)
+            if not m or m.group() in _GENDER:
+                break
+            start, word = m.start(), m.group()
+            elided = _ELIDED.match(word)
+            if elided and not word[0].isupper() and word[elided.end()].isupper():
+                start, word = start + elided.end(), word[elided.end() :]
+            if not word[0].isupper() or len(word) < 2:
+                break
+            part = _bare(word)
+            parts.append((start, part))
+            end = start + len(part)
+            if part != word:
+                break
+        joint = _JOINT.match(text, m.end())
+        if not joint:
+            break
+        at = joint.end()
+    return parts, end
+
+
+def _names(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
+    out, kinds, done, at = [], {}, set(), 0
+    while m := _TITLED.search(text, at):
+        parts, at = _parts(text, m.end())
+        at = max(at, m.end())
+        gender = next((g for t in re.findall(r"[^\s.]+", m.group("titles")) if (g := _GENDER[t]) != "any"), "any")
+        for n, (start, p) in enumerate(parts):
+            done.add(start)
+            kind = "surname" if n == len(parts) - 1 else f"given_{gender}"
+            kinds.setdefault(p.casefold(), kind)
+            out.append((start, start + len(p), kind, _key(kind, p)))
+    if kinds:
+        follows = None  # the place of the next word, if that is a part
+        for m in reversed(list(_WORD.finditer(text))):
+            start, word = m.start(), m.group()
+            elided = _ELIDED.match(word)
+            if elided and word.casefold() not in kinds and _bare(word).casefold() not in kinds:
+                start, word = start + elided.end(), word[elided.end() :]
+            p = word if word.casefold() in kinds else _bare(word)
+            kind = kinds.get(p.casefold())
+            if start in done:
+                follows = start
+                continue
+            clear = re.match(r"\w", text[m.end() : m.end() + 1]) or (start and re.match(r"\w", text[start - 1]))
+            alone = p.casefold() in _PARTICLES and (follows is None or not _JOINT.fullmatch(text, m.end(), follows))
+            if kind is None or not p[0].isupper() or clear or alone:
+                follows = None
+                continue
+            follows = start
+            out.append((start, start + len(p), kind, _key(kind, p)))
+    return [x for x in out if not any(a < x[1] and x[0] < b for a, b in taken)]
+
+
 def _key(kind: str, text: str) -> str:
     if kind in ("email", "ipv6") or kind.startswith(("given", "surname")):
         return text.casefold()
@@ -213,36 +278,51 @@ def _draw(secret: bytes):
         for batch in batches:
             kinds, keys, tries = (batch.column(c).to_pylist() for c in ("kind", "entity", "attempt"))
             out = [surrogate_key(k, e, a, secret) for k, e, a in zip(kinds, keys, tries, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "entity", "attempt")), pa.array(out, pa.string())], names=["kind", "entity", "attempt", "surrogate"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "entity", "attempt", "mixed")), pa.array(out, pa.string())], names=["kind", "entity", "attempt", "mixed", "surrogate"])
 
     return run
 
 
+def _base(kind: str = "kind"):
+    """Given names of all genders are looked up as one kind."""
+    return F.when(F.col(kind).startswith("given"), F.lit("given")).otherwise(F.col(kind))
+
+
+def _looked_up(kind: str) -> str:
+    return "given" if kind.startswith("given") else kind
+
+
 def _space(kind: str = "kind"):
     """Names of all kinds share one space, so that no two of a text look alike."""
     return F.when(F.col(kind).startswith("given") | (F.col(kind) == "surname"), F.lit("name")).otherwise(F.col(kind))
 
 
 def registry(docs: DataFrame, secret: bytes, text_col: str = "text", max_rounds: int = 40) -> tuple[DataFrame, int]:
-    """(kind, entity, attempt) of all distinct entities, with how many needed more
-    than the first draw. Rounds go on while surrogates meet each other or an entity."""
+    """(kind, entity, attempt, mixed) of all distinct entities, with how many needed
+    more than the first draw or are given names met with several genders (mixed), whose
+    kind differs from a mention's. Rounds go on while surrogates meet each other or an entity."""
     found = bounded_batches(docs).select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(_entities, "kind string, entity string").distinct()
-    now = Staged(found.withColumn("attempt", F.lit(0).cast("long")), "entities")
-    schema = "kind string, entity string, attempt long, surrogate string"
+    # A given name met with titles of several genders is one entity all the same.
+    met = {g: F.max((F.col("kind") == f"given_{g}").cast("int")).alias(g) for g in ("male", "female", "any")}
+    found = found.groupBy(_base().alias("base"), "entity").agg(*met.values())
+    gender = F.when(F.col("male") == F.col("female"), "any").when(F.col("male") == 1, "male").otherwise("female")
+    kind = F.when(F.col("base") == "given", F.concat(F.lit("given_"), gender)).otherwise(F.col("base"))
+    now = Staged(found.select(kind.alias("kind"), "entity", F.lit(0).cast("long").alias("attempt"), (F.col("male") + F.col("female") + F.col("any") > 1).alias("mixed")), "entities")
+    schema = "kind string, entity string, attempt long, mixed boolean, surrogate string"
     for _ in range(max_rounds):
-        drawn = now.df.mapInArrow(_draw(secret), schema).withColumn("space", _space())
+        drawn = now.df.select("kind", "entity", "attempt", "mixed").mapInArrow(_draw(secret), schema).withColumn("space", _space())
         first = drawn.groupBy("space", "surrogate").agg(F.min(F.struct("kind", "entity")).alias("winner"), F.count(F.lit(1)).alias("c"))
         real = now.df.select(_space().alias("space"), F.col("entity").alias("surrogate"), F.lit(True).alias("real")).distinct()
         judged = drawn.join(first, ["space", "surrogate"]).join(real, ["space", "surrogate"], "left")
         lost = F.col("real").isNotNull() | ((F.col("c") > 1) & (F.struct("kind", "entity") != F.col("winner")))
-        after = Staged(judged.select("kind", "entity", (F.col("attempt") + F.when(lost, 1).otherwise(0)).alias("attempt"), lost.alias("lost")), "entities")
+        after = Staged(judged.select("kind", "entity", (F.col("attempt") + F.when(lost, 1).otherwise(0)).alias("attempt"), "mixed", lost.alias("lost")), "entities")
         again = after.df.where("lost").count()
         now.drop()
         now = Staged(after.df.drop("lost"), "entities") if again else after
         if again:
             after.drop()
         else:
-            return now.df.drop("lost"), now.df.where("attempt > 0").count()
+            return now.df.drop("lost"), now.df.where("attempt > 0 or mixed").count()
     raise RuntimeError("surrogates still collide; raise max_rounds")
 
 
@@ -251,7 +331,8 @@ def _replace(text: str, secret: bytes, attempts: dict, counts: dict[str, int]) -
     for a, b, kind, key in find(text):
         if a < at:
             continue
-        out += [text[at:a], dress(kind, text[a:b], surrogate_key(kind, key, attempts.get((kind, key), 0), secret))]
+        kind, attempt = attempts.get((_looked_up(kind), key), (kind, 0))
+        out += [text[at:a], dress(kind, text[a:b], surrogate_key(kind, key, attempt, secret))]
         counts["name" if kind == "surname" or kind.startswith("given") else kind] += 1
         at = b
     out.append(text[at:])
@@ -264,7 +345,7 @@ def _apply(secret: bytes, attempts: dict | None, carried: list[str], counted: bo
             texts, counts = [], []
             redrawn = batch.column("redrawn").to_pylist() if attempts is None else None
             for i, (t, maybe) in enumerate(zip(batch.column("text").to_pylist(), _texts(batch), strict=True)):
-                own = attempts if redrawn is None else {(x["kind"], x["entity"]): x["attempt"] for x in redrawn[i] or []}
+                own = attempts if redrawn is None else {(_looked_up(x["kind"]), x["entity"]): (x["kind"], x["attempt"]) for x in redrawn[i] or []}
                 c = dict.fromkeys(KINDS, 0)
                 texts.append(_replace(t, secret, own, c) if maybe else t)
                 counts.append([c[k] for k in KINDS])
@@ -289,9 +370,9 @@ def replace_pii(docs: DataFrame, secret: str, text_col: str = "text", broadcast_
     extra = [f"n_{k}" for k in KINDS] if counted else []
     carried = [c for c in docs.columns if c != text_col and c not in extra]
     renamed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)), F.col(text_col).alias("text"))
-    again = entities.where("attempt > 0")
+    again = entities.where("attempt > 0 or mixed")
     if redrawn <= broadcast_rows:
-        attempts = {(r.kind, r.entity): r.attempt for r in again.collect()} if redrawn else {}
+        attempts = {(_looked_up(r.kind), r.entity): (r.kind, r.attempt) for r in again.collect()} if redrawn else {}
     else:
         attempts = None
         renamed = with_redrawn(renamed, again)
@@ -307,13 +388,13 @@ def replace_pii(docs: DataFrame, secret: str, text_col: str = "text", broadcast_
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         d1, d2 = batch.column("d1").to_pylist(), batch.column("d2").to_pylist()
-        rows = sorted({(d1[i], d2[i], k, e) for i, t in enumerate(_texts(batch)) for _, _, k, e in find(t)})
-        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["d1", "d2", "kind", "entity"])
+        rows = sorted({(d1[i], d2[i], _looked_up(k), e) for i, t in enumerate(_texts(batch)) for _, _, k, e in find(t)})
+        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["d1", "d2", "base", "entity"])
 
 
 def with_redrawn(docs: DataFrame, again: DataFrame) -> DataFrame:
     """`docs` with an array `redrawn` of the (kind, entity, attempt) that its text mentions."""
     keyed = docs.withColumns({"d1": F.xxhash64("text"), "d2": F.xxhash64(F.reverse("text"), F.length("text"))})
-    mentions = keyed.where("text is not null").select("d1", "d2", "text").mapInArrow(_mentions, "d1 long, d2 long, kind string, entity string").distinct()
-    lists = mentions.join(again, ["kind", "entity"]).groupBy("d1", "d2").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("redrawn"))
+    mentions = keyed.where("text is not null").select("d1", "d2", "text").mapInArrow(_mentions, "d1 long, d2 long, base string, entity string").distinct()
+    lists = mentions.join(again.withColumn("base", _base()), ["base", "entity"]).groupBy("d1", "d2").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("redrawn"))
     return keyed.join(lists, ["d1", "d2"], "left").drop("d1", "d2")

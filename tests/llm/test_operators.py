@@ -169,6 +169,39 @@ def test_pii_finds_and_keeps_formats():
     assert all("Ѐ" <= c <= "ӿ" for c in names[2])
 
 
+@pytest.mark.parametrize(
+    "text, real",
+    [
+        ("Then Mrs Anna Maria Luisa Rossi spoke.", ["Anna", "Maria", "Luisa", "Rossi"]),
+        ("Mr Ludwig van Beethoven and Señora Ana de la Cruz", ["Ludwig", "Beethoven", "Ana", "Cruz"]),
+        ("Madame d'Estaing, Herr von der Leyen, Herr Dr. Karl-Heinz Vogt", ["Estaing", "Leyen", "Karl", "Heinz", "Vogt"]),
+        ("Smith fell. Mr John Q. Smith came. Later Smith left with SMITH’s hat; John's too.", ["Smith", "SMITH", "John"]),
+        ("Mr  Smith's car and Mr\nDe Niro. De Niro drove Smith home.", ["Smith", "Niro"]),
+    ],
+)
+def test_pii_whole_names(text, real):
+    out = pii._replace(text, b"k", {}, dict.fromkeys(pii.KINDS, 0))
+    assert not {*re.findall(r"[^\W\d_]+", out)} & {*real}
+    made = {}
+    for a, b, k, e in pii.find(text):
+        made.setdefault(e, set()).add(k)
+    assert all(len(k) == 1 for k in made.values()) and {r.casefold() for r in real} <= set(made)
+
+
+def test_pii_leaves_other_words():
+    text = "Mr John Smith came to see the president. The smith, a blacksmith, and Smithers; De facto. Mr De Niro and Monsieur le Président, Mr And Mrs"
+    words = [text[a:b] for a, b, _, _ in pii.find(text)]
+    assert words == ["John", "Smith", "De", "Niro", "And"]
+
+
+@pytest.mark.parametrize("broadcast_rows", [200_000, -1])
+def test_pii_given_name_is_one_entity(spark, broadcast_rows):
+    rows = [(1, "Dr Anna Berg"), (2, "Mrs Anna Berg"), (3, "Mr Kim Berg"), (4, "Miss Kim Berg"), (5, "Ms Rosa Berg")]
+    out = {r.doc_id: r.text.split() for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k", broadcast_rows=broadcast_rows).collect()}
+    assert out[1][1:] == out[2][1:] and out[3][1:] == out[4][1:] and len({out[k][1] for k in (1, 3, 5)}) == 3
+    assert len({v[2] for v in out.values()}) == 1
+
+
 def test_pii_registry_separates(spark, odd, empty, monkeypatch):
     draw = pii.surrogate_key
     monkeypatch.setattr(pii, "surrogate_key", draw)
