@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: Kinds in the order in which equal starts are listed.
 KINDS = ["assign", "access", "hex", "markov"]
@@ -24,42 +25,37 @@ HEX = r"[0-9a-f]{24,}"
 #: Strings that the Markov models judge.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-IDENTIFIER = r"[A-Za-z_-]{5,}"
+#: Strings that are taken for identifiers: words, and strings too short to be judged.
+WORD = r"[A-Za-z]{2,}"
+SHORT = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{5,19}(?![A-Za-z0-9+/_=-])"
 
-_SPANS = "array<struct<s:int,k:int,e:int>>"  # in this order, so that sorting is by start and kind
+_HITS = "array<struct<kind:int,gap:int,size:int,ok:boolean,token:string>>"
 
+#: Pieces of up to 65 characters, each from the last character of the one before, so that pairs of characters are read in a time that grows with the string's length.
+PIECE = r"(?s)(?=(.{2,65})).{1,64}"
 
-def _spans(text: Column, pattern: str, kind: int, group: int | None = None, least: int = 0) -> Column:
-    """Array of (s, e, k) of the leftmost non-overlapping matches, in code points.
-    With `group`, of those whose group has at least `least` characters. Places
-    come from the lengths of the matches and of what lies between them."""
+
+def _matches(text: Column, pattern: str, kind: int, group: int | None = None, least: int = 0, keep: bool = False) -> Column:
+    """Array of (kind, gap, size, ok, token) of the leftmost non-overlapping matches:
+    how many code points lie between a match and the one before, and how many it
+    has. Not ok: the group has fewer than `least` characters. token: the match, with `keep`."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group is not None else found
-    parts = F.zip_with(F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))), inner, lambda x, v: F.struct(x["g"].alias("g"), x["m"].alias("m"), F.length(v).alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + x["m"]
-        one = F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e")))
-        return F.struct(e.alias("at"), F.when(x["v"] >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def one(gap: Column, match: Column) -> Column:
+        ok = F.length(F.regexp_extract(match, pattern, group)) >= least if group is not None else F.lit(True)
+        return F.when(match.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.length(gap).alias("gap"), F.length(match).alias("size"), ok.alias("ok"), (match if keep else F.lit(None).cast("string")).alias("token")))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return F.filter(F.zip_with(F.split(text, pattern, -1), found, one), lambda x: x.isNotNull())
 
 
-def _where(maybe: Column, spans: Column) -> Column:
-    return F.when(maybe, spans).otherwise(F.array().cast(_SPANS))
+def hits(text: Column) -> Column:
+    """The matches of the three fixed kinds and of the candidates for the Markov models."""
+    kinds = [(text.rlike(ASSIGN_SIGN), _matches(text, ASSIGN, 0, 2, 6)), (text.contains("AKIA"), _matches(text, ACCESS, 1)), (text.rlike(HEX), _matches(text, HEX, 2)), (text.rlike(CANDIDATE), _matches(text, CANDIDATE, 3, keep=True))]
+    return F.concat(*(F.when(maybe, found).otherwise(F.array().cast(_HITS)) for maybe, found in kinds))
 
 
-def base_spans(text: Column) -> Column:
-    """Spans of the three fixed kinds, by start and then kind."""
-    return F.array_sort(
-        F.concat(
-            _where(text.rlike(ASSIGN_SIGN), _spans(text, ASSIGN, 0, 2, 6)),
-            _where(text.contains("AKIA"), _spans(text, ACCESS, 1)),
-            _where(text.rlike(HEX), _spans(text, HEX, 2)),
-        ),
-    )
+def pieces(token: Column) -> Column:
+    return F.regexp_extract_all(token, F.lit(PIECE), F.lit(1))
 
 
 @dataclass
@@ -71,17 +67,20 @@ class Markov:
     def mean_bits(self, token: Column) -> Column:
         """Mean log-likelihood ratio of a string's character pairs, in bits."""
         table = F.from_json(F.lit(json.dumps(self.ratio)), "array<double>")
-        n = F.length(token)
-        total = F.aggregate(
-            F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(table, F.ascii(F.substring(token, i, 1)) * 128 + F.ascii(F.substring(token, i + F.lit(1), F.lit(1))) + 1)
+        code = lambda piece, at: F.ascii(F.substring(piece, at, F.lit(1)))
+        bits = lambda piece: F.aggregate(
+            F.sequence(F.lit(1), F.length(piece) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(table, code(piece, i) * 128 + code(piece, i + F.lit(1)) + 1)
         )
-        return F.when(n > 1, total / (n - 1)).otherwise(F.lit(0.0))
+        total = F.aggregate(pieces(token), F.lit(0.0), lambda acc, piece: acc + bits(piece))
+        return F.when(F.length(token) > 1, total / (F.length(token) - 1)).otherwise(F.lit(0.0))
 
 
-def fit(pairs: list[tuple[str, str, bool, int]], prior: float = 1.0) -> Markov:
-    """pairs: (character, next, random?, count). Both models are smoothed towards
-    the uniform distribution over the alphabet, the random one more strongly: an
-    unseen random string is uniform."""
+def fit(pairs: list[tuple[str, str, bool, int]], prior: float = 1.0, uniform: float = 0.1) -> Markov:
+    """pairs: (character, next, random?, count). Both models are mixed with the
+    uniform distribution over the alphabet. The random one gives it half of its weight,
+    since a sample of few kinds of secrets must not speak for all; the plain one
+    gives it the share `uniform`, so that one pair that no word of the sample has
+    can't outweigh the rest of a string."""
     count = {True: {}, False: {}}
     for a, b, random, n in pairs:
         count[random][a, b] = count[random].get((a, b), 0) + n
@@ -89,55 +88,91 @@ def fit(pairs: list[tuple[str, str, bool, int]], prior: float = 1.0) -> Markov:
     ratio = [0.0] * (128 * 128)
     for a in ALPHABET:
         total = {r: sum(count[r].get((a, b), 0) for b in ALPHABET) for r in (True, False)}
-        # A sample of few kinds of secrets must not speak for all: the uniform model keeps half of the weight.
         for b in ALPHABET:
-            seen = (count[True].get((a, b), 0) + prior) / (total[True] + prior * size)
-            random = 0.5 * seen + 0.5 / size
-            plain = (count[False].get((a, b), 0) + prior) / (total[False] + prior * size)
+            seen = {r: (count[r].get((a, b), 0) + prior) / (total[r] + prior * size) for r in (True, False)}
+            random = 0.5 * seen[True] + 0.5 / size
+            plain = (1 - uniform) * seen[False] + uniform / size
             ratio[128 * ord(a) + ord(b)] = round(math.log2(random / plain), 6)
     return Markov(ratio)
 
 
-def _pairs(tokens: Column) -> Column:
-    n = F.length(tokens)
-    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(tokens, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000) -> Markov:
-    """Learns from at most `sample_rows` documents, those of lowest id hash. Their
-    values that the fixed patterns mark are random strings; their other words of
-    letters, as they are, in upper case and in lower case, are identifiers."""
-    chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), "id", "left_semi")
-    text = F.col("text")
-    values = F.concat(
-        F.filter(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 12), F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), F.regexp_extract_all(text, F.lit(HEX), F.lit(0))
-    )
-    rest = F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), HEX, " ")
-    words = F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0))
-    kinds = rows.select(F.explode(F.array(F.struct(F.lit(True).alias("random"), values.alias("tokens")), F.struct(F.lit(False).alias("random"), F.concat(words, F.transform(words, F.upper), F.transform(words, F.lower)).alias("tokens")))).alias("x"))
-    pairs = kinds.select("x.random", F.explode("x.tokens").alias("token")).select("random", F.explode(_pairs(F.col("token"))).alias("pair"))
+def learn(samples: DataFrame) -> Markov:
+    """Models of labelled strings: (token, random, n), where n counts the string."""
+    piece = samples.select("random", "n", F.explode(pieces(F.col("token"))).alias("piece"))
+    pair = F.transform(F.sequence(F.lit(1), F.length("piece") - 1), lambda i: F.substring(F.col("piece"), i, F.lit(2)))
     letters = "[" + ALPHABET.replace("-", r"\-") + "]{2}"
-    counted = pairs.groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).where(F.col("pair").rlike(f"^{letters}$"))
+    counted = piece.select("random", "n", F.explode(pair).alias("pair")).groupBy("random", "pair").agg(F.sum("n").alias("n")).where(F.col("pair").rlike(f"^{letters}$"))
     return fit([(r.pair[0], r.pair[1], r.random, r.n) for r in counted.collect()])  # at most 2 x 67 x 67 rows
 
 
+def labelled(docs: DataFrame, text_col: str = "text", plain: Column | None = None) -> DataFrame:
+    """(token, random, n): strings of the texts with their label and weight. Values
+    that the fixed patterns mark are random. Words are not, nor are strings of fewer
+    than 20 characters, what stands where identifiers join words (a sign, a capital
+    or a number between a word's last letter and the next word's first), and lines
+    drawn of one sign; these come from the rows that are `plain`, or from all."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), ACCESS, " "), HEX, " ")
+    every = lambda column, pattern, group=0: F.regexp_extract_all(column, F.lit(pattern), F.lit(group))
+    rest = rest if plain is None else F.when(plain, rest).otherwise("")
+    rows = docs.select(text.alias("text"), rest.alias("rest")).select("text", "rest", every("rest", WORD).alias("w"))
+    nothing = F.lit(None).cast("string")
+    values = F.concat(F.filter(every("text", ASSIGN, 2), lambda v: F.length(v) >= 12), every("text", ACCESS), every("text", HEX))
+    told = lambda tokens, kind: F.transform(tokens, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token"), nothing.alias("first")))
+    edge = lambda word, at: F.lower(F.substring(word, at, 1))
+    joints = F.zip_with("w", F.slice(F.col("w"), F.lit(2), F.size("w")), lambda w, v: F.struct(F.lit("joint").alias("kind"), edge(w, -1).alias("token"), edge(v, 1).alias("first")))
+    found = F.concat(told(values, "secret"), told(every("rest", SHORT), "short"), told(F.col("w"), "word"), joints)
+    counted = rows.select(F.explode(found).alias("x")).groupBy("x.kind", "x.token", "x.first").agg(F.count(F.lit(1)).alias("n"))
+    token, last, first = F.col("token"), F.col("token"), F.coalesce("first", F.lit("a"))
+    number = F.pmod(F.xxhash64("token", "first"), F.lit(10_000)).cast("string")
+    signs = [F.concat(a, F.lit(sign), b) for sign in "_-/=" for a, b in ((last, first), (F.upper(last), F.upper(first)))]
+    numbers = [F.concat(last, number, F.lit("-"), first), F.concat(last, F.lit("-"), number, F.lit("/"), first), F.concat(F.upper(last), F.lit("_"), number, first)]
+    rules = [F.lit(4 * sign) for sign in "_-/=+"]  # lines drawn of signs
+    weighed = lambda tokens, weight: [F.struct(t.alias("token"), (F.col("n") * weight).alias("n")) for t in tokens]
+    told_plain = {"word": weighed([token, F.lower(token), F.upper(token), F.initcap(token)], 4), "short": weighed([token], 8), "joint": weighed([*signs, F.concat(last, F.upper(first)), *numbers, *rules], 1)}
+    kinds = F.array(*weighed([token], 1))
+    for kind, tokens in told_plain.items():
+        kinds = F.when(F.col("kind") == kind, F.array(*tokens)).otherwise(kinds)
+    return counted.select((F.col("kind") == "secret").alias("random"), F.explode(kinds).alias("x")).select("x.token", "random", "x.n")
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, plain_rows: int = 4_000) -> Markov:
+    """Learns from the `labelled` strings of at most `sample_rows` documents, those of
+    lowest id hash; their first `plain_rows` give the plain strings, of which every text has many."""
+    order = [F.xxhash64("id"), F.col("id")]
+    chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().orderBy(*order).limit(sample_rows)
+    chosen = chosen.withColumn("plain", F.row_number().over(W.orderBy(*order)) <= plain_rows)  # one task, of sample_rows ids
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    return learn(labelled(rows, plain=F.col("plain")))
+
+
 def scan(docs: DataFrame, model: Markov, id_col: str = "doc_id", text_col: str = "text", bits: float = 0.5) -> DataFrame:
     """(id_col, n_assign, n_access, n_hex, base_sha256, spans, n_markov) of each
     row's whole text; a null text is empty. `spans` lists kind:start:end by start
     and kind; a string of CANDIDATE's form whose mean ratio reaches `bits` is a
-    `markov` span unless it overlaps a fixed one."""
+    `markov` span unless it overlaps a fixed one. Repeated rows are each scanned.
+
+    Only the places of matches are shuffled, by row. Places are running sums of
+    lengths, and overlaps are seen from the fixed spans next before and next after, so
+    that the time grows with the length of a text and the number of its matches."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", base_spans(F.col("text")).alias("base"))
-    token = lambda c: F.substring(F.col("text"), c["s"] + F.lit(1), c["e"] - c["s"])
-    candidates = _where(F.col("text").rlike(CANDIDATE), _spans(F.col("text"), CANDIDATE, 3))
-    free = F.filter(candidates, lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    added = F.filter(free, lambda c: model.mean_bits(token(c)) >= bits)
-    rows = rows.select("id", "base", added.alias("added"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"))
+    found = rows.select("row", "id", hits(F.col("text")).alias("hits")).select("row", "id", F.posexplode_outer("hits").alias("at", "x"))
+    told = F.when(F.col("x.kind") < 3, F.col("x.ok")).otherwise(model.mean_bits(F.col("x.token")) >= bits)
+    each = found.select("row", "id", "at", F.col("x.kind").alias("k"), F.col("x.gap").alias("gap"), F.col("x.size").alias("size"), told.alias("ok")).repartition("row")
+    stop = F.sum(F.col("gap") + F.col("size")).over(W.partitionBy("row", "k").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    spans = each.withColumn("e", stop).withColumn("s", F.col("e") - F.col("size"))
+    fixed = lambda place: F.when(F.col("ok") & (F.col("k") < 3), F.col(place))
+    before = F.max(fixed("e")).over(W.partitionBy("row").orderBy("s", "k").rowsBetween(W.unboundedPreceding, 0))
+    after = F.min(fixed("s")).over(W.partitionBy("row").orderBy(F.desc("s"), F.desc("k")).rowsBetween(W.unboundedPreceding, 0))
+    spans = spans.withColumn("before", before).withColumn("after", after)
+    free = (F.coalesce("before", F.lit(0)) <= F.col("s")) & (F.coalesce(F.col("after") >= F.col("e"), F.lit(True)))
+    kept = spans.select("row", "id", F.when(F.col("ok") & ((F.col("k") < 3) | free), F.struct("s", "k", "e")).alias("span"))
+    listed = kept.groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list("span")).alias("spans"))
     names = F.array(*(F.lit(k) for k in KINDS))
-    told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
-    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
-    return rows.select(
-        F.col("id").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(told(F.col("base")), 256).alias("base_sha256"),
-        told(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_markov"),
+    tell = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
+    count = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long")
+    return listed.select(
+        F.col("id").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(tell(F.filter("spans", lambda x: x["k"] < 3)), 256).alias("base_sha256"),
+        tell(F.col("spans")).alias("spans"), count(3).alias("n_markov"),
     )

@@ -6,6 +6,7 @@ import io
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -430,12 +431,55 @@ def test_secrets(spark, docs, odd, empty):
         want[(r.doc_id, *(sum(k == n for _, k, _ in spans) for n in range(3)), hashlib.sha256(told.encode()).hexdigest())] += 1
     rows = secrets.scan(df, model).collect()
     assert collections.Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in rows) == want
+
+    def every(t):
+        spans = base(t)
+        for m in re.finditer(secrets.CANDIDATE, t):
+            pairs = [model.ratio[128 * ord(a) + ord(b)] for a, b in zip(m.group(), m.group()[1:], strict=False)]
+            if sum(pairs) / len(pairs) >= 0.5 and not any(a < m.end() and m.start() < e for a, _, e in base(t)):
+                spans.append((m.start(), 3, m.end()))
+        return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans)), len(spans) - len(base(t))
+
+    assert collections.Counter((r.doc_id, r.spans, r.n_markov) for r in rows) == collections.Counter((r.doc_id, *every(r.text or "")) for r in df.collect())
     own = next(r.spans for r in rows if r.doc_id == 10_090)
     assert own.count("markov") == 1 and own.split(",")[-1].startswith("markov")
     assert secrets.scan(empty, model).count() == 0
     secrets.scan(odd, secrets.train(empty)).collect()
 
 
+#: Strings that people write, none of them random.
+ORDINARY = """src/main/java/com/example/App https/www/example/com/path-to-page-12 COVID-19-SARS-CoV-2-variant-B117 averyverylongidentifierwithwords
+getUserProfileByAccountId MAX_CONNECTIONS_PER_HOST_LIMIT node_modules/react-dom/cjs/react-dom release-2024-01-15-build-1042 application/x-www-form-urlencoded
+content-security-policy-report-only 12345678901234567890 -------------------------- ======================== python3/site-packages/numpy/core usr/local/lib/python3
+org/apache/spark/sql/functions kubernetes-deployment-v1beta2 test_media_round_trip_empty Donaudampfschifffahrtsgesellschaft ISO-8859-1/UTF-16-mapping-tables
+com/google/common/collect/ImmutableList id=1234567/page=42/size=100 2024-03-01/2024-03-31/report window-system-x86-64-linux-gnu""".split()
+
+
+def test_secrets_precision_and_recall(spark, docs):
+    random.seed(11)
+    kinds = (secrets.ALPHABET, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789")
+    planted = ["".join(random.choice(kinds[n % 3]) for _ in range(random.choice((20, 24, 32, 44)))) for n in range(300)]
+    rows = [(n, t, True) for n, t in enumerate(planted)] + [(1000 + n, t, False) for n, t in enumerate(ORDINARY)]
+    df = spark.createDataFrame([(n, f"see {t} here", r) for n, t, r in rows], "doc_id long, text string, random boolean")
+    got = {r.doc_id: r.n_markov for r in secrets.scan(df, secrets.train(docs)).collect()}
+    assert not [t for n, t, r in rows if not r and got[n]]
+    assert np.mean([got[n] == 1 or "AKIA" in t for n, t, r in rows if r]) > 0.97
+
+
+def test_secrets_long_texts(spark, docs):
+    """Time grows with the text: a run of a megabyte, and 50,000 secrets in one text."""
+    random.seed(12)
+    model = secrets.train(docs)
+    run = "".join(random.choice(secrets.ALPHABET) for _ in range(1_000_000))
+    many = " ".join(f"password=abcdef{n} {run[n * 17 : n * 17 + 24]}" for n in range(50_000))
+    df = spark.createDataFrame([(1, run), (2, many), (3, "ab12" * 250_000)], "doc_id long, text string")
+    start = time.monotonic()
+    rows = {r.doc_id: r for r in secrets.scan(df, model).collect()}
+    assert time.monotonic() - start < 60
+    assert rows[1].spans == f"markov:0:{len(run)}" and rows[3].spans == "hex:0:1000000"
+    assert rows[2].n_assign == 50_000 and rows[2].n_markov > 48_000
+
+
 def test_token_counts(docs, odd, empty):
     path = vocabulary("piece_bpe_32k.model")
     model, units = piece_tokenizer(path), unit_counts(path)
