@@ -32,8 +32,7 @@ _FILTER_BITS = 22
 def normal(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(letters and digits in lower case, their places in the input, offsets)."""
     at = np.flatnonzero(through(_WORDLY, points))
-    low = np.where(points[at] < 65536, through(_LOWER, points[at]), points[at])
-    return low.astype(np.uint32), at, np.searchsorted(at, offsets)
+    return through(_LOWER, points[at]), at, np.searchsorted(at, offsets)
 
 
 def grams(points: np.ndarray, q: int) -> np.ndarray:

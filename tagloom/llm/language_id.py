@@ -133,7 +133,7 @@ def fit(langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray], smo
     code = codebook(len(languages))
     number = {x: k for k, x in enumerate(languages)}
     y = np.array([number[x] for x in langs])
-    share = np.full((len(languages), 1 << SPACE_BITS), 0.0)
+    share = np.zeros((len(languages), 1 << SPACE_BITS))
     for k, g, c in zip(y, grams, counts, strict=True):
         np.add.at(share[k], g, np.minimum(c, 20))
     share = (share + smooth * (share.sum(axis=0) > 0)) + 1e-3
@@ -156,19 +156,25 @@ def fit(langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray], smo
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_each: int = 1500, sample_chars: int = 20_000, most_languages: int = 300) -> Ecoc | None:
-    """Learns from at most `rows_each` texts a language, those of lowest id hash,
-    of at most `sample_chars` characters each and not held out, for the
-    `most_languages` commonest languages; that bounds what the driver holds."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_each: int = 1500, sample_chars: int = 20_000, rows_all: int = 60_000) -> Ecoc | None:
+    """Learns every language of the table from the texts of at most `rows_each` ids,
+    those of lowest hash, or fewer where `rows_all` would not do for all languages,
+    but 20 at least. Held-out ids and texts of more than `sample_chars` characters
+    are left out, and an id gives one text to a language, the first in order, so
+    that repeated rows change nothing. The driver holds these texts' n-grams and
+    half a megabyte for each language."""
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(text_col).isNotNull() & (F.length(text_col) <= sample_chars))
-    ids = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    kept = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "lang").limit(most_languages)
-    # Before they are ranked, twice the rows asked for are let through by hash, so that no task ranks all ids of a language.
+    usable = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("id", 0.02).alias("c")).collect()  # a row for each language
+    if not counts:
+        return None
+    each = min(rows_each, max(20, rows_all // len(counts)))
+    # Before ids are ranked, about twice as many as asked for are let through by hash, so that no task ranks all ids of a language.
+    near = docs.sparkSession.createDataFrame([(r.lang, min(1.0, (2 * each + 50) / max(1, r.c))) for r in counts], "lang string, share double")
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    order = F.row_number().over(W.partitionBy("lang").orderBy("place", "id"))
-    near = ids.join(F.broadcast(kept), "lang").withColumn("place", place).where(F.col("place") * F.col("c") <= float(2 * rows_each + 50) * (1 << 30))
-    chosen = near.withColumn("k", order).where(F.col("k") <= rows_each).select("id").distinct()
-    rows = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(chosen), "id", "left_semi")
+    ids = usable.select("lang", "id").join(F.broadcast(near), "lang").withColumn("place", place).where(F.col("place") < F.col("share") * (1 << 30)).select("lang", "id", "place").distinct()
+    chosen = ids.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("place", "id"))).where(F.col("k") <= each).select("lang", "id")
+    rows = usable.join(F.broadcast(chosen), ["lang", "id"], "left_semi").groupBy("lang", "id").agg(F.min("text").alias("text"))
     sample = rows.select("text", "lang").mapInArrow(_grams_by_text, "lang string, grams binary, counts binary").toArrow()
     return fit(sample.column("lang").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint32) for x in sample.column("grams")], [np.frombuffer(x.as_buffer(), np.uint32) for x in sample.column("counts")])
 

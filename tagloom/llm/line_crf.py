@@ -248,11 +248,12 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 6000, sample_chars: int = 60_000) -> LineCrf:
     """Fits on at most `sample_rows` labelled documents, those of lowest id hash,
-    without held-out ids, null labels and texts over `sample_chars` characters;
-    that bounds what the driver holds. Scoring has no such bound."""
+    without held-out ids, null labels and texts over `sample_chars` characters, and
+    one text an id, the first in order; that bounds what the driver holds. Scoring
+    has no such bound."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("label"))
     chosen = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").where(F.coalesce(F.length("text"), F.lit(0)) <= sample_chars).select("text", "label")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").where(F.coalesce(F.length("text"), F.lit(0)) <= sample_chars).groupBy("id", "label").agg(F.min("text").alias("text")).select("text", "label")
     sample = rows.mapInArrow(_featurize, "label long, own binary, size binary").toArrow()
     label = np.asarray(sample.column("label"))
     own = [np.frombuffer(x.as_buffer(), np.float32).reshape(-1, len(OWN)) for x in sample.column("own")]

@@ -147,10 +147,14 @@ def codepoints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return points, starts[offsets]
 
 
+#: No letter or digit has a code point from here on.
+_TABLE = 0x40000
+
+
 def lookup(fn, kind) -> np.ndarray:
-    """A table over the code points below 65,536; higher ones use its last entry."""
-    return np.array([fn(chr(c)) for c in range(65536)], dtype=kind)
+    """A table over the code points of the planes that hold letters; all higher ones have its last entry."""
+    return np.array([fn(chr(c)) for c in range(_TABLE)], dtype=kind)
 
 
 def through(table: np.ndarray, points: np.ndarray) -> np.ndarray:
-    return table[np.minimum(points, 65535)]
+    return table[np.minimum(points, _TABLE - 1)]

@@ -129,6 +129,50 @@ def test_language_id(spark, docs, odd, empty):
     assert none is None and {r.lang_pred for r in language_id.identify(odd, none).collect()} == {"und"}
 
 
+def test_language_id_learns_the_same_from_repeated_rows(spark, docs):
+    base = docs.where("lang is not null and doc_id < 60").select("doc_id", "text", "lang")
+    once, often = language_id.train(base), language_id.train(base.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5000)))), rows_each=1500)
+    assert once.languages == often.languages and len(once.languages) > 2
+    assert np.allclose(once.weights, often.weights) and np.allclose(once.trust, often.trust)
+    few = language_id.train(base, rows_each=3, rows_all=1)
+    assert few.languages == once.languages
+
+
+def test_language_id_decodes_like_the_formula(spark, docs):
+    """N-grams, margins and loss-weighted decoding of whole texts, letter by letter."""
+    model = language_id.train(docs)
+    texts = [r.text for r in docs.where("text is not null").limit(40).collect()] + ["a", "Ünder-Ground 12 x", "한국어 𐐀𐐁 é", "数 𠀀𠀁𠀂"]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    m64 = (1 << 64) - 1
+
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ (x >> shift)) * factor) & m64
+        return x ^ (x >> 31)
+
+    for i, t in enumerate(texts):
+        folded = re.sub(" +", " ", "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in t))
+        grams = [folded[k : k + n] for n in (1, 2, 3) for k in range(len(folded) - n + 1)]
+        grams = [g for g in grams if g not in (" ", "  ") and g.strip()]
+        margin = np.zeros(model.code.shape[1])
+        for g in grams:
+            h = len(g)
+            for c in g:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c)) & m64
+            margin += model.weights[mixed(h) >> (64 - language_id.SPACE_BITS)]
+        margin = margin / max(1, len(grams)) * math.sqrt(min(max(1, len(grams)), 400))
+        loss = [sum(model.trust[k, b] * math.log1p(math.exp(-margin[b] * model.code[k, b])) for b in range(len(margin))) * len(margin) for k in range(len(model.languages))]
+        p = 1 / sum(math.exp(min(loss) - x) for x in loss)
+        assert got[i].lang_pred == model.languages[int(np.argmin(loss))] and abs(got[i].score - p) < 1e-4
+
+
+def test_letters_of_all_planes(spark, docs):
+    model = language_id.train(docs)
+    df = spark.createDataFrame([(1, "𠀀"), (2, "𝒳"), (3, "\U0001f600 12"), (4, "\U000e0041")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(df, model).collect()}
+    assert got[1] != "und" and got[2] != "und" and got[3] == got[4] == "und"
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 9, 30])
 def test_codebook(n):
     code = language_id.codebook(n)
@@ -245,6 +289,10 @@ def test_quality(spark, docs, odd, empty):
     model = line_crf.train(docs, labels)
     rows = line_crf.score_slim(docs, model).join(labels, "doc_id").where(held_out()).collect()
     assert np.mean([(r.score >= 0.7) == (r.quality == 1) for r in rows]) > 0.85
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.9  # area under the curve
+    often = line_crf.train(docs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(40)))), labels)
+    assert np.allclose(often.emission, model.emission) and np.allclose(often.curve, model.curve)
     scored = line_crf.score(odd, model)
     assert sorted(scored.columns) == sorted(odd.columns) and all(0 <= r.score <= 1 for r in scored.collect())
     assert line_crf.score_slim(empty, model).count() == 0
