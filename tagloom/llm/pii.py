@@ -4,8 +4,9 @@ Detected entities are replaced by keyed surrogates of the same type and format:
 digits stay digits, letters keep their script and case, separators stay, card
 numbers keep their check digit's validity, addresses stay valid, names keep
 their gender. A titled name counts with all its parts, and the parts also where they
-stand without a title in the same text. The same entity has the same surrogate in the whole corpus, and
-different entities have different ones: candidate surrogates of all distinct
+stand without a title in the same text. A long number is a card where its check digit
+is right or a word for cards stands before it. The same entity has the same surrogate in the whole corpus, and
+different entities have different ones; so have the domains of addresses: candidate surrogates of all distinct
 entities are compared, and where two meet, or where one is itself an entity of
 the corpus, all but one are drawn again until none do. Where the space of a format is too
 crowded (one-letter addresses of a domain, short phone numbers), later draws of
@@ -17,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,12 +31,18 @@ from tagloom.llm.textblocks import utf8
 from tagloom.plans.staging import Staged
 
 TITLES = {
-    "male": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "г-н", "Κύριος"],
-    "female": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Srta", "Doña", "г-жа", "Κυρία"],
+    "male": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "г-н", "Κύριος", "السيد", "श्री"],
+    "female": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Srta", "Doña", "г-жа", "Κυρία", "السيدة", "श्रीमती"],
     "any": ["Dr", "Prof"],
 }
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-_NAME = r"[^\W\d_](?:[^\W\d_]|['’](?=[^\W\d_]))+"
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c) in ("Mn", "Mc"))
+_LETTER = rf"[^\W\d_][{_MARKS}]*"
+_HAN = "㐀-䶿一-鿿"
+#: Letters of scripts that put no spaces between words.
+_SPACELESS = rf"{_HAN}぀-ヿ฀-໿က-႟ក-៿"
+_NAME = rf"{_LETTER}(?:{_LETTER}|['’](?=[^\W\d_]))+|[{_HAN}]"
+_CARD_CUE = re.compile(r"(?i)(?:card|visa|amex|maestro|kredit|karte|carte|tarjeta|карт)[^\d\n]{0,24}$")
 _TITLE = "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True))
 PATTERNS = [
     ("email", r"(?<![\w.+-])[\w.+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])"),
@@ -48,6 +57,7 @@ _DIGITAL = re.compile("|".join(f"(?P<{k}>{p.replace(chr(92) + '1', '(?P=sep)').r
 _GAP = r"(?:[ \t\xa0]+|[ \t\xa0]{0,8}\r?\n[ \t\xa0]{0,8})"
 _TITLED = re.compile(rf"(?<!\w)(?P<titles>(?:{_TITLE})(?:\.?{_GAP}(?:{_TITLE})(?!\w))*)\.?{_GAP}(?=[^\W\d_])")
 _WORD = re.compile(_NAME)
+_RUN = re.compile(rf"[{_SPACELESS}][{_SPACELESS}{_MARKS}]*")
 _INITIAL = re.compile(r"[^\W\d_]\.")
 _JOINT = re.compile(r"[ \xa0]+|-")
 _ELIDED = re.compile(r"[^\W\d_]{1,4}['’](?=[^\W\d_])")
@@ -65,7 +75,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     parts of titled names are entities wherever else they stand in the text with
     a capital; particles stay."""
     out = [(m.start(), m.end(), m.lastgroup if m.lastgroup != "sep" else "card", m.group()) for m in _DIGITAL.finditer(text)]
-    out = [(a, b, k, _key(k, t)) for a, b, k, t in out]
+    out = [(a, b, k, _key(k, t)) for a, b, k, t in out if k != "card" or luhn(_key(k, t)) or _CARD_CUE.search(text, max(0, a - 40), a)]
     out += _names(text, [(a, b) for a, b, _, _ in out])
     out.sort()
     return out
@@ -75,10 +85,28 @@ def _bare(word: str) -> str:
     return word[:-2] if word[-2:].casefold() in ("'s", "’s") else word
 
 
+def _uncased(c: str) -> bool:
+    """Is the letter of a script without capitals (or one whose names have none)?"""
+    return "ა" <= c <= "ჿ" or not (c.isupper() or c.islower())
+
+
+def _han(text: str, start: int, end: int) -> list[tuple[int, str]]:
+    """Given name and surname of a name without spaces: of up to four signs, or the
+    first three of a longer run, the first is the surname. Places as in the text."""
+    run = text[start:end] if end - start <= 4 else text[start : start + 3]
+    return [(start + 1, run[1:]), (start, run[:1])] if len(run) > 1 else [(start, run)]
+
+
 def _parts(text: str, at: int) -> tuple[list[tuple[int, str]], int]:
-    """(place, part) of the name from `at`, across particles and initials, and its end."""
-    parts, end, pending = [], at, False
-    while True:
+    """(place, part) of the name from `at`, across particles and initials, and its
+    end; the surname comes last. In scripts without capitals a name has at most two parts, in
+    those without spaces it is one run."""
+    run = _RUN.match(text, at)
+    if run:
+        parts = _han(text, at, run.end()) if re.match(f"[{_HAN}]", text[at]) else [(at, run.group())]
+        return parts, max(a + len(p) for a, p in parts)
+    parts, end = [], at
+    while len(parts) < 2 or not _uncased(parts[-1][1][0]):
         m = _PARTICLE.match(text, at) or _INITIAL.match(text, at)
         if m:
             if m.group().endswith(".") and not m.group()[0].isupper():
@@ -91,7 +119,7 @@ def _parts(text: str, at: int) -> tuple[list[tuple[int, str]], int]:
             elided = _ELIDED.match(word)
             if elided and not word[0].isupper() and word[elided.end()].isupper():
                 start, word = start + elided.end(), word[elided.end() :]
-            if not word[0].isupper() or len(word) < 2:
+            if not (word[0].isupper() or _uncased(word[0])) or len(word) < 2:
                 break
             part = _bare(word)
             parts.append((start, part))
@@ -106,16 +134,33 @@ def _parts(text: str, at: int) -> tuple[list[tuple[int, str]], int]:
 
 
 def _names(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
-    out, kinds, done, at = [], {}, set(), 0
+    out, kinds, done, at, runs = [], {}, set(), 0, {}
     while m := _TITLED.search(text, at):
         parts, at = _parts(text, m.end())
         at = max(at, m.end())
         gender = next((g for t in re.findall(r"[^\s.]+", m.group("titles")) if (g := _GENDER[t]) != "any"), "any")
+        own = []
         for n, (start, p) in enumerate(parts):
             done.add(start)
             kind = "surname" if n == len(parts) - 1 else f"given_{gender}"
             kinds.setdefault(p.casefold(), kind)
-            out.append((start, start + len(p), kind, _key(kind, p)))
+            own.append((start, start + len(p), kind, _key(kind, p)))
+        out += own
+        if own and _RUN.match(own[0][3]):
+            first = min(a for a, _, _, _ in own)
+            runs.setdefault(text[first:at], [(a - first, b - first, k, e) for a, b, k, e in own])
+            for a, b, k, e in own:
+                if b - a > 1:
+                    runs.setdefault(text[a:b], [(0, b - a, k, e)])
+        for a, b, k, e in own:  # endings are written to a name without a space
+            if b - a > 1 and "가" <= e[0] <= "힣":
+                runs.setdefault(text[a:b], [(0, b - a, k, e)])
+    if runs:  # names without spaces, inside of longer runs too; a single sign only where it stands alone
+        forms = sorted(runs, key=len, reverse=True)
+        for m in re.finditer("|".join(re.escape(f) if len(f) > 1 else rf"(?<!\w){re.escape(f)}(?!\w)" for f in forms), text):
+            here = [(m.start() + a, m.start() + b, k, e) for a, b, k, e in runs[m.group()]]
+            out += [x for x in here if x[0] not in done]
+            done.update(a for a, _, _, _ in here)
     if kinds:
         follows = None  # the place of the next word, if that is a part
         for m in reversed(list(_WORD.finditer(text))):
@@ -130,7 +175,7 @@ def _names(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str,
                 continue
             clear = re.match(r"\w", text[m.end() : m.end() + 1]) or (start and re.match(r"\w", text[start - 1]))
             alone = p.casefold() in _PARTICLES and (follows is None or not _JOINT.fullmatch(text, m.end(), follows))
-            if kind is None or not p[0].isupper() or clear or alone:
+            if kind is None or not (p[0].isupper() or _uncased(p[0])) or _RUN.match(p) or clear or alone:
                 follows = None
                 continue
             follows = start
@@ -175,13 +220,74 @@ _ALPHABETS = {
 _ENDINGS = {"latin": {"male": ["o", "us", "in", "ert"], "female": ["a", "ine", "elle", "ia"]}, "cyrillic": {"male": ["ий", "ор", "ан"], "female": ["а", "ия", "ина"]}, "greek": {"male": ["ος", "ης", "ας"], "female": ["α", "η", "ω"]}}
 
 
+@lru_cache(4096)
 def _script(text: str) -> str:
-    for c in text:
-        if "Ѐ" <= c <= "ӿ":
-            return "cyrillic"
-        if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿":
-            return "greek"
-    return "latin"
+    """Script of the first letter, by its Unicode name."""
+    first = next((c for c in text if c.isalpha()), "a")
+    return unicodedata.name(first, "LATIN").split()[0].lower()
+
+
+@lru_cache(None)
+def _pool(script: str) -> str:
+    """Small letters of a script; of one that is not known, Latin ones."""
+    if script in _ALPHABETS:
+        return "".join(_ALPHABETS[script])
+    ranges = {"cjk": [range(0x4E00, 0x9FA6)], "hangul": [range(0xAC00, 0xD7A4)]}.get(script, [range(0x250, 0x3100), range(0xA000, 0xABC0), range(0x10000, 0x1E950)])
+    name = script.upper() + " "
+    found = "".join(c for r in ranges for c in map(chr, r) if c.isalpha() and unicodedata.category(c) in ("Ll", "Lo") and unicodedata.name(c, "").startswith(name))
+    return found or "".join(_ALPHABETS["latin"])
+
+
+def _pool_of(c: str) -> str:
+    return "0123456789" if c.isdigit() and c.isascii() else "abcdefghijklmnopqrstuvwxyz" if c.isascii() else _pool(_script(c))
+
+
+@lru_cache(4096)
+def _host(secret: bytes, host: str) -> str:
+    """The surrogate of a host name: a keyed permutation of the names of its pattern
+    (which characters are digits, letters of which script, signs), so that
+    different names never meet, and no name stays (but where it is all that its pattern allows)."""
+    pools = [_pool_of(c) if c.isalnum() else "" for c in host]
+    shape = [(p, i) for i, p in enumerate(pools) if p and host[i] in p]
+    size = 1
+    for p, _ in shape:
+        size *= len(p)
+    value = 0
+    for p, i in shape:
+        value = value * len(p) + p.index(host[i])
+    pattern = "".join("?" if any(i == k for _, k in shape) else c for i, c in enumerate(host))
+    # A shift by one between a permutation and its inverse leaves nothing in place.
+    value = _permute(secret, pattern, (_permute(secret, pattern, value, size, False) + 1) % size, size, True) if size > 1 else value
+    out = list(host)
+    for p, i in reversed(shape):
+        value, digit = divmod(value, len(p))
+        out[i] = p[digit]
+    return "".join(out)
+
+
+def _permute(secret: bytes, tweak: str, value: int, size: int, back: bool, rounds: int = 6) -> int:
+    """A keyed permutation of the numbers below `size`: a balanced Feistel network
+    over the next even number of bits, repeated until the number is below `size`."""
+    half = max(1, -(-(size - 1).bit_length() // 2))
+    mask = (1 << half) - 1
+    order = range(rounds - 1, -1, -1) if back else range(rounds)
+    while True:
+        left, right = value >> half, value & mask
+        for k in order:
+            seed = b"%d:%d:" % (k, half) + tweak.encode("utf-8", "surrogatepass")
+            if back:
+                left, right = right ^ _digest(secret, seed, left, half), left
+            else:
+                left, right = right, left ^ _digest(secret, seed, right, half)
+        value = (left << half) | right
+        if value < size:
+            return value
+
+
+def _digest(secret: bytes, seed: bytes, value: int, bits: int) -> int:
+    data = seed + b":" + value.to_bytes((value.bit_length() + 7) // 8 or 1, "big")
+    out = b"".join(hmac.new(secret, data + bytes([n]), hashlib.sha256).digest() for n in range(-(-bits // 256)))
+    return int.from_bytes(out, "big") & ((1 << bits) - 1)
 
 
 def surrogate_key(kind: str, key: str, attempt: int, secret: bytes) -> str:
@@ -211,10 +317,11 @@ def surrogate_key(kind: str, key: str, attempt: int, secret: bytes) -> str:
         return "".join("0123456789abcdef"[s.below(16)] if c != ":" else c for c in key)
     if kind == "email":
         local, _, domain = key.partition("@")
-        labels = domain.split(".")
-        d = _Stream(secret, "domain", domain)  # a domain's addresses stay together
-        host = [_letters(x, d) for x in labels[:-1]]
-        return f"{_letters(local, s)}{_letters('x' * more, s)}@{'.'.join([*host, labels[-1]])}"
+        host, _, top = domain.rpartition(".")
+        return f"{_letters(local, s)}{_letters('x' * more, s)}@{_host(secret, host)}.{top}"  # a domain's addresses stay together
+    if _script(key) not in _ALPHABETS:  # as many letters as the name has
+        pool = _pool(_script(key))
+        return "".join(pool[s.below(len(pool))] for c in key + "x" * more if c.isalpha())
     con, vow = _ALPHABETS[_script(key)]
     stem = "".join(con[s.below(len(con))] + vow[s.below(len(vow))] for _ in range(2 + s.below(2) + more))
     if kind.startswith("given"):
@@ -231,8 +338,8 @@ def _letters(text: str, s: _Stream) -> str:
         if c.isdigit() and c.isascii():
             out.append(str(s.below(10)))
         elif c.isalpha():
-            con, vow = _ALPHABETS[_script(c)]
-            out.append((con + vow)[s.below(len(con) + len(vow))])
+            pool = _pool(_script(c))
+            out.append(pool[s.below(len(pool))])
         else:
             out.append(c)
     return "".join(out)
@@ -246,7 +353,7 @@ def dress(kind: str, mention: str, surrogate: str) -> str:
     if mention.isupper() and any(c.isalpha() for c in mention):
         return surrogate.upper()
     if kind == "surname" or kind.startswith("given"):
-        return surrogate[:1].upper() + surrogate[1:]
+        return surrogate[:1].upper() + surrogate[1:] if mention[:1].isupper() else surrogate
     if len(mention) == len(surrogate):
         return "".join(b.upper() if a.isupper() else b for a, b in zip(mention, surrogate, strict=True))
     return surrogate

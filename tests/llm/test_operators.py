@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -233,6 +234,62 @@ def test_pii_whole_names(text, real):
     assert all(len(k) == 1 for k in made.values()) and {r.casefold() for r in real} <= set(made)
 
 
+@pytest.mark.parametrize(
+    "text, real, script",
+    [
+        ("Dr 王小明 came. Later 王小明 and 小明的 book; 小 stays", ["王小明", "小明", "王"], "CJK"),
+        ("Dr محمد علي here, then محمد left", ["محمد", "علي"], "ARABIC"),
+        ("Mr Արամ Պետրոսյան and Պետրոսյան", ["Արամ", "Պետրոսյան"], "ARMENIAN"),
+        ("Dr ნინო ბერიძე met ბერიძე", ["ნინო", "ბერიძე"], "GEORGIAN"),
+        ("Dr 김철수 said 김철수는", ["김철수"], "HANGUL"),
+        ("श्री राम शर्मा met शर्मा", ["राम", "शर्मा"], "DEVANAGARI"),
+        ("Mr John Smith met Ann. Smith left; John Smith paid.", ["John", "Smith"], "LATIN"),
+    ],
+)
+def test_pii_names_of_any_script(text, real, script):
+    out = pii._replace(text, b"k", {}, dict.fromkeys(pii.KINDS, 0))
+    assert not [r for r in real if r in out] and out != text
+    for a, b, k, _ in pii.find(text):
+        assert text[a:b] in real or any(text[a:b] in r for r in real)
+    made = {e: pii.surrogate_key(k, e, 0, b"k") for _, _, k, e in pii.find(text)}
+    assert all(unicodedata.name(c).startswith(script) for m in made.values() for c in m)
+    for e, m in made.items():  # the same surrogate wherever the entity stands
+        assert out.casefold().count(m.casefold()) >= sum(x == e for _, _, _, x in pii.find(text))
+
+
+def test_pii_clean_numbers_stay():
+    text = "order 1234567890123456, build 20240101123045123, id 4111111111111112; card no. 4111111111111112 and 4111-1111-1111-1111"
+    assert [text[a:b] for a, b, _, _ in pii.find(text)] == ["4111111111111112", "4111-1111-1111-1111"]
+    assert pii.find(text)[0][0] > text.index("card no.")
+
+
+def test_pii_domains_stay_apart():
+    hosts = [f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "0123456789"] + ["x", "y", "mail1.example", "mail2.example", "王", "straße"]
+    made = {h: pii._host(b"k", h) for h in hosts}
+    assert len(set(made.values())) == len(hosts) and not any(h == m for h, m in made.items())
+    assert all(len(h) == len(m) and [c.isdigit() for c in h] == [c.isdigit() for c in m] for h, m in made.items())
+    assert unicodedata.name(made["王"]).startswith("CJK") and pii._host(b"other", "mail1.example") != made["mail1.example"]
+    keep = lambda e: pii.surrogate_key("email", e, 0, b"k").partition("@")[2]
+    assert keep("a@mail1.example.com") == keep("bcd@mail1.example.com") == made["mail1.example"] + ".com"
+
+
+def test_pii_replaces_like_a_plain_pass(spark):
+    """All texts at once against a plain loop over the registry's draws."""
+    random.seed(4)
+    names = ["Anna Berg", "Kim Lee", "Иван Петров", "王小明"]
+    parts = [lambda: f"Mrs {random.choice(names)}", lambda: f"u{random.randrange(30)}@d{random.randrange(9)}.org", lambda: f"10.0.{random.randrange(3)}.{random.randrange(9)}", lambda: f"{random.randrange(100, 120)}-55-1234", lambda: "plain words", lambda: "+1 (555) 010-%04d" % random.randrange(40)]
+    rows = [(k, " ; ".join(random.choice(parts)() for _ in range(6))) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    drawn = {(pii._looked_up(r.kind), r.entity): (r.kind, r.attempt) for r in pii.registry(df, b"k")[0].collect()}
+    want = {}
+    for k, t in rows:
+        for a, b, kind, key in sorted(pii.find(t), reverse=True):
+            kind, attempt = drawn[pii._looked_up(kind), key]
+            t = t[:a] + pii.dress(kind, t[a:b], pii.surrogate_key(kind, key, attempt, b"k")) + t[b:]
+        want[k] = t
+    assert {r.doc_id: r.text for r in pii.replace_pii(df, "k").collect()} == want
+
+
 def test_pii_leaves_other_words():
     text = "Mr John Smith came to see the president. The smith, a blacksmith, and Smithers; De facto. Mr De Niro and Monsieur le Président, Mr And Mrs"
     words = [text[a:b] for a, b, _, _ in pii.find(text)]
