@@ -61,12 +61,13 @@ def _netpbm(data: bytes) -> np.ndarray:
             raise ValueError("Netpbm data is short")
         values = np.unpackbits(body.reshape(height, stride), axis=1)[:, :width].ravel().astype(np.uint16)
     else:
-        values = np.frombuffer(data[at + 1 :][: count * (2 if top > 255 else 1)], ">u2" if top > 255 else np.uint8)
+        kind = np.dtype(">u2" if top > 255 else np.uint8)
+        values = np.frombuffer(data, kind, max(0, min(count, (len(data) - at - 1) // kind.itemsize)), min(at + 1, len(data)))
     if len(values) < count:
         raise ValueError("Netpbm data is short")
     if bitmap:
         values = (1 - values) * 255
-    out = values.astype(np.uint16 if top > 255 else np.uint8)
+    out = values.astype(np.uint16 if top > 255 else np.uint8, copy=False)
     return out.reshape((height, width) if channels == 1 else (height, width, 3))
 
 
@@ -93,8 +94,8 @@ def _bmp(data: bytes) -> np.ndarray:
         index = index[:, :width]
         if len(index) and index.max() >= len(table):
             raise ValueError("BMP colour out of its table")
-        rgb = table[index]
-        return rgb[:, :, 0].copy() if (table[:, 0] == table[:, 1]).all() and (table[:, 1] == table[:, 2]).all() else rgb
+        plain = (table[:, 0] == table[:, 1]).all() and (table[:, 1] == table[:, 2]).all()
+        return np.ascontiguousarray(table[:, 0])[index] if plain else table[index]
     return rows[:, : width * bits // 8].reshape(height, width, bits // 8)[:, :, 2::-1].copy()
 
 
@@ -117,18 +118,33 @@ def encode_bmp(image: np.ndarray) -> bytes:
     return head + table.tobytes() + body.tobytes()
 
 
+def _sums_before(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The integral image along the first axis at fractional places: the sum of
+    all samples before each, between two samples interpolated. Only these rows of it are
+    kept, so that memory does not follow the image's size."""
+    n = len(x)
+    low = np.minimum(np.floor(edges).astype(np.int64), n)
+    total = np.zeros(x.shape[1:], np.float64 if x.dtype.kind == "f" else np.int64)
+    out = np.empty((len(edges), *x.shape[1:]))
+    at = 0
+    for k, (place, part) in enumerate(zip(low.tolist(), (edges - low).tolist(), strict=True)):
+        if place > at:
+            total = total + x[at:place].sum(axis=0, dtype=total.dtype)
+            at = place
+        out[k] = total if part == 0 else total + part * x[place]
+    return out
+
+
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean of the samples under each target cell, cells cut at fractions, from
-    the integral image: its values at fractional corners are interpolated."""
-    x = image.astype(np.float64)
-    for axis, size in ((0, height), (1, width)):
-        n = x.shape[axis]
-        total = np.concatenate([np.zeros_like(np.take(x, [0], axis)), np.cumsum(x, axis=axis)], axis=axis)
-        edge = np.arange(size + 1) * n / size
-        low = np.minimum(np.floor(edge).astype(np.int64), n)
-        part = (edge - low).reshape([-1 if a == axis else 1 for a in range(x.ndim)])
-        at = np.take(total, low, axis) * (1 - part) + np.take(total, np.minimum(low + 1, n), axis) * part
-        x = np.diff(at, axis=axis) * (size / n)
+    the integral image: its values at fractional corners are interpolated. The
+    axis that shrinks more goes first."""
+    x = image
+    sizes = {0: height, 1: width}
+    for axis in sorted(sizes, key=lambda a: -x.shape[a] / sizes[a]):
+        n, size = x.shape[axis], sizes[axis]
+        sums = _sums_before(np.moveaxis(x, axis, 0), np.arange(size + 1) * n / size)
+        x = np.moveaxis(np.diff(sums, axis=0) * (size / n), 0, axis)
     return x
 
 
@@ -138,10 +154,14 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 def difference_hash(image: np.ndarray) -> str:
     """64 bits as 16 hex digits: is a cell of the 8 x 9 grey image brighter than the one to its right."""
-    small = np.round(area_resize(grey(image), 8, 9), 6)
+    small = np.round(grey(area_resize(image, 8, 9)), 6)
     return np.packbits(small[:, :-1] > small[:, 1:]).tobytes().hex()
 
 
+def _rounded(image: np.ndarray) -> np.ndarray:
+    return np.rint(np.round(image, 6)).astype(np.uint8)  # sixth digit first, so that halves are halves
+
+
 def npy(image: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.save(out, image, allow_pickle=False)
@@ -162,8 +182,8 @@ def tiles(media: DataFrame, id_col: str, data_col: str, side: int = 32) -> DataF
                     if not x.is_valid:
                         raise ValueError("null")
                     image = decode(x.as_buffer().to_pybytes())
-                    scaled = image / 257 if image.dtype == np.uint16 else image
-                    rows.append((image.shape[0], image.shape[1], 1 if image.ndim == 2 else 3, npy(np.rint(area_resize(scaled, side, side)).astype(np.uint8)), difference_hash(scaled), None))
+                    small = area_resize(image, side, side) / (257 if image.dtype == np.uint16 else 1)
+                    rows.append((image.shape[0], image.shape[1], 1 if image.ndim == 2 else 3, npy(_rounded(small)), difference_hash(image), None))
                 except ValueError as e:
                     rows.append((None, None, None, None, None, str(e)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string())
@@ -175,18 +195,26 @@ def tiles(media: DataFrame, id_col: str, data_col: str, side: int = 32) -> DataF
 UNIT = 64
 
 
+def encode_text(payload: bytes) -> bytes:
+    """The payload as grey samples 64 wide: a BMP file where its checksum is a
+    multiple of four, else a PGM file, so that equal texts have equal files."""
+    if zlib.crc32(payload) % 4 == 0:
+        return encode_bmp(np.frombuffer(payload, np.uint8).reshape(-1, UNIT))
+    return encode_pgm(payload, UNIT)
+
+
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, off = utf8(batch.column("text"))
         for i, j in blocks(off):
             sizes = np.diff(off[i : j + 1])
-            media = [encode_pgm(raw[a : a + n].tobytes() + bytes(-n % UNIT if n else UNIT), UNIT) for a, n in zip(off[i:j].tolist(), sizes.tolist(), strict=True)]
+            media = [encode_text(raw[a : a + n].tobytes() + bytes(-n % UNIT if n else UNIT)) for a, n in zip(off[i:j].tolist(), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(sizes), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, media): each whole text's UTF-8, padded with zeros to a
-    positive multiple of 64, as a grey PGM file 64 samples wide. A null is empty."""
+    positive multiple of 64, as a grey PGM or BMP file 64 samples wide. A null is empty."""
     kind = docs.schema[id_col].dataType.simpleString()
     return bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_stored, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
@@ -198,7 +226,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = x.as_buffer().to_pybytes()
             image = decode(media)
             payload = image.tobytes()
-            tile = npy(np.rint(area_resize(image, 8, 8)).astype(np.uint8))
+            tile = npy(_rounded(area_resize(image, 8, 8)))
             rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), tile))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
         names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
@@ -206,8 +234,8 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_stored(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Decodes `store_texts`' files and digests what they hold; `feature` is the
-    difference hash, `tile` an 8 x 8 NPY file."""
+    """Decodes `store_texts`' files, as a written table gives them back, and digests what
+    they hold; `feature` is the difference hash, `tile` an 8 x 8 NPY file."""
     kind = stored.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
     return stored.select(F.col(id_col).alias("id"), "n_bytes", "media").mapInArrow(_read_back, schema).withColumnRenamed("id", id_col)

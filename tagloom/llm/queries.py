@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm import chat, decontaminate, jaccard_join, language_id, line_crf, media, packing, pii, secrets, token_counts
 from tagloom.llm.tables import held_out, table
+from tagloom.plans.staging import stage
 
 #: The key of the registered query; a deployment passes its own.
 PII_SECRET = "tagloom-example-key"
@@ -50,7 +51,7 @@ def op6_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_stored(media.store_texts(table(spark, sf_dir, "documents"))).drop("tile")
+    return media.read_stored(stage(media.store_texts(table(spark, sf_dir, "documents")), "media"))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import unicodedata
 import zlib
 
@@ -452,14 +453,51 @@ def test_media_formats(spark):
     assert np.load(io.BytesIO(bytes(rows[1].tile))).shape == (32, 32, 3) and rows[1].dhash and rows[2].error and rows[3].error
 
 
-def test_media_round_trip(odd, empty):
-    rows = collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.read_stored(media.store_texts(odd)).collect())
-    want = collections.Counter()
-    for i, t in ODD:
-        b = (t or "").encode()
-        p = b + bytes(-len(b) % 64 if b else 64)
-        want[(i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))] += 1
-    assert rows == want and media.read_stored(media.store_texts(empty)).count() == 0
+def area_means(image, height, width):
+    """Each target cell's mean, sample by sample with the share that the cell covers."""
+    out = np.zeros((height, width))
+    n, m = image.shape
+    share = lambda k, size, cells, cell: max(0.0, min(k + 1, (cell + 1) * size / cells) - max(k, cell * size / cells))
+    rows = np.array([[share(k, n, height, c) for k in range(n)] for c in range(height)])
+    cols = np.array([[share(k, m, width, c) for k in range(m)] for c in range(width)])
+    return rows @ image @ cols.T / (n / height) / (m / width)
+
+
+def test_media_round_trip(spark, docs, odd, empty):
+    for df in (odd, docs.limit(80)):
+        texts = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+        rows = collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature, bytes(r.tile)) for r in media.read_stored(media.store_texts(spark.createDataFrame(texts, "doc_id long, text string"))).collect())
+        want, kinds = collections.Counter(), set()
+        for i, t in texts:
+            b = (t or "").encode()
+            p = b + bytes(-len(b) % 64 if b else 64)
+            grid = np.frombuffer(p, np.uint8).reshape(-1, 64)
+            if zlib.crc32(p) % 4:
+                stored = b"P5\n64 %d\n255\n" % len(grid) + p
+            else:
+                head = b"BM" + (1078 + len(p)).to_bytes(4, "little") + bytes(4) + (1078).to_bytes(4, "little") + b"".join(v.to_bytes(4, "little") for v in (40, 64, len(grid)))
+                head += b"\1\0\x08\0" + b"".join(v.to_bytes(4, "little") for v in (0, len(p), 2835, 2835, 256, 0))
+                stored = head + b"".join(bytes([k, k, k, 0]) for k in range(256)) + grid[::-1].tobytes()
+            kinds.add(stored[:2])
+            small = np.round(area_means(grid, 8, 9), 6)
+            bits = "".join("1" if small[y, x] > small[y, x + 1] else "0" for y in range(8) for x in range(8))
+            out = io.BytesIO()
+            np.save(out, np.rint(np.round(area_means(grid, 8, 8), 6)).astype(np.uint8))
+            want[(i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{int(bits, 2):016x}", out.getvalue())] += 1
+        assert kinds == {b"P5", b"BM"} and rows == want
+    assert media.read_stored(media.store_texts(empty)).count() == 0
+
+
+def test_media_of_a_long_text():
+    image = np.random.default_rng(2).integers(0, 256, (400_000, 64), dtype=np.uint8)
+    tracemalloc.start()
+    media.difference_hash(image)
+    media.area_resize(image, 8, 8)
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert used < image.nbytes / 10
+    back = media.decode(media.encode_bmp(image))
+    assert (back == image).all()
 
 
 def edit_distance_within(pattern, text):
