@@ -164,7 +164,7 @@ def _rounded(image: np.ndarray) -> np.ndarray:
 
 def npy(image: np.ndarray) -> bytes:
     out = io.BytesIO()
-    np.save(out, image, allow_pickle=False)
+    np.save(out, np.ascontiguousarray(image), allow_pickle=False)
     return out.getvalue()
 
 
