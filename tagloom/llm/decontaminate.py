@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.tables import bounded_batches, keyed_or_broadcast
@@ -67,6 +67,9 @@ class Index:
     window: np.ndarray
     place: np.ndarray
     maybe: np.ndarray
+    #: Items too short for a window, by their letters and digits.
+    whole: dict[bytes, list[int]]
+    longest_whole: int
 
     @property
     def bound(self) -> np.ndarray:
@@ -75,11 +78,13 @@ class Index:
 
 def build_index(items: list[tuple[int, str]], q: int, rate: float, window: int, least: int, passage: int = 60) -> Index:
     short = max(q, 2 * passage // 3)
-    item, pieces, lens = [], [], []
+    item, pieces, lens, whole = [], [], [], {}
     for key, text in items:
         p = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
         low, _, _ = normal(p, np.array([0, len(p)]))
         if len(low) < max(least, q):
+            if len(low):
+                whole.setdefault(low.tobytes(), []).append(key)
             continue
         starts = [0] if len(low) <= window + window // 4 else sorted({*range(0, len(low) - window, window // 2), len(low) - window})
         cut = [low if len(starts) == 1 else low[s : s + window] for s in starts]
@@ -101,7 +106,7 @@ def build_index(items: list[tuple[int, str]], q: int, rate: float, window: int,
     maybe[(all_grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
     return Index(
         q, np.array(item, np.int64), np.concatenate([np.zeros(0, np.uint32), *pieces]), np.cumsum([0, *lens])[:-1].astype(np.int64), lens_a, budget, all_grams[order],
-        np.repeat(np.arange(len(lens)), count)[order], np.concatenate([np.zeros(0, np.int64), *(np.arange(c) for c in count)])[order], maybe,
+        np.repeat(np.arange(len(lens)), count)[order], np.concatenate([np.zeros(0, np.int64), *(np.arange(c) for c in count)])[order], maybe, whole, max(least, q),
     )
 
 
@@ -112,7 +117,7 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def candidates(ix: Index, low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(ix: Index, low: np.ndarray, offsets: np.ndarray, at_once: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, window, first diagonal of the band) of the regions that reach the bound."""
     none = (np.zeros(0, np.int64),) * 3
     if not len(ix.lens) or len(low) < ix.q:
@@ -135,20 +140,23 @@ def candidates(ix: Index, low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     np.add.at(cover, reach[busy], -1)
     places = np.flatnonzero(hit & (np.cumsum(cover[:-1]) > 0))
     lo, hi = np.searchsorted(ix.gram, h[places], "left"), np.searchsorted(ix.gram, h[places], "right")
-    which, k = _expand(lo, hi)
-    if not len(k):
-        return none
-    place, window = places[which], ix.window[k]
-    text = np.searchsorted(offsets, place, "right") - 1
-    step = ix.budget[window] + 1
-    band = (place - offsets[text] - ix.place[k]) // step
-    text, window, band = np.tile(text, 2), np.tile(window, 2), np.concatenate([band, band - 1])
-    order = np.lexsort((band, window, text))
-    text, window, band = text[order], window[order], band[order]
-    new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (window[1:] != window[:-1]) | (band[1:] != band[:-1]))))
-    count = np.diff(np.append(new, len(text)))
-    new = new[count >= ix.bound[window[new]]]
-    return text[new], window[new], band[new] * (ix.budget[window[new]] + 1)
+    key, count, done = np.zeros(0, np.int64), np.zeros(0, np.int64), np.cumsum(hi - lo)
+    cuts = np.unique(np.append(np.searchsorted(done, np.arange(0, int(done[-1]) if len(done) else 0, at_once)[1:], "left"), [0, len(places)]))
+    shift = 1 << 21  # bands, of both signs, are fewer than places
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # hits on q-grams of many windows are counted in parts
+        which, k = _expand(lo[a:b], hi[a:b])
+        place, window = places[a:b][which], ix.window[k]
+        text = np.searchsorted(offsets, place, "right") - 1
+        band = (place - offsets[text] - ix.place[k]) // (ix.budget[window] + 1)
+        packed = (text * len(ix.lens) + window) * 2 * shift + band + shift
+        found, n = np.unique(np.concatenate([packed, packed - 1]), return_counts=True)
+        both = np.concatenate([key, found])
+        key, back = np.unique(both, return_inverse=True)
+        count = np.bincount(back, weights=np.concatenate([count, n]), minlength=len(key)).astype(np.int64)
+    pair, band = key // (2 * shift), key % (2 * shift) - shift
+    text, window = pair // len(ix.lens), pair % len(ix.lens)
+    ok = count >= ix.bound[window]
+    return text[ok], window[ok], band[ok] * (ix.budget[window[ok]] + 1)
 
 
 def align(ix: Index, low: np.ndarray, offsets: np.ndarray, text: np.ndarray, window: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,6 +198,13 @@ def _matcher(ix: Index):
             for i, j in blocks(off):
                 points, at = codepoints(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 low, where, offsets = normal(points, at)
+                if ix.whole:
+                    size = np.diff(offsets)
+                    same = [(k, item) for k in np.flatnonzero((size > 0) & (size < ix.longest_whole)).tolist() for item in ix.whole.get(low[offsets[k] : offsets[k + 1]].tobytes(), ())]
+                    k = np.array([a for a, _ in same], np.int64)
+                    nothing = np.zeros(len(k), np.int64)
+                    stop = where[offsets[k + 1] - 1] + 1 - at[k] if len(k) else nothing
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(k + i)), pa.array([b for _, b in same], pa.int64()), pa.array(where[offsets[k]] - at[k] if len(k) else nothing), pa.array(stop), pa.array(nothing)], names=["id", "item_id", "start", "stop", "edits"])
                 text, window, first = candidates(ix, low, offsets)
                 edits, begin, end = align(ix, low, offsets, text, window, first)
                 ok = (edits <= ix.budget[window]) & (end > begin)
@@ -210,19 +225,20 @@ def benchmark_matches(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = 8, rate: float = 0.08, window_chars: int = 100, least_chars: int = 20, block_chars: int = 8_000_000, passage_chars: int = 60
 ) -> DataFrame:
     """Pairs (id_col, item_id) whose texts share a window within the edit budget:
-    the region's start and end in code points of the document, the fewest edits
-    of a window, and the number of windows found.
+    start and end, in code points of the document, of the longest region that the
+    windows found cover, the number of such regions and of windows, and the fewest edits of a window.
 
     Items are cut into windows of `window_chars` letters and digits, half
     overlapping; an item of up to a quarter more is one window. Items of at least
     `passage_chars` are cut into windows of two thirds of it as well, so that any
     passage of `passage_chars` letters and digits of an item is found wherever it
     starts and ends: it holds a whole window, with the edits that the window's
-    length allows (3 of 40). Items with fewer
-    than `least_chars` letters and digits, and null texts or ids of items, are
-    not searched for. A null or empty document matches nothing; repeated rows
+    length allows (3 of 40). An item with fewer than `least_chars` letters and digits is
+    found in documents that hold the same letters and digits and no others. Null texts or ids of
+    items are not searched for. A null or empty document matches nothing; repeated rows
     with one id are one document. The benchmark goes to the tasks in blocks of
-    at most `block_chars` characters, one pass of the documents for each block.
+    about `block_chars` characters, one pass of the documents for each block; where
+    there are several, the hits of each are written before the next block is indexed.
     """
     bench = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -233,8 +249,21 @@ def benchmark_matches(
         part = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k)
         ix = build_index([(r.item_id, r.text) for r in part.toLocalIterator()], q, rate, window_chars, least_chars, passage_chars)
         rows = texts.mapInArrow(_matcher(ix), "id long, item_id long, start long, stop long, edits long")
+        rows = rows if count == 1 else Staged(rows, "hits").df
         found = rows if found is None else found.unionByName(rows)
-    return found.groupBy("id", "item_id").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("edits").alias("edits"), F.countDistinct("start").alias("windows")).withColumnRenamed("id", id_col)
+    spans = F.array_sort(F.collect_set(F.struct("start", "stop")))
+    pairs = found.groupBy("id", "item_id").agg(spans.alias("spans"), F.min("edits").alias("edits"))
+
+    def join(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"))))
+        return F.when((F.size(acc) > 0) & (last["stop"] >= x["start"]), grown).otherwise(F.concat(acc, F.array(x)))
+
+    regions = F.aggregate("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>"), join)
+    best = F.array_max(F.transform("regions", lambda r: F.struct((r["stop"] - r["start"]).alias("size"), (-r["start"]).alias("start"))))
+    return pairs.withColumn("regions", regions).withColumn("best", best).select(
+        F.col("id").alias(id_col), "item_id", (-F.col("best.start")).alias("start"), (F.col("best.size") - F.col("best.start")).alias("stop"), "edits", F.size("spans").cast("long").alias("windows"), F.size("regions").cast("long").alias("regions")
+    )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000, **params) -> DataFrame:

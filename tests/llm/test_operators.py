@@ -530,17 +530,51 @@ def test_decontamination(spark, docs, odd, empty):
     low = lambda t: "".join(c for c in (t or "").lower() if c.isalnum())
     ix = decontaminate.build_index(list(items.items()), 8, 0.08, 100, 20)
     texts = {i: low(t) for i, t in rows}
-    for i in list(texts)[:12] + list(planted)[:6]:
-        for w in range(0, len(ix.lens), 3):
-            p = "".join(map(chr, ix.points[ix.starts[w] : ix.starts[w] + ix.lens[w]]))
-            if edit_distance_within(p, texts[i]) <= ix.budget[w]:
+    windows = ["".join(map(chr, ix.points[a : a + n])) for a, n in zip(ix.starts, ix.lens, strict=True)]
+    near = lambda i, w: edit_distance_within(windows[w], texts[i]) <= ix.budget[w]
+    for i in list(texts)[:4] + list(planted)[:4]:
+        for w in range(0, len(ix.lens), 7):
+            if near(i, w):
                 assert (i, int(ix.item[w])) in got
+    assert got == {(r.doc_id, r.item_id) for r in decontaminate.benchmark_matches(df, bench, block_chars=9000).collect()}
+    for r in decontaminate.benchmark_matches(df, bench).collect():
+        part = low(dict(rows)[r.doc_id][r.start : r.stop])  # and nothing else: the region holds a window within its budget
+        assert any(edit_distance_within(windows[w], part) <= ix.budget[w] for w in np.flatnonzero(ix.item == r.item_id))
+        if planted.get(r.doc_id) == r.item_id:
+            region, item = low(dict(rows)[r.doc_id][r.start : r.stop]), low(items[r.item_id])
+            assert edit_distance_within(item, region) <= 0.08 * len(item) + 1 and len(region) <= len(item) + 6 and r.regions == 1
     clean = decontaminate.drop_contaminated(df, bench)
     assert not {r.doc_id for r in clean.collect()} & set(planted)
     assert decontaminate.benchmark_matches(empty, bench).count() == 0 and decontaminate.benchmark_matches(odd, bench.limit(0)).count() == 0
     assert decontaminate.drop_contaminated(odd, bench, block_chars=3000).count() == len(ODD)
 
 
+def test_decontamination_equals_brute_force(spark):
+    """All pairs of small texts and items, each window slid over each text, both ways."""
+    random.seed(9)
+    make = lambda n: "".join(random.choice("abcd ") for _ in range(n))
+    items = [(k, make(n)) for k, n in enumerate([30, 45, 70, 130, 160, 25, 9, 3])] + [(8, "Ja, no!"), (9, None), (10, "...")]
+    rows = []
+    for k in range(60):
+        text = list((items[k % 8][1] or "")[random.randrange(12) :])
+        for _ in range(random.randrange(14)):
+            if text:
+                text[random.randrange(len(text))] = random.choice(["a", "b", "c", "x", ""])
+        rows.append((k, make(random.randrange(60)) + "".join(text) + make(random.randrange(60))))
+    rows += [(100, "ja no"), (101, "ja no."), (102, "ja nob"), (103, items[7][1]), (104, items[6][1] + "!"), (105, items[6][1] + "a"), (106, None), (107, "")]
+    low = lambda t: "".join(c for c in (t or "").lower() if c.isalnum())
+    ix = decontaminate.build_index(items, 8, 0.08, 100, 20)
+    windows = ["".join(map(chr, ix.points[a : a + n])) for a, n in zip(ix.starts, ix.lens, strict=True)]
+    want = {(i, int(ix.item[w])) for i, t in rows for w in range(len(windows)) if edit_distance_within(windows[w], low(t)) <= ix.budget[w]}
+    want |= {(i, k) for i, t in rows for k, x in items if 0 < len(low(x)) < 20 and low(x) == low(t)}
+    assert {i for i, _ in want} >= {100, 101, 103, 104} and 102 not in {i for i, _ in want}
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.benchmark_matches(df, bench).collect()} == want
+    points = [np.array([ord(c) for c in low(t)], np.uint32) for _, t in rows]
+    flat, off = np.concatenate(points), np.concatenate(([0], np.cumsum([len(p) for p in points])))
+    assert [x.tolist() for x in decontaminate.candidates(ix, flat, off, 50)] == [x.tolist() for x in decontaminate.candidates(ix, flat, off)]
+
+
 def test_decontamination_finds_any_passage(spark):
     random.seed(5)
     make = lambda n: "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
