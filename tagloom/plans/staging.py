@@ -9,30 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where it is unset (local runs
-    and tests, one machine), a temporary folder is made and set."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a temporary
+    folder is made and set on a local master; a cluster must name one that all machines share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tagloom-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
 
 
+_written: dict[str, Staged] = {}
+
+
 class Staged:
     """A DataFrame written once as Parquet and read again: short lineage, no
     recomputation, and safe against lost executors. `drop()` removes the files
-    once nothing reads them any more."""
+    once nothing reads them any more; `drop_staged()` those of all that is left."""
 
     def __init__(self, df: DataFrame, name: str = "t") -> None:
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/tagloom-{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        _written[self.path] = self
 
     def drop(self) -> None:
+        _written.pop(self.path, None)
+        if self.spark.sparkContext._jsc is None:  # stopped
+            return
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -40,3 +49,12 @@ class Staged:
 
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
     return Staged(df, name).df
+
+
+def drop_staged() -> int:
+    """Removes the folders of all tables staged so far and returns how many. For
+    between jobs of a long session, when the results that read them are written."""
+    left = list(_written.values())
+    for s in left:
+        s.drop()
+    return len(left)

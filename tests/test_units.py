@@ -1,5 +1,6 @@
 """Small cases worked out by hand."""
 
+import os
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,12 @@ def test_upsert_rules(spark):
     assert got == {1: ("a", 1, "o"), 2: ("b", 1, "o")}
     got = {r.k: (r.name, r.tries, r.made) for r in B.upsert(old, new, ["k"], {"name": "coalesce", "tries": "increment", "made": "keep"}, ["seq"]).collect()}
     assert got == {1: ("a", 1, "o"), 2: ("late", 2, "o"), 3: ("c", 1, "n")}
+
+
+def test_drop_staged(spark):
+    from tagloom.plans import staging
+
+    staging.drop_staged()
+    one, two = staging.Staged(spark.range(3)), staging.Staged(spark.range(4))
+    two.drop()
+    assert os.path.isdir(one.path) and staging.drop_staged() == 1 and not os.path.isdir(one.path)
