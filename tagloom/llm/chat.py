@@ -61,26 +61,33 @@ def expand(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "t
     )
 
 
-def read_back(examples: DataFrame) -> DataFrame:
-    """`examples` with `turns`, an array of (role, text) read from `formatted`, and
-    `trained`, the text under the loss mask as it was before escaping."""
-    parts = F.split(F.col("formatted"), r"<\|im_end\|>")
+def read_turns(formatted: Column) -> Column:
+    """Array of (role, text) of a formatted example."""
+    parts = F.split(formatted, r"<\|im_end\|>")
     inner = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.substring(p, len(OPEN) + 1, 2**31 - 1))
-    turns = F.transform(inner, lambda p: F.struct(unescape(F.substring_index(p, MIDDLE, 1)).alias("role"), unescape(F.substring_index(p, MIDDLE, -1)).alias("text")))
-    trained = unescape(F.substring(F.col("formatted"), (F.col("loss_start") + 1).cast("int"), F.col("loss_chars").cast("int")))
-    return examples.withColumns({"turns": turns, "trained": trained})
+    return F.transform(inner, lambda p: F.struct(unescape(F.substring_index(p, MIDDLE, 1)).alias("role"), unescape(F.substring_index(p, MIDDLE, -1)).alias("text")))
+
+
+def read_trained() -> Column:
+    """The text under an example's loss mask as it was before escaping."""
+    return unescape(F.substring(F.col("formatted"), (F.col("loss_start") + 1).cast("int"), F.col("loss_chars").cast("int")))
+
+
+def read_back(examples: DataFrame) -> DataFrame:
+    """`examples` with `turns` and `trained` read from `formatted`."""
+    return examples.withColumns({"turns": read_turns(F.col("formatted")), "trained": read_trained()})
 
 
 def digests(examples: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """One row per conversation, all read back from the examples: turns and their
     digest from the longest example, trained text and its digest from all."""
-    back = read_back(examples).select(id_col, "example", "turns", "trained", F.length("formatted").cast("long").alias("chars"))
+    back = examples.select(id_col, "example", "formatted", read_trained().alias("trained"), F.length("formatted").cast("long").alias("chars"))
     per = back.groupBy(id_col).agg(
-        F.max_by("turns", "example").alias("turns"),
+        F.max_by("formatted", "example").alias("longest"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example", "trained"))), lambda x: x["trained"]), "").alias("trained"),
         F.sum("chars").alias("formatted_chars"),
         F.count(F.lit(1)).alias("n_examples"),
-    )
+    ).withColumn("turns", read_turns(F.col("longest")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return per.select(
         id_col,

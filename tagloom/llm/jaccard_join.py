@@ -385,13 +385,12 @@ def near_duplicates(
     star = listed.df.join(leaders, "key").where("id <> leader").select("id", "leader").distinct()
     family = connected_components(star, "id", "leader").select(F.col("node").alias("id"), F.col("component").alias("family"))
     member = family.join(classes.df.select(F.col("rep").alias("id"), "n", "copies"), "id")
-    big = member.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
-    member = Staged(member.join(big, "family"), "members")
-    dealt = _deal(member.df, leaf_rows, num, den)
-    dealt_rows = Staged(dealt, "dealt")
+    member = Staged(member, "members")
+    dealt_rows = Staged(_deal(member.df, leaf_rows, num, den, broadcast_rows), "dealt")
     live = dealt_rows.df.groupBy("id").agg(F.max("copies").alias("copies"), F.collect_list(F.struct("task", "side")).alias("tasks"))
-    count = member.df.count()
-    sets = texts.join(keyed_or_broadcast(live, count, broadcast_rows), "id").mapInArrow(
+    count, times = member.df.count(), dealt_rows.df.count()
+    # A row of `live` names all tasks of its set; about 64 bytes each.
+    sets = texts.join(keyed_or_broadcast(live, count, broadcast_rows, 32 + 64 * -(-times // max(1, count))), "id").mapInArrow(
         _with_sets(shingle_words), T.StructType([T.StructField("id", T.LongType()), *[f for f in live.schema.fields if f.name in ("copies", "tasks")], T.StructField("shingles", T.BinaryType())])
     )
     dealt_sets = sets.select(F.explode("tasks").alias("t"), "id", "copies", "shingles").select("t.task", "t.side", "id", "copies", "shingles")
@@ -408,13 +407,17 @@ def near_duplicates(
     return out
 
 
-def _deal(member: DataFrame, leaf_rows: int, num: int, den: int) -> DataFrame:
+def _deal(member: DataFrame, leaf_rows: int, num: int, den: int, broadcast_rows: int) -> DataFrame:
     """(id, copies, task, side): a family of at most `leaf_rows` sets is one task. A
     larger one is cut into runs of set sizes, and two runs meet in a task if
     their size ranges can hold a link."""
-    small = member.where(F.col("members") <= leaf_rows).select("id", "copies", F.concat_ws(":", F.col("family")).alias("task"), F.lit(0).alias("side"))
-    # A run is named by the quantile of its set sizes within the family, refined by a hash where one size is frequent.
-    large = member.where(F.col("members") > leaf_rows).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(4096)))
+    big = Staged(member.groupBy("family").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > leaf_rows).select("family"), "families").df
+    few = keyed_or_broadcast(big, big.count(), broadcast_rows)  # at most one family for `leaf_rows` sets
+    small = member.join(few, "family", "left_anti").select("id", "copies", F.concat_ws(":", F.col("family")).alias("task"), F.lit(0).alias("side"))
+    # A cell is a set size of a family, split by a hash where it is frequent, so that a family has about as many cells as sizes and runs.
+    large = member.join(few, "family", "left_semi")
+    sizes = large.groupBy("family", "n").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).alias("salts"))
+    large = large.join(sizes, ["family", "n"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).drop("salts")
     order = W.partitionBy("family").orderBy("n", "salt")
     cells = large.groupBy("family", "n", "salt").agg(F.count(F.lit(1)).alias("c")).withColumn("run", F.floor((F.sum("c").over(order) - 1) / leaf_rows))
     large = large.join(cells.select("family", "n", "salt", "run"), ["family", "n", "salt"])

@@ -24,8 +24,8 @@ from tagloom.llm.textblocks import blocks, utf8
 from tagloom.llm.tokens import vocabulary, word_ids
 from tagloom.plans.staging import Staged
 
-#: Parts of each length's pieces that are ranked apart.
-SALTS = 256
+#: Pieces of a length that one task ranks, about.
+RANKED_ROWS = 500_000
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -143,12 +143,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     path = path or vocabulary("word_bpe_49k.json")
     texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = Staged(texts.mapInArrow(_pieces(path, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces").df
-    # Ranks must not change between the two reads of the pieces: they follow all columns.
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
+    # Ranks must not change between the two reads of the pieces, nor from run to run: they follow all columns.
+    salts = max(1, -(-pieces.count() // RANKED_ROWS))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("c"))
     held = Staged(counts, "counts").df
     histogram = {r.length: r.c for r in held.groupBy("length").agg(F.sum("c").alias("c")).collect()}  # at most `capacity` rows
-    offsets = held.withColumn("before", F.sum("c").over(W.partitionBy("length").orderBy("salt")) - F.col("c")).drop("c")  # SALTS rows for a length
+    offsets = held.withColumn("before", F.sum("c").over(W.partitionBy("length").orderBy("salt")) - F.col("c")).drop("c")  # a row for each salt
     own = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
     ranked = salted.withColumn("own", own).join(offsets, ["length", "salt"]).withColumn("rank", (F.col("before") + F.col("own") - 1).cast("long"))
     out = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(plan(histogram, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

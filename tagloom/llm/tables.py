@@ -18,10 +18,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def keyed_or_broadcast(small: DataFrame, rows: int, limit: int) -> DataFrame:
-    """`small` with a broadcast hint while its counted rows are within `limit`;
-    beyond it Spark joins by shuffling."""
-    return F.broadcast(small) if rows <= limit else small
+def keyed_or_broadcast(small: DataFrame, rows: int, limit: int, row_bytes: int = 16, limit_bytes: int = 64 << 20) -> DataFrame:
+    """`small` with a broadcast hint while its counted rows are within `limit` and,
+    at `row_bytes` each, within `limit_bytes`; beyond it Spark joins by shuffling."""
+    return F.broadcast(small) if rows <= limit and rows * row_bytes <= limit_bytes else small
 
 
 def bounded_batches(docs: DataFrame, most: str = "8m") -> DataFrame:
