@@ -1,9 +1,10 @@
 """Scoring items against candidate items by weighted tags, genres, axes and signals.
 
-Everything is set-at-a-time: preferences and tags are long tables, one equi-join
-on (item, context, tag) gives all overlaps of all candidate pairs, and the rest
-is arithmetic on one row per pair. Sums of products are decimals, so that they
-do not depend on the order of rows.
+Preferences and offers are long tables that are packed to one row per item: for
+each context the hashed tags and their weights. A pair of items is then one row
+that joins two packed rows, and its overlaps are arithmetic on that row; no row
+for each shared tag is ever shuffled. Sums of products are whole numbers of
+units of 10^-12, so that they do not depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -150,21 +151,68 @@ def contribution() -> Column:
     return F.when(F.col("kind") == "vector", F.least("pref", "w")).when(F.col("kind") == "identity", F.col("pref") * F.least(F.col("w"), F.lit(1.6))).otherwise(F.col("pref"))
 
 
-def pair_overlaps(pairs: DataFrame, prefs: DataFrame, offers: DataFrame) -> DataFrame:
-    """One row per pair: the overlap of every context, and counts of matched roles."""
-    joined = tag_overlap_join(pairs, prefs, offers).withColumn("c", contribution())
-    contexts = [*VECTOR, *SIGNALS]
-    sums = [exact_sum(F.when(F.col("context") == c, F.col("c"))).alias(f"o_{c}") for c in contexts]
-    return joined.groupBy("source", "candidate").agg(
-        *sums, exact_sum(F.when(F.col("kind") == "genre", F.col("c"))).alias("o_genre"), F.sum("is_signature_tag").alias("m_signature"), F.sum("is_niche_anchors").alias("m_anchor"), F.sum("is_micro_tags").alias("m_micro")
-    )
-
-
-def preference_totals(prefs: DataFrame) -> DataFrame:
-    """One row per base: sums of preferences by kind, and which vector contexts have any."""
-    kinds = [exact_sum(F.when(F.col("kind") == k, F.col("pref"))).alias(f"t_{k}") for k in ("genre", *SIGNALS)]
+#: Weights are counted in this many units to one.
+UNITS = 10**12
+_TAGS = [*VECTOR, *SIGNALS, "genre"]
+
+
+def _units(c: Column) -> Column:
+    return (c.cast("decimal(20,12)") * F.lit(UNITS)).cast("long")
+
+
+def _key() -> Column:
+    return F.xxhash64("context", "tag")
+
+
+def _packed_as(kind: str) -> Column:
+    """The rows of one packed column: a context, or the genres of all branches."""
+    return F.col("context").startswith("genre.") if kind == "genre" else F.col("context") == kind
+
+
+def packed_preferences(prefs: DataFrame) -> DataFrame:
+    """One row per base: source; for each context the hashed tags t_ and preferences p_ in units;
+    sums of preferences t_ by kind as doubles; and which vector contexts have any (a_)."""
+    lists = [F.collect_list(F.when(_packed_as(k), F.struct(_key().alias("t"), _units(F.col("pref")).alias("p")))).alias(f"l_{k}") for k in _TAGS]
+    exact = F.collect_list(F.when(_packed_as("identity"), F.struct(_key().alias("t"), F.col("pref").alias("p")))).alias("l_exact")
+    totals = [exact_sum(F.when(F.col("kind") == k, F.col("pref"))).alias(f"t_{k}") for k in ("genre", *SIGNALS)]
     active = [F.max(F.when(F.col("context") == c, 1).otherwise(0)).alias(f"a_{c}") for c in VECTOR]
-    return prefs.groupBy(F.col("item_id").alias("source")).agg(*kinds, *active)
+    packed = prefs.groupBy(F.col("item_id").alias("source")).agg(*lists, exact, *totals, *active)
+    part = lambda c, f: F.transform(c, lambda x: x[f])
+    columns = [x for k in _TAGS if k != "identity" for x in (part(f"l_{k}", "t").alias(f"tags_{k}"), part(f"l_{k}", "p").alias(f"prefs_{k}"))]
+    return packed.select("source", *columns, part("l_exact", "t").alias("tags_identity"), part("l_exact", "p").alias("prefs_identity"), *(f"t_{k}" for k in ("genre", *SIGNALS)), *(f"a_{c}" for c in VECTOR))
+
+
+def packed_offers(offers: DataFrame) -> DataFrame:
+    """One row per candidate: for each context a map of hashed tags to weights, and
+    the hashed identity tags in each role. An item offers a tag of a context once."""
+    weight = lambda k: F.col("w") if k == "identity" else F.when(_packed_as(k), _units(F.col("w"))) if k in VECTOR else F.lit(2**62)
+    maps = [F.map_from_entries(F.collect_set(F.when(_packed_as(k), F.struct(_key().alias("t"), weight(k).alias("w"))))).alias(f"offer_{k}") for k in _TAGS]
+    roles = [F.collect_set(F.when(F.col(f"is_{r}") > 0, _key())).alias(f"role_{r}") for r in ("signature_tag", "niche_anchors", "micro_tags")]
+    return offers.groupBy(F.col("item_id").alias("candidate")).agg(*maps, *roles)
+
+
+def overlap(context: str) -> Column:
+    """Summed contributions of the tags that a pair's packed rows share."""
+    held = lambda t, none: F.coalesce(F.col(f"offer_{context}")[t], none)
+    if context == "identity":
+        units = lambda t, p: F.floor(p * F.least(held(t, F.lit(0.0)), F.lit(1.6)) * UNITS + 0.5)
+    else:
+        units = lambda t, p: F.least(p, held(t, F.lit(0).cast("long")))
+    each = F.zip_with(f"tags_{context}", f"prefs_{context}", units)
+    return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x).cast("double") / float(UNITS)
+
+
+def with_overlaps(rows: DataFrame) -> DataFrame:
+    """Rows of pairs joined with both packed rows, with the overlap o_ of every context and
+    counts m_ of matched roles in the place of the packed columns."""
+    shared = {"m_signature": "signature_tag", "m_anchor": "niche_anchors", "m_micro": "micro_tags"}
+    rows = rows.withColumns({f"o_{k}": overlap(k) for k in _TAGS} | {m: F.coalesce(F.size(F.array_intersect("tags_identity", f"role_{r}")), F.lit(0)) for m, r in shared.items()})
+    return rows.drop(*(f"{x}_{k}" for x in ("tags", "prefs", "offer") for k in _TAGS), *(f"role_{r}" for r in shared.values()))
+
+
+def pair_overlaps(pairs: DataFrame, prefs: DataFrame, offers: DataFrame) -> DataFrame:
+    """One row per pair whose source has preferences: overlaps, matched roles and the source's totals."""
+    return with_overlaps(pairs.join(packed_preferences(prefs), "source").join(packed_offers(offers), "candidate", "left"))
 
 
 def vector_score(mult: dict[str, float]) -> Column:
@@ -245,12 +293,13 @@ def recommend_batch(candidates: DataFrame, item_tags: DataFrame, list_tags: Data
     mult, comp = weights.multipliers(), weights.components()
     prefs = build_preferences(item_tags, list_tags, weights)
     pairs = candidates.where("source <> candidate").select("source", "candidate").distinct()
-    over = pair_overlaps(pairs, prefs, candidate_weights(item_tags, list_tags))
     genres = genre_arrays(list_tags)
     per_item = axes.join(genres, "item_id", "left").join(signals, "item_id", "left").join(names, "item_id", "left")
     base = per_item.select(F.col("item_id").alias("source"), *(F.col(x).alias(f"b_{x}") for x in [*AXES, "primary", "sub", "sub_sub"]))
     offer = per_item.select(F.col("item_id").alias("candidate"), "name", *AXES, *(F.col(x).alias(f"c_{x}") for x in ("primary", "sub", "sub_sub")), confidence_multiplier().alias("confidence"))
-    rows = pairs.join(over, ["source", "candidate"], "left").join(preference_totals(prefs), "source").join(base, "source").join(offer, "candidate")
+    sources = base.join(packed_preferences(prefs), "source")
+    offered = offer.join(packed_offers(candidate_weights(item_tags, list_tags)), "candidate", "left")
+    rows = with_overlaps(pairs.join(sources, "source").join(offered, "candidate"))
     rows = rows.withColumns({"vector_score": vector_score(mult), "genre_score": genre_score(), "identity": identity_score(), "setting": _ratio("o_setting", "t_setting"), "music_score": _ratio("o_music", "t_music")})
     rows = rows.withColumn("appeal_score", appeal_score(appeal_distance(), F.col("identity"), F.col("setting"), mult))
     total = sum((F.col(f"{c}_score") * comp[c] for c in COMPONENTS), F.lit(0.0)) * penalty() * F.col("confidence")
@@ -261,12 +310,16 @@ def recommend_batch(candidates: DataFrame, item_tags: DataFrame, list_tags: Data
 
 def matched_tags_topk(pairs: DataFrame, prefs: DataFrame, offers: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """(source, candidate, context, tags): shared tags by preference, at most 3 of a
-    vector context, 4 of identity and setting, 3 of music."""
+    vector context, 4 of identity and setting, 3 of music. A source's tags are put in order
+    once; a pair keeps the first ones that its candidate has."""
     limits = limits or dict.fromkeys(VECTOR, 3) | {"identity": 4, "setting": 4, "music": 3}
-    rows = tag_overlap_join(pairs, prefs, offers).where(F.col("kind") != "genre").withColumn("pref", F.round("pref", 9))
-    w = W.partitionBy("source", "candidate", "context").orderBy(F.desc("pref"), "tag")
-    best = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 4).where(F.col("k") <= short_map(F.col("context"), limits, 0))
-    return best.groupBy("source", "candidate", "context").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "tag"))), lambda x: x["tag"]).alias("tags"))
+    ordered = lambda c: F.array_sort(F.collect_list(F.when(F.col("context") == c, F.struct((-F.round("pref", 9)).alias("below"), "tag", _key().alias("t")))))
+    wanted = prefs.where(F.col("kind") != "genre").groupBy(F.col("item_id").alias("source")).agg(*(ordered(c).alias(f"want_{c}") for c in limits))
+    held = offers.where(F.col("context").isin(list(limits))).groupBy(F.col("item_id").alias("candidate")).agg(F.map_from_entries(F.collect_set(F.struct(_key().alias("t"), F.lit(True).alias("has")))).alias("held"))
+    rows = pairs.select("source", "candidate").join(wanted, "source").join(held, "candidate")
+    tags = lambda c, n: F.slice(F.transform(F.filter(f"want_{c}", lambda x: F.col("held")[x["t"]]), lambda x: x["tag"]), 1, n)
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("context"), tags(c, n).alias("tags")) for c, n in limits.items())))
+    return rows.select("source", "candidate", each.alias("x")).select("source", "candidate", "x.context", "x.tags").where(F.size("tags") > 0)
 
 
 def percent_breakdown(df: DataFrame, keys: list[str], value: str, out: str = "percent") -> DataFrame:

@@ -38,6 +38,10 @@ class Staged:
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         _written[self.path] = self
 
+    @property
+    def kept(self) -> bool:
+        return self.path in _written
+
     def drop(self) -> None:
         _written.pop(self.path, None)
         if self.spark.sparkContext._jsc is None:  # stopped

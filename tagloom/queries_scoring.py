@@ -75,9 +75,7 @@ def normalize_weights(spark, sf):
 
 def _over(spark, sf):
     tags, lists = I.item_tags(spark, sf), I.list_tags(spark, sf)
-    prefs = R.build_preferences(tags, lists)
-    pairs = I.candidates(spark, sf)
-    return pairs.select("source", "candidate").join(R.pair_overlaps(pairs, prefs, R.candidate_weights(tags, lists)), ["source", "candidate"], "left").join(R.preference_totals(prefs), "source")
+    return R.pair_overlaps(I.candidates(spark, sf).select("source", "candidate"), R.build_preferences(tags, lists), R.candidate_weights(tags, lists))
 
 
 @query("tag_overlap_join", f"WITH {_PREFS}, {_OFFERS}, {_JOINED} SELECT source, candidate, context, round(CAST(sum(CAST(c AS DECIMAL(20,12))) AS DOUBLE), 6) AS overlap FROM joined WHERE kind = 'vector' GROUP BY source, candidate, context")

@@ -55,7 +55,7 @@ UNION ALL SELECT p_partkey, 'genre.sub_sub', p_name, 1 FROM part""",
     "fx_candidates": """SELECT source, candidate, rnk FROM (SELECT a.p_partkey AS source, b.p_partkey AS candidate,
  CAST(row_number() OVER (PARTITION BY a.p_partkey ORDER BY s.recommendations_total DESC, b.p_partkey) AS INT) AS rnk
  FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey
- JOIN fx_signals s ON b.p_partkey = s.item_id) x WHERE rnk <= 50""",
+ JOIN fx_signals s ON b.p_partkey = s.item_id) x WHERE rnk <= 300""",
 }
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tagloom.plans.staging import Staged
+
 VECTOR_CONTEXTS = ["mechanics", "narrative", "vibe", "structure_loop"]
 
 
@@ -22,11 +24,41 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select(F.col("l_partkey").alias("item_id"), "o_orderpriority", "c_mktsegment", F.concat("l_returnflag", "l_linestatus").alias("flag"), "n_name", "r_name", "l_quantity", "l_returnflag", "s_suppkey")
 
 
-def item_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, context, tag, weight): tag counts in four contexts, from one pass of the facts."""
-    kinds = {"mechanics": "o_orderpriority", "narrative": "c_mktsegment", "vibe": "flag", "structure_loop": "n_name"}
+_held: dict[tuple, Staged] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple:
+    """Size and time of the tables' files: what is staged from them is made again when they change."""
+    jvm, out = spark.sparkContext._jvm, []
+    for n in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{n}.parquet")
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((found.getLen(), found.getModificationTime()))
+    return tuple(out)
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table derived from the facts, staged once for a session and folder: each use would join the facts again."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir, FACTS))
+    if key not in _held or not _held[key].kept:
+        _held[key] = Staged(make(), name)
+    return _held[key].df
+
+
+#: The tables that `lines` reads.
+FACTS = ["lineitem", "orders", "customer", "supplier", "nation", "region"]
+
+
+def tag_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, context, tag, weight): tag counts in four contexts and of regions, from one pass of the facts."""
+    kinds = {"mechanics": "o_orderpriority", "narrative": "c_mktsegment", "vibe": "flag", "structure_loop": "n_name", "region": "r_name"}
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("context"), F.col(v).alias("tag")) for c, v in kinds.items())))
-    return lines(spark, sf_dir).select("item_id", each.alias("t")).groupBy("item_id", "t.context", "t.tag").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    made = lambda: lines(spark, sf_dir).select("item_id", each.alias("t")).groupBy("item_id", "t.context", "t.tag").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return once(spark, sf_dir, "tag_facts", made)
+
+
+def item_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_facts(spark, sf_dir).where("context <> 'region'")
 
 
 def ranked_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +77,8 @@ def list_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((F.col("context") == "narrative") & (F.col("pos") == 2), "music_secondary")
     )
     own = ranked.withColumn("field", rule).where("field is not null").select("item_id", "field", "tag", "pos")
-    regions = lines(spark, sf_dir).groupBy("item_id", "r_name").count()
-    setting = regions.withColumn("pos", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("count"), "r_name"))).where("pos <= 2").select("item_id", F.lit("setting_tags").alias("field"), F.col("r_name").alias("tag"), "pos")
+    regions = tag_facts(spark, sf_dir).where("context = 'region'")
+    setting = regions.withColumn("pos", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("weight"), "tag"))).where("pos <= 2").select("item_id", F.lit("setting_tags").alias("field"), "tag", "pos")
     part = read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("item_id"),
         F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(c).alias("tag")) for f, c in [("signature_tag", "p_name"), ("genre.primary", "p_type"), ("genre.sub", "p_brand"), ("genre.sub_sub", "p_name")]))).alias("x"),
@@ -57,7 +89,7 @@ def list_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     returned = (F.col("l_returnflag") == "R").cast("int")
     n = F.count(F.lit(1))
-    return lines(spark, sf_dir).groupBy("item_id").agg(
+    made = lambda: lines(spark, sf_dir).groupBy("item_id").agg(
         F.sum(1 - returned).cast("int").alias("positive"),
         F.sum(returned).cast("int").alias("negative"),
         F.when(F.col("item_id") % 10 == 0, 0).otherwise(n).cast("int").alias("review_count"),
@@ -65,6 +97,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("l_quantity").cast("long").alias("owners"),
         F.countDistinct("s_suppkey").cast("int").alias("ccu"),
     )
+    return once(spark, sf_dir, "signals", made)
 
 
 def axes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +142,7 @@ def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_sql(spark, sf_dir, "fx_payload")
 
 
-def candidates(spark: SparkSession, sf_dir: str, most: int = 50) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, most: int = 300) -> DataFrame:
     """(source, candidate, rnk): items of the same type and brand, the most recommended first."""
     part = read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
     a = part.withColumnRenamed("p_partkey", "source")
