@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import struct
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tagloom.functions.text import norm_search_text, trigrams
-from tagloom.functions.weights import cosine, let
+from tagloom.functions.weights import let
+from tagloom.operators.blocks import block_topk, rows_for
+from tagloom.plans.staging import Staged
 
 # The prescreen's predicates: fields of the base (or its boosts), field of the candidate, weight.
 PREDICATES = [
@@ -19,46 +24,99 @@ PREDICATES = [
 ]
 
 
-def knn_join(emb: DataFrame, k: int, id_col: str = "item_id", vector: str = "embedding", blocks: int = 4, queries: DataFrame | None = None) -> DataFrame:
-    """(source, candidate, score, rnk): the exact `k` nearest rows by cosine, self left out.
-
-    Both sides are dealt to `blocks` parts by id hash and every pair of parts meets
-    once; a part's queries keep their best `k` of each part before the final merge.
-    """
-    deal = lambda d, name: d.select(F.col(id_col).alias(name), F.col(vector).alias(f"_v_{name}"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias(f"_b_{name}"))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    a = deal(queries if queries is not None else emb, "source").withColumn("_b_candidate", each)
-    pairs = a.join(deal(emb, "candidate"), "_b_candidate").where("source <> candidate")
-    scored = pairs.select("source", "candidate", "_b_candidate", F.round(cosine(F.col("_v_source"), F.col("_v_candidate")), 9).alias("score"))
-    w = W.partitionBy("source", "_b_candidate").orderBy(F.desc("score"), "candidate")
-    best = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r", "_b_candidate")
-    return best.withColumn("rnk", F.row_number().over(W.partitionBy("source").orderBy(F.desc("score"), "candidate"))).where(F.col("rnk") <= k)
-
-
-def prescreen_candidates(list_tags: DataFrame, popularity: DataFrame, k: int = 450, boosts: DataFrame | None = None, hot: int | None = None) -> DataFrame:
+def _vectors(table: pa.Table) -> bytes:
+    """Unit vectors of a block; zero stays zero."""
+    flat = table.column("v").combine_chunks()
+    x = np.asarray(flat.flatten(), np.float64).reshape(len(table), -1)
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return struct.pack("<q", x.shape[1]) + np.divide(x, size, out=np.zeros_like(x), where=size > 0).tobytes()
+
+
+def _cosines(a: bytes, b: bytes, rows: slice) -> np.ndarray:
+    x, y = (np.frombuffer(d, np.float64, offset=8).reshape(-1, struct.unpack_from("<q", d)[0]) for d in (a, b))
+    return np.round(x[rows] @ y.T, 9)
+
+
+def knn_join(emb: DataFrame, k: int, id_col: str = "item_id", vector: str = "embedding", queries: DataFrame | None = None, by: str | None = None, block_rows: int | None = None) -> DataFrame:
+    """(source, candidate, score, rnk): the exact `k` nearest rows by cosine, self left out; with
+    `by`, among the rows of equal `by`. Ties go to the smaller id. Rows without a vector are left out.
+
+    Blocks of vectors meet as matrix products (`block_topk`): for n rows, n / block_rows
+    times the table is shuffled, and k rows for a source and task after that."""
+    held = emb.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull())
+    wide = held.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
+    if not wide[0]:
+        return emb.sparkSession.createDataFrame([], "source long, candidate long, score double, rnk int")
+    block_rows = block_rows or rows_for(emb.sparkSession.sparkContext.defaultParallelism, wide[0], max(256, min(8192, (4 << 20) // (8 * max(1, wide[1])))))
+    group = (F.col(by) if by else F.lit(0)).cast("string")
+    cut = lambda d: d.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull() & group.isNotNull()).select(group.alias("g"), F.col(id_col).cast("long").alias("id"), F.lit(0.0).alias("tie"), F.col(vector).alias("v"))
+    rows = cut(emb)
+    return block_topk(rows if queries is None else cut(queries), rows, k, _vectors, _cosines, block_rows).drop("g")
+
+
+def _tag_lists(table: pa.Table) -> bytes:
+    """For each predicate the (tag, row) of a block's asks and gives, in order of tag."""
+    out = []
+    for column in ("asks", "gives"):
+        x = table.column(column).combine_chunks()
+        row = np.repeat(np.arange(len(table)), np.diff(np.asarray(x.offsets)))
+        flat = x.flatten()
+        p, tag = np.asarray(flat.field("p"), np.int64), np.asarray(flat.field("t"), np.int64)
+        order = np.lexsort((row, tag, p))
+        out += [p[order], tag[order], row[order]]
+    return struct.pack("<3q", len(table), len(out[0]), len(out[3])) + b"".join(x.astype(np.int64).tobytes() for x in out)
+
+
+def _tag_hits(a: bytes, b: bytes, rows: slice) -> np.ndarray:
+    """Summed weights of the predicates that a source and a candidate satisfy by any tag."""
+    _, asked, _ = struct.unpack_from("<3q", a)
+    m, skip, given = struct.unpack_from("<3q", b)
+    p1, t1, r1 = np.frombuffer(a, np.int64, 3 * asked, 24).reshape(3, -1)
+    p2, t2, r2 = np.frombuffer(b, np.int64, 3 * given, 24 + 24 * skip).reshape(3, -1)
+    n = rows.stop - rows.start
+    total = np.zeros((n, m), np.float64)
+    for p, (_, _, weight) in enumerate(PREDICATES):
+        one, two = slice(*np.searchsorted(p1, [p, p + 1])), slice(*np.searchsorted(p2, [p, p + 1]))
+        inside = (r1[one] >= rows.start) & (r1[one] < rows.stop)
+        ta, ra, tb, rb = t1[one][inside], r1[one][inside] - rows.start, t2[two], r2[two]
+        lo, hi = np.searchsorted(tb, ta, "left"), np.searchsorted(tb, ta, "right")
+        hit = np.zeros((n, m), bool)
+        rare = hi - lo <= 64
+        count = (hi - lo)[rare]
+        which = np.repeat(np.flatnonzero(rare), count)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + lo[which]
+        hit[ra[which], rb[at]] = True
+        for tag in np.unique(ta[~rare]):  # tags of many candidates: rows by columns at once
+            k = np.searchsorted(tb, [tag, tag + 1])
+            hit[np.ix_(np.unique(ra[ta == tag]), np.unique(rb[k[0] : k[1]]))] = True
+        total += np.where(hit, weight, 0)
+    total[total == 0] = -np.inf
+    return total
+
+
+def prescreen_candidates(list_tags: DataFrame, popularity: DataFrame, k: int = 450, boosts: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
     """(source, candidate, hits, rnk): candidates with a tag in common, by the summed
     weight of the predicates that hold, each counted once; ties by popularity and id.
 
     boosts(item_id, field, tag), with fields boost:identity, boost:setting and
-    boost:music, add to the bases' tags. One equi-join on (predicate, tag). With
-    `hot`, tags held by more items than that find no candidates; without it none is
-    left out.
+    boost:music, add to the bases' tags. Tags may be held by a large share of
+    all items, so pairs are not joined by tag: blocks of items meet (`block_topk`),
+    and only the best `k` of a source and task are shuffled.
     """
-    rules = [(f, i, w) for i, (fields, _, w) in enumerate(PREDICATES) for f in fields]
-    asks = F.array(*(F.struct(F.lit(f).alias("f"), F.lit(i).alias("p"), F.lit(w).alias("w")) for f, i, w in rules))
-    gives = F.array(*(F.struct(F.lit(to).alias("f"), F.lit(i).alias("p")) for i, (_, to, _) in enumerate(PREDICATES)))
+    rules = [(f, i) for i, (fields, _, _) in enumerate(PREDICATES) for f in fields]
     tags = list_tags.select("item_id", "field", F.trim("tag").alias("tag")).where("tag <> ''").distinct()
-    offers = tags
-    if hot is not None:
-        common = tags.groupBy("field", "tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
-        offers = tags.join(common.select("field", "tag"), ["field", "tag"], "left_anti")
     asked = tags if boosts is None else tags.unionByName(boosts.select("item_id", "field", F.trim("tag").alias("tag")))
-    base = asked.withColumn("r", F.explode(asks)).where("r.f = field").select(F.col("item_id").alias("source"), "r.p", "r.w", "tag").distinct()
-    offer = offers.withColumn("r", F.explode(gives)).where("r.f = field").select(F.col("item_id").alias("candidate"), "r.p", "tag")
-    once = base.join(offer, ["p", "tag"]).where("source <> candidate").groupBy("source", "candidate", "p").agg(F.max("w").alias("w"))
-    hits = once.groupBy("source", "candidate").agg(F.sum("w").alias("hits")).join(popularity, "candidate", "left")
-    order = W.partitionBy("source").orderBy(F.desc("hits"), F.desc_nulls_last("popularity"), "candidate")
-    return hits.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k).drop("popularity")
+    array = lambda pairs: F.filter(F.array(*(F.when(F.col("field") == f, F.struct(F.lit(i).cast("long").alias("p"), F.xxhash64("tag").alias("t"))) for f, i in pairs)), lambda x: x.isNotNull())
+    asks = asked.groupBy(F.col("item_id").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list(array(rules)))).alias("asks"))
+    gives = tags.groupBy(F.col("item_id").alias("id")).agg(F.flatten(F.collect_list(array([(to, i) for i, (_, to, _) in enumerate(PREDICATES)]))).alias("gives"))
+    none = F.array().cast("array<struct<p:bigint,t:bigint>>")
+    rank = popularity.groupBy(F.col("candidate").alias("id")).agg(F.max("popularity").cast("double").alias("popularity"))
+    items = asks.join(gives, "id", "full").join(rank, "id", "left")
+    tie = F.coalesce(-F.col("popularity"), F.lit(float("inf")))
+    rows = items.select(F.lit("").alias("g"), F.col("id").cast("long").alias("id"), tie.alias("tie"), F.coalesce("asks", none).alias("asks"), F.coalesce("gives", none).alias("gives"))
+    rows = Staged(rows, "prescreen").df
+    block_rows = block_rows or rows_for(list_tags.sparkSession.sparkContext.defaultParallelism, rows.count(), 4096)
+    return block_topk(rows, rows, k, _tag_lists, _tag_hits, block_rows).select("source", "candidate", F.col("score").cast("long").alias("hits"), "rnk")
 
 
 def retrieve_candidates(precomputed: DataFrame, prescreened: DataFrame, nearest: DataFrame, limit: int = 300) -> DataFrame:

@@ -269,9 +269,9 @@ def knn_join(spark, sf):
     return S.knn_join(e, 10, queries=e.where("item_id % 20 = 0")).select("source", "candidate", "rnk")
 
 
-@query("precompute_candidates", f"SELECT source, candidate, CAST(rnk AS INT) AS rnk FROM (SELECT a.vec_id AS source, b.vec_id AS candidate, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rnk FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) x WHERE rnk <= 30")
+@query("precompute_candidates", f"SELECT source, candidate, CAST(rnk AS INT) AS rnk FROM (SELECT a.vec_id AS source, b.vec_id AS candidate, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rnk FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) x WHERE rnk <= 300")
 def precompute_candidates(spark, sf):
-    return S.knn_join(_emb(spark, sf), 30).select("source", "candidate", "rnk")
+    return S.knn_join(_emb(spark, sf), 300).select("source", "candidate", "rnk")
 
 
 _LABELS = "lab AS (SELECT label, k, avg(v) AS v FROM (SELECT label, unnest(embedding::DOUBLE[]) AS v, unnest(range(len(embedding))) AS k FROM embeddings) x GROUP BY label, k), labels_ AS (SELECT label, list(round(v, 6) ORDER BY k) AS e FROM lab GROUP BY label)"
@@ -307,9 +307,9 @@ def _prescreened(spark, sf, k):
     return S.prescreen_candidates(I.list_tags(spark, sf), pop, k)
 
 
-@query("prescreen_candidates", f"WITH {_pre()} SELECT source, candidate, hits, CAST(rnk AS INT) AS rnk FROM ranked WHERE rnk <= 50")
+@query("prescreen_candidates", f"WITH {_pre()} SELECT source, candidate, hits, CAST(rnk AS INT) AS rnk FROM ranked WHERE rnk <= 450")
 def prescreen_candidates(spark, sf):
-    return _prescreened(spark, sf, 50)
+    return _prescreened(spark, sf, 450)
 
 
 @query("prescreen_topk", f"WITH {_pre()} SELECT source, candidate FROM ranked WHERE rnk <= 5")
@@ -320,8 +320,8 @@ def prescreen_topk(spark, sf):
 @query("retrieve_candidates")
 def retrieve_candidates(spark, sf):
     pre = I.candidates(spark, sf).where("source % 2 = 0")
-    near = S.knn_join(_emb(spark, sf), 10)
-    return S.retrieve_candidates(pre, _prescreened(spark, sf, 20), near, 20)
+    near = S.knn_join(_emb(spark, sf), 300)
+    return S.retrieve_candidates(pre, _prescreened(spark, sf, 450), near, 300)
 
 
 def _search_inputs(spark, sf):
@@ -438,9 +438,9 @@ def bucket_topk(spark, sf):
     return C.bucket_topk(P.document_frequency(t, "canon_tag"), 10)
 
 
-@query("neighbors_topk", f"SELECT source, candidate, CAST(rnk AS INT) AS rnk FROM (SELECT a.vec_id AS source, b.vec_id AS candidate, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rnk FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label WHERE a.label = 1) x WHERE rnk <= 5")
+@query("neighbors_topk", f"SELECT source, candidate, CAST(rnk AS INT) AS rnk FROM (SELECT a.vec_id AS source, b.vec_id AS candidate, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rnk FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label) x WHERE rnk <= 5")
 def neighbors_topk(spark, sf):
-    return S.knn_join(_emb(spark, sf).where("label = 1"), 5).select("source", "candidate", "rnk")
+    return S.knn_join(_emb(spark, sf), 5, by="label").select("source", "candidate", "rnk")
 
 
 @query("row_bucket_tokens")
