@@ -81,9 +81,10 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both)).otherwise(0.0)
 
 
-def trigrams(c) -> Column:
-    """Distinct trigrams of the words of a text, each padded by two spaces before and one after."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+def trigrams(c, apart: str = "[^a-z0-9]+") -> Column:
+    """Distinct trigrams of the words of a text, each padded by two spaces before
+    and one after. `apart` is what stands between words."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(_col(c)), apart, " "), " "), lambda w: w != "")
     grams = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))
 

@@ -129,45 +129,86 @@ def retrieve_candidates(precomputed: DataFrame, prescreened: DataFrame, nearest:
     return precomputed.where(F.col("rnk") <= limit).select("source", "candidate", F.col("rnk").cast("int").alias("rnk")).unionByName(merged)
 
 
+def search_keys(q: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, key): the fewest keys by which a query meets every name that can match it.
+
+    A name that has all words of the query, or is similar to it by 0.3, shares 0.3 of
+    the query's trigrams at least, so that it shares one of any 0.7 of them (and one more): the
+    rarest in the names are taken. A name that contains the query shares the
+    trigrams inside its words, of which the rarest is taken, or a word of
+    one or two letters where it has no longer one."""
+    df = names.select(F.explode("tn").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    pieces = lambda n: F.array_distinct(F.flatten(F.transform(F.filter(F.split("nq", " "), lambda w: F.length(w) >= n), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n))))))
+    longest = F.array_max(F.transform(F.split("nq", " "), F.length))
+    # Of trigrams that no name has, none can be shared; they still count among the 0.7.
+    grams = q.select("query_id", F.size("tq").alias("all"), pieces(3).alias("inner"), F.explode("tq").alias("key")).join(df, "key", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("df", "key"))
+    inside = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.array_contains("inner", F.col("key"))), "df", "key")) == 1
+    some = grams.withColumn("rank", rank).withColumn("inside", inside & F.array_contains("inner", F.col("key")))
+    kept = some.where((F.col("rank") <= F.col("all") - F.ceil(F.col("all") * 0.3 - 1e-9) + 1) | F.col("inside")).select("query_id", "key")
+    short = q.where(longest < 3).select("query_id", F.element_at(F.when(longest == 2, pieces(2)).otherwise(pieces(1)), 1).alias("key"))
+    return kept.unionByName(short).distinct()
+
+
 def search_items(queries: DataFrame, items: DataFrame, k: int = 8) -> DataFrame:
     """The best `k` items of every query(query_id, q) by name.
 
-    items(item_id, name, recommendations_total). A query and a name meet by a
-    shared trigram, or by a shared character where the query has at most two; the
-    five match rules are then judged on the pair. Blank queries find nothing.
+    items(item_id, name, recommendations_total). A query and a distinct name meet by the
+    query's rarest keys (`search_keys`); the five match rules are then judged on the
+    pair. Points for similarity: 100 of the normalised and 40 of the lower-case strings. Blank queries find nothing.
     """
-    q = queries.withColumn("nq", norm_search_text("q")).where("nq <> ''").withColumn("tq", trigrams("nq"))
-    n = items.withColumn("nn", norm_search_text("name")).withColumn("tn", trigrams("nn"))
-    grams = lambda c: F.array_distinct(F.flatten(F.transform(F.split(c, " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2))))))
-    singles = F.array_distinct(F.filter(F.split("nn", ""), lambda c: c != ""))
-    names = n.withColumn("key", F.explode(F.array_union(F.array_union("tn", grams(F.col("nn"))), singles)))
-    # A name that contains the query holds each of its inner pieces; similar ones share a trigram.
-    keys = q.withColumn("key", F.explode(F.when(F.length("nq") == 1, F.array("nq")).otherwise(F.array_union("tq", grams(F.col("nq"))))))
-    pairs = keys.select("query_id", "key").join(names.select("item_id", "key"), "key").select("query_id", "item_id").distinct()
-    x = pairs.join(q, "query_id").join(n, "item_id")
-    both = F.size(F.array_intersect("tq", "tn"))
-    sim = both / (F.size("tq") + F.size("tn") - both)
+    word = r"[^\p{L}\p{N}]+"
+    q = queries.select("query_id", "q").distinct().withColumn("nq", norm_search_text("q")).where("nq <> ''").withColumns({"tq": trigrams("nq"), "rq": trigrams("q", word)})
+    names = items.select("name").where("name is not null").distinct().withColumn("nn", norm_search_text("name")).withColumns({"tn": trigrams("nn"), "rn": trigrams("name", word)})
+    # Words of one and two letters are looked up by short queries alone.
+    short = F.array_distinct(F.flatten(F.transform(F.array(F.lit(1), F.lit(2)), lambda n: F.flatten(F.transform(F.split("nn", " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, n)))))))
+    keyed = names.select("name", F.explode(F.array_union("tn", short)).alias("key"))
+    pairs = search_keys(q, names).join(keyed, "key").select("query_id", "name").distinct()
+    x = pairs.join(q, "query_id").join(names, "name")
+    alike = lambda a, b: F.when(F.size(a) + F.size(b) > 0, F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b) - F.size(F.array_intersect(a, b)))).otherwise(0.0)
     exact, starts, holds = F.col("nn") == F.col("nq"), F.col("nn").startswith(F.col("nq")), F.contains("nn", "nq")
     terms = F.size(F.array_except(F.split("nq", " "), F.split("nn", " "))) == 0
-    x = x.withColumn("sim", sim).where(exact | starts | holds | terms | (F.col("sim") >= 0.3))
+    x = x.withColumn("sim", alike("tq", "tn")).where(exact | starts | holds | terms | (F.col("sim") >= 0.3))
     points = lambda c, v: F.when(c, v).otherwise(0.0)
+    named = points(exact, 10000.0) + points(starts, 500.0) + points(holds, 250.0) + points(terms, 120.0) + F.col("sim") * 100.0 + alike("rq", "rn") * 40.0 - F.length("name") * 0.03
+    x = x.select("query_id", "name", named.alias("named")).join(items.select("item_id", "name", "recommendations_total"), "name")
     rec = F.greatest(F.coalesce("recommendations_total", F.lit(0)), F.lit(0))
-    score = points(exact, 10000.0) + points(starts, 500.0) + points(holds, 250.0) + points(terms, 120.0) + F.col("sim") * 140.0 - F.length("name") * 0.03 + F.log1p(rec.cast("double")) * 3.0
-    x = x.withColumn("score", F.round(score, 6)).where("score > 0")
+    x = x.withColumn("score", F.round(F.col("named") + F.log1p(rec.cast("double")) * 3.0, 6)).where("score > 0")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.length("name"), F.lower("name"), "item_id")
     return x.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k).select("query_id", "item_id", "name", "score", "rnk")
 
 
 def resolve_titles(titles: DataFrame, items: DataFrame, most: int = 10) -> DataFrame:
     """(title, item_id, name, place): items that share a word with a title, exact
-    names first, then names and titles that contain each other, then by name."""
-    key = lambda c: F.explode(F.array_distinct(F.split(norm_search_text(c), " ")))
-    t = titles.withColumn("k", key("title"))
-    i = items.select("item_id", "name", key("name").alias("k"))
-    pairs = t.join(i, "k").where("k <> ''").select("title", "item_id", "name").distinct()
+    names first, then names and titles that contain each other, then by name.
+
+    Common words are not joined with each other. Of the names that only share a word, the first
+    `most` of each word are enough, since their order is the same for all
+    titles. Where one string contains another, all words of the inner one but its first and last stand in
+    the outer one, so that the two meet by its rarest one; an inner string of two words or less is
+    looked up by each."""
+    first = items.where("name is not null").withColumn("k", F.row_number().over(W.partitionBy("name").orderBy("item_id"))).where(F.col("k") <= most).select("item_id", "name")
+    split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    t = titles.select("title").distinct().withColumn("text", norm_search_text("title")).where("text <> ''").withColumn("words", split("text"))
+    n = first.select("name").distinct().withColumn("text", norm_search_text("name")).where("text <> ''").withColumn("words", split("text"))
+    word = F.explode(F.array_distinct("words")).alias("word")
+    in_titles, in_names = t.select("title", word), n.select("name", word)
+    df = in_names.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+
+    def keys(d: DataFrame, name: str) -> DataFrame:
+        inner = d.where(F.size("words") > 2).select(name, F.explode(F.slice("words", 2, F.size("words") - 2)).alias("word")).join(df, "word", "left")
+        rare = inner.withColumn("k", F.row_number().over(W.partitionBy(name).orderBy(F.coalesce("df", F.lit(0)), "word"))).where("k = 1").select(name, "word")
+        return rare.unionByName(d.where(F.size("words") <= 2).select(name, word))
+
+    held = in_titles.join(keys(n, "name"), "word").select("title", "name").union(keys(t, "title").join(in_names, "word").select("title", "name")).distinct()
+    both = held.join(t.select("title", F.col("text").alias("a"), F.col("words").alias("aw")), "title").join(n.select("name", F.col("text").alias("b"), F.col("words").alias("bw")), "name")
+    inside = both.where((F.contains("a", "b") | F.contains("b", "a")) & F.arrays_overlap("aw", "bw")).select("title", "name")
+    lead = in_names.withColumn("k", F.row_number().over(W.partitionBy("word").orderBy("name"))).where(F.col("k") <= most)
+    share = in_titles.join(lead, "word").select("title", "name")
+    pairs = inside.union(share).distinct().join(first, "name")
     a, b = norm_search_text("title"), norm_search_text("name")
     order = W.partitionBy("title").orderBy(F.desc(a == b), F.desc(F.contains(a, b) | F.contains(b, a)), "name", "item_id")
-    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("title", "item_id", "name", "place")
 
 
 def zero_shot_join(images: DataFrame, labels: DataFrame, item: str = "item_id") -> DataFrame:

@@ -332,10 +332,11 @@ def _search_inputs(spark, sf):
 
 
 _TRI = "list_distinct(flatten(list_transform(list_filter(string_split({0}, ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_RAW = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
 _SEARCH = f"""q AS (SELECT DISTINCT q, trim(regexp_replace(lower(q), '[^a-z0-9]+', ' ', 'g')) AS nq FROM (SELECT split_part(p_name, ' ', 1) AS q FROM part UNION ALL SELECT upper(replace(p_name, ' ', '-')) FROM part) x),
-n AS (SELECT DISTINCT p_name AS name, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS nn FROM part), qt AS (SELECT *, {_TRI.format('nq')} AS tq FROM q), nt AS (SELECT *, {_TRI.format('nn')} AS tn FROM n),
-s AS (SELECT q, name, nq, nn, len(list_intersect(tq, tn)) / CAST(len(tq) + len(tn) - len(list_intersect(tq, tn)) AS DOUBLE) AS sim, list_has_all(string_split(nn, ' '), string_split(nq, ' ')) AS terms FROM qt, nt),
-m AS (SELECT q AS query_id, p_partkey AS item_id, s.name, round(CASE WHEN nn = nq THEN 10000.0e0 ELSE 0 END + CASE WHEN starts_with(nn, nq) THEN 500.0e0 ELSE 0 END + CASE WHEN contains(nn, nq) THEN 250.0e0 ELSE 0 END + CASE WHEN terms THEN 120.0e0 ELSE 0 END + sim * 140.0e0 - length(s.name) * 0.03e0 + ln(1 + recommendations_total) * 3.0e0, 6) AS score
+n AS (SELECT DISTINCT p_name AS name, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS nn FROM part), qt AS (SELECT *, {_TRI.format('nq')} AS tq, {_TRI.format(_RAW.format('q'))} AS rq FROM q), nt AS (SELECT *, {_TRI.format('nn')} AS tn, {_TRI.format(_RAW.format('name'))} AS rn FROM n),
+s AS (SELECT q, name, nq, nn, len(list_intersect(tq, tn)) / CAST(len(tq) + len(tn) - len(list_intersect(tq, tn)) AS DOUBLE) AS sim, len(list_intersect(rq, rn)) / CAST(len(rq) + len(rn) - len(list_intersect(rq, rn)) AS DOUBLE) AS raw, list_has_all(string_split(nn, ' '), string_split(nq, ' ')) AS terms FROM qt, nt),
+m AS (SELECT q AS query_id, p_partkey AS item_id, s.name, round(CASE WHEN nn = nq THEN 10000.0e0 ELSE 0 END + CASE WHEN starts_with(nn, nq) THEN 500.0e0 ELSE 0 END + CASE WHEN contains(nn, nq) THEN 250.0e0 ELSE 0 END + CASE WHEN terms THEN 120.0e0 ELSE 0 END + sim * 100.0e0 + raw * 40.0e0 - length(s.name) * 0.03e0 + ln(1 + recommendations_total) * 3.0e0, 6) AS score
  FROM s JOIN part ON p_name = s.name JOIN fx_signals g ON g.item_id = p_partkey WHERE contains(nn, nq) OR terms OR sim >= 0.3),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(name), lower(name), item_id) AS rnk FROM m WHERE score > 0)"""
 

@@ -1,6 +1,9 @@
 """Small cases worked out by hand."""
 
 import os
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from tagloom.operators import reviews as W
 from tagloom.operators import tables as B
 from tagloom.operators import tags as T
 from tagloom.operators.graph import connected_components
-from tagloom.operators.retrieval import retrieve_candidates
+from tagloom.operators.retrieval import PREDICATES, knn_join, prescreen_candidates, resolve_titles, retrieve_candidates, search_items
 
 
 def one(spark, column, **values):
@@ -154,3 +157,78 @@ def test_drop_staged(spark):
     one, two = staging.Staged(spark.range(3)), staging.Staged(spark.range(4))
     two.drop()
     assert os.path.isdir(one.path) and staging.drop_staged() == 1 and not os.path.isdir(one.path)
+
+
+def test_search_meets_every_match(spark):
+    """Rare keys lose no pair that the rules take, short and accented words included."""
+    names = ["A", "Art of War", "Heart Attack", "of", "Café Noir", "Cafe Noir", "X-Com 2", "Xcom", "a b c", "Ab", "War", "warcraft III", "The Art", "Große Welt", None, "..."]
+    asked = ["a", "ar", "art", "of", "X Com", "cafe", "CAFÉ noir", "war craft", "b", "the art of war", "gro", " ", "zz", "2", "a b"]
+    items = spark.createDataFrame([(k, n, k * 7) for k, n in enumerate(names * 2)], "item_id long, name string, recommendations_total long")
+    got = {}
+    for r in search_items(spark.createDataFrame([(q, q) for q in asked], "query_id string, q string"), items, 100).collect():
+        got.setdefault(r.query_id, set()).add(r.item_id)
+
+    def norm(x):
+        return re.sub("[^a-z0-9]+", " ", x.lower()).strip()
+
+    def grams(x, apart="[^a-z0-9]+"):
+        return {f"  {w} "[i : i + 3] for w in re.sub(apart, " ", x.lower()).split() for i in range(len(w) + 1)}
+
+    for q in asked:
+        want = set()
+        for k, n in enumerate(names * 2):
+            if n is not None and norm(q):
+                a, b = grams(norm(q)), grams(norm(n))
+                sim = len(a & b) / len(a | b)
+                if norm(q) in norm(n) or set(norm(q).split()) <= set(norm(n).split()) or sim >= 0.3:
+                    want.add(k)
+        assert got.get(q, set()) == want, q
+
+
+def test_resolve_titles_keeps_the_order(spark):
+    random.seed(3)
+    make = lambda: " ".join(random.choice(["the", "of", "war", "art", "x", "lord", "rings", "dark"]) for _ in range(random.randrange(1, 6)))
+    titles, names = sorted({make() for _ in range(40)}), [make() for _ in range(120)]
+    items = spark.createDataFrame(list(enumerate(names)), "item_id long, name string")
+    got = {}
+    for r in resolve_titles(spark.createDataFrame([(t,) for t in titles], "title string"), items, 7).orderBy("title", "place").collect():
+        got.setdefault(r.title, []).append(r.item_id)
+    for t in titles:
+        mine = [(t != n, not (t in n or n in t), n, k) for k, n in enumerate(names) if set(t.split()) & set(n.split())]
+        assert got.get(t, []) == [k for *_, k in sorted(mine)[:7]]
+
+
+def test_knn_and_prescreen_in_many_blocks(spark):
+    """The same best rows whatever the blocks, with equal vectors, zero vectors and common tags."""
+    random.seed(6)
+    vec = [[random.choice([0.0, 1.0, 2.0]) for _ in range(3)] for _ in range(90)] + [None]
+    emb = spark.createDataFrame([(k, v, str(k % 2)) for k, v in enumerate(vec)], "item_id long, embedding array<float>, side string")
+
+    def cos(a, b):
+        na, nb = (sum(x * x for x in v) ** 0.5 for v in (a, b))
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / (na * nb), 9) if na and nb else 0.0
+
+    for by, step in ((None, 7), (None, 1000), ("side", 5)):
+        got = {(r.source, r.rnk): r.candidate for r in knn_join(emb, 6, by=by, block_rows=step).collect()}
+        for s in range(90):
+            best = sorted((-cos(vec[s], vec[c]), c) for c in range(90) if c != s and (by is None or c % 2 == s % 2))[:6]
+            assert [got[s, k + 1] for k in range(6)] == [c for _, c in best]
+    fields = ["signature_tag", "niche_anchors", "identity_tags", "micro_tags", "setting_tags", "genre.sub", "music_primary", "music_secondary"]
+    rows = sorted({(k, f, random.choice("abc" if f == "setting_tags" else "abcdefghijklmnop")) for k in range(80) for f in fields for _ in range(2)})
+    pop = {k: random.choice([None, 1, 2, 3]) for k in range(80)}
+    tags = spark.createDataFrame(rows, "item_id long, field string, tag string")
+    popularity = spark.createDataFrame(list(pop.items()), "candidate long, popularity long")
+    held = {}
+    for k, f, t in rows:
+        held.setdefault((k, f), set()).add(t)
+    for step in (9, 1000):
+        got = {}
+        for r in prescreen_candidates(tags, popularity, 12, block_rows=step).orderBy("source", "rnk").collect():
+            got.setdefault(r.source, []).append((r.candidate, r.hits))
+        for s in range(80):
+            scored = []
+            for c in range(80):
+                hits = sum(w for fs, to, w in PREDICATES if any(held.get((s, f), set()) & held.get((c, to), set()) for f in fs))
+                if c != s and hits:
+                    scored.append((-hits, -(pop[c] or 0) if pop[c] is not None else 1, c))
+            assert got.get(s, []) == [(c, -h) for h, _, c in sorted(scored)[:12]]
