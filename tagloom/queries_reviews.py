@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tagloom import canon_sql as Q
 from tagloom.functions.text import norm_search_text
 from tagloom.operators import canon as C
 from tagloom.operators import ingest as G
@@ -391,9 +392,14 @@ def canon_v2(spark, sf):
     return C.canon_v2(_groups(spark, sf)).select("context", "canon_tag", "pattern_type", "total_occurrences")
 
 
-@query("canon_v3")
+def _letters(text):
+    """An encoder that SQL can express: how often a text has each letter of a to z."""
+    return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda i: (F.length(text) - F.length(F.replace(text, F.chr(i), F.lit("")))).cast("double"))
+
+
+@query("canon_v3", Q.CANON_V3)
 def canon_v3(spark, sf):
-    return _flat(C.canon_v3(_groups(spark, sf)))
+    return _flat(C.canon_v3(_groups(spark, sf), _letters))
 
 
 @query("canon_v4")
@@ -401,17 +407,17 @@ def canon_v4(spark, sf):
     return _flat(C.canon_v4(C.canon_v2(_groups(spark, sf))))
 
 
-@query("canon_v5")
+@query("canon_v5", Q.CANON_V5)
 def canon_v5(spark, sf):
-    return _flat(C.canon_v5(_groups(spark, sf)))
+    return _flat(C.canon_v5(_groups(spark, sf), _letters))
 
 
-@query("canon_v6")
+@query("canon_v6", Q.CANON_V6)
 def canon_v6(spark, sf):
-    return _flat(C.canon_v6(_groups(spark, sf))).withColumns({"semantic_neighbors": F.array_join("semantic_neighbors", "|"), "family_confidence": F.round("family_confidence", 4)})
+    return _flat(C.canon_v6(_groups(spark, sf), _letters)).withColumns({"semantic_neighbors": F.array_join("semantic_neighbors", "|"), "family_confidence": F.round("family_confidence", 4)})
 
 
-_BLOCK = f"""t AS (SELECT DISTINCT context, canon_tag, unnest({tokens_sql('canon_tag')}) AS token FROM groups_), d AS (SELECT context, token FROM t GROUP BY ALL HAVING count(*) BETWEEN 2 AND 60)"""
+_BLOCK = f"""t AS (SELECT DISTINCT context, canon_tag, unnest({tokens_sql('canon_tag')}) AS token FROM groups_), d AS (SELECT context, token FROM t GROUP BY ALL HAVING count(*) BETWEEN 2 AND 200)"""
 
 
 @query("blocked_self_join", f"WITH {GROUPS}, {_BLOCK} SELECT DISTINCT x.context, least(x.canon_tag, y.canon_tag) AS a, greatest(x.canon_tag, y.canon_tag) AS b FROM t x JOIN t y ON x.context = y.context AND x.token = y.token AND x.canon_tag < y.canon_tag JOIN d ON d.context = x.context AND d.token = x.token")
@@ -419,16 +425,18 @@ def blocked_self_join(spark, sf):
     from tagloom.functions.text import tokenize_tag
 
     g = _groups(spark, sf).withColumns({"rid": F.col("canon_tag"), "toks": tokenize_tag("canon_tag")})
-    return C.blocked_self_join(g, 2, 60)
+    return C.blocked_self_join(g, 2, 200)
 
 
-@query("similarity_theta_join")
+@query("similarity_theta_join", Q.SIMILAR)
 def similarity_theta_join(spark, sf):
     from tagloom.functions.profiles import V5
     from tagloom.functions.text import normalize_tag
 
-    rows = C.embedded(C.with_tokens(_groups(spark, sf), V5, False), normalize_tag("canon_tag"))
-    return C.similar_pairs(C.blocked_self_join(rows), rows, 0.5, 0.3)
+    rows = C.embedded(C.with_tokens(_groups(spark, sf), V5, False), normalize_tag("canon_tag"), _letters)
+    names = rows.select("rid", "canon_tag")
+    found = C.similar_pairs(C.blocked_self_join(rows), rows, 0.5, 0.3).join(names.toDF("a", "one"), "a").join(names.toDF("b", "two"), "b")
+    return found.select("context", F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"), F.round("sim", 6).alias("sim"))
 
 
 @query("bucket_topk", f"WITH {GROUPS}, t AS (SELECT DISTINCT context, canon_tag, unnest({tokens_sql('canon_tag')}) AS token FROM groups_), f AS (SELECT context, token, count(*) AS df FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY df DESC, token) AS rnk FROM f) SELECT context, token, df, CAST(rnk AS INT) AS rnk FROM r WHERE rnk <= 10")
@@ -444,19 +452,20 @@ def neighbors_topk(spark, sf):
     return S.knn_join(_emb(spark, sf), 5, by="label").select("source", "candidate", "rnk")
 
 
-@query("row_bucket_tokens")
+@query("row_bucket_tokens", Q.ROW_BUCKETS)
 def row_bucket_tokens(spark, sf):
-    return C.row_bucket_tokens(_groups(spark, sf))
+    g = _groups(spark, sf)
+    return C.row_bucket_tokens(g).join(g.select("canon_tag", F.xxhash64("context", "canon_tag").alias("rid")), "rid").select("context", "canon_tag", "token")
 
 
-@query("family_anchor")
+@query("family_anchor", Q.ANCHOR_OF_PREFIX)
 def family_anchor(spark, sf):
     g = _groups(spark, sf)
-    rows = g.withColumns({"rid": F.xxhash64("context", "canon_tag"), "component": F.xxhash64(F.substring("canon_tag", 1, 3))})
+    rows = g.withColumns({"rid": F.xxhash64("context", "canon_tag"), "component": F.substring("canon_tag", 1, 3)})
     return C.component_anchor(C.token_counts(g), rows)
 
 
-@query("row_concrete_tokens")
+@query("row_concrete_tokens", Q.CONCRETE)
 def row_concrete_tokens(spark, sf):
     from tagloom.functions.profiles import V5
 
