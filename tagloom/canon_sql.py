@@ -2,7 +2,7 @@
 
 The tables hold none of the two-word phrases of the profiles, so that their
 synonyms and dropped words are all that is written here. The encoder of the
-registered queries counts the letters of a text.
+registered queries is the fourth power of the number of times a text has each letter.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def semantic_sql(c: str, profile: Profile) -> str:
 
 
 def letters_sql(text: str) -> str:
-    return f"list_transform(range(97, 123), lambda i: CAST(length({text}) - length(replace({text}, chr(CAST(i AS INT)), '')) AS DOUBLE))"
+    return f"list_transform(range(97, 123), lambda i: CAST(length({text}) - length(replace({text}, chr(CAST(i AS INT)), '')) AS DOUBLE) ** 4)"
 
 
 def text_sql(examples: int, full: bool) -> str:
