@@ -99,14 +99,14 @@ def parse_release_date(spark, sf):
     return R(spark, sf, "orders").select("o_orderkey", s(either).alias("a"), s(d("MMM yyyy")).alias("b"), s(d("yyyy")).alias("c"))
 
 
-@query("parse_languages", "SELECT n_nationkey, lower(n_name) AS key, n_name AS name, n_nationkey % 2 = 0 AS audio, false AS subtitles FROM nation UNION ALL SELECT n_nationkey, 'x & y', 'X & Y', false, true FROM nation")
+@query("parse_languages", "SELECT s_suppkey, lower(n_name) AS key, n_name AS name, s_suppkey % 2 = 0 AS audio, false AS subtitles FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT s_suppkey, 'x & y', 'X & Y', false, true FROM supplier")
 def parse_languages(spark, sf):
     from tagloom.operators.ingest import parse_languages as parse
 
-    star = F.when(F.col("n_nationkey") % 2 == 0, F.lit("<strong>*</strong>")).otherwise("")
+    star = F.when(F.col("s_suppkey") % 2 == 0, F.lit("<strong>*</strong>")).otherwise("")
     html = F.concat(F.col("n_name"), star, F.lit(", "), F.lower("n_name"), F.lit("<br>X &amp; Y (subtitles), "))
-    rows = R(spark, sf, "nation").select("n_nationkey", html.alias("html"))
-    return parse(rows, "n_nationkey", "html")
+    rows = R(spark, sf, "supplier").join(R(spark, sf, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", html.alias("html"))
+    return parse(rows, "s_suppkey", "html")
 
 
 @query("clean_suggestions", "SELECT p_partkey AS k, p_partkey AS item_id, p_name || ' & co' AS name FROM part")
@@ -157,13 +157,14 @@ def rebalance_100(spark, sf):
 
 
 def _profiles(spark, sf, defaults):
-    """A weights profile for each nation: the defaults shifted by its key; nation 0 has none."""
+    """A weights profile for each supplier: the defaults shifted by its nation's key; those of nation 0 have none."""
     keys = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.lit(float(v)).alias("v"), F.lit(i).alias("i")) for i, (k, v) in enumerate(defaults.items()))))
-    return R(spark, sf, "nation").select(F.col("n_nationkey").alias("profile_id"), keys.alias("k")).select("profile_id", "k.key", F.when(F.col("profile_id") == 0, 0.0).otherwise(F.col("k.v") + F.col("profile_id") * F.col("k.i")).alias("value"))
+    rows = R(spark, sf, "supplier").select(F.col("s_suppkey").alias("profile_id"), "s_nationkey", keys.alias("k"))
+    return rows.select("profile_id", "k.key", F.when(F.col("s_nationkey") == 0, 0.0).otherwise(F.col("k.v") + F.col("s_nationkey") * F.col("k.i")).alias("value"))
 
 
 _KV = lambda d: ", ".join(f"('{k}', {float(v)}e0, {i})" for i, (k, v) in enumerate(d.items()))
-_PROF = f"prof AS (SELECT n_nationkey AS profile_id, key, CASE WHEN n_nationkey = 0 THEN 0.0e0 ELSE v + n_nationkey * i END AS value FROM nation, (VALUES {_KV(DEFAULT_PERCENT)}) d(key, v, i))"
+_PROF = f"prof AS (SELECT s_suppkey AS profile_id, key, CASE WHEN s_nationkey = 0 THEN 0.0e0 ELSE v + s_nationkey * i END AS value FROM supplier, (VALUES {_KV(DEFAULT_PERCENT)}) d(key, v, i))"
 
 
 @query("group_multipliers", f"WITH {_PROF}, g AS (SELECT *, key IN ({', '.join(repr(c) for c in VECTOR)}) AS vec, sum(value) OVER (PARTITION BY profile_id, key IN ({', '.join(repr(c) for c in VECTOR)})) AS t FROM prof) SELECT profile_id, key, round(CASE WHEN t > 0 THEN value / t * CASE WHEN vec THEN {len(VECTOR)} ELSE {len(SIGNALS)} END ELSE CASE key {' '.join(f'WHEN {k!r} THEN {v}e0' for k, v in CONTEXTS.items())} END END, 6) AS multiplier FROM g")
@@ -174,7 +175,7 @@ def group_multipliers(spark, sf):
 _COMP = {k: v * 100 for k, v in COMPONENTS.items()}
 
 
-@query("component_weights", f"WITH prof AS (SELECT n_nationkey AS profile_id, key, CASE WHEN n_nationkey = 0 THEN 0.0e0 ELSE v + n_nationkey * i END AS value FROM nation, (VALUES {_KV(_COMP)}) d(key, v, i)), g AS (SELECT *, sum(value) OVER (PARTITION BY profile_id) AS t FROM prof) SELECT profile_id, key, round(CASE WHEN t > 0 THEN value / t ELSE CASE key {' '.join(f'WHEN {k!r} THEN {v}e0' for k, v in COMPONENTS.items())} END END, 6) AS share FROM g")
+@query("component_weights", f"WITH prof AS (SELECT s_suppkey AS profile_id, key, CASE WHEN s_nationkey = 0 THEN 0.0e0 ELSE v + s_nationkey * i END AS value FROM supplier, (VALUES {_KV(_COMP)}) d(key, v, i)), g AS (SELECT *, sum(value) OVER (PARTITION BY profile_id) AS t FROM prof) SELECT profile_id, key, round(CASE WHEN t > 0 THEN value / t ELSE CASE key {' '.join(f'WHEN {k!r} THEN {v}e0' for k, v in COMPONENTS.items())} END END, 6) AS share FROM g")
 def component_weights(spark, sf):
     return V.component_weights(_profiles(spark, sf, _COMP)).withColumn("share", F.round("share", 6))
 

@@ -217,9 +217,9 @@ def exact_tag_hits(spark, sf):
     return P.exact_tag_hits(I.list_tags(spark, sf).where("field not like 'genre%'"), _FIELDS)
 
 
-@query("frequent_tags", "SELECT source AS set_id, context, tag, count(DISTINCT item_id) AS items FROM fx_candidates JOIN fx_item_tags ON item_id = candidate WHERE rnk <= 10 GROUP BY ALL HAVING count(DISTINCT item_id) >= 3")
+@query("frequent_tags", "SELECT source AS set_id, context, tag, count(DISTINCT item_id) AS items FROM fx_candidates JOIN fx_item_tags ON item_id = candidate GROUP BY ALL HAVING count(DISTINCT item_id) >= 3")
 def frequent_tags(spark, sf):
-    sets = I.candidates(spark, sf).where("rnk <= 10").select(F.col("source").alias("set_id"), F.col("candidate").alias("item_id")).join(I.item_tags(spark, sf), "item_id")
+    sets = I.candidates(spark, sf).select(F.col("source").alias("set_id"), F.col("candidate").alias("item_id")).join(I.item_tags(spark, sf), "item_id")
     return P.frequent_tags(sets)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -16,7 +18,7 @@ from tagloom.operators import reviews as V
 from tagloom.operators import tags as T
 from tagloom.operators.graph import connected_components
 from tagloom.queries_reports import GROUPS, norm_sql, tokens_sql
-from tagloom.queries_scoring import _JOINED, _OFFERS, _PREFS
+from tagloom.queries_scoring import _CONF, _JOINED, _OFFERS, _PREFS, _SCORES
 from tagloom.queries_tables import _groups
 from tagloom.registry import query
 from tagloom.sources import inputs as I
@@ -66,12 +68,14 @@ from tagloom.registry import ORACLES  # noqa: E402
 ORACLES["template_review_flag"] = ORACLES["template_review_flag"].replace("---{{ Audio }}---", "---{ Audio }---")
 
 _CW = "list_filter(string_split(t, ' '), lambda w: w <> '')"
-_JOKE = f"(t = '' OR (len({_CW}) < 20 AND len({_CW}) - len(list_distinct(list_transform({_CW}, lambda w: lower(w)))) >= greatest(4, len({_CW}) // 3)) OR (length(regexp_replace(t, '\\P{{L}}', '', 'g')) > 0 AND length(regexp_replace(t, '\\P{{Lu}}', '', 'g')) / CAST(length(regexp_replace(t, '\\P{{L}}', '', 'g')) AS DOUBLE) > 0.55))"
+_JOKE = f"(t = '' OR (len({_CW}) < 20 AND len({_CW}) - len(list_distinct(list_transform({_CW}, lambda w: lower(w)))) >= greatest(4, len({_CW}) // 3)) OR (length(regexp_replace(t, '\\P{{L}}', '', 'g')) > 0 AND length(regexp_replace(t, '\\P{{Lu}}', '', 'g')) / CAST(length(regexp_replace(t, '\\P{{L}}', '', 'g')) AS DOUBLE) > 0.55) OR len(list_filter(range(1, greatest(len(lw) - 3, 1)), lambda i: lw[i] = lw[i + 1] AND lw[i] = lw[i + 2] AND lw[i] = lw[i + 3] AND lw[i] = lw[i + 4])) > 0)"
+#: Reviews with collapsed white space, and with their words for the rule on repeated ones.
+_WORDED = "(SELECT *, list_transform(regexp_extract_all(t, '[\\pL\\pN_]+'), lambda w: lower(w)) AS lw FROM (SELECT review_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM fx_reviews) y)"
 
 
-@query("joke_review_flag", f"SELECT review_id, {_JOKE} AS joke FROM (SELECT review_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM fx_reviews) x")
+@query("joke_review_flag", f"SELECT review_id, {_JOKE} AS joke FROM {_WORDED} x")
 def joke_review_flag(spark, sf):
-    return I.reviews(spark, sf).select("review_id", V.is_joke(F.col("text"), repeats=False).alias("joke"))
+    return I.reviews(spark, sf).select("review_id", V.is_joke(F.col("text")).alias("joke"))
 
 
 
@@ -86,9 +90,9 @@ _CON = " + ".join(f"CAST(regexp_matches(text, '(?i){_words(p)}') AS INT)" for p
 _FMT = " + ".join(f"CAST(regexp_matches(text, '(?is){_words(p)}') AS INT)" for p in V.FORMATS)
 
 
-@query("quality_multiplier", f"SELECT review_id, round(CASE WHEN {_TPL} THEN 0.0e0 ELSE greatest((1.0e0 - least(0.25e0 * ({_FMT}), 0.5e0)) * CASE WHEN {_JOKE} THEN 0.55e0 ELSE 1.0e0 END + least(0.12e0 * ({_CON}), 0.36e0), 0.1e0) END, 6) AS q FROM (SELECT review_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM fx_reviews) x")
+@query("quality_multiplier", f"SELECT review_id, round(CASE WHEN {_TPL} THEN 0.0e0 ELSE greatest((1.0e0 - least(0.25e0 * ({_FMT}), 0.5e0)) * CASE WHEN {_JOKE} THEN 0.55e0 ELSE 1.0e0 END + least(0.12e0 * ({_CON}), 0.36e0), 0.1e0) END, 6) AS q FROM {_WORDED} x")
 def quality_multiplier(spark, sf):
-    return I.reviews(spark, sf).select("review_id", F.round(V.quality_multiplier(F.col("text"), repeats=False), 6).alias("q"))
+    return I.reviews(spark, sf).select("review_id", F.round(V.quality_multiplier(F.col("text")), 6).alias("q"))
 
 
 _DEP = " + ".join(f"CAST(regexp_matches(text, '(?i){_words(p)}') AS INT)" for p in V.DEPTH)
@@ -283,13 +287,21 @@ def _label_vectors(spark, sf):
     return x.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda z: z["v"]).alias("label_embedding"))
 
 
-@query("zero_shot_join")
+_ZERO = f"""{_LABELS}, dots AS (SELECT vec_id // 10 AS item_id, vec_id AS image_id, l.label, exp(round(list_dot_product(embedding::DOUBLE[], e), 9)) AS x FROM embeddings CROSS JOIN labels_ l),
+shares AS (SELECT *, x / CAST(sum(CAST(x AS DECIMAL(30,15))) OVER (PARTITION BY image_id) AS DOUBLE) AS p FROM dots),
+zero AS (SELECT item_id, label, round(CAST(sum(CAST(p AS DECIMAL(20,12))) AS DOUBLE) / count(*) * 100, 2) AS score FROM shares GROUP BY ALL)"""
+
+
+@query("zero_shot_join", f"WITH {_ZERO} SELECT * FROM zero")
 def zero_shot_join(spark, sf):
-    images = _emb(spark, sf).select((F.col("item_id") % 50).alias("item_id"), F.col("item_id").alias("image_id"), "embedding")
+    """Ten images an item."""
+    images = _emb(spark, sf).select(F.floor(F.col("item_id") / 10).alias("item_id"), F.col("item_id").alias("image_id"), "embedding")
     return S.zero_shot_join(images, _label_vectors(spark, sf))
 
 
-@query("image_label_profile")
+@query("image_label_profile", f"""WITH {_ZERO}, best AS (SELECT * FROM (SELECT *, label % 4 AS grp, row_number() OVER (PARTITION BY item_id, label % 4 ORDER BY score DESC, label) AS k FROM zero) y WHERE k = 1),
+ranked AS (SELECT *, row_number() OVER w AS rnk, CASE WHEN lag(score) OVER w - score > 2 THEN 1 ELSE 0 END AS gap FROM best WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, label)),
+gaps AS (SELECT *, sum(gap) OVER (PARTITION BY item_id ORDER BY score DESC, label ROWS UNBOUNDED PRECEDING) AS n FROM ranked) SELECT item_id, grp AS "group", label, score, CAST(rnk AS INT) AS rnk FROM gaps WHERE n = 0 AND rnk <= 3""")
 def image_label_profile(spark, sf):
     from tagloom.operators.tables import pick_distinct
 
@@ -362,10 +374,9 @@ def resolve_titles(spark, sf):
     return S.resolve_titles(p.select(F.col("p_name").alias("title")).distinct(), items)
 
 
-@query("connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT source % 300 AS a, candidate % 300 AS b FROM fx_candidates WHERE rnk <= 2), s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), reach(n, m) AS (SELECT a, a FROM s UNION SELECT s.b, r.m FROM reach r JOIN s ON s.a = r.n WHERE r.m < s.b) SELECT n AS node, min(m) AS component FROM reach GROUP BY n""")
+@query("connected_components", """WITH RECURSIVE s AS (SELECT source AS a, candidate AS b FROM fx_candidates UNION SELECT candidate, source FROM fx_candidates), reach(n, m) AS (SELECT a, a FROM s UNION SELECT s.b, r.m FROM reach r JOIN s ON s.a = r.n WHERE r.m < s.b) SELECT n AS node, min(m) AS component FROM reach GROUP BY n""")
 def connected(spark, sf):
-    e = I.candidates(spark, sf).where("rnk <= 2").select((F.col("source") % 300).alias("src"), (F.col("candidate") % 300).alias("dst")).where("src <> dst")
-    return connected_components(e)
+    return connected_components(I.candidates(spark, sf), "source", "candidate")
 
 
 def _flat(df):
@@ -511,13 +522,10 @@ def member_group_join(spark, sf):
 
 def _matched(spark, sf):
     tags, lists = I.item_tags(spark, sf), I.list_tags(spark, sf)
-    return M.matched_tags_topk(I.candidates(spark, sf).where("rnk <= 5"), M.build_preferences(tags, lists), M.candidate_weights(tags, lists))
-
-
-_FIRST5 = _JOINED.replace("FROM fx_candidates c", "FROM (SELECT * FROM fx_candidates WHERE rnk <= 5) c")
+    return M.matched_tags_topk(I.candidates(spark, sf), M.build_preferences(tags, lists), M.candidate_weights(tags, lists))
 
 
-@query("explain_match", f"""WITH {_PREFS}, {_OFFERS}, {_FIRST5}, mt AS (SELECT *, row_number() OVER (PARTITION BY source, candidate, context ORDER BY round(pref, 9) DESC, tag) AS k FROM joined WHERE kind <> 'genre'), f AS (SELECT source, candidate, context, tag FROM mt WHERE k <= CASE WHEN context IN ('identity', 'setting') THEN 4 ELSE 3 END),
+@query("explain_match", f"""WITH {_PREFS}, {_OFFERS}, {_JOINED}, mt AS (SELECT *, row_number() OVER (PARTITION BY source, candidate, context ORDER BY round(pref, 9) DESC, tag) AS k FROM joined WHERE kind <> 'genre'), f AS (SELECT source, candidate, context, tag FROM mt WHERE k <= CASE WHEN context IN ('identity', 'setting') THEN 4 ELSE 3 END),
 b(context, tag, delta) AS (VALUES ('mechanics', '1-URGENT', 30.0e0), ('mechanics', '2-HIGH', 20.0e0), ('narrative', 'BUILDING', 25.0e0)) SELECT source, candidate, context, tag, delta FROM (SELECT f.*, delta, row_number() OVER (PARTITION BY source, candidate ORDER BY delta DESC, f.context, f.tag) AS r FROM f JOIN b ON b.context = f.context AND b.tag = f.tag) x WHERE r = 1""")
 def explain_match(spark, sf):
     from tagloom.operators.views import explain_match as explain
@@ -526,7 +534,12 @@ def explain_match(spark, sf):
     return explain(_matched(spark, sf), boosts)
 
 
-@query("reason_chips")
+@query("reason_chips", f"""WITH {_PREFS}, {_OFFERS}, {_JOINED}, mt AS (SELECT *, row_number() OVER (PARTITION BY source, candidate, context ORDER BY round(pref, 9) DESC, tag) AS k FROM joined WHERE kind <> 'genre'),
+f AS (SELECT source, candidate, context, tag, k, count(*) OVER (PARTITION BY source, candidate, context) AS n FROM mt WHERE k <= CASE WHEN context IN ('identity', 'setting') THEN 4 ELSE 3 END),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, candidate ORDER BY o) AS r FROM (SELECT source, candidate, tag, min({{'c': context, 'k': k}}) AS o FROM f WHERE n >= 3 GROUP BY ALL) y) z WHERE r <= 5),
+e AS (SELECT *, row_number() OVER (PARTITION BY source, candidate ORDER BY o) AS r FROM (SELECT source, candidate, tag, min({{'c': context, 'k': k}}) AS o FROM f GROUP BY ALL) y WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.source = y.source AND r.candidate = y.candidate AND r.tag = y.tag)),
+p AS (SELECT DISTINCT source, candidate FROM f), s AS (SELECT source, candidate, string_agg(tag, '|' ORDER BY r) AS t FROM r GROUP BY ALL), o AS (SELECT source, candidate, string_agg(tag, '|' ORDER BY r) AS t FROM e WHERE r <= 4 GROUP BY ALL)
+SELECT p.source, p.candidate, coalesce(s.t, '') AS reasons, coalesce(o.t, '') AS others FROM p LEFT JOIN s ON s.source = p.source AND s.candidate = p.candidate LEFT JOIN o ON o.source = p.source AND o.candidate = p.candidate""")
 def reason_chips(spark, sf):
     from tagloom.operators.views import reason_chips as chips
 
@@ -548,10 +561,19 @@ def item_profile(spark, sf):
     return profile(names, I.item_tags(spark, sf), I.list_tags(spark, sf)).select("item_id", "name", F.element_at("primary", 1).alias("genre"), F.size("vector_tags").cast("long").alias("n_tags"))
 
 
-@query("boost_scenarios")
+def _boosted(sql: str) -> str:
+    """The scorer's expressions over preferences in which one tag has the place of all mechanics."""
+    return re.sub(r"\b(joined|prefs|over_|tot|scored|final)\b", r"\1_b", sql)
+
+
+_BOOSTED = f"prefs_b AS (SELECT item_id, kind, context, tag, pref FROM prefs WHERE context <> 'mechanics' UNION ALL SELECT DISTINCT item_id, 'vector', 'mechanics', '1-URGENT', 20.0e0/56*4 FROM fx_item_tags), {_boosted(_JOINED)}, {_boosted(_SCORES)}"
+_FIRST = "SELECT source, candidate, CAST(rnk AS INT) AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY total_score DESC, vector_score DESC, lower(name), candidate) AS rnk FROM {}) x WHERE rnk <= 5"
+
+
+@query("boost_scenarios", f"WITH {_PREFS}, {_OFFERS}, {_JOINED}, {_CONF}, {_SCORES}, {_BOOSTED}, plain AS ({_FIRST.format('final')}), boosted AS ({_FIRST.format('final_b')}) SELECT coalesce(p.source, b.source) AS source, coalesce(p.candidate, b.candidate) AS candidate, p.rnk AS rnk_before, b.rnk AS rnk_after FROM plain p FULL JOIN boosted b ON b.source = p.source AND b.candidate = p.candidate")
 def boost_scenarios(spark, sf):
     """The first candidates with and without one tag at 100."""
-    args = (I.candidates(spark, sf).where("rnk <= 10"), I.item_tags(spark, sf), I.list_tags(spark, sf), I.axes(spark, sf), I.signals(spark, sf), R(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name")))
+    args = (I.candidates(spark, sf), I.item_tags(spark, sf), I.list_tags(spark, sf), I.axes(spark, sf), I.signals(spark, sf), R(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name")))
     plain = M.recommend_batch(*args, k=5).select("source", "candidate", F.col("rnk").alias("rnk_before"))
     boosted = M.recommend_batch(*args, weights=M.Weights(boosts={"mechanics": {"1-URGENT": 100.0}}), k=5).select("source", "candidate", F.col("rnk").alias("rnk_after"))
     return plain.join(boosted, ["source", "candidate"], "full")

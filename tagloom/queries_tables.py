@@ -135,10 +135,9 @@ def hydrate_ranked(spark, sf):
     return B.hydrate(twice, scan_items(spark, sf).where("item_id % 5 <> 0").select("item_id", "name"), group=["source"])
 
 
-@query("left_join_count", "SELECT s_suppkey, count(l_suppkey) AS n FROM supplier LEFT JOIN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 48) l ON l_suppkey = s_suppkey GROUP BY s_suppkey")
+@query("left_join_count", "SELECT c_custkey, count(o_custkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def left_join_count(spark, sf):
-    big = R(spark, sf, "lineitem").where("l_quantity > 48").select(F.col("l_suppkey").alias("s_suppkey"))
-    return B.left_join_count(R(spark, sf, "supplier"), big, "s_suppkey")
+    return B.left_join_count(R(spark, sf, "customer").select("c_custkey"), R(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("screenshots_join", "SELECT doc_id, l.quality FROM labels l JOIN documents d USING (doc_id)")
@@ -174,10 +173,11 @@ def dedupe_keep_first(spark, sf):
     return B.dedupe_keep_first(d, ["key", "n_chars"], ["doc_id"]).select("doc_id", "n_chars")
 
 
-@query("dedupe_merge_flags", "SELECT n_nationkey % 3 AS parent, lower(n_name) AS key, max(n_regionkey = 1) AS flag, arg_min(CASE WHEN k = 0 THEN n_name ELSE lower(n_name) END, k) AS name FROM nation, (VALUES (0), (1)) v(k) GROUP BY ALL")
+@query("dedupe_merge_flags", "SELECT p_brand AS parent, lower(p_name) AS key, max(p_size % 2 = 1) AS flag, upper(p_name) AS name FROM part GROUP BY ALL")
 def dedupe_merge_flags(spark, sf):
-    n = R(spark, sf, "nation").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
-    rows = n.select((F.col("n_nationkey") % 3).alias("parent"), F.when(F.col("k") == 0, F.col("n_name")).otherwise(F.lower("n_name")).alias("name"), "k", (F.col("n_regionkey") == 1).alias("flag"))
+    """Each part's name in capitals and then in small letters."""
+    n = R(spark, sf, "part").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = n.select(F.col("p_brand").alias("parent"), F.when(F.col("k") == 0, F.upper("p_name")).otherwise(F.lower("p_name")).alias("name"), "k", (F.col("p_size") % 2 == 1).alias("flag"))
     return B.dedupe_merge_flags(rows, "parent", "name", "k", ["flag"])
 
 
@@ -220,8 +220,8 @@ def diverse_topk(spark, sf):
 def round_robin_merge(spark, sf):
     c = I.candidates(spark, sf)
     w = W.partitionBy("source").orderBy("candidate")
-    second = c.withColumn("rnk", F.row_number().over(w)).where("rnk <= 10").withColumn("list_no", F.lit(2))
-    return B.interleave(c.where("rnk <= 10").withColumn("list_no", F.lit(1)).unionByName(second), 15)
+    second = c.withColumn("rnk", F.row_number().over(w)).withColumn("list_no", F.lit(2))
+    return B.interleave(c.withColumn("list_no", F.lit(1)).unionByName(second))
 
 
 @query("recent_events", "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 30")
@@ -263,10 +263,10 @@ def consume_and_append(spark, sf):
     return _targets(spark, sf).select("item_id", "name").join(u.select("item_id"), "item_id", "left_anti").unionByName(merged)
 
 
-@query("contradictory_tags", "SELECT a.item_id AS source, b.item_id AS candidate, CAST(count(*) AS INT) AS n FROM (SELECT DISTINCT source AS item_id, candidate FROM fx_candidates WHERE rnk <= 5) a JOIN fx_list_tags b ON b.item_id = a.candidate AND b.field = 'niche_anchors' WHERE NOT EXISTS (SELECT 1 FROM fx_list_tags t WHERE t.item_id = a.item_id AND t.field = 'niche_anchors' AND t.tag = b.tag) GROUP BY ALL")
+@query("contradictory_tags", "SELECT a.item_id AS source, b.item_id AS candidate, CAST(count(*) AS INT) AS n FROM (SELECT DISTINCT source AS item_id, candidate FROM fx_candidates) a JOIN fx_list_tags b ON b.item_id = a.candidate AND b.field = 'niche_anchors' WHERE NOT EXISTS (SELECT 1 FROM fx_list_tags t WHERE t.item_id = a.item_id AND t.field = 'niche_anchors' AND t.tag = b.tag) GROUP BY ALL")
 def contradictory_tags(spark, sf):
     tags = I.list_tags(spark, sf).where("field = 'niche_anchors'").groupBy("item_id").agg(F.collect_set("tag").alias("tags"))
-    pairs = I.candidates(spark, sf).where("rnk <= 5").join(tags.select(F.col("item_id").alias("source"), F.col("tags").alias("a")), "source").join(tags.select(F.col("item_id").alias("candidate"), F.col("tags").alias("b")), "candidate")
+    pairs = I.candidates(spark, sf).join(tags.select(F.col("item_id").alias("source"), F.col("tags").alias("a")), "source").join(tags.select(F.col("item_id").alias("candidate"), F.col("tags").alias("b")), "candidate")
     return pairs.select("source", "candidate", F.size(F.array_except("b", "a")).alias("n")).where("n > 0")
 
 
