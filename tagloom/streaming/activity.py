@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tagloom.plans.staging import shared_folder
 
@@ -62,22 +63,47 @@ def running_profile(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.groupBy(key).agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_ts"))
 
 
-def upsert_sink(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer that keeps one snapshot folder per batch: of the previous
-    snapshot and the batch the last row of each key by `order`, so that the order
-    in which batches come does not matter. A batch that is run again writes its own
-    folder again, so the result does not depend on retries."""
-    from tagloom.operators.tables import upsert
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id == 0:
-            last = batch.limit(0)
-        else:
-            last = spark.read.parquet(f"{path}/batch={batch_id - 1}")
-        upsert(last.limit(0), last.unionByName(batch), keys, order=order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return write
+class UpsertTable:
+    """A keyed table in folders bucket=<b>/batch=<k>: the last row of each key by
+    `order`, whatever the order in which batches come. A batch reads and writes only the
+    buckets that its keys fall into; a bucket's newest folder is its content. Of older ones the
+    last is kept, so that a batch that is run again finds what it found at first and
+    writes the same folders again."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], buckets: int = 64) -> None:
+        self.spark, self.path, self.keys, self.order, self.buckets = spark, path, keys, order, buckets
+
+    def _folders(self) -> dict[int, list[int]]:
+        """The batches of each bucket, in order."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        found: dict[int, list[int]] = {}
+        for f in root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket=*/batch=*")) or []:
+            bucket, batch = (int(x.partition("=")[2]) for x in f.getPath().toString().rstrip("/").split("/")[-2:])
+            found.setdefault(bucket, []).append(batch)
+        return {b: sorted(k) for b, k in found.items()}
+
+    def _read(self, parts: list[tuple[int, int]]) -> DataFrame:
+        return self.spark.read.option("basePath", self.path).parquet(*(f"{self.path}/bucket={b}/batch={k}" for b, k in parts)).drop("bucket", "batch")
+
+    def read(self) -> DataFrame:
+        return self._read([(b, k[-1]) for b, k in self._folders().items()])
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        from tagloom.operators.tables import upsert
+
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        touched = {r.b for r in batch.select(bucket.alias("b")).distinct().collect()}  # at most `buckets` rows
+        before = {b: [k for k in ks if k < batch_id] for b, ks in self._folders().items() if b in touched}
+        old = [(b, ks[-1]) for b, ks in before.items() if ks]
+        rows = self._read(old).unionByName(batch) if old else batch
+        merged = upsert(rows.limit(0), rows, self.keys, order=self.order).withColumns({"bucket": bucket, "batch": F.lit(batch_id)})
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(self.path)
+        jvm = self.spark.sparkContext._jvm
+        for b, ks in before.items():
+            for k in ks[:-1]:
+                gone = jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={b}/batch={k}")
+                gone.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def _fresh(spark: SparkSession, name: str) -> str:
@@ -85,14 +111,26 @@ def _fresh(spark: SparkSession, name: str) -> str:
 
 
 def as_files(events: DataFrame, files: int = 4) -> str:
-    """Writes a bounded table as several files of growing time, to be streamed."""
-    path = _fresh(events.sparkSession, "stream")
-    events.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(path)
+    """Writes a bounded table as several files, one after the other and in order of time, to be streamed."""
+    seconds = F.coalesce(F.col("ts").cast("timestamp").cast("double"), F.lit(float("inf")))  # rows without a time come last
+    cuts = events.select(seconds.alias("s")).approxQuantile("s", [k / files for k in range(1, files)], 0.01) if files > 1 else []
+    edges = [None, *cuts, None]
+    inside = [(F.lit(True) if a is None else seconds > a) & (F.lit(True) if b is None else seconds <= b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return as_batches([events.where(c) for c in inside])
+
+
+def as_batches(parts: list[DataFrame]) -> str:
+    """Writes each table as a file of one folder, in the order given, which is that of a stream of one file a trigger."""
+    path = _fresh(parts[0].sparkSession, "stream")
+    for p in parts:
+        p.coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(path)
     return path
 
 
-def run_once(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> str:
-    """Runs a stream over all that is there and gives the folder of its Parquet output."""
+def run_once(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, counts: list[str] | None = None):
+    """Runs a stream over all that is there and gives the folder of its Parquet
+    output; with `counts`, also the sums of those figures of its stateful
+    operators over all batches, such as numRowsDroppedByWatermark."""
     spark = stream.sparkSession
     out, mark = _fresh(spark, "out"), _fresh(spark, "mark")
     writer = stream.writeStream.option("checkpointLocation", mark).trigger(availableNow=True)
@@ -106,4 +144,11 @@ def run_once(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return out
+    return out if counts is None else (out, *(sum(int(op.get(c, 0)) for p in query.recentProgress for op in p["stateOperators"]) for c in counts))
+
+
+def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The newest row of each key among the batches that update mode wrote."""
+    rows = spark.read.parquet(out)
+    newest = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("batch")))
+    return rows.withColumn("_r", newest).where("_r = 1").drop("_r", "batch")

@@ -232,3 +232,26 @@ def test_knn_and_prescreen_in_many_blocks(spark):
                 if c != s and hits:
                     scored.append((-hits, -(pop[c] or 0) if pop[c] is not None else 1, c))
             assert got.get(s, []) == [(c, -h) for h, _, c in sorted(scored)[:12]]
+
+
+def test_upsert_table_touches_its_buckets_only(spark):
+    from tagloom.streaming import activity as A
+
+    table = A.UpsertTable(spark, A._fresh(spark, "upsert"), ["k"], ["ts"], buckets=8)
+    random.seed(1)
+    batches = [[(random.randrange(30), random.randrange(1000), f"{b}-{n}") for n in range(40)] for b in range(3)] + [[(5, 2000, "last")], [(5, 1, "old")]]
+    best = {}
+    for b, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "k long, ts long, v string")
+        before = table._folders() if b else {}
+        table.write(df, b)
+        if b == 1:
+            table.write(df, b)  # the same batch again
+        for k, ts, v in rows:
+            best[k] = max(best.get(k, (-1, "")), (ts, v)) if best.get(k, (-1, ""))[0] != ts else best[k]
+        after = table._folders()
+        if b >= 3:
+            assert sum(after[x] != before[x] for x in after) == 1
+        assert all(len(x) <= 2 for x in after.values())
+    got = {r.k: r.ts for r in table.read().collect()}
+    assert got == {k: ts for k, (ts, _) in best.items()} and table.read().where("k = 5").first().v == "last"
