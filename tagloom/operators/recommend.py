@@ -255,12 +255,12 @@ def genre_arrays(list_tags: DataFrame) -> DataFrame:
     return own.groupBy("item_id").agg(pick("genre.primary").alias("primary"), pick("genre.sub").alias("sub"), pick("genre.sub_sub").alias("sub_sub"))
 
 
-def penalty(base: str = "b_", own: str = "c_") -> Column:
-    """Factor from the genres of the base and the candidate."""
+def penalty(base: str = "b_", own: str = "c_", kind: str = "string") -> Column:
+    """Factor from the genres of the base and the candidate, arrays of `kind`."""
     out = F.lit(1.0)
     for branch, miss, odd, hit, top in (("primary", 0.90, 0.92, 1.08, 2), ("sub", 0.93, 0.94, 1.12, 3), ("sub_sub", 0.96, None, 1.08, 3)):
-        b = F.coalesce(F.col(f"{base}{branch}"), F.array().cast("array<string>"))
-        c = F.coalesce(F.col(f"{own}{branch}"), F.array().cast("array<string>"))
+        b = F.coalesce(F.col(f"{base}{branch}"), F.array().cast(f"array<{kind}>"))
+        c = F.coalesce(F.col(f"{own}{branch}"), F.array().cast(f"array<{kind}>"))
         apart = (F.size(b) > 0) & (F.size(F.array_intersect(b, c)) == 0)
         out = out * F.when(apart, miss).otherwise(1.0)
         if odd:
@@ -283,29 +283,36 @@ def confidence_multiplier(reviews="review_count", recommendations="recommendatio
     return F.greatest(F.lit(0.55), F.least(F.lit(1.20), out))
 
 
-def recommend_batch(candidates: DataFrame, item_tags: DataFrame, list_tags: DataFrame, axes: DataFrame, signals: DataFrame, names: DataFrame, weights: Weights | None = None, k: int = 20) -> DataFrame:
+def recommend_batch(candidates: DataFrame, item_tags: DataFrame, list_tags: DataFrame, axes: DataFrame, signals: DataFrame, names: DataFrame, weights: Weights | None = None, k: int = 20, broadcast_rows: int = 40_000) -> DataFrame:
     """The best `k` candidates of every source, with component scores.
 
     Order: score, then vector score, both descending and rounded to six digits,
-    then lower-case name and id. A source is never its own candidate.
+    then lower-case name and id. A source is never its own candidate. The packed rows
+    of items (one to two kilobytes each) go to all tasks while there are at most
+    `broadcast_rows` items; beyond it the pairs are shuffled to them.
     """
     weights = weights or Weights()
     mult, comp = weights.multipliers(), weights.components()
     prefs = build_preferences(item_tags, list_tags, weights)
     pairs = candidates.where("source <> candidate").select("source", "candidate").distinct()
-    genres = genre_arrays(list_tags)
+    branches = ("primary", "sub", "sub_sub")
+    genres = genre_arrays(list_tags).select("item_id", *(F.transform(x, lambda t: F.xxhash64(t)).alias(x) for x in branches))  # only compared
     per_item = axes.join(genres, "item_id", "left").join(signals, "item_id", "left").join(names, "item_id", "left")
-    base = per_item.select(F.col("item_id").alias("source"), *(F.col(x).alias(f"b_{x}") for x in [*AXES, "primary", "sub", "sub_sub"]))
-    offer = per_item.select(F.col("item_id").alias("candidate"), "name", *AXES, *(F.col(x).alias(f"c_{x}") for x in ("primary", "sub", "sub_sub")), confidence_multiplier().alias("confidence"))
-    sources = base.join(packed_preferences(prefs), "source")
+    base = per_item.select(F.col("item_id").alias("source"), *(F.col(x).alias(f"b_{x}") for x in [*AXES, *branches]))
+    offer = per_item.select(F.col("item_id").alias("candidate"), "name", *AXES, *(F.col(x).alias(f"c_{x}") for x in branches), confidence_multiplier().alias("confidence"))
+    # Tables of items are hashed by partition where they are not broadcast, so that the wide rows of pairs are not sorted.
+    sources = base.join(packed_preferences(prefs), "source").hint("shuffle_hash")
     offered = offer.join(packed_offers(candidate_weights(item_tags, list_tags)), "candidate", "left")
+    offered = F.broadcast(offered) if axes.count() <= broadcast_rows else offered.hint("shuffle_hash")
     rows = with_overlaps(pairs.join(sources, "source").join(offered, "candidate"))
     rows = rows.withColumns({"vector_score": vector_score(mult), "genre_score": genre_score(), "identity": identity_score(), "setting": _ratio("o_setting", "t_setting"), "music_score": _ratio("o_music", "t_music")})
     rows = rows.withColumn("appeal_score", appeal_score(appeal_distance(), F.col("identity"), F.col("setting"), mult))
-    total = sum((F.col(f"{c}_score") * comp[c] for c in COMPONENTS), F.lit(0.0)) * penalty() * F.col("confidence")
-    rows = rows.select("source", "candidate", "name", *(F.round(x, 6).alias(x) for x in ("vector_score", "genre_score", "appeal_score", "music_score", "identity", "setting", "confidence")), F.round(total, 6).alias("total_score"))
-    order = W.partitionBy("source").orderBy(F.desc("total_score"), F.desc("vector_score"), F.lower("name"), "candidate")
-    return rows.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k)
+    total = sum((F.col(f"{c}_score") * comp[c] for c in COMPONENTS), F.lit(0.0)) * penalty(kind="bigint") * F.col("confidence")
+    shown = ("vector_score", "genre_score", "appeal_score", "music_score", "identity", "setting", "confidence")
+    rows = rows.select("source", "candidate", "name", *shown, F.round(total, 6).alias("total_score"))
+    order = W.partitionBy("source").orderBy(F.desc("total_score"), F.desc(F.round("vector_score", 6)), F.lower("name"), "candidate")
+    best = rows.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k)
+    return best.select("source", "candidate", "name", *(F.round(x, 6).alias(x) for x in shown), "total_score", "rnk")
 
 
 def matched_tags_topk(pairs: DataFrame, prefs: DataFrame, offers: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:

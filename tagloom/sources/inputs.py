@@ -39,7 +39,7 @@ def _stamp(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple:
 
 def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     """A table derived from the facts, staged once for a session and folder: each use would join the facts again."""
-    key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir, FACTS))
+    key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir, [*FACTS, "part"]))
     if key not in _held or not _held[key].kept:
         _held[key] = Staged(make(), name)
     return _held[key].df
@@ -68,6 +68,10 @@ def ranked_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def list_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, field, tag, pos): the list fields of items in long form."""
+    return once(spark, sf_dir, "list_tags", lambda: _list_tags(spark, sf_dir))
+
+
+def _list_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = ranked_tags(spark, sf_dir)
     rule = (
         F.when((F.col("context") == "structure_loop") & (F.col("pos") <= 3), "niche_anchors")
