@@ -19,6 +19,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -180,7 +181,8 @@ def _names(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str,
                 continue
             follows = start
             out.append((start, start + len(p), kind, _key(kind, p)))
-    return [x for x in out if not any(a < x[1] and x[0] < b for a, b in taken)]
+    starts, ends = [a for a, _ in taken], [b for _, b in taken]  # in order and apart, so that one of them may overlap at most from the left
+    return [x for x in out if (k := bisect_left(starts, x[1])) == 0 or ends[k - 1] <= x[0]]
 
 
 def _key(kind: str, text: str) -> str:
