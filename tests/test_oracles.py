@@ -50,6 +50,7 @@ def test_query_matches_its_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    df = QUERIES[name](spark, SF)
-    assert len(df.columns) == len(set(df.columns)) and df.count() >= 0
+def test_query_without_sql_gives_the_same_rows_twice(spark, name):
+    """Their values are checked on hand-made cases in test_units."""
+    one, two = (QUERIES[name](spark, SF).toPandas() for _ in range(2))
+    assert len(one) and len(one.columns) == len(set(one.columns)) and rows(one) == rows(two)

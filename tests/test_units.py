@@ -255,3 +255,70 @@ def test_upsert_table_touches_its_buckets_only(spark):
         assert all(len(x) <= 2 for x in after.values())
     got = {r.k: r.ts for r in table.read().collect()}
     assert got == {k: ts for k, (ts, _) in best.items()} and table.read().where("k = 5").first().v == "last"
+
+
+def test_sample_reviews_composes_its_parts(spark):
+    """The whole sampling against a plain loop over the flags and scores of single reviews, each of which has SQL of its own."""
+    from tagloom.queries_reviews import lexicon
+    from tagloom.sources import inputs as I
+
+    reviews = I.reviews(spark, "/root/testdata/sf0.001")
+    extra = [(901, 90_001, "the and by from der une " * 6 + "campaign mechanics build workflow unlocked", False, 200), (902, 90_002, "zzz", False, 200), (901, 90_003, "the and by from der une " * 6 + "campaign mechanics build workflow unlocked", False, 300)]
+    reviews = reviews.unionByName(spark.createDataFrame(extra, "item_id long, review_id long, text string, refunded boolean, playtime_min long").withColumn("playtime_min", F.col("playtime_min").cast(reviews.schema["playtime_min"].dataType)))
+    kept = W.filter_with_fallback(reviews).withColumn("text", W.strip_checkbox_emoji(F.col("text")))
+    facts = {r.review_id: r for r in kept.select("item_id", "review_id", "text", W.quality_multiplier(F.col("text")).alias("q"), W.systems_depth_bonus(F.col("text")).alias("depth")).collect()}
+    said = {}
+    for r in W.lexicon_scores(kept, lexicon(spark)).collect():
+        said.setdefault(r.review_id, {})[r.category] = r.score
+    want = {}
+    for item in {r.item_id for r in reviews.select("item_id").collect()}:
+        mine = [f for f in facts.values() if f.item_id == item and f.q > 0]
+        picked = []
+        for order, category in enumerate(W.PRIORITY):
+            scored = []
+            for f in mine:
+                by = {c: s * f.q for c, s in said.get(f.review_id, {}).items()}
+                if by:
+                    score = by.get("explainability", 0.0) + 0.5 * by.get("descriptive", 0.0) + f.depth if category == "systems_depth" else by.get(category, 0.0)
+                    scored += [(-score, f.review_id)] if score > 0 else []
+            picked += [(order, k, i) for k, (_, i) in enumerate(sorted(scored)[:30][: min(5, W.CATEGORY_LIMITS.get(category, 0))])]
+        texts, rows = set(), []
+        for order, _, i in sorted(picked):
+            if facts[i].text.strip(" ") not in texts:
+                texts.add(facts[i].text.strip(" "))
+                rows.append((W.PRIORITY[order], i))
+        status = "ok" if rows else "no_insightful_reviews" if any(f.item_id == item for f in facts.values()) else "no_reviews_after_filtering"
+        want[item] = (status, rows[:14])
+    got = {}
+    for r in W.sample_reviews(reviews, lexicon(spark)).orderBy("item_id", "place").collect():
+        got.setdefault(r.item_id, (r.status, []))[1].extend([(r.category, r.review_id)] if r.place else [])
+    assert got == want and {s for s, _ in got.values()} >= {"ok", "no_reviews_after_filtering"}
+
+
+def test_groups_to_tables_and_back(spark):
+    rows = [("vibe", "dark", "Dark", 2, 9, ["dark", "Dark!"], "exact", ["dark"]), ("setting_tags", "dark", "dark", 1, 1, ["dark, wet | \"odd\""], "exact", []), ("vibe", "odd", "", 0, 0, [], "exact", ["a", "b"])]
+    groups = spark.createDataFrame(rows, "context string, canon_tag string, final_tag string, member_count int, total_occurrences int, member_tags array<string>, pattern_type string, anchor_tokens array<string>")
+    g, m = B.groups_to_tables(groups)
+    ids = {(r.context, r.canon_tag): (r.group_id, r.family) for r in g.collect()}
+    assert len({i for i, _ in ids.values()}) == 3 and {f for _, f in ids.values()} == {"vectors", "metadata"}
+    held = {}
+    for r in m.collect():
+        held.setdefault(r.group_id, []).append(r.member_tag)
+    assert {k: sorted(held.get(i, [])) for k, (i, _) in ids.items()} == {(r[0], r[1]): sorted(r[5]) for r in rows}
+
+
+def test_group_csv_round_trip(spark, tmp_path):
+    from tagloom.queries_tables import _groups
+
+    groups = _groups(spark, "/root/testdata/sf0.001")
+    B.write_groups_csv(groups, str(tmp_path / "groups"))
+    back = B.read_groups_csv(spark, str(tmp_path / "groups"))
+    columns = [c for c in groups.columns if c in back.columns]
+    assert set(columns) >= {"context", "canon_tag", "member_tags", "anchor_tokens", "member_count", "total_occurrences"}
+    assert sorted(map(str, back.select(columns).collect())) == sorted(map(str, groups.select(columns).collect()))
+
+
+def test_seeded_sample_is_a_set_of_rows_by_seed(spark):
+    df = spark.range(500).withColumnRenamed("id", "k")
+    one, two, other = ([r.k for r in B.seeded_sample(d, "k", s, 50).collect()] for d, s in ((df, 3), (df.repartition(7), 3), (df, 4)))
+    assert one == two and len(set(one)) == 50 and set(one) != set(other)
