@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from tagloom.plans.staging import Staged
 
 
-def _starred(edges: DataFrame, large: bool) -> DataFrame:
+def _starred(edges: DataFrame, large: bool, hot: int | None) -> DataFrame:
     """One star step. Large: every larger neighbour of a node is linked to the
     smallest of the node and its neighbours. Small: the same for the smaller
-    neighbours and the node itself."""
+    neighbours and the node itself. With `hot`, nodes of more neighbours than that are
+    looked up by broadcast, so that no task gets all of a node's edges."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    joined = both.join(low, "u")
+    low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    if hot is None:
+        joined = both.join(low.select("u", "m"), "u")
+    else:
+        split = both.join(F.broadcast(low.where(F.col("n") > hot).select("u", "m")), "u", "left")
+        rest = split.where("m is null").drop("m").join(low.where(F.col("n") <= hot).select("u", "m"), "u")
+        joined = split.where("m is not null").select("u", "v", "m").unionByName(rest)
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -25,27 +31,31 @@ def _starred(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50, hot_rows: int = 1_000_000) -> DataFrame:
     """(node, component) for every node of `edges`; component is the smallest
     node id that is reachable.
 
     Alternates large-star and small-star steps, each written to the shared
     folder, until the edges no longer change; only their count and checksum
     come to the driver. A self-edge makes its node a component of its own;
-    edges with a null end are left out. An empty table gives no rows.
+    edges with a null end are left out. An empty table gives no rows. A graph of
+    more than `hot_rows` edges may have nodes that are too much for one task: those
+    of over `hot_rows` neighbours, or of a thousandth of
+    all edges where that is more. They are a few thousand at most and are broadcast.
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     nodes = Staged(ends.select("u").union(ends.select("v")).distinct(), "nodes")
     now = Staged(ends.where("u <> v").distinct(), "edges")
-    mark = None
+    mark, count = None, now.df.count()
     for _ in range(max_rounds):
-        after = Staged(_starred(_starred(now.df, True), False), "edges")
+        hot = max(hot_rows, count // 1000) if count > hot_rows else None
+        after = Staged(_starred(_starred(now.df, True, hot), False, hot), "edges")
         new = after.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         now.drop()
         now = after
         if tuple(new) == mark:
             break
-        mark = tuple(new)
+        mark, count = tuple(new), new[0]
     else:
         raise RuntimeError("connected components did not settle; raise max_rounds")
     labels = now.df.groupBy("u").agg(F.min("v").alias("component"))

@@ -121,6 +121,24 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_with_hot_nodes(spark):
+    random.seed(2)
+    edges = [(0, k) for k in range(1, 60)] + [(500, k) for k in range(501, 540)] + [(59, 700), (700, 701)] + [(random.randrange(800, 900), random.randrange(800, 900)) for _ in range(60)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    for hot in (5, 10**6):
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), hot_rows=hot).collect()}
+        assert got == {x: find(x) for x in root}
+
+
 def test_interleave_keeps_the_turn(spark):
     lists = spark.createDataFrame([(1, 1, r, c) for r, c in enumerate([10, 11, 12])] + [(1, 2, r, c) for r, c in enumerate([10, 13, 14])], "source long, list_no int, rnk int, candidate long")
     got = [r.candidate for r in B.interleave(lists, 5).orderBy("rnk").collect()]
