@@ -15,11 +15,12 @@ from tagloom.operators import recommend as M
 from tagloom.operators import reports as P
 from tagloom.operators import retrieval as S
 from tagloom.operators import reviews as V
+from tagloom.operators import tables as B
 from tagloom.operators import tags as T
 from tagloom.operators.graph import connected_components
 from tagloom.queries_reports import GROUPS, norm_sql, tokens_sql
 from tagloom.queries_scoring import _CONF, _JOINED, _OFFERS, _PREFS, _SCORES
-from tagloom.queries_tables import _groups
+from tagloom.queries_tables import _fresh, _groups
 from tagloom.registry import query
 from tagloom.sources import inputs as I
 
@@ -579,6 +580,27 @@ def boost_scenarios(spark, sf):
     return plain.join(boosted, ["source", "candidate"], "full")
 
 
+_LISTS = "array_to_string(member_tags, '{0}') AS member_tags, pattern_type, array_to_string(anchor_tokens, '{0}') AS anchor_tokens"
+
+
+@query("scan_group_csv", f"WITH {Q.FULL_GROUPS} SELECT context, canon_tag, final_tag, member_count, total_occurrences, {_LISTS.format('|')} FROM groups_")
+def scan_group_csv(spark, sf):
+    B.write_groups_csv(_groups(spark, sf), path := _fresh(spark, "groups"))
+    return B.read_groups_csv(spark, path).withColumns({c: F.array_join(c, "|") for c in ("member_tags", "anchor_tokens")})
+
+
+@query("sink_group_csv", f"WITH {Q.FULL_GROUPS} SELECT context, canon_tag, final_tag, CAST(member_count AS VARCHAR) AS member_count, CAST(total_occurrences AS VARCHAR) AS total_occurrences, {_LISTS.format(' | ')}, '0.5000' AS family_confidence FROM groups_")
+def sink_group_csv(spark, sf):
+    B.write_groups_csv(_groups(spark, sf).withColumn("family_confidence", F.lit(0.5)), path := _fresh(spark, "groups"))
+    return spark.read.csv(path, header=True)
+
+
+@query("groups_to_tables", f"WITH {Q.FULL_GROUPS} SELECT 'metadata' AS family, context, canon_tag, unnest(member_tags) AS member_tag FROM groups_")
+def groups_to_tables(spark, sf):
+    g, m = B.groups_to_tables(_groups(spark, sf))
+    return g.select("group_id", "family", "context", "canon_tag").join(m, "group_id").drop("group_id")
+
+
 @query("ranked_names", "SELECT p_partkey, p_name, CAST(row_number() OVER (PARTITION BY p_type ORDER BY trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), p_partkey) AS INT) AS rnk FROM part")
 def ranked_names(spark, sf):
     w = W.partitionBy("p_type").orderBy(norm_search_text("p_name"), "p_partkey")

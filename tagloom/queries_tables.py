@@ -55,18 +55,6 @@ def _fresh(spark, name):
     return f"{shared_folder(spark)}/tagloom-{name}-{uuid.uuid4().hex}"
 
 
-@query("scan_group_csv")
-def scan_group_csv(spark, sf):
-    B.write_groups_csv(_groups(spark, sf), path := _fresh(spark, "groups"))
-    return B.read_groups_csv(spark, path).withColumns({c: F.array_join(c, "|") for c in ("member_tags", "anchor_tokens")})
-
-
-@query("sink_group_csv")
-def sink_group_csv(spark, sf):
-    B.write_groups_csv(_groups(spark, sf).withColumn("family_confidence", F.lit(0.5)), path := _fresh(spark, "groups"))
-    return spark.read.csv(path, header=True)
-
-
 @query("sink_report_json", "SELECT 'types' AS title, p_type AS label, count(*) AS value FROM part GROUP BY p_type")
 def sink_report_json(spark, sf):
     rows = R(spark, sf, "part").groupBy(F.col("p_type").alias("label")).agg(F.count(F.lit(1)).alias("value")).withColumn("title", F.lit("types"))
@@ -216,12 +204,12 @@ def diverse_topk(spark, sf):
     return B.pick_distinct(I.item_tags(spark, sf), "item_id", "context", "tag", "weight", 3, 2.0).select("item_id", "context", "tag", "weight", "rnk")
 
 
-@query("round_robin_merge")
+@query("round_robin_merge", """WITH l AS (SELECT source, candidate, candidate % 2 AS list_no, CASE candidate % 2 WHEN 0 THEN rnk ELSE candidate END AS o FROM fx_candidates),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, list_no ORDER BY o) AS k FROM l) SELECT source, candidate, CAST(rnk AS INT) AS rnk FROM (SELECT source, candidate, row_number() OVER (PARTITION BY source ORDER BY k, list_no) AS rnk FROM r) x WHERE rnk <= 300""")
 def round_robin_merge(spark, sf):
-    c = I.candidates(spark, sf)
-    w = W.partitionBy("source").orderBy("candidate")
-    second = c.withColumn("rnk", F.row_number().over(w)).withColumn("list_no", F.lit(2))
-    return B.interleave(c.withColumn("list_no", F.lit(1)).unionByName(second))
+    """Even candidates by rank and odd ones by id, in turn."""
+    c = I.candidates(spark, sf).withColumn("list_no", (F.col("candidate") % 2).cast("int"))
+    return B.interleave(c.withColumn("rnk", F.when(F.col("list_no") == 0, F.col("rnk")).otherwise(F.col("candidate").cast("int"))))
 
 
 @query("recent_events", "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 30")
@@ -298,12 +286,6 @@ def missing_sample(spark, sf):
     return d.join(b, "doc_id", "left").where("has is null").select("doc_id", F.coalesce(F.nullif("source", F.lit("")), F.lit("never_attempted")).alias("status")).orderBy("doc_id").limit(20)
 
 
-@query("groups_to_tables")
-def groups_to_tables(spark, sf):
-    g, m = B.groups_to_tables(_groups(spark, sf))
-    return g.select("group_id", "family", "context", "canon_tag").join(m, "group_id")
-
-
 @query("remap_group_ids", "SELECT p_type AS group_id, p_name AS member_tag FROM part WHERE p_size % 2 = 0")
 def remap_group_ids(spark, sf):
     p = R(spark, sf, "part")

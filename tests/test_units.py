@@ -143,6 +143,20 @@ def test_interleave_keeps_the_turn(spark):
     lists = spark.createDataFrame([(1, 1, r, c) for r, c in enumerate([10, 11, 12])] + [(1, 2, r, c) for r, c in enumerate([10, 13, 14])], "source long, list_no int, rnk int, candidate long")
     got = [r.candidate for r in B.interleave(lists, 5).orderBy("rnk").collect()]
     assert got == [10, 13, 11, 14, 12]
+    random.seed(8)
+    rows = [(s, n, r, c) for s in range(30) for n in range(3) for r, c in enumerate(random.sample(range(25), random.randrange(12)))]
+    merged = {}
+    for r in B.interleave(spark.createDataFrame(rows, "source long, list_no int, rnk int, candidate long"), 14).orderBy("source", "rnk").collect():
+        merged.setdefault(r.source, []).append(r.candidate)
+    for s in range(30):
+        queues, want = [[c for a, b, _, c in rows if (a, b) == (s, n)] for n in range(3)], []
+        while any(queues) and len(want) < 14:
+            for q in queues:
+                while q and q[0] in want:
+                    q.pop(0)
+                if q and len(want) < 14:
+                    want.append(q.pop(0))
+        assert merged.get(s, []) == want
     pre = spark.createDataFrame([(2, 5, 1)], "source long, candidate long, rnk int")
     out = retrieve_candidates(pre, lists.where("list_no = 1").select("source", "candidate", "rnk"), lists.where("list_no = 2").select("source", "candidate", "rnk"))
     assert {r.source for r in out.collect()} == {1, 2}
