@@ -45,7 +45,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     nodes = Staged(ends.select("u").union(ends.select("v")).distinct(), "nodes")
-    now = Staged(ends.where("u <> v").distinct(), "edges")
+    now = Staged(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark, count = None, now.df.count()
     for _ in range(max_rounds):
         hot = max(hot_rows, count // 1000) if count > hot_rows else None
