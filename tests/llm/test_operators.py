@@ -631,6 +631,16 @@ content-security-policy-report-only 12345678901234567890 -----------------------
 org/apache/spark/sql/functions kubernetes-deployment-v1beta2 test_media_round_trip_empty Donaudampfschifffahrtsgesellschaft ISO-8859-1/UTF-16-mapping-tables
 com/google/common/collect/ImmutableList id=1234567/page=42/size=100 2024-03-01/2024-03-31/report window-system-x86-64-linux-gnu""".split()
 
+#: More of them, written down after the models were settled.
+HELD_OUT = """github-actions-runner-deployment etc/nginx/sites-available/default android/support/v7/widget/RecyclerView AbstractSingletonProxyFactoryBean
+spring-boot-starter-data-jpa-2-7-18 com/fasterxml/jackson/databind/ObjectMapper Content-Transfer-Encoding-quoted HTTP_X_FORWARDED_FOR_ADDRESS
+libstdc++-6-dev-amd64-cross var/log/apache2/error_log-20240117 XMLHttpRequestEventTarget customer_billing_address_line_2 the_quick_brown_fox_jumps_over
+America/Argentina/Buenos_Aires kubernetes/pkg/controller/volume openSUSE-Leap-15-5-x86_64-Build491 wp-content/uploads/2023/11/header-image
+Llanfairpwllgwyngyllgogerychwyrndrobwll internationalization-of-localization docker-compose-override-example 2019-nCoV-Spike-RBD-His-Tag
+ISBN-978-3-16-148410-0-hardcover Schadenfreude_und_Weltschmerz queue/consumer/retry/attempts/max SELECT_DISTINCT_ON_EXPRESSION
+node-v18-17-1-darwin-arm64 assertThatExceptionIsThrownBy fe80--1ff-fe23-4567-890a-eth2 U+1F468+200D+1F469+200D+1F467 AAAAAAAAAAAAAAAAAAAAAAAAAAAA
+xxxxxxxxxxxxxxxxxxxxxxxx mvn-dependency-plugin-copy-dependencies""".split()
+
 
 def test_secrets_precision_and_recall(spark, docs):
     random.seed(11)
@@ -638,7 +648,10 @@ def test_secrets_precision_and_recall(spark, docs):
     planted = ["".join(random.choice(kinds[n % 3]) for _ in range(random.choice((20, 24, 32, 44)))) for n in range(300)]
     rows = [(n, t, True) for n, t in enumerate(planted)] + [(1000 + n, t, False) for n, t in enumerate(ORDINARY)]
     df = spark.createDataFrame([(n, f"see {t} here", r) for n, t, r in rows], "doc_id long, text string, random boolean")
-    got = {r.doc_id: r.n_markov for r in secrets.scan(df, secrets.train(docs)).collect()}
+    model = secrets.train(docs)
+    got = {r.doc_id: r.n_markov for r in secrets.scan(df, model).collect()}
+    unseen = secrets.scan(spark.createDataFrame(list(enumerate(HELD_OUT)), "doc_id long, text string"), model).collect()
+    assert {HELD_OUT[r.doc_id] for r in unseen if r.n_markov} <= {"U+1F468+200D+1F469+200D+1F467", "xxxxxxxxxxxxxxxxxxxxxxxx"}  # the two it takes for random
     assert not [t for n, t, r in rows if not r and got[n]]
     assert np.mean([got[n] == 1 or "AKIA" in t for n, t, r in rows if r]) > 0.97
 
