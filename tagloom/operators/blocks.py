@@ -1,7 +1,7 @@
 """The best rows of one table for each row of another, in blocks.
 
-Rows are dealt to blocks and each block is packed to one row. A task meets one
-block of sources with some blocks of candidates and keeps each source's best; only
+Rows are dealt to blocks and each block is packed to one row. A task meets some
+blocks of sources with some blocks of candidates, a cell of a grid, and keeps each source's best; only
 those are shuffled again. No row for a pair of rows is ever made.
 """
 
@@ -36,12 +36,17 @@ def packed(rows: DataFrame, block_rows: int, features: Callable[[pa.Table], byte
     return dealt.groupBy("g", "b").applyInArrow(run, _PACK)
 
 
+def none_of(score: np.ndarray):
+    """What stands in a matrix of scores for a pair that doesn't count."""
+    return np.iinfo(score.dtype).min if score.dtype.kind == "i" else -np.inf
+
+
 def first_best(score: np.ndarray, k: int) -> np.ndarray:
-    """Mask of each row's `k` highest scores above minus infinity; of equal ones the first."""
-    some = score > -np.inf
+    """Mask of each row's `k` highest scores, without pairs that don't count; of equal ones the first."""
+    some = score > none_of(score)
     if score.shape[1] <= k:
         return some
-    least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+    least = np.partition(score, score.shape[1] - k, axis=1)[:, -k][:, None]
     above = score > least
     even = (score == least) & some
     return above | (even & (np.cumsum(even, axis=1) <= k - above.sum(axis=1, keepdims=True)))
@@ -58,63 +63,82 @@ def _keep(parts: list[tuple], k: int) -> list[tuple]:
 
 
 def _meet(k: int, score: Callable[[bytes, bytes, slice], np.ndarray]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, features, parts = None, np.zeros(0, np.int64), b"", []
-
-        def told() -> Iterator[pa.RecordBatch]:
-            if parts:
-                (row, s, tie, other), = _keep(parts, k)
-                for a in range(0, len(row), 100_000):
-                    c = slice(a, a + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(row[c]), pa.string()), pa.array(ids[row[c]]), pa.array(other[c]), pa.array(tie[c]), pa.array(s[c])], names=["g", "source", "candidate", "tie", "score"])
+    """Holds the candidate blocks of a cell of the grid, then meets its source blocks with them one by one."""
+
+    def best_of(ids: np.ndarray, features: bytes, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        for own, ties, data in held:
+            strip = max(1, 2_000_000 // max(1, len(own)))
+            for a in range(0, len(ids), strip):
+                s = score(features, data, slice(a, min(a + strip, len(ids))))
+                s[ids[a : a + strip, None] == own[None, :]] = none_of(s)
+                row, col = np.nonzero(first_best(s, k))
+                parts.append((row + a, s[row, col], ties[col], own[col]))
+            if sum(len(p[0]) for p in parts) > max(2_000_000, 2 * k * len(ids)):
+                parts = _keep(parts, k)
+        if parts:
+            ((row, s, tie, other),) = _keep(parts, k)
+            for a in range(0, len(row), 100_000):
+                c = slice(a, a + 100_000)
+                yield ids[row[c]], other[c], tie[c], s[c]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
         for batch in batches:
             for i in range(batch.num_rows):
                 at = lambda c: batch.column(c)[i]  # noqa: B023, E731
-                mine = (at("g").as_py(), at("qb").as_py(), at("part").as_py())
-                own, data = np.frombuffer(at("ids").as_buffer(), np.int64), at("features").as_buffer()
+                mine = (at("g").as_py(), at("down").as_py(), at("across").as_py())
                 if mine != key:
-                    yield from told()
-                    key, ids, features, parts = mine, np.zeros(0, np.int64), b"", []
+                    key, held = mine, []
+                ids = np.frombuffer(at("ids").as_buffer(), np.int64).copy()
                 if at("side").as_py() == 0:
-                    ids, features = own.copy(), data.to_pybytes()
+                    held.append((ids, np.frombuffer(at("ties").as_buffer(), np.float64).copy(), at("features").as_py()))
                     continue
-                ties = np.frombuffer(at("ties").as_buffer(), np.float64)
-                strip = max(1, 2_000_000 // max(1, len(own)))
-                for a in range(0, len(ids), strip):
-                    s = score(features, data, slice(a, min(a + strip, len(ids))))
-                    s[ids[a : a + strip, None] == own[None, :]] = -np.inf
-                    row, col = np.nonzero(first_best(s, k))
-                    parts.append((row + a, s[row, col].astype(np.float64), ties[col], own[col]))
-                if sum(len(p[0]) for p in parts) > max(4_000_000, 2 * k * len(ids)):
-                    parts = _keep(parts, k)
-        yield from told()
+                for source, other, tie, s in best_of(ids, at("features").as_py(), held):
+                    yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(source), pa.string()), pa.array(source), pa.array(other), pa.array(tie), pa.array(s)], names=["g", "source", "candidate", "tie", "score"])
 
     return run
 
 
+def pack_blocks(rows: DataFrame, features: Callable[[pa.Table], bytes], block_rows: int, name: str = "blocks") -> DataFrame:
+    """Blocks of rows(g, id, tie, ...), written once, for `meet_blocks`."""
+    return Staged(packed(rows, block_rows, features), name).df
+
+
+def meet_blocks(ask: DataFrame, have: DataFrame, k: int, score: Callable[[bytes, bytes, slice], np.ndarray], score_type: str = "double", hold_bytes: int = 64 << 20) -> DataFrame:
+    """(g, source, candidate, score, rnk) as `block_topk` has them, for packed blocks of both sides.
+
+    Source blocks and candidate blocks of a group are laid out as a grid that is cut into cells, as
+    square as may be; a task holds a cell's candidate blocks (at most `hold_bytes`) and meets its source blocks with
+    them one at a time. A block is sent to one row or column of cells, so that for n blocks and t tasks each
+    side is shuffled about sqrt(t) times, not n times."""
+    tasks = ask.sparkSession.sparkContext.defaultParallelism
+    size = F.length("features") + F.length("ids") + F.length("ties")
+    per_group = ask.groupBy("g").agg(F.max("blocks").alias("asked")).join(have.groupBy("g").agg(F.max("blocks").alias("had"), F.max(size).alias("bytes")), "g")
+    total = per_group.agg(F.sum(F.col("asked") * F.col("had"))).first()[0]
+    cell = max(1, int(total or 0) // (8 * tasks))  # meetings of two blocks in one task
+    across = F.greatest(F.lit(1), F.least("had", F.floor(F.lit(hold_bytes) / F.greatest("bytes", F.lit(1))), F.greatest(F.lit(int(np.ceil(np.sqrt(cell)))), F.ceil(F.lit(cell) / F.col("asked"))))).cast("long")
+    plan = per_group.withColumn("wide", across).withColumn("tall", F.greatest(F.lit(1), F.least("asked", F.floor(F.lit(cell) / F.col("wide")))).cast("long"))
+    cells = plan.agg(F.sum(F.ceil(F.col("asked") / F.col("tall")) * F.ceil(F.col("had") / F.col("wide")))).first()[0]
+    every = lambda n, step: F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col(n) / F.col(step)) - 1).cast("long")))
+    left = ask.drop("blocks").join(plan, "g").select("g", F.floor(F.col("b") / F.col("tall")).cast("long").alias("down"), every("had", "wide").alias("across"), F.lit(1).alias("side"), "b", "ids", "ties", "features")
+    right = have.drop("blocks").join(plan, "g").select("g", every("asked", "tall").alias("down"), F.floor(F.col("b") / F.col("wide")).cast("long").alias("across"), F.lit(0).alias("side"), "b", "ids", "ties", "features")
+    shuffled = left.unionByName(right).repartition(max(1, min(int(cells or 1), 32 * tasks)), "g", "down", "across").sortWithinPartitions("g", "down", "across", "side", "b")
+    best = shuffled.mapInArrow(_meet(k, score), f"g string, source long, candidate long, tie double, score {score_type}")
+    order = W.partitionBy("g", "source").orderBy(F.desc("score"), "tie", "candidate")
+    return best.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k).select("g", "source", "candidate", "score", "rnk")
+
+
 def block_topk(sources: DataFrame, candidates: DataFrame, k: int, features: Callable[[pa.Table], bytes], score: Callable[[bytes, bytes, slice], np.ndarray], block_rows: int) -> DataFrame:
     """(g, source, candidate, score, rnk): for each row of sources(g, id, tie, ...) the `k`
     best candidates of its group g by score, then tie and id; an id is never its own candidate.
 
     features(table) packs a block's rows; score(a, b, rows) gives the matrix of
-    scores of some source rows of block a and all rows of block b, minus
-    infinity for pairs that don't count."""
-    have = Staged(packed(candidates, block_rows, features), "candidate-blocks").df
-    ask = have if sources is candidates else Staged(packed(sources, block_rows, features), "source-blocks").df
-    sizes = [d.select("g", "blocks").distinct() for d in (ask, have)]
-    tasks = ask.sparkSession.sparkContext.defaultParallelism
-    meetings = sizes[0].withColumnRenamed("blocks", "asked").join(sizes[1], "g").agg(F.sum(F.col("asked") * F.col("blocks")), F.max("blocks")).first()
-    cells, most = int(meetings[0] or 0), int(meetings[1] or 1)
-    span = max(1, min(most, cells // (8 * tasks)))  # candidate blocks that meet a source block in one task
-    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / span)))
-    left = ask.drop("blocks").join(sizes[1], "g").select("g", F.col("b").alias("qb"), parts.alias("part"), F.lit(0).alias("side"), "b", "ids", "ties", "features")
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    right = have.drop("blocks").join(sizes[0], "g").select("g", each.alias("qb"), F.floor(F.col("b") / span).alias("part"), F.lit(1).alias("side"), "b", "ids", "ties", "features")
-    shuffled = left.unionByName(right).repartition(max(1, min(cells // span + 1, 16 * tasks)), "g", "qb", "part").sortWithinPartitions("g", "qb", "part", "side", "b")
-    best = shuffled.mapInArrow(_meet(k, score), "g string, source long, candidate long, tie double, score double")
-    order = W.partitionBy("g", "source").orderBy(F.desc("score"), "tie", "candidate")
-    return best.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k).select("g", "source", "candidate", "score", "rnk")
+    scores of some source rows of block a and all rows of block b, with `none_of` it
+    for pairs that don't count."""
+    have = pack_blocks(candidates, features, block_rows, "candidate-blocks")
+    ask = have if sources is candidates else pack_blocks(sources, features, block_rows, "source-blocks")
+    return meet_blocks(ask, have, k, score)
 
 
 def rows_for(parallel: int, rows: int, most: int, least: int = 64) -> int:
