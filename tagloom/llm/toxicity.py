@@ -159,7 +159,7 @@ def misspelt(word: bytes, rng: np.random.Generator) -> bytes:
     return left + int(ord("*") if kind == 3 else rng.integers(48, 58)).to_bytes(4, "little") + right
 
 
-def fit(texts: list[str], label: np.ndarray, window: int = 4, bits: int = 18, width: int = 8, steps: int = 700, batch: int = 64, left_out: float = 0.6, unseen: float = 0.4, wrong: float = 0.5, forms: int = 3, apart: int = 5, rate: float = 0.25, ease: float = 1e-6, seed: int = 11) -> SubwordModel:
+def fit(texts: list[str], label: np.ndarray, window: int = 4, bits: int = 18, width: int = 8, steps: int = 700, batch: int = 64, left_out: float = 0.6, unseen: float = 0.4, wrong: float = 0.5, forms: int = 2, apart: int = 5, rate: float = 0.25, ease: float = 1e-6, seed: int = 11) -> SubwordModel:
     """Vectors and softmax by AdaGrad on the cross-entropy of whole texts; both labels weigh the same.
 
     In each step, at random, a share `left_out` of the n-grams is ignored, a share `wrong` of the texts
@@ -182,14 +182,21 @@ def fit(texts: list[str], label: np.ndarray, window: int = 4, bits: int = 18, wi
         points, at = codepoints(raw[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))
         folded = through(_FOLD, points).tobytes()
         _, start, end = words_of(points, at)
-        per_text.append(np.array([known.setdefault(folded[4 * a : 4 * b], len(known)) for a, b in zip(start, end, strict=True)], np.int64))
+        per_text.append(np.array([known.setdefault(folded[4 * a : 4 * b], len(known)) for a, b in zip(start, end, strict=True)], np.int32))
     # Misspelt forms follow, so that word w is misspelt as w + half, w + 2 half and so on.
     half = len(known)
-    spelt = [*known, *(misspelt(w, rng) for _ in range(forms) for w in known)]
-    alphabet = np.frombuffer(b"".join(spelt), np.uint32)
-    ends = np.cumsum([len(w) // 4 for w in spelt])
-    grams, cut = subwords(alphabet, ends - np.diff(np.concatenate(([0], ends))), ends, bits)
-    del raw, known, spelt
+    plain = list(known)
+    del raw, known
+    found, counts = [], [np.zeros(1, np.int64)]
+    for form in range(forms + 1):
+        for a in range(0, half, 20_000):  # n-grams of a bounded number of words at once
+            some = plain[a : a + 20_000] if not form else [misspelt(w, rng) for w in plain[a : a + 20_000]]
+            ends = np.cumsum([len(w) // 4 for w in some])
+            part, own = subwords(np.frombuffer(b"".join(some), np.uint32), np.concatenate(([0], ends[:-1])), ends, bits)
+            found.append(part)
+            counts.append(np.diff(own))
+    grams, cut = np.concatenate(found), np.cumsum(np.concatenate(counts))
+    del plain, found, counts
     held = np.array([k for k in range(len(texts)) if len(per_text[k])])
     # Of either label one text in `apart` is for the curve alone, where there are as many.
     order = np.concatenate([held[label[held] == v] for v in (0, 1)])
@@ -200,7 +207,7 @@ def fit(texts: list[str], label: np.ndarray, window: int = 4, bits: int = 18, wi
     seen_v, seen_w, seen_b = np.full(len(vectors), ease, np.float32), np.full(weights.shape, 1e-6), np.full(2, 1e-6)
 
     def forward(ks: np.ndarray, kept: float) -> tuple:
-        words = np.concatenate([per_text[k] + half * int(kept < 1 and rng.random() < wrong and rng.integers(1, forms + 1)) for k in ks])
+        words = np.concatenate([per_text[k].astype(np.int64) + half * int(kept < 1 and rng.random() < wrong and rng.integers(1, forms + 1)) for k in ks])
         row = np.repeat(np.arange(len(ks)), [len(per_text[k]) for k in ks])
         count = np.diff(cut)[words]
         head_of = np.concatenate(([0], np.cumsum(count)))
@@ -275,7 +282,7 @@ def toxic_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 3000, sample_chars: int = 20_000, **settings) -> SubwordModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2500, sample_chars: int = 20_000, **settings) -> SubwordModel:
     """Fits on at most `sample_rows` labelled documents, half of either label where there are
     as many: those of lowest id hash, without held-out ids, null labels and texts over
     `sample_chars` characters, and one text an id, the first in order. That bounds what the driver holds;
