@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat, decontaminate, hard_negatives, jaccard_join, language_id, line_crf, media, packing, pii, secrets, token_counts, toxicity
+from tagloom.llm import chat, decontaminate, hard_negatives, jaccard_join, language_id, line_crf, media, merkle, packing, pii, secrets, token_counts, toxicity
 from tagloom.llm.tables import held_out, table
 from tagloom.plans.staging import stage
 
@@ -73,6 +73,15 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(moved, F.col("vec_id") % 100 == 0)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    told = lambda text: merkle.row_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = docs.select(F.col("doc_id").alias("id"), "source", told(F.col("text")).alias("leaf"), F.when(tampered, told(lower)).alias("given"))
+    return merkle.manifest(leaves).withColumnRenamed("id", "doc_id")
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -91,6 +100,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_toxicity": op13_toxicity,
 }
 
