@@ -104,6 +104,10 @@ QUERIES = {
     "op13_toxicity": op13_toxicity,
 }
 
+_TOLD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_SIDES = """coalesce(string_agg(h, '') OVER (PARTITION BY {0} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(h, '') OVER (PARTITION BY {0} ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after"""
+
 #: SQL for the rows of the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op11_hard_negatives": """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
@@ -113,4 +117,16 @@ p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM (SELECT
 n AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INT) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
 SELECT * FROM n WHERE rank <= 5""",
+    "op12_merkle_manifest": f"""WITH RECURSIVE d AS (SELECT *, {_TOLD.format("doc_id")} || {_TOLD.format("source")} || {_TOLD.format("lang")} || {_TOLD.format("n_chars")} AS head, list_reduce(list_prepend(4294967295::UBIGINT, flatten([[256 + ascii(c), 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])),
+  lambda c, x: xor((CASE WHEN x > 0 THEN xor(c, x - 256) ELSE c END) >> 1, ((CASE WHEN x > 0 THEN xor(c, x - 256) ELSE c END) & 1) * 3988292384)) AS crc FROM documents),
+leaf AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM (
+  SELECT doc_id, source, sha256(head || {_TOLD.format("text")}) AS leaf, sha256(head || {_TOLD.format("CASE WHEN xor(crc, 4294967295::UBIGINT) % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")}) AS given FROM d) x),
+nodes AS (SELECT source, 0 AS lvl, pos, leaf AS h, n FROM leaf UNION ALL SELECT source, lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 15) // 16 FROM nodes WHERE n > 1 GROUP BY source, lvl, pos // 16),
+steps AS (SELECT source, lvl, pos, {_SIDES.format("source, lvl, pos // 16")} FROM nodes WHERE n > 1),
+folded AS (SELECT rid, source, 0 AS lvl, pos, given AS h, '' AS proof FROM leaf UNION ALL SELECT rid, f.source, f.lvl + 1, f.pos // 16, sha256(before || h || after), proof || before || after FROM folded f JOIN steps s ON f.source IS NOT DISTINCT FROM s.source AND f.lvl = s.lvl AND f.pos = s.pos),
+subs AS (SELECT source, lvl AS height, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS lvl, pos, subroot AS h, n FROM subs UNION ALL SELECT lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 15) // 16 FROM tops WHERE n > 1 GROUP BY lvl, pos // 16),
+rises AS (SELECT lvl, pos, {_SIDES.format("lvl, pos // 16")} FROM tops WHERE n > 1),
+upper AS (SELECT rid, 0 AS lvl, s.pos, f.h, f.proof, subroot FROM folded f JOIN subs s ON f.source IS NOT DISTINCT FROM s.source AND f.lvl = s.height UNION ALL SELECT rid, u.lvl + 1, u.pos // 16, sha256(before || h || after), proof || before || after, subroot FROM upper u JOIN rises r ON u.lvl = r.lvl AND u.pos = r.pos)
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, u.h AS folded_root, u.h = t.h AS verified FROM leaf JOIN upper u ON leaf.rid = u.rid JOIN tops t ON t.n = 1 AND t.lvl = u.lvl""",
 }
