@@ -1,20 +1,27 @@
 """Scoring items against candidate items by weighted tags, genres, axes and signals.
 
-Preferences and offers are long tables that are packed to one row per item: for
-each context the hashed tags and their weights. A pair of items is then one row
-that joins two packed rows, and its overlaps are arithmetic on that row; no row
-for each shared tag is ever shuffled. Sums of products are whole numbers of
-units of 10^-12, so that they do not depend on the order of rows.
+Preferences and offers are long tables that are packed to one row per item: lists of
+hashed tags with their contexts and weights. A pair of items is then one row
+that joins two packed rows; no row for each shared tag is ever shuffled. Arrow tasks
+meet all tags of a batch of pairs at once, as sparse rows, and sum the overlaps. Sums of products are whole
+numbers of units of 10^-12, so that they do not depend on the order of rows. What only the
+best pairs show (shares, matched tags) is made for those alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window as W
 
+from tagloom.plans.staging import Staged
+
 # Default weights and multipliers.
 COMPONENTS = {"vector": 0.54, "genre": 0.18, "appeal": 0.14, "music": 0.14}
 CONTEXTS = {"mechanics": 1.22, "narrative": 0.46, "vibe": 0.62, "structure_loop": 1.12, "identity": 1.12, "setting": 0.76, "music": 0.82}
@@ -37,11 +44,15 @@ def exact_sum(c: Column, window=None) -> Column:
 
 @dataclass(frozen=True)
 class Weights:
-    """Percentages by context and component, and boosts {context: {tag: value}}."""
+    """Percentages by context and component, boosts {context: {tag: value}}, genres {branch: [tag]} that
+    join the base's or leave them, and appeal axes {axis: value} in the place of the base's."""
 
     context: dict[str, float] = field(default_factory=lambda: dict(DEFAULT_PERCENT))
     component: dict[str, float] = field(default_factory=lambda: {k: v * 100 for k, v in COMPONENTS.items()})
     boosts: dict[str, dict[str, float]] = field(default_factory=dict)
+    added_genres: dict[str, list[str]] = field(default_factory=dict)
+    removed_genres: dict[str, list[str]] = field(default_factory=dict)
+    axes: dict[str, int] = field(default_factory=dict)
 
     def multipliers(self) -> dict[str, float]:
         out = {}
@@ -110,7 +121,13 @@ def build_preferences(item_tags: DataFrame, list_tags: DataFrame, weights: Weigh
     for context, tag, v in TAG_BOOSTS:
         tuned = F.when((F.col("context") == context) & (F.col("tag") == tag), F.lit(v)).otherwise(tuned)
     vector = shares.select("item_id", F.lit("vector").alias("kind"), "context", "tag", (F.col("share") * short_map(F.col("context"), {c: mult[c] for c in VECTOR}) * tuned).alias("pref"))
-    genre = list_tags.where(F.col("field").isin(list(GENRES))).select("item_id", F.lit("genre").alias("kind"), F.col("field").alias("context"), F.trim("tag").alias("tag"), short_map(F.col("field"), GENRES).alias("pref")).where("tag <> ''").distinct()
+    genre = list_tags.where(F.col("field").isin(list(GENRES))).select("item_id", F.lit("genre").alias("kind"), F.col("field").alias("context"), F.trim("tag").alias("tag"), short_map(F.col("field"), GENRES).alias("pref")).where("tag <> ''")
+    for branch, tags in weights.added_genres.items():
+        more = F.explode(F.array(*(F.lit(t) for t in tags)).cast("array<string>")).alias("tag")
+        genre = genre.unionByName(items.select("item_id", F.lit("genre").alias("kind"), F.lit(f"genre.{branch}").alias("context"), more, F.lit(GENRES[f"genre.{branch}"]).alias("pref")))
+    for branch, tags in weights.removed_genres.items():
+        genre = genre.where((F.col("context") != f"genre.{branch}") | ~F.col("tag").isin(tags))
+    genre = genre.distinct()
     parts = [vector, genre]
     roles = list_tags.select("item_id", F.trim("tag").alias("tag"), short_map(F.col("field"), IDENTITY_OFFSETS, OTHER_OFFSET).alias("offset")).groupBy("item_id", "tag").agg(F.max("offset").alias("offset"))
     for context, source in (("identity", identity_sources(list_tags)), ("setting", setting_sources(list_tags)), ("music", music_sources(list_tags))):
@@ -153,66 +170,133 @@ def contribution() -> Column:
 
 #: Weights are counted in this many units to one.
 UNITS = 10**12
+#: Contexts of packed lists by code; the genres of all branches are one.
 _TAGS = [*VECTOR, *SIGNALS, "genre"]
+_ROLES = {"m_signature": "signature_tag", "m_anchor": "niche_anchors", "m_micro": "micro_tags"}
 
 
 def _units(c: Column) -> Column:
     return (c.cast("decimal(20,12)") * F.lit(UNITS)).cast("long")
 
 
-def _key() -> Column:
-    return F.xxhash64("context", "tag")
+def _code() -> Column:
+    out = F.lit(_TAGS.index("genre"))
+    for k, c in enumerate([*VECTOR, *SIGNALS]):
+        out = F.when(F.col("context") == c, k).otherwise(out)
+    return out
 
 
-def _packed_as(kind: str) -> Column:
-    """The rows of one packed column: a context, or the genres of all branches."""
-    return F.col("context").startswith("genre.") if kind == "genre" else F.col("context") == kind
+def _lists(packed: Column, fields: dict[str, str]) -> list[Column]:
+    return [packed[f].alias(name) for name, f in fields.items()]
 
 
 def packed_preferences(prefs: DataFrame) -> DataFrame:
-    """One row per base: source; for each context the hashed tags t_ and preferences p_ in units;
-    sums of preferences t_ by kind as doubles; and which vector contexts have any (a_)."""
-    lists = [F.collect_list(F.when(_packed_as(k), F.struct(_key().alias("t"), _units(F.col("pref")).alias("p")))).alias(f"l_{k}") for k in _TAGS]
-    exact = F.collect_list(F.when(_packed_as("identity"), F.struct(_key().alias("t"), F.col("pref").alias("p")))).alias("l_exact")
+    """One row per base: source; lists want_ of its tags by context, preference and tag; sums of
+    preferences t_ by kind as doubles; and which vector contexts have any (a_)."""
+    each = F.struct(_code().alias("code"), (-F.round("pref", 9)).alias("below"), "tag", F.xxhash64("context", "tag").alias("hash"), _units(F.col("pref")).alias("units"), "pref")
     totals = [exact_sum(F.when(F.col("kind") == k, F.col("pref"))).alias(f"t_{k}") for k in ("genre", *SIGNALS)]
     active = [F.max(F.when(F.col("context") == c, 1).otherwise(0)).alias(f"a_{c}") for c in VECTOR]
-    packed = prefs.groupBy(F.col("item_id").alias("source")).agg(*lists, exact, *totals, *active)
-    part = lambda c, f: F.transform(c, lambda x: x[f])
-    columns = [x for k in _TAGS if k != "identity" for x in (part(f"l_{k}", "t").alias(f"tags_{k}"), part(f"l_{k}", "p").alias(f"prefs_{k}"))]
-    return packed.select("source", *columns, part("l_exact", "t").alias("tags_identity"), part("l_exact", "p").alias("prefs_identity"), *(f"t_{k}" for k in ("genre", *SIGNALS)), *(f"a_{c}" for c in VECTOR))
+    packed = prefs.groupBy(F.col("item_id").alias("source")).agg(F.array_sort(F.collect_list(each)).alias("x"), *totals, *active)
+    return packed.select("source", *_lists(F.col("x"), {"want_hash": "hash", "want_code": "code", "want_units": "units", "want_pref": "pref", "want_tag": "tag"}), *(f"t_{k}" for k in ("genre", *SIGNALS)), *(f"a_{c}" for c in VECTOR))
 
 
 def packed_offers(offers: DataFrame) -> DataFrame:
-    """One row per candidate: for each context a map of hashed tags to weights, and
-    the hashed identity tags in each role. An item offers a tag of a context once."""
-    weight = lambda k: F.col("w") if k == "identity" else F.when(_packed_as(k), _units(F.col("w"))) if k in VECTOR else F.lit(2**62)
-    maps = [F.map_from_entries(F.collect_set(F.when(_packed_as(k), F.struct(_key().alias("t"), weight(k).alias("w"))))).alias(f"offer_{k}") for k in _TAGS]
-    roles = [F.collect_set(F.when(F.col(f"is_{r}") > 0, _key())).alias(f"role_{r}") for r in ("signature_tag", "niche_anchors", "micro_tags")]
-    return offers.groupBy(F.col("item_id").alias("candidate")).agg(*maps, *roles)
-
-
-def overlap(context: str) -> Column:
-    """Summed contributions of the tags that a pair's packed rows share."""
-    held = lambda t, none: F.coalesce(F.col(f"offer_{context}")[t], none)
-    if context == "identity":
-        units = lambda t, p: F.floor(p * F.least(held(t, F.lit(0.0)), F.lit(1.6)) * UNITS + 0.5)
-    else:
-        units = lambda t, p: F.least(p, held(t, F.lit(0).cast("long")))
-    each = F.zip_with(f"tags_{context}", f"prefs_{context}", units)
-    return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x).cast("double") / float(UNITS)
+    """One row per candidate: lists have_ of its hashed tags in order of hash, with weights and roles
+    (bits: signature, anchor, micro). An item offers a tag of a context once."""
+    roles = sum(((F.col(f"is_{r}") > 0).cast("int") * (1 << k) for k, r in enumerate(_ROLES.values())), F.lit(0))
+    each = F.struct(F.xxhash64("context", "tag").alias("hash"), F.col("w").alias("weight"), _units(F.col("w")).alias("units"), roles.alias("roles"))
+    packed = offers.groupBy(F.col("item_id").alias("candidate")).agg(F.array_sort(F.collect_set(each)).alias("x"))
+    return packed.select("candidate", *_lists(F.col("x"), {"have_hash": "hash", "have_weight": "weight", "have_units": "units", "have_roles": "roles"}))
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False)
+
+
+def _rows_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """The row of each element of a list column; a null is an empty list."""
+    n = np.nan_to_num(np.asarray(batch.column(name).value_lengths().to_numpy(zero_copy_only=False), np.float64)).astype(np.int64)
+    return np.repeat(np.arange(len(n)), n)
+
+
+def shared_tags(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(element of the batch's wanted lists, its row, element of the offered lists) of each tag that both sides of a pair have.
+
+    A row and the upper bits of a hash make one sorted key, so that all pairs are looked up at once; whole hashes decide."""
+    row_w, row_h = _rows_of(batch, "want_hash"), _rows_of(batch, "have_hash")
+    sign = np.uint64(1 << 63)
+    want, have = (_flat(batch, c).astype(np.int64).view(np.uint64) ^ sign for c in ("want_hash", "have_hash"))
+    bits = np.uint64(max(1, batch.num_rows - 1).bit_length())
+    key = lambda row, h: (row.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits)
+    ask, held = key(row_w, want), key(row_h, have)
+    at = np.searchsorted(held, ask)
+    out_w, out_h = [], []
+    open_ = np.flatnonzero(at < len(held))
+    while len(open_):  # again only where hashes of one row agree in their upper bits
+        open_ = open_[held[at[open_]] == ask[open_]]
+        same = have[at[open_]] == want[open_]
+        out_w.append(open_[same])
+        out_h.append(at[open_[same]])
+        open_ = open_[~same]
+        at[open_] += 1
+        open_ = open_[at[open_] < len(held)]
+    w = np.concatenate([np.zeros(0, np.int64), *out_w])
+    order = np.argsort(w, kind="stable")
+    w = w[order]
+    return w, row_w[w], np.concatenate([np.zeros(0, np.int64), *out_h])[order]
+
+
+def _overlaps(carried: list[str]):
+    """Batches of pairs with packed lists to their carried columns, overlaps o_ of every context and counts m_ of matched roles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, row, h = shared_tags(batch)
+            code, units, pref = (_flat(batch, c)[w] for c in ("want_code", "want_units", "want_pref"))
+            weight, most, roles = (_flat(batch, c)[h] for c in ("have_weight", "have_units", "have_roles"))
+            part = np.where(code < len(VECTOR), np.minimum(units, most), units)
+            mine = code == _TAGS.index("identity")
+            part[mine] = np.floor(pref[mine] * np.minimum(weight[mine], 1.6) * UNITS + 0.5).astype(np.int64)
+            # Whole numbers well below 2^53: their sums as doubles are exact.
+            sums = np.bincount(row * len(_TAGS) + code, weights=part, minlength=batch.num_rows * len(_TAGS)).reshape(-1, len(_TAGS)) / float(UNITS)
+            met = [np.bincount(row[mine & ((roles >> k) & 1 == 1)], minlength=batch.num_rows) for k in range(len(_ROLES))]
+            columns = [*(batch.column(c) for c in carried), *(pa.array(np.ascontiguousarray(x)) for x in sums.T), *(pa.array(x.astype(np.int64)) for x in met)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*carried, *(f"o_{k}" for k in _TAGS), *_ROLES])
+
+    return run
 
 
 def with_overlaps(rows: DataFrame) -> DataFrame:
     """Rows of pairs joined with both packed rows, with the overlap o_ of every context and
     counts m_ of matched roles in the place of the packed columns."""
-    shared = {"m_signature": "signature_tag", "m_anchor": "niche_anchors", "m_micro": "micro_tags"}
-    rows = rows.withColumns({f"o_{k}": overlap(k) for k in _TAGS} | {m: F.coalesce(F.size(F.array_intersect("tags_identity", f"role_{r}")), F.lit(0)) for m, r in shared.items()})
-    return rows.drop(*(f"{x}_{k}" for x in ("tags", "prefs", "offer") for k in _TAGS), *(f"role_{r}" for r in shared.values()))
+    carried = [c for c in rows.columns if not c.startswith(("want_", "have_"))]
+    schema = rows.select(carried).schema
+    for k in _TAGS:
+        schema = schema.add(f"o_{k}", "double")
+    for m in _ROLES:
+        schema = schema.add(m, "long")
+    used = ["want_hash", "want_code", "want_units", "want_pref", "have_hash", "have_weight", "have_units", "have_roles"]
+    return rows.select(*carried, *used).mapInArrow(_overlaps(carried), schema)
+
+
+def joined_by_size(pairs: DataFrame, packed: DataFrame, key: str, how: str = "inner", limit: int = 48 << 20) -> DataFrame:
+    """`pairs` joined with a written table of one row per item: by broadcast while the rows, counted in bytes of
+    their lists, are within `limit`; beyond it by hashed partitions, which AQE splits where an item has very many pairs."""
+    lists = [c for c, t in packed.dtypes if t.startswith("array")]
+    width = sum((F.coalesce(F.size(c), F.lit(0)) * 16 for c in lists), F.lit(8 * len(packed.columns)))
+    size = packed.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return pairs.join(F.broadcast(packed) if size <= limit else packed.hint("shuffle_hash"), key, how)
+
+
+def _both_packed(pairs: DataFrame, sources: DataFrame, offered: DataFrame) -> DataFrame:
+    none = {"have_hash": "array<bigint>", "have_weight": "array<double>", "have_units": "array<bigint>", "have_roles": "array<int>"}
+    rows = joined_by_size(joined_by_size(pairs, sources, "source"), offered, "candidate", "left")
+    return rows.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in none.items()})
 
 
 def pair_overlaps(pairs: DataFrame, prefs: DataFrame, offers: DataFrame) -> DataFrame:
     """One row per pair whose source has preferences: overlaps, matched roles and the source's totals."""
-    return with_overlaps(pairs.join(packed_preferences(prefs), "source").join(packed_offers(offers), "candidate", "left"))
+    return with_overlaps(_both_packed(pairs, Staged(packed_preferences(prefs).drop("want_tag"), "preferences").df, Staged(packed_offers(offers), "offers").df))
 
 
 def vector_score(mult: dict[str, float]) -> Column:
@@ -283,14 +367,15 @@ def confidence_multiplier(reviews="review_count", recommendations="recommendatio
     return F.greatest(F.lit(0.55), F.least(F.lit(1.20), out))
 
 
-def recommend_batch(candidates: DataFrame, item_tags: DataFrame, list_tags: DataFrame, axes: DataFrame, signals: DataFrame, names: DataFrame, weights: Weights | None = None, k: int = 20, broadcast_rows: int = 40_000) -> DataFrame:
+def recommend_batch(candidates: DataFrame, item_tags: DataFrame, list_tags: DataFrame, axes: DataFrame, signals: DataFrame, names: DataFrame, weights: Weights | None = None, k: int = 20, explained: bool = True) -> DataFrame:
     """The best `k` candidates of every source, with component scores.
 
     Order: score, then vector score, both descending and rounded to six digits,
-    then lower-case name and id. A source is never its own candidate. The packed rows
-    of items (one to two kilobytes each) go to all tasks while there are at most
-    `broadcast_rows` items; beyond it the pairs are shuffled to them.
-    """
+    then lower-case name and id. A source is never its own candidate.
+
+    `explained` adds, in percent, what each component (share_), each vector context and each
+    signal (part_, null where the source has no preference there) brings to its sum, and the matched tags of each
+    context (matched_, lists by preference: three of a vector context, four of identity and setting, three of music)."""
     weights = weights or Weights()
     mult, comp = weights.multipliers(), weights.components()
     prefs = build_preferences(item_tags, list_tags, weights)
@@ -298,34 +383,88 @@ def recommend_batch(candidates: DataFrame, item_tags: DataFrame, list_tags: Data
     branches = ("primary", "sub", "sub_sub")
     genres = genre_arrays(list_tags).select("item_id", *(F.transform(x, lambda t: F.xxhash64(t)).alias(x) for x in branches))  # only compared
     per_item = axes.join(genres, "item_id", "left").join(signals, "item_id", "left").join(names, "item_id", "left")
-    base = per_item.select(F.col("item_id").alias("source"), *(F.col(x).alias(f"b_{x}") for x in [*AXES, *branches]))
+    axis = lambda x: F.lit(int(weights.axes[x])) if x in weights.axes else F.col(x)
+    base = per_item.select(F.col("item_id").alias("source"), *(axis(x).alias(f"b_{x}") for x in AXES), *(F.col(x).alias(f"b_{x}") for x in branches))
     offer = per_item.select(F.col("item_id").alias("candidate"), "name", *AXES, *(F.col(x).alias(f"c_{x}") for x in branches), confidence_multiplier().alias("confidence"))
-    # Tables of items are hashed by partition where they are not broadcast, so that the wide rows of pairs are not sorted.
-    sources = base.join(packed_preferences(prefs), "source").hint("shuffle_hash")
-    offered = offer.join(packed_offers(candidate_weights(item_tags, list_tags)), "candidate", "left")
-    offered = F.broadcast(offered) if axes.count() <= broadcast_rows else offered.hint("shuffle_hash")
-    rows = with_overlaps(pairs.join(sources, "source").join(offered, "candidate"))
+    sources = Staged(base.join(packed_preferences(prefs), "source"), "sources").df
+    offered = Staged(offer.join(packed_offers(candidate_weights(item_tags, list_tags)), "candidate", "left"), "offered").df
+    rows = _both_packed(pairs, sources.drop("want_tag"), offered).where(F.col("confidence").isNotNull())
+    rows = rows.withColumns({"closeness": appeal_distance(), "factor": penalty(kind="bigint")}).drop(*AXES, *(f"b_{x}" for x in (*AXES, *branches)), *(f"c_{x}" for x in branches))
+    rows = with_overlaps(rows)
     rows = rows.withColumns({"vector_score": vector_score(mult), "genre_score": genre_score(), "identity": identity_score(), "setting": _ratio("o_setting", "t_setting"), "music_score": _ratio("o_music", "t_music")})
-    rows = rows.withColumn("appeal_score", appeal_score(appeal_distance(), F.col("identity"), F.col("setting"), mult))
-    total = sum((F.col(f"{c}_score") * comp[c] for c in COMPONENTS), F.lit(0.0)) * penalty(kind="bigint") * F.col("confidence")
+    rows = rows.withColumn("appeal_score", appeal_score(F.col("closeness"), F.col("identity"), F.col("setting"), mult))
+    total = sum((F.col(f"{c}_score") * comp[c] for c in COMPONENTS), F.lit(0.0)) * F.col("factor") * F.col("confidence")
     shown = ("vector_score", "genre_score", "appeal_score", "music_score", "identity", "setting", "confidence")
-    rows = rows.select("source", "candidate", "name", *shown, F.round(total, 6).alias("total_score"))
+    parts = [*(f"o_{c}" for c in VECTOR), *(f"a_{c}" for c in VECTOR), "t_identity", "t_setting"] if explained else []
+    rows = rows.select("source", "candidate", "name", *shown, *parts, F.round(total, 6).alias("total_score"))
     order = W.partitionBy("source").orderBy(F.desc("total_score"), F.desc(F.round("vector_score", 6)), F.lower("name"), "candidate")
     best = rows.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k)
-    return best.select("source", "candidate", "name", *(F.round(x, 6).alias(x) for x in shown), "total_score", "rnk")
+    told = ["source", "candidate", "name", *(F.round(x, 6).alias(x) for x in shown), "total_score", "rnk"]
+    if not explained:
+        return best.select(*told)
+    matched = [f"matched_{c}" for c in MATCHED]
+    best = with_matched_tags(_both_packed(Staged(best.select(*told, *shares(mult, comp)), "best").df, sources.select("source", "want_hash", "want_code", "want_tag"), offered.select("candidate", "have_hash", "have_weight", "have_units", "have_roles")))
+    return best.select("source", "candidate", "name", *shown, "total_score", "rnk", *(c for c in best.columns if c.startswith(("share_", "part_"))), *matched)
+
+
+def _percent(parts: dict[str, Column]) -> list[Column]:
+    """100 x max(value, 0) over the sum of these; 0 where that is not positive, null where a value is."""
+    held = {name: F.greatest(v, F.lit(0.0)) for name, v in parts.items()}
+    total = sum((F.coalesce(v, F.lit(0.0)) for v in held.values()), F.lit(0.0))
+    return [F.when(v.isNull(), None).when(total > 0, F.round(v / total * 100.0, 6)).otherwise(0.0).alias(name) for name, v in held.items()]
+
+
+def shares(mult: dict[str, float], comp: dict[str, float]) -> list[Column]:
+    """share_ of the weighted components, part_ of the active vector contexts and of the active signals, each list in percent of its own sum."""
+    some = lambda c, v: F.when(c, v)
+    return [
+        *_percent({f"share_{c}": F.col(f"{c}_score") * comp[c] for c in COMPONENTS}),
+        *_percent({f"part_{c}": some(F.col(f"a_{c}") > 0, F.col(f"o_{c}") * mult[c]) for c in VECTOR}),
+        *_percent({f"part_{c}": some(F.coalesce(f"t_{c}", F.lit(0.0)) > 0, F.col(c) * mult[c]) for c in ("identity", "setting")}),
+    ]
+
+
+#: Matched tags that are shown of each context.
+MATCHED = dict.fromkeys(VECTOR, 3) | {"identity": 4, "setting": 4, "music": 3}
+
+
+def with_matched_tags(rows: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """Rows of pairs joined with both packed rows, with lists matched_ of the shared tags of each
+    context, by preference and tag, in the place of the packed columns."""
+    limits = limits or MATCHED
+    carried = [c for c in rows.columns if not c.startswith(("want_", "have_"))]
+    most = np.array([limits.get(c, 0) for c in _TAGS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, row, _ = shared_tags(batch)
+            code = _flat(batch, "want_code")[w]
+            cell = row * len(_TAGS) + code  # a row's wanted tags stand by context and then by preference
+            first = np.searchsorted(cell, cell)
+            kept = np.arange(len(cell)) - first < most[code]
+            w, row, code = w[kept], row[kept], code[kept]
+            tags = batch.column("want_tag").flatten().take(pa.array(w))
+            columns = []
+            for c in limits:
+                own = np.flatnonzero(code == _TAGS.index(c))
+                cut = np.concatenate(([0], np.cumsum(np.bincount(row[own], minlength=batch.num_rows)))).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(cut), tags.take(pa.array(own))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *columns], names=[*carried, *(f"matched_{c}" for c in limits)])
+
+    schema = rows.select(carried).schema
+    for c in limits:
+        schema = schema.add(f"matched_{c}", ArrayType(StringType()))
+    return rows.select(*carried, "want_hash", "want_code", "want_tag", "have_hash").mapInArrow(run, schema)
 
 
 def matched_tags_topk(pairs: DataFrame, prefs: DataFrame, offers: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """(source, candidate, context, tags): shared tags by preference, at most 3 of a
     vector context, 4 of identity and setting, 3 of music. A source's tags are put in order
     once; a pair keeps the first ones that its candidate has."""
-    limits = limits or dict.fromkeys(VECTOR, 3) | {"identity": 4, "setting": 4, "music": 3}
-    ordered = lambda c: F.array_sort(F.collect_list(F.when(F.col("context") == c, F.struct((-F.round("pref", 9)).alias("below"), "tag", _key().alias("t")))))
-    wanted = prefs.where(F.col("kind") != "genre").groupBy(F.col("item_id").alias("source")).agg(*(ordered(c).alias(f"want_{c}") for c in limits))
-    held = offers.where(F.col("context").isin(list(limits))).groupBy(F.col("item_id").alias("candidate")).agg(F.map_from_entries(F.collect_set(F.struct(_key().alias("t"), F.lit(True).alias("has")))).alias("held"))
-    rows = pairs.select("source", "candidate").join(wanted, "source").join(held, "candidate")
-    tags = lambda c, n: F.slice(F.transform(F.filter(f"want_{c}", lambda x: F.col("held")[x["t"]]), lambda x: x["tag"]), 1, n)
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("context"), tags(c, n).alias("tags")) for c, n in limits.items())))
+    limits = limits or MATCHED
+    wanted = Staged(packed_preferences(prefs).select("source", "want_hash", "want_code", "want_tag"), "preferences").df
+    rows = with_matched_tags(_both_packed(pairs.select("source", "candidate"), wanted, Staged(packed_offers(offers), "offers").df), limits)
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("context"), F.col(f"matched_{c}").alias("tags")) for c in limits)))
     return rows.select("source", "candidate", each.alias("x")).select("source", "candidate", "x.context", "x.tags").where(F.size("tags") > 0)
 
 

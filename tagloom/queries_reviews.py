@@ -575,8 +575,8 @@ _FIRST = "SELECT source, candidate, CAST(rnk AS INT) AS rnk FROM (SELECT *, row_
 def boost_scenarios(spark, sf):
     """The first candidates with and without one tag at 100."""
     args = (I.candidates(spark, sf), I.item_tags(spark, sf), I.list_tags(spark, sf), I.axes(spark, sf), I.signals(spark, sf), R(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name")))
-    plain = M.recommend_batch(*args, k=5).select("source", "candidate", F.col("rnk").alias("rnk_before"))
-    boosted = M.recommend_batch(*args, weights=M.Weights(boosts={"mechanics": {"1-URGENT": 100.0}}), k=5).select("source", "candidate", F.col("rnk").alias("rnk_after"))
+    plain = M.recommend_batch(*args, k=5, explained=False).select("source", "candidate", F.col("rnk").alias("rnk_before"))
+    boosted = M.recommend_batch(*args, weights=M.Weights(boosts={"mechanics": {"1-URGENT": 100.0}}), k=5, explained=False).select("source", "candidate", F.col("rnk").alias("rnk_after"))
     return plain.join(boosted, ["source", "candidate"], "full")
 
 

@@ -53,14 +53,29 @@ def _names(spark, sf):
     return I.read(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"))
 
 
-@query("recommend_batch", f"WITH {_PREFS}, {_OFFERS}, {_JOINED}, {_CONF}, {_SCORES} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY total_score DESC, vector_score DESC, lower(name), candidate) AS INT) AS rnk FROM final) x WHERE rnk <= 20")
+def _percents(names: list[str], values: list[str]) -> str:
+    total = " + ".join(values)
+    return ", ".join(f"CASE WHEN {total} > 0 THEN round(({v}) / ({total}) * 100, 6) ELSE 0 END AS {n}" for n, v in zip(names, values, strict=True))
+
+
+_MULTS = {c: f"({R.DEFAULT_PERCENT[c]}.0e0/{56 if c in R.VECTOR else 44}*{4 if c in R.VECTOR else 3})" for c in R.CONTEXTS}
+_PARTS = f"""parts AS (SELECT s.source, s.candidate, {_percents([f"share_{c}" for c in R.COMPONENTS], ["vector_score * 0.54e0", "genre_score * 0.18e0", f"(raw * 0.62e0 + (ident_ * {_MULTS['identity']} + sett_ * {_MULTS['setting']}) / ({_MULTS['identity']} + {_MULTS['setting']}) * 0.38e0) * 0.14e0", "music_score * 0.14e0"])},
+ {_percents([f"part_{c}" for c in R.VECTOR], [f"coalesce(o_{c}, 0) * {_MULTS[c]}" for c in R.VECTOR])}, {_percents(["part_identity", "part_setting"], [f"ident_ * {_MULTS['identity']}", f"sett_ * {_MULTS['setting']}"])} FROM scored s LEFT JOIN over_ o ON o.source = s.source AND o.candidate = s.candidate)"""
+_TOLD = f"""places AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY total_score DESC, vector_score DESC, lower(name), candidate) AS INT) AS rnk FROM final) x WHERE rnk <= 20),
+shown_tags AS (SELECT source, candidate, context, tag, row_number() OVER (PARTITION BY source, candidate, context ORDER BY round(pref, 9) DESC, tag) AS k FROM joined WHERE kind <> 'genre'),
+tag_lists AS (SELECT source, candidate, {', '.join(f"coalesce(string_agg(tag, '|' ORDER BY k) FILTER (WHERE context = '{c}' AND k <= {n}), '') AS matched_{c}" for c, n in R.MATCHED.items())} FROM shown_tags GROUP BY source, candidate)"""
+
+
+@query("recommend_batch", f"WITH {_PREFS}, {_OFFERS}, {_JOINED}, {_CONF}, {_SCORES}, {_PARTS}, {_TOLD} SELECT places.*, parts.* EXCLUDE (source, candidate), {', '.join(f'coalesce(matched_{c}, {chr(39)*2}) AS matched_{c}' for c in R.MATCHED)} FROM places JOIN parts ON parts.source = places.source AND parts.candidate = places.candidate LEFT JOIN tag_lists t ON t.source = places.source AND t.candidate = places.candidate")
 def recommend_batch(spark, sf):
-    return R.recommend_batch(I.candidates(spark, sf), I.item_tags(spark, sf), I.list_tags(spark, sf), I.axes(spark, sf), I.signals(spark, sf), _names(spark, sf))
+    """Lists of matched tags are joined to texts."""
+    best = R.recommend_batch(I.candidates(spark, sf), I.item_tags(spark, sf), I.list_tags(spark, sf), I.axes(spark, sf), I.signals(spark, sf), _names(spark, sf))
+    return best.withColumns({f"matched_{c}": F.array_join(f"matched_{c}", "|") for c in R.MATCHED})
 
 
 @query("rerank_topk", f"WITH {_PREFS}, {_OFFERS}, {_JOINED}, {_CONF}, {_SCORES} SELECT source, candidate, total_score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY total_score DESC, vector_score DESC, lower(name), candidate) AS rnk FROM final) x WHERE rnk <= 3")
 def rerank_topk(spark, sf):
-    return R.recommend_batch(I.candidates(spark, sf), I.item_tags(spark, sf), I.list_tags(spark, sf), I.axes(spark, sf), I.signals(spark, sf), _names(spark, sf), k=3).select("source", "candidate", "total_score")
+    return R.recommend_batch(I.candidates(spark, sf), I.item_tags(spark, sf), I.list_tags(spark, sf), I.axes(spark, sf), I.signals(spark, sf), _names(spark, sf), k=3, explained=False).select("source", "candidate", "total_score")
 
 
 @query("build_preferences", f"WITH {_PREFS} SELECT item_id, kind, context, tag, round(pref, 9) AS pref FROM prefs")

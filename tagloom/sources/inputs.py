@@ -147,10 +147,16 @@ def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str, most: int = 300) -> DataFrame:
-    """(source, candidate, rnk): items of the same type and brand, the most recommended first."""
+    """(source, candidate, rnk): items of the same type and brand, the most recommended first.
+
+    The order is the same for all sources of a group, so its first `most` + 1 items are chosen before
+    they meet its sources: a source's own place moves later ones up by one."""
     part = read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
-    a = part.withColumnRenamed("p_partkey", "source")
-    b = part.withColumnRenamed("p_partkey", "candidate").join(signals(spark, sf_dir).select(F.col("item_id").alias("candidate"), "recommendations_total"), "candidate")
-    pairs = a.join(b, ["p_type", "p_brand"]).where("source <> candidate")
-    w = W.partitionBy("source").orderBy(F.desc("recommendations_total"), "candidate")
-    return pairs.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= most).select("source", "candidate", "rnk")
+    known = part.join(signals(spark, sf_dir).select(F.col("item_id").alias("p_partkey"), "recommendations_total"), "p_partkey", "left")
+    w = W.partitionBy("p_type", "p_brand").orderBy(F.desc_nulls_last("recommendations_total"), "p_partkey")
+    place = F.when(F.col("recommendations_total").isNotNull(), F.row_number().over(w))
+    ranked = once(spark, sf_dir, "group_places", lambda: known.withColumn("place", place).select("p_partkey", "p_type", "p_brand", "place"))
+    first = ranked.where(F.col("place") <= most + 1).select(F.col("p_partkey").alias("candidate"), "p_type", "p_brand", F.col("place").alias("at"))
+    pairs = ranked.withColumnRenamed("p_partkey", "source").join(first, ["p_type", "p_brand"]).where("source <> candidate")
+    rnk = F.col("at") - F.coalesce((F.col("place") < F.col("at")).cast("int"), F.lit(0))
+    return pairs.withColumn("rnk", rnk).where(F.col("rnk") <= most).select("source", "candidate", "rnk")

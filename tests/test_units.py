@@ -96,6 +96,12 @@ def test_recommend_by_hand(spark):
     assert got[2].vector_score == 1.0 and got[3].vector_score == 0.0
     assert got[2].genre_score == 1.0 and got[2].identity == 1.0 and got[3].identity == 0.0
     assert round(got[2].appeal_score, 6) == 1.0 and round(got[3].appeal_score, 6) == 0.62
+    assert got[2].matched_mechanics == ["a"] and got[2].matched_identity == ["s"] and got[3].matched_mechanics == [] and got[2].part_mechanics == 100.0 and got[2].part_vibe is None
+    assert got[2].part_identity == 100.0 and got[2].part_setting is None and got[3].part_identity == 0.0
+    assert got[2].share_vector == pytest.approx(54 / 86 * 100, abs=1e-5) and got[2].share_appeal == pytest.approx(14 / 86 * 100, abs=1e-5) and got[2].share_music == 0.0
+    # Genres that are added and removed, and axes that take the place of the base's.
+    other = {r.candidate: r for r in R.recommend_batch(pairs, tags, lists, axes, sig, names, R.Weights(added_genres={"primary": ["h"]}, removed_genres={"primary": ["g"]}, axes={"pace": 100})).collect()}
+    assert other[2].genre_score == 0.0 and other[3].genre_score == 1.0 and round(other[3].appeal_score, 6) == round(0.62 * (5 + 0.5) / 6, 6)
     boosted = R.build_preferences(tags, lists, R.Weights(boosts={"mechanics": {"q": 5.0}, "identity": {"s": 2.0, "new": 1.0}, "music": {"m": 1.0}}))
     by = {(r.context, r.tag): r.pref for r in boosted.where("item_id = 1").collect()}
     assert set(t for c, t in by if c == "mechanics") == {"q"} and round(by["identity", "new"] / by["identity", "s"], 6) == round(1.28 / 3.15, 6) and ("music", "m") in by
@@ -354,3 +360,24 @@ def test_seeded_sample_is_a_set_of_rows_by_seed(spark):
     df = spark.range(500).withColumnRenamed("id", "k")
     one, two, other = ([r.k for r in B.seeded_sample(d, "k", s, 50).collect()] for d, s in ((df, 3), (df.repartition(7), 3), (df, 4)))
     assert one == two and len(set(one)) == 50 and set(one) != set(other)
+
+
+def test_recommend_equals_plain_loops_on_many_tags(spark):
+    """Overlaps of hashed, packed lists against dictionaries, with items that have no tags and tags of both signs of hash."""
+    rng = random.Random(4)
+    tags = [(i, c, f"t{rng.randrange(30)}", float(rng.randrange(1, 9))) for i in range(40) for c in R.VECTOR for _ in range(rng.randrange(0, 9))]
+    tags = list({t[:3]: t for t in tags}.values())
+    frame = spark.createDataFrame(tags, "item_id long, context string, tag string, weight double")
+    pairs = [(a, b) for a in range(40) for b in range(40) if a != b]
+    prefs = R.build_preferences(frame, spark.createDataFrame([], "item_id long, field string, tag string, pos int"))
+    offers = R.candidate_weights(frame, spark.createDataFrame([], "item_id long, field string, tag string, pos int"))
+    got = {(r.source, r.candidate): r for r in R.pair_overlaps(spark.createDataFrame(pairs, "source long, candidate long"), prefs, offers).collect()}
+    share = {}
+    for i, c, t, w in tags:
+        share[i, c, t] = w / sum(x[3] for x in tags if x[:2] == (i, c))
+    mult = R.Weights().multipliers()
+    assert {a for a, _ in got} == {t[0] for t in tags}
+    for (a, b), r in got.items():
+        for c in R.VECTOR:
+            want = sum(min(v * mult[c], share[b, c, t]) for (i, k, t), v in share.items() if i == a and k == c and (b, c, t) in share)
+            assert r[f"o_{c}"] == pytest.approx(want, abs=1e-9)
