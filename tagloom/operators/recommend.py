@@ -409,7 +409,7 @@ def recommend_batch(candidates: DataFrame, item_tags: DataFrame, list_tags: Data
 
 def _percent(parts: dict[str, Column]) -> list[Column]:
     """100 x max(value, 0) over the sum of these; 0 where that is not positive, null where a value is."""
-    held = {name: F.greatest(v, F.lit(0.0)) for name, v in parts.items()}
+    held = {name: F.when(v < 0, 0.0).otherwise(v) for name, v in parts.items()}
     total = sum((F.coalesce(v, F.lit(0.0)) for v in held.values()), F.lit(0.0))
     return [F.when(v.isNull(), None).when(total > 0, F.round(v / total * 100.0, 6)).otherwise(0.0).alias(name) for name, v in held.items()]
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tagloom.functions.text import collapse_ws
+from tagloom.functions.weights import cosine
+from tagloom.operators.retrieval import hashed_tf_embedding
+from tagloom.plans.staging import stage
 
 # Patterns and phrases of the review rules.
 TEMPLATES = [r"---\{\s*graphics\s*\}---", r"---\{\s*gameplay\s*\}---", r"---\{\s*audio\s*\}---", r"---\{\s*price\s*\}---", r"---\{\s*bugs\s*\}---", r"---\{\s*\?\s*/\s*10\s*\}---"]
@@ -109,12 +112,36 @@ def systems_depth_bonus(text: Column) -> Column:
 
 
 def lexicon_scores(reviews: DataFrame, lexicon: DataFrame, id_col: str = "review_id", text_col: str = "text") -> DataFrame:
-    """(id, category, score): 2 for each core term in the lower-cased text, 1 for
-    context, 0.5 for modifiers, as the lexicon's weights say. The lexicon is a
-    fixed list that goes to all tasks."""
-    terms = F.broadcast(lexicon.select("category", "term", "weight").distinct())
-    hits = reviews.select(id_col, F.lower(text_col).alias("_t")).join(terms, F.contains(F.col("_t"), F.col("term")))
-    return hits.groupBy(id_col, "category").agg(F.sum("weight").alias("score"))
+    """(id, category, score): the summed weights of the lexicon's terms in the lower-cased text, as
+    2 for core terms, 1 for context, 0.5 for modifiers. The lexicon meets a text as one array, so that
+    no text is copied for each term."""
+    terms = lexicon.select("category", "term", "weight").distinct().agg(F.collect_list(F.struct("category", "term", "weight")).alias("_terms"))
+    held = reviews.select(id_col, F.lower(text_col).alias("_t")).crossJoin(F.broadcast(terms))  # one row
+    hits = held.select(id_col, F.explode(F.filter("_terms", lambda x: F.contains("_t", x["term"]))).alias("x"))
+    return hits.groupBy(id_col, F.col("x.category").alias("category")).agg(F.sum("x.weight").alias("score"))
+
+
+# How many of the best by score are read again, and the texts that they are held against.
+POOLS = {"descriptive": 30, "artistic": 30, "music": 30, "systems_depth": 40}
+PROMPTS = {
+    "descriptive": "a deep insightful review explaining why the game works or does not",
+    "artistic": "a review describing visuals art style aesthetics and design",
+    "music": "a review that clearly describes the soundtrack style, genre, instrumentation, or musical identity of the game rather than generic sound quality",
+    "systems_depth": "a review explaining the deeper systems, automation, optimization, routing, progression, mastery, or hidden depth that makes this game stand out from superficially similar games",
+}
+
+
+def _by_category(table: dict[str, int], other: int = 0) -> Column:
+    out = F.lit(other)
+    for c, n in table.items():
+        out = F.when(F.col("category") == c, n).otherwise(out)
+    return out
+
+
+def category_pools(scores: DataFrame, pools: dict[str, int]) -> DataFrame:
+    """scores(item_id, review_id, category, score) of the best of each item and category with a positive score, with their place `_r`."""
+    w = W.partitionBy("item_id", "category").orderBy(F.desc(F.round("score", 9)), "review_id")
+    return scores.where("score > 0").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= _by_category(pools))
 
 
 def sample_topk_per_category(scores: DataFrame, similarity: DataFrame | None = None, pool: int = 30, limits: dict[str, int] | None = None) -> DataFrame:
@@ -122,14 +149,25 @@ def sample_topk_per_category(scores: DataFrame, similarity: DataFrame | None = N
     `pool` with a positive score, then the best by `similarity`(review_id, category,
     sim), or by score without it, up to the category's limit."""
     limits = limits or CATEGORY_LIMITS
-    w = W.partitionBy("item_id", "category").orderBy(F.desc("score"), "review_id")
-    top = scores.where("score > 0").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= pool)
+    top = category_pools(scores, dict.fromkeys(limits, pool))
     top = top.join(similarity, ["review_id", "category"], "left") if similarity is not None else top.withColumn("sim", F.col("score"))
-    w = W.partitionBy("item_id", "category").orderBy(F.desc_nulls_last("sim"), "review_id")
-    limit = F.lit(0)
-    for c, n in limits.items():
-        limit = F.when(F.col("category") == c, n).otherwise(limit)
-    return top.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= limit).drop("_r", "sim")
+    return best_of_pools(top, limits)
+
+
+def best_of_pools(top: DataFrame, limits: dict[str, int]) -> DataFrame:
+    w = W.partitionBy("item_id", "category").orderBy(F.desc_nulls_last("sim"), "_r", "review_id")
+    return top.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= _by_category(limits)).drop("_r", "sim")
+
+
+def rerank_by_prompt(pool: DataFrame, encoder, prompts: dict[str, str] | None = None) -> DataFrame:
+    """`pool`(category, text, ...) with `sim`, the cosine of a text's vector and that of its category's prompt.
+    Only rows of the pool are encoded."""
+    prompt = F.lit(None).cast("string")
+    for c, text in (prompts or PROMPTS).items():
+        prompt = F.when(F.col("category") == c, F.lit(text)).otherwise(prompt)
+    # A prompt's vector is made once a category, not once a row.
+    spoken = pool.select("category").distinct().withColumn("_p", encoder(prompt))
+    return pool.join(F.broadcast(spoken), "category").withColumn("sim", F.round(cosine(encoder(F.col("text")), F.col("_p")), 9)).drop("_p")
 
 
 PRIORITY = ["systems_depth", "descriptive", "artistic", "music"]
@@ -147,16 +185,25 @@ def sample_union_cap(picked: DataFrame, per_category: int = 5, most: int = 14) -
     return first.withColumn("place", place).where(F.col("place") <= most).drop("_p", "_t", "_d")
 
 
-def sample_reviews(reviews: DataFrame, lexicon: DataFrame) -> DataFrame:
+def sample_reviews(reviews: DataFrame, lexicon: DataFrame, encoder=hashed_tf_embedding, strict: int = 50, relaxed: int = 20) -> DataFrame:
     """(item_id, status, place, category, review_id): filtered, scored and sampled
-    reviews; items without any keep one row with the reason in `status`."""
-    kept = filter_with_fallback(reviews).withColumn("text", strip_checkbox_emoji(F.col("text")))
-    rated = kept.withColumns({"q": quality_multiplier(F.col("text")), "depth": systems_depth_bonus(F.col("text"))}).where("q > 0")
-    scores = lexicon_scores(rated, lexicon).join(rated.select("review_id", "item_id", "q", "depth", "text"), "review_id").withColumn("score", F.col("score") * F.col("q"))
-    plain = scores.where(F.col("category").isin("descriptive", "artistic", "music")).select("item_id", "review_id", "category", "score")
-    deep = scores.groupBy("item_id", "review_id", "depth").agg((F.sum(F.when(F.col("category") == "explainability", F.col("score")).when(F.col("category") == "descriptive", F.col("score") * 0.5).otherwise(0.0)) + F.first("depth")).alias("score"))
-    all_scores = plain.unionByName(deep.select("item_id", "review_id", F.lit("systems_depth").alias("category"), "score"))
-    picked = sample_union_cap(sample_topk_per_category(all_scores).join(rated.select("review_id", "text"), "review_id"))
+    reviews; items without any keep one row with the reason in `status`.
+
+    Each category's best by score are read again: the nearest to its prompt by the encoder's vectors come first.
+    Depth counts even in a review without a word of the lexicon; an item of which no review has one has no sample."""
+    kept = filter_with_fallback(reviews, strict, relaxed).withColumn("text", strip_checkbox_emoji(F.col("text")))
+    rated = kept.withColumns({"q": quality_multiplier(F.col("text")), "depth": systems_depth_bonus(F.col("text"))}).where("q > 0").select("item_id", "review_id", "text", "q", "depth")
+    rated = stage(rated, "rated-reviews")
+    raw = lexicon_scores(rated, lexicon)
+    part = lambda c, w: F.sum(F.when(F.col("category") == c, F.col("score") * w).otherwise(0.0))
+    plain = ("descriptive", "artistic", "music")
+    per = raw.groupBy("review_id").agg(F.max("score").alias("most"), part("explainability", 1.0).alias("explainability"), *(part(c, 1.0).alias(c) for c in plain))
+    wide = rated.join(per, "review_id", "left").withColumn("_any", F.max(F.coalesce("most", F.lit(0.0))).over(W.partitionBy("item_id"))).where("_any > 0")
+    z = lambda c: F.coalesce(c, F.lit(0.0)) * F.col("q")
+    each = [F.struct(F.lit(c).alias("category"), z(c).alias("score")) for c in plain] + [F.struct(F.lit("systems_depth").alias("category"), (z("explainability") + z("descriptive") * 0.5 + F.col("depth")).alias("score"))]
+    scores = wide.select("item_id", "review_id", F.explode(F.array(*each)).alias("x")).select("item_id", "review_id", "x.category", "x.score")
+    pool = category_pools(scores, POOLS).join(rated.select("review_id", "text"), "review_id")
+    picked = sample_union_cap(best_of_pools(rerank_by_prompt(pool, encoder), CATEGORY_LIMITS))
     had = kept.select("item_id").distinct().withColumn("_k", F.lit(True))
     items = reviews.select("item_id").distinct().join(had, "item_id", "left")
     out = items.join(picked.select("item_id", "place", "category", "review_id"), "item_id", "left")

@@ -205,10 +205,11 @@ def crawl_yield_stop(log: DataFrame, group: str = "item_id") -> DataFrame:
     return dedupe_keep_first(x.withColumn("reason", rule).where("reason is not null"), [group], ["page"]).select(group, "page", "raw", "kept_total", "reason")
 
 
-def pick_distinct(scores: DataFrame, parent: str, group: str, label: str, score: str, limit: int, min_gap: float) -> DataFrame:
-    """The best label of each group in order of score, up to the first gap over `min_gap` and at most `limit`."""
-    best = dedupe_keep_first(scores, [parent, group], [F.desc(score), label])
-    order = W.partitionBy(parent).orderBy(F.desc(score), label)
+def pick_distinct(scores: DataFrame, parent: str, group: str, label: str, score: str, limit: int, min_gap: float, by: str | None = None) -> DataFrame:
+    """The best label of each group in order of score (or of the column `by`, where scores are rounded), up to the
+    first gap over `min_gap` and at most `limit`."""
+    best = dedupe_keep_first(scores, [parent, group], [F.desc(by or score), label])
+    order = W.partitionBy(parent).orderBy(F.desc(by or score), label)
     gap = F.coalesce((F.lag(score).over(order) - F.col(score) > min_gap).cast("int"), F.lit(0))
     x = best.withColumn("rnk", F.row_number().over(order)).withColumn("_gap", gap)
     return x.withColumn("_gaps", F.sum("_gap").over(order.rowsBetween(W.unboundedPreceding, 0))).where((F.col("_gaps") == 0) & (F.col("rnk") <= limit)).drop("_gap", "_gaps")

@@ -130,9 +130,26 @@ def sample_union_cap(spark, sf):
     return V.sample_union_cap(V.sample_topk_per_category(_scored(spark, sf)), most=6).select("item_id", "review_id", "category", "place")
 
 
-@query("sample_reviews")
+_VEC = "list_transform(range(97, 123), lambda i: CAST(length({0}) - length(replace({0}, chr(CAST(i AS INT)), '')) AS DOUBLE) ** 4)"
+_SAMPLED = f"""{_LEX}, {_FLAGS}, k AS (SELECT *, f1 AND w >= 50 AND f3 AND f4 AS s, f1 AND w >= 20 AND f3 AND f4 AS r FROM flags), m AS (SELECT *, max(s) OVER (PARTITION BY item_id) AS has FROM k),
+kept AS (SELECT item_id, review_id, regexp_replace(text, '[☐☑✅❌🔲]', '', 'g') AS text FROM m WHERE CASE WHEN has THEN s ELSE r END),
+rated AS (SELECT * FROM (SELECT item_id, review_id, text, CASE WHEN {_TPL} THEN 0.0e0 ELSE greatest((1.0e0 - least(0.25e0 * ({_FMT}), 0.5e0)) * CASE WHEN {_JOKE} THEN 0.55e0 ELSE 1.0e0 END + least(0.12e0 * ({_CON}), 0.36e0), 0.1e0) END AS q, CASE WHEN ({_DEP}) > 0 THEN least(1.25e0 + 0.45e0 * (({_DEP}) - 1), 4.0e0) ELSE 0.0e0 END AS depth
+ FROM (SELECT *, list_transform(regexp_extract_all(t, '[\\pL\\pN_]+'), lambda w: lower(w)) AS lw FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM kept) y) x) z WHERE q > 0),
+raw AS (SELECT review_id, item_id, category, sum(weight) AS score FROM rated JOIN lex ON contains(lower(text), term) GROUP BY ALL),
+scores AS (SELECT raw.item_id, raw.review_id, category, score * q AS score FROM raw JOIN rated ON raw.review_id = rated.review_id WHERE category <> 'explainability'
+ UNION ALL SELECT t.item_id, t.review_id, 'systems_depth', coalesce((SELECT sum(CASE category WHEN 'explainability' THEN score * q WHEN 'descriptive' THEN score * q * 0.5e0 END) FROM raw WHERE raw.review_id = t.review_id), 0) + depth FROM rated t WHERE item_id IN (SELECT item_id FROM raw)),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, category ORDER BY round(score, 9) DESC, review_id) AS r FROM scores WHERE score > 0) x WHERE r <= CASE category WHEN 'systems_depth' THEN 40 ELSE 30 END),
+prompts(category, prompt) AS (VALUES {', '.join(f"('{c}', '{t}')" for c, t in V.PROMPTS.items())}),
+near AS (SELECT * REPLACE (CASE WHEN isnan(sim) THEN 0 ELSE sim END AS sim) FROM (SELECT pool.*, trim(text, ' ') AS t, round(list_cosine_similarity({_VEC.format("text")}, {_VEC.format("prompt")}), 9) AS sim FROM pool JOIN rated ON pool.review_id = rated.review_id JOIN prompts ON pool.category = prompts.category) x),
+best AS (SELECT *, row_number() OVER (PARTITION BY item_id, category ORDER BY sim DESC, r, review_id) AS rnk, CASE category WHEN 'systems_depth' THEN 0 WHEN 'descriptive' THEN 1 WHEN 'artistic' THEN 2 ELSE 3 END AS pr FROM near),
+uniq AS (SELECT *, row_number() OVER (PARTITION BY item_id, t ORDER BY pr, rnk, review_id) AS d FROM best WHERE rnk <= CASE category WHEN 'descriptive' THEN 5 WHEN 'systems_depth' THEN 4 ELSE 2 END),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY pr, rnk, review_id) AS INT) AS place FROM uniq WHERE d = 1)"""
+
+
+@query("sample_reviews", f"""WITH {_SAMPLED} SELECT i.item_id, CASE WHEN place IS NOT NULL THEN 'ok' WHEN i.item_id IN (SELECT item_id FROM kept) THEN 'no_insightful_reviews' ELSE 'no_reviews_after_filtering' END AS status, place, category, review_id
+FROM (SELECT DISTINCT item_id FROM fx_reviews) i LEFT JOIN (SELECT * FROM placed WHERE place <= 14) p ON p.item_id = i.item_id""")
 def sample_reviews(spark, sf):
-    return V.sample_reviews(I.reviews(spark, sf), lexicon(spark))
+    return V.sample_reviews(I.reviews(spark, sf), lexicon(spark), _letters)
 
 
 @query("strip_checkbox_emoji", "SELECT review_id, CAST(length(replace(text, '☑', '')) AS INT) AS n FROM fx_reviews")
@@ -300,14 +317,45 @@ def zero_shot_join(spark, sf):
     return S.zero_shot_join(images, _label_vectors(spark, sf))
 
 
-@query("image_label_profile", f"""WITH {_ZERO}, best AS (SELECT * FROM (SELECT *, label % 4 AS grp, row_number() OVER (PARTITION BY item_id, label % 4 ORDER BY score DESC, label) AS k FROM zero) y WHERE k = 1),
-ranked AS (SELECT *, row_number() OVER w AS rnk, CASE WHEN lag(score) OVER w - score > 2 THEN 1 ELSE 0 END AS gap FROM best WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, label)),
-gaps AS (SELECT *, sum(gap) OVER (PARTITION BY item_id ORDER BY score DESC, label ROWS UNBOUNDED PRECEDING) AS n FROM ranked) SELECT item_id, grp AS "group", label, score, CAST(rnk AS INT) AS rnk FROM gaps WHERE n = 0 AND rnk <= 3""")
+#: Families, their styles, presentations and traits: mean vectors of slices of the embeddings.
+_SLICES = [("family", None, "'f' || label % 3", None, "true"), ("style", "'f' || label % 3", "'s' || label", None, "true"), ("presentation", None, "'p' || label", "'g' || label % 4", "vec_id % 2 = 0"), ("trait", None, "'t' || label", "'h' || label % 6", "vec_id % 2 = 1")]
+
+
+def _tree(select):
+    return " UNION ALL ".join(select.format(branch=b, parent=p or "CAST(NULL AS {s})", label=n, group=g or "CAST(NULL AS {s})", where=w) for b, p, n, g, w in _SLICES)
+
+
+_LABEL_TREE = "tree AS (" + _tree("SELECT '{branch}' AS branch, {parent} AS parent, {label} AS label, {group} AS grp, unnest(embedding::DOUBLE[]) AS v, unnest(range(len(embedding))) AS k FROM embeddings WHERE {where}").replace("{s}", "VARCHAR") + "), labels_ AS (SELECT branch, parent, label, grp, list(round(v, 6) ORDER BY k) AS e FROM (SELECT branch, parent, label, grp, k, avg(v) AS v FROM tree GROUP BY ALL) x GROUP BY ALL)"
+
+
+def _label_tree(spark, sf):
+    each = spark.sql(_tree("SELECT '{branch}' AS branch, {parent} AS parent, {label} AS label, {group} AS `group`, posexplode(embedding) AS (k, v) FROM {{e}} WHERE {where}").replace("{{e}}", "{e}").replace("{s}", "STRING"), e=R(spark, sf, "embeddings"))
+    x = each.groupBy("branch", "parent", "label", "group", "k").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("v"))
+    return x.groupBy("branch", "parent", "label", "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda z: z["v"]).alias("label_embedding"))
+
+
+def _picked(branch: str, most: int, gap: float) -> str:
+    """One branch's labels: the best of each group, up to a limit and a gap."""
+    b = branch[0]
+    return f"""{b}1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, grp ORDER BY exact DESC, label) AS k FROM scores WHERE branch = '{branch}') y WHERE k = 1),
+{b}2 AS (SELECT *, row_number() OVER w AS rnk, CASE WHEN lag(score) OVER w - score > {gap} THEN 1 ELSE 0 END AS gap FROM {b}1 WINDOW w AS (PARTITION BY item_id ORDER BY exact DESC, label)),
+{b}3 AS (SELECT item_id, string_agg(label, '|' ORDER BY rnk) AS labels FROM (SELECT *, sum(gap) OVER (PARTITION BY item_id ORDER BY rnk ROWS UNBOUNDED PRECEDING) AS n FROM {b}2) x WHERE n = 0 AND rnk <= {most} GROUP BY item_id)"""
+
+
+@query("image_label_profile", f"""WITH {_LABEL_TREE}, dots AS (SELECT vec_id // 10 AS item_id, vec_id AS image_id, branch, parent, labels_.label, grp, exp(round(list_dot_product(embedding::DOUBLE[], e), 9)) AS x FROM embeddings CROSS JOIN labels_),
+shares AS (SELECT *, x / CAST(sum(CAST(x AS DECIMAL(30,15))) OVER (PARTITION BY image_id, branch, parent) AS DOUBLE) AS p FROM dots),
+means AS (SELECT item_id, branch, parent, label, grp, CAST(sum(CAST(p AS DECIMAL(20,12))) AS DOUBLE) / count(*) AS m FROM shares GROUP BY ALL), scores AS (SELECT *, round(m, 9) AS exact, round(m * 100, 2) AS score FROM means),
+family AS (SELECT item_id, label AS render_family FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY exact DESC, label) AS k FROM scores WHERE branch = 'family') x WHERE k = 1),
+styles AS (SELECT s.item_id, max(CASE WHEN k = 1 THEN label END) AS a, max(CASE WHEN k = 2 THEN label END) AS b FROM (SELECT s.*, row_number() OVER (PARTITION BY s.item_id ORDER BY exact DESC, label) AS k FROM scores s JOIN family f ON s.item_id = f.item_id AND s.branch = 'style' AND parent = render_family) s GROUP BY s.item_id),
+{_picked('presentation', 2, 1.6)}, {_picked('trait', 4, 1.2)}
+SELECT f.item_id, render_family, coalesce(a, '') AS render_style_primary, coalesce(b, '') AS render_style_secondary, p3.labels AS presentation_style, t3.labels AS visual_traits FROM family f LEFT JOIN styles s ON s.item_id = f.item_id LEFT JOIN p3 ON p3.item_id = f.item_id LEFT JOIN t3 ON t3.item_id = f.item_id""")
 def image_label_profile(spark, sf):
-    from tagloom.operators.tables import pick_distinct
+    """Ten images an item; lists of labels are joined to texts."""
+    from tagloom.operators.images import image_label_profile
 
-    scores = zero_shot_join(spark, sf).withColumn("group", F.col("label") % 4)
-    return pick_distinct(scores, "item_id", "group", "label", "score", 3, 2.0).select("item_id", "group", "label", "score", "rnk")
+    images = _emb(spark, sf).select(F.floor(F.col("item_id") / 10).alias("item_id"), F.col("item_id").alias("image_id"), "embedding")
+    got = image_label_profile(images, _label_tree(spark, sf))
+    return got.withColumns({c: F.array_join(c, "|") for c in ("presentation_style", "visual_traits")})
 
 
 def _pre(where=""):
