@@ -186,77 +186,100 @@ def _code() -> Column:
     return out
 
 
-def _lists(packed: Column, fields: dict[str, str]) -> list[Column]:
-    return [packed[f].alias(name) for name, f in fields.items()]
+#: A packed tag is two whole numbers: 61 bits of its hash with three of its own (context code, or roles), and its
+#: weight: units, or for identity the bits of a double.
+_LOW = 7
+
+
+def _two_numbers(carried: list[str]):
+    """Batches of lists `hash`, `low`, `units` and `weight` to one binary column of packed tags."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            hashes, low, units, weight, exact = flat("hash"), flat("low"), flat("units"), flat("weight").astype(np.float64), flat("exact")
+            data = np.stack([(hashes.astype(np.int64) & ~_LOW) | low, np.where(exact, weight.view(np.int64), units)], axis=1).astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(np.asarray(batch.column("hash").value_lengths())))) * 16
+            blob = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), blob], names=[*carried, "packed"])
+
+    return run
+
+
+def _packed(lists: DataFrame, name: str) -> DataFrame:
+    carried = [c for c in lists.columns if c != "x"]
+    flat = lists.select(*carried, *(F.col("x")[f].alias(f) for f in ("hash", "low", "units", "weight", "exact")))
+    return flat.mapInArrow(_two_numbers(carried), lists.select(carried).schema.add("packed", "binary")).withColumnRenamed("packed", name)
 
 
 def packed_preferences(prefs: DataFrame) -> DataFrame:
-    """One row per base: source; lists want_ of its tags by context, preference and tag; sums of
+    """One row per base: source; its tags by context, preference and name, packed (want) and as texts (want_tag); sums of
     preferences t_ by kind as doubles; and which vector contexts have any (a_)."""
-    each = F.struct(_code().alias("code"), (-F.round("pref", 9)).alias("below"), "tag", F.xxhash64("context", "tag").alias("hash"), _units(F.col("pref")).alias("units"), "pref")
+    identity = F.col("context") == "identity"
+    each = F.struct(_code().alias("low"), (-F.round("pref", 9)).alias("below"), "tag", F.xxhash64("context", "tag").alias("hash"), _units(F.col("pref")).alias("units"), F.col("pref").alias("weight"), identity.alias("exact"))
     totals = [exact_sum(F.when(F.col("kind") == k, F.col("pref"))).alias(f"t_{k}") for k in ("genre", *SIGNALS)]
     active = [F.max(F.when(F.col("context") == c, 1).otherwise(0)).alias(f"a_{c}") for c in VECTOR]
-    packed = prefs.groupBy(F.col("item_id").alias("source")).agg(F.array_sort(F.collect_list(each)).alias("x"), *totals, *active)
-    return packed.select("source", *_lists(F.col("x"), {"want_hash": "hash", "want_code": "code", "want_units": "units", "want_pref": "pref", "want_tag": "tag"}), *(f"t_{k}" for k in ("genre", *SIGNALS)), *(f"a_{c}" for c in VECTOR))
+    lists = prefs.groupBy(F.col("item_id").alias("source")).agg(F.sort_array(F.collect_list(each)).alias("x"), *totals, *active)
+    return _packed(lists.withColumn("want_tag", F.col("x")["tag"]), "want")
 
 
 def packed_offers(offers: DataFrame) -> DataFrame:
-    """One row per candidate: lists have_ of its hashed tags in order of hash, with weights and roles
+    """One row per candidate: its tags in order of hash, packed (have), with their roles
     (bits: signature, anchor, micro). An item offers a tag of a context once."""
     roles = sum(((F.col(f"is_{r}") > 0).cast("int") * (1 << k) for k, r in enumerate(_ROLES.values())), F.lit(0))
-    each = F.struct(F.xxhash64("context", "tag").alias("hash"), F.col("w").alias("weight"), _units(F.col("w")).alias("units"), roles.alias("roles"))
-    packed = offers.groupBy(F.col("item_id").alias("candidate")).agg(F.array_sort(F.collect_set(each)).alias("x"))
-    return packed.select("candidate", *_lists(F.col("x"), {"have_hash": "hash", "have_weight": "weight", "have_units": "units", "have_roles": "roles"}))
-
-
-def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(name).flatten().to_numpy(zero_copy_only=False)
+    each = F.struct(F.xxhash64("context", "tag").alias("hash"), F.col("w").alias("weight"), _units(F.col("w")).alias("units"), roles.alias("low"), (F.col("context") == "identity").alias("exact"))
+    return _packed(offers.groupBy(F.col("item_id").alias("candidate")).agg(F.sort_array(F.collect_set(each)).alias("x")), "have")
 
 
-def _rows_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    """The row of each element of a list column; a null is an empty list."""
-    n = np.nan_to_num(np.asarray(batch.column(name).value_lengths().to_numpy(zero_copy_only=False), np.float64)).astype(np.int64)
-    return np.repeat(np.arange(len(n)), n)
+def _unpacked(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash with its low bits, weight) of the packed tags of a binary column; a null has none."""
+    column = batch.column(name)
+    if column.null_count:
+        column = column.fill_null(b"")
+    wide = pa.types.is_large_binary(column.type)
+    _, off, data = column.buffers()
+    ends = np.frombuffer(off, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 16
+    both = np.frombuffer(data, np.int64).reshape(-1, 2)[ends[0] : ends[-1]] if data is not None and ends[-1] else np.zeros((0, 2), np.int64)
+    return np.repeat(np.arange(len(column)), np.diff(ends)), both[:, 0], both[:, 1]
 
 
-def shared_tags(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(element of the batch's wanted lists, its row, element of the offered lists) of each tag that both sides of a pair have.
+def shared_tags(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(row, place among the batch's wanted tags, context code, wanted weight, roles, offered weight) of each tag that
+    both sides of a pair have.
 
     A row and the upper bits of a hash make one sorted key, so that all pairs are looked up at once; whole hashes decide."""
-    row_w, row_h = _rows_of(batch, "want_hash"), _rows_of(batch, "have_hash")
-    sign = np.uint64(1 << 63)
-    want, have = (_flat(batch, c).astype(np.int64).view(np.uint64) ^ sign for c in ("want_hash", "have_hash"))
-    bits = np.uint64(max(1, batch.num_rows - 1).bit_length())
-    key = lambda row, h: (row.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits)
-    ask, held = key(row_w, want), key(row_h, have)
+    row_w, want, given_w = _unpacked(batch, "want")
+    row_h, have, given_h = _unpacked(batch, "have")
+    sign, bits = np.uint64(1 << 63), np.uint64(max(1, batch.num_rows - 1).bit_length())
+    key = lambda row, h: (row.astype(np.uint64) << (np.uint64(64) - bits)) | ((h.view(np.uint64) ^ sign) >> bits)
+    bare_w, bare_h = np.ascontiguousarray(want & ~_LOW), np.ascontiguousarray(have & ~_LOW)
+    ask, held = key(row_w, bare_w), key(row_h, bare_h)
     at = np.searchsorted(held, ask)
-    out_w, out_h = [], []
-    open_ = np.flatnonzero(at < len(held))
-    while len(open_):  # again only where hashes of one row agree in their upper bits
-        open_ = open_[held[at[open_]] == ask[open_]]
-        same = have[at[open_]] == want[open_]
-        out_w.append(open_[same])
-        out_h.append(at[open_[same]])
-        open_ = open_[~same]
-        at[open_] += 1
-        open_ = open_[at[open_] < len(held)]
-    w = np.concatenate([np.zeros(0, np.int64), *out_w])
-    order = np.argsort(w, kind="stable")
-    w = w[order]
-    return w, row_w[w], np.concatenate([np.zeros(0, np.int64), *out_h])[order]
+    out = []
+    left = np.flatnonzero(at < len(held))
+    while len(left):  # again only where hashes of one row agree in their upper bits
+        left = left[held[at[left]] == ask[left]]
+        same = bare_h[at[left]] == bare_w[left]
+        out.append(np.stack([left[same], at[left[same]]]))
+        left = left[~same]
+        at[left] += 1
+        left = left[at[left] < len(held)]
+    w, h = np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1)
+    if len(out) > 1:
+        order = np.argsort(w, kind="stable")
+        w, h = w[order], h[order]
+    return row_w[w], w, want[w] & _LOW, given_w[w], have[h] & _LOW, given_h[h]
 
 
 def _overlaps(carried: list[str]):
-    """Batches of pairs with packed lists to their carried columns, overlaps o_ of every context and counts m_ of matched roles."""
+    """Batches of pairs with packed tags to their carried columns, overlaps o_ of every context and counts m_ of matched roles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, row, h = shared_tags(batch)
-            code, units, pref = (_flat(batch, c)[w] for c in ("want_code", "want_units", "want_pref"))
-            weight, most, roles = (_flat(batch, c)[h] for c in ("have_weight", "have_units", "have_roles"))
-            part = np.where(code < len(VECTOR), np.minimum(units, most), units)
+            row, _, code, wanted, roles, offered = shared_tags(batch)
+            part = np.where(code < len(VECTOR), np.minimum(wanted, offered), wanted)
             mine = code == _TAGS.index("identity")
-            part[mine] = np.floor(pref[mine] * np.minimum(weight[mine], 1.6) * UNITS + 0.5).astype(np.int64)
+            part[mine] = np.floor(wanted[mine].view(np.float64) * np.minimum(offered[mine].view(np.float64), 1.6) * UNITS + 0.5).astype(np.int64)
             # Whole numbers well below 2^53: their sums as doubles are exact.
             sums = np.bincount(row * len(_TAGS) + code, weights=part, minlength=batch.num_rows * len(_TAGS)).reshape(-1, len(_TAGS)) / float(UNITS)
             met = [np.bincount(row[mine & ((roles >> k) & 1 == 1)], minlength=batch.num_rows) for k in range(len(_ROLES))]
@@ -269,29 +292,25 @@ def _overlaps(carried: list[str]):
 def with_overlaps(rows: DataFrame) -> DataFrame:
     """Rows of pairs joined with both packed rows, with the overlap o_ of every context and
     counts m_ of matched roles in the place of the packed columns."""
-    carried = [c for c in rows.columns if not c.startswith(("want_", "have_"))]
+    carried = [c for c in rows.columns if c not in ("want", "want_tag", "have")]
     schema = rows.select(carried).schema
     for k in _TAGS:
         schema = schema.add(f"o_{k}", "double")
     for m in _ROLES:
         schema = schema.add(m, "long")
-    used = ["want_hash", "want_code", "want_units", "want_pref", "have_hash", "have_weight", "have_units", "have_roles"]
-    return rows.select(*carried, *used).mapInArrow(_overlaps(carried), schema)
+    return rows.select(*carried, "want", "have").mapInArrow(_overlaps(carried), schema)
 
 
 def joined_by_size(pairs: DataFrame, packed: DataFrame, key: str, how: str = "inner", limit: int = 48 << 20) -> DataFrame:
     """`pairs` joined with a written table of one row per item: by broadcast while the rows, counted in bytes of
-    their lists, are within `limit`; beyond it by hashed partitions, which AQE splits where an item has very many pairs."""
-    lists = [c for c, t in packed.dtypes if t.startswith("array")]
-    width = sum((F.coalesce(F.size(c), F.lit(0)) * 16 for c in lists), F.lit(8 * len(packed.columns)))
+    their packed tags and texts, are within `limit`; beyond it by hashed partitions, which AQE splits where an item has very many pairs."""
+    width = sum((F.coalesce(F.length(c) if t in ("binary", "string") else F.size(c) * 24, F.lit(0)) for c, t in packed.dtypes if t in ("binary", "string") or t.startswith("array")), F.lit(8 * len(packed.columns)))
     size = packed.agg(F.sum(width.cast("long"))).first()[0] or 0
     return pairs.join(F.broadcast(packed) if size <= limit else packed.hint("shuffle_hash"), key, how)
 
 
 def _both_packed(pairs: DataFrame, sources: DataFrame, offered: DataFrame) -> DataFrame:
-    none = {"have_hash": "array<bigint>", "have_weight": "array<double>", "have_units": "array<bigint>", "have_roles": "array<int>"}
-    rows = joined_by_size(joined_by_size(pairs, sources, "source"), offered, "candidate", "left")
-    return rows.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in none.items()})
+    return joined_by_size(joined_by_size(pairs, sources, "source"), offered, "candidate", "left")
 
 
 def pair_overlaps(pairs: DataFrame, prefs: DataFrame, offers: DataFrame) -> DataFrame:
@@ -403,7 +422,7 @@ def recommend_batch(candidates: DataFrame, item_tags: DataFrame, list_tags: Data
     if not explained:
         return best.select(*told)
     matched = [f"matched_{c}" for c in MATCHED]
-    best = with_matched_tags(_both_packed(Staged(best.select(*told, *shares(mult, comp)), "best").df, sources.select("source", "want_hash", "want_code", "want_tag"), offered.select("candidate", "have_hash", "have_weight", "have_units", "have_roles")))
+    best = with_matched_tags(_both_packed(Staged(best.select(*told, *shares(mult, comp)), "best").df, sources.select("source", "want", "want_tag"), offered.select("candidate", "have")))
     return best.select("source", "candidate", "name", *shown, "total_score", "rnk", *(c for c in best.columns if c.startswith(("share_", "part_"))), *matched)
 
 
@@ -432,13 +451,12 @@ def with_matched_tags(rows: DataFrame, limits: dict[str, int] | None = None) ->
     """Rows of pairs joined with both packed rows, with lists matched_ of the shared tags of each
     context, by preference and tag, in the place of the packed columns."""
     limits = limits or MATCHED
-    carried = [c for c in rows.columns if not c.startswith(("want_", "have_"))]
+    carried = [c for c in rows.columns if c not in ("want", "want_tag", "have")]
     most = np.array([limits.get(c, 0) for c in _TAGS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, row, _ = shared_tags(batch)
-            code = _flat(batch, "want_code")[w]
+            row, w, code, *_ = shared_tags(batch)
             cell = row * len(_TAGS) + code  # a row's wanted tags stand by context and then by preference
             first = np.searchsorted(cell, cell)
             kept = np.arange(len(cell)) - first < most[code]
@@ -454,7 +472,7 @@ def with_matched_tags(rows: DataFrame, limits: dict[str, int] | None = None) ->
     schema = rows.select(carried).schema
     for c in limits:
         schema = schema.add(f"matched_{c}", ArrayType(StringType()))
-    return rows.select(*carried, "want_hash", "want_code", "want_tag", "have_hash").mapInArrow(run, schema)
+    return rows.select(*carried, "want", "want_tag", "have").mapInArrow(run, schema)
 
 
 def matched_tags_topk(pairs: DataFrame, prefs: DataFrame, offers: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
@@ -462,7 +480,7 @@ def matched_tags_topk(pairs: DataFrame, prefs: DataFrame, offers: DataFrame, lim
     vector context, 4 of identity and setting, 3 of music. A source's tags are put in order
     once; a pair keeps the first ones that its candidate has."""
     limits = limits or MATCHED
-    wanted = Staged(packed_preferences(prefs).select("source", "want_hash", "want_code", "want_tag"), "preferences").df
+    wanted = Staged(packed_preferences(prefs).select("source", "want", "want_tag"), "preferences").df
     rows = with_matched_tags(_both_packed(pairs.select("source", "candidate"), wanted, Staged(packed_offers(offers), "offers").df), limits)
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("context"), F.col(f"matched_{c}").alias("tags")) for c in limits)))
     return rows.select("source", "candidate", each.alias("x")).select("source", "candidate", "x.context", "x.tags").where(F.size("tags") > 0)
