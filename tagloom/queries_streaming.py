@@ -10,17 +10,13 @@ from tagloom.sources import inputs as I
 from tagloom.streaming import activity as A
 
 
-#: Longer than the table: no row is late.
-LONG = "60 days"
-
-
 def _events(spark, sf):
     return I.read(spark, sf, "events")
 
 
 def _stream(spark, sf, at_once=1):
     e = _events(spark, sf)
-    return A.read_activity(spark, A.as_files(e.select("event_id", "ts", "user_id", "event_type", "value", "props")), files_per_trigger=at_once)
+    return A.as_files(e.select("event_id", "ts", "user_id", "event_type", "value", "props")).stream(spark, at_once)
 
 
 def _updated(spark, stream, keys):
@@ -62,13 +58,13 @@ def stream_sessions(spark, sf):
 def stream_dedupe(spark, sf):
     e = _events(spark, sf)
     twice = e.unionByName(e.where("event_id % 3 = 0")).select("event_id", "ts", "user_id", "event_type", "value", "props")
-    stream = A.read_activity(spark, A.as_files(twice))
-    return spark.read.parquet(A.run_once(A.dedupe(stream, ["event_id"], LONG).select("event_id", "event_type")))
+    stream = A.as_files(twice).stream(spark)
+    return spark.read.parquet(A.run_once(A.dedupe(stream, ["event_id"], "1 hour").select("event_id", "event_type")))
 
 
 @query("stream_upsert", "SELECT user_id, arg_max(event_id, ts) AS event_id FROM events GROUP BY user_id")
 def stream_upsert(spark, sf):
-    table = A.UpsertTable(spark, A._fresh(spark, "upsert"), ["user_id"], ["ts", "event_id"])
+    table = A.UpsertTable(spark, A._fresh(spark, "upsert"), ["user_id"], ["ts", "event_id"], schema="user_id long, event_id long, ts timestamp")
     A.run_once(_stream(spark, sf).select("user_id", "event_id", "ts"), each=table.write)
     return table.read().select("user_id", "event_id")
 
@@ -76,8 +72,8 @@ def stream_upsert(spark, sf):
 @query("stream_click_join", "SELECT a.user_id, a.event_id AS shown_id, b.event_id AS click_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL '10 minutes'")
 def stream_click_join(spark, sf):
     e = _events(spark, sf).select("event_id", "ts", "user_id", "event_type", "value", "props")
-    path = A.as_files(e)
-    joined = A.click_join(A.read_activity(spark, path, files_per_trigger=8).where("event_type = 'view'"), A.read_activity(spark, path, files_per_trigger=8).where("event_type = 'click'"))
+    fed = A.as_files(e)
+    joined = A.click_join(fed.stream(spark, 8).where("event_type = 'view'"), fed.stream(spark, 8).where("event_type = 'click'"))
     return spark.read.parquet(A.run_once(joined))
 
 
@@ -96,6 +92,6 @@ def stream_late_data(spark, sf):
     them the stream says it has dropped (it counts a file's rows of one window once)."""
     e = _events(spark, sf).select("event_id", "ts", "user_id", "event_type", "value", "props")
     part = F.col("event_id") % 7
-    path = A.as_batches([e.where(part > 1), e.where(part == 1), e.where(part == 0)])  # lateness is judged by the watermark of the batch before
-    out, dropped = A.run_once(A.events_by_type(A.read_activity(spark, path)), counts=["numRowsDroppedByWatermark"])
+    fed = A.as_batches([e.where(part > 1), e.where(part == 1), e.where(part == 0)])  # lateness is judged by the watermark of the batch before
+    out, dropped = A.run_once(A.events_by_type(fed.stream(spark)), counts=["numRowsDroppedByWatermark"])
     return spark.read.parquet(out).withColumn("dropped", F.lit(dropped).cast("long"))

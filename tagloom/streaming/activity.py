@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, va
 
 
 def read_activity(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, fmt: str = "parquet", files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).format(fmt).load(path)
 
 
 def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,8 +71,9 @@ class UpsertTable:
     last is kept, so that a batch that is run again finds what it found at first and
     writes the same folders again."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], buckets: int = 64) -> None:
-        self.spark, self.path, self.keys, self.order, self.buckets = spark, path, keys, order, buckets
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], buckets: int = 64, schema: str | None = None) -> None:
+        """`buckets` bounds the tasks of a batch, and stays what it was at first; `schema` is that of a table nothing was written to."""
+        self.spark, self.path, self.keys, self.order, self.buckets, self.schema = spark, path, keys, order, buckets, schema
 
     def _folders(self) -> dict[int, list[int]]:
         """The batches of each bucket, in order."""
@@ -87,6 +89,8 @@ class UpsertTable:
         return self.spark.read.option("basePath", self.path).parquet(*(f"{self.path}/bucket={b}/batch={k}" for b, k in parts)).drop("bucket", "batch")
 
     def read(self) -> DataFrame:
+        if self.schema and not self._folders():
+            return self.spark.createDataFrame([], self.schema)
         return self._read([(b, k[-1]) for b, k in self._folders().items()])
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
@@ -110,21 +114,43 @@ def _fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tagloom-{name}-{uuid.uuid4().hex}"
 
 
-def as_files(events: DataFrame, files: int = 4) -> str:
-    """Writes a bounded table as several files, one after the other and in order of time, to be streamed."""
+class Fed(NamedTuple):
+    """A folder of batches to be streamed: `files` of them a trigger make one batch."""
+
+    path: str
+    files: int
+
+    def stream(self, spark: SparkSession, batches: int = 1) -> DataFrame:
+        return read_activity(spark, self.path, files_per_trigger=self.files * batches)
+
+
+def as_files(events: DataFrame, batches: int = 4, rows_per_file: int = 500_000) -> Fed:
+    """Writes a bounded table as several batches, one after the other and in order of time, to be streamed."""
     seconds = F.coalesce(F.col("ts").cast("timestamp").cast("double"), F.lit(float("inf")))  # rows without a time come last
-    cuts = events.select(seconds.alias("s")).approxQuantile("s", [k / files for k in range(1, files)], 0.01) if files > 1 else []
+    cuts = events.select(seconds.alias("s")).approxQuantile("s", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = [None, *cuts, None]
     inside = [(F.lit(True) if a is None else seconds > a) & (F.lit(True) if b is None else seconds <= b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return as_batches([events.where(c) for c in inside])
+    return as_batches([events.where(c) for c in inside], rows_per_file)
 
 
-def as_batches(parts: list[DataFrame]) -> str:
-    """Writes each table as a file of one folder, in the order given, which is that of a stream of one file a trigger."""
+def as_batches(parts: list[DataFrame], rows_per_file: int = 500_000) -> Fed:
+    """Writes each table as a batch of one folder, in the order given. A file source knows files only, by their
+    time, so that every batch is as many files: what the largest needs at `rows_per_file`, each written by a task of its
+    own, or as many as the smallest has rows. Empty tables are no batch."""
     path = _fresh(parts[0].sparkSession, "stream")
-    for p in parts:
-        p.coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(path)
-    return path
+    counted = [(p, n) for p in parts if (n := p.count())]
+    if not counted:
+        parts[0].limit(0).write.parquet(path)
+        return Fed(path, 1)
+    files = min(-(-max(n for _, n in counted) // rows_per_file), min(n for _, n in counted))
+    for k, (p, n) in enumerate(counted):
+        if files == 1:
+            p.coalesce(1).sortWithinPartitions("ts").write.parquet(f"{path}/b{k:06d}")
+            continue
+        # Ids are dense in one partition, so that few rows fill all files too.
+        slot = (p.coalesce(1) if n < 100 * files else p).withColumn("_slot", F.pmod(F.monotonically_increasing_id(), F.lit(files)))
+        slot.repartition(files, "_slot").sortWithinPartitions("_slot", "ts").write.partitionBy("_slot").parquet(f"{path}/b{k:06d}")
+    return Fed(path, files)
 
 
 def run_once(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, counts: list[str] | None = None):
@@ -141,14 +167,21 @@ def run_once(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
     else:
         writer = writer.outputMode(mode).foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}"))
     query = writer.start()
-    query.awaitTermination()
+    seen: dict[int, list] = {}  # by batch: a query itself keeps its last hundred only
+    while True:
+        ended = query.awaitTermination(0.5)
+        for p in query.recentProgress if counts is not None else []:
+            if p["batchId"] not in seen or p["stateOperators"]:
+                seen[p["batchId"]] = p["stateOperators"]
+        if ended:
+            break
     if query.exception() is not None:
         raise query.exception()
-    return out if counts is None else (out, *(sum(int(op.get(c, 0)) for p in query.recentProgress for op in p["stateOperators"]) for c in counts))
+    return out if counts is None else (out, *(sum(int(op.get(c, 0)) for ops in seen.values() for op in ops) for c in counts))
 
 
 def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     """The newest row of each key among the batches that update mode wrote."""
-    rows = spark.read.parquet(out)
+    rows = spark.read.option("basePath", out).parquet(out)
     newest = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("batch")))
     return rows.withColumn("_r", newest).where("_r = 1").drop("_r", "batch")

@@ -381,3 +381,22 @@ def test_recommend_equals_plain_loops_on_many_tags(spark):
         for c in R.VECTOR:
             want = sum(min(v * mult[c], share[b, c, t]) for (i, k, t), v in share.items() if i == a and k == c and (b, c, t) in share)
             assert r[f"o_{c}"] == pytest.approx(want, abs=1e-9)
+
+
+def test_streams_of_an_empty_table_have_no_rows(spark, tmp_path):
+    from tagloom.all_queries import QUERIES
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["stream_upsert"](spark, str(tmp_path)).collect() == []
+    assert QUERIES["stream_activity_source"](spark, str(tmp_path)).collect() == []
+
+
+def test_a_streams_batches_are_as_many_files_each(spark):
+    from tagloom.streaming import activity as A
+
+    e = spark.range(3000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("a").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"))
+    fed = A.as_batches([e.where("event_id < 2500"), e.where("event_id >= 2500 and event_id < 2507"), e.where("event_id > 9000"), e.where("event_id >= 2507")], rows_per_file=500)
+    assert fed.files == 5
+    seen = []
+    A.run_once(fed.stream(spark), each=lambda df, k: seen.append(sorted(r.event_id for r in df.select("event_id").collect())))
+    assert seen == [list(range(2500)), list(range(2500, 2507)), list(range(2507, 3000))]
