@@ -13,7 +13,7 @@ from tagloom.plans.staging import stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line model scores at 0.7 or more stay."""
     model = line_crf.train(docs, table(spark, sf_dir, "labels"))
-    return line_crf.keep_good(docs, model, 0.7).select(docs.columns)
+    return line_crf.keep_good(docs, model, 0.7)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -280,8 +280,9 @@ def score(docs: DataFrame, model: LineCrf, text_col: str = "text", score_col: st
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(parts))], names=[*carried, score_col])
 
     carried = keep
-    schema = docs.select(keep).schema.add(score_col, "double")
-    return bounded_batches(docs).select(keep).mapInArrow(run, schema)
+    quoted = [f"`{c}`" for c in keep]  # a name may hold a dot
+    schema = docs.select(quoted).schema.add(score_col, "double")
+    return bounded_batches(docs).select(quoted).mapInArrow(run, schema)
 
 
 def score_slim(docs: DataFrame, model: LineCrf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,5 +299,8 @@ def score_slim(docs: DataFrame, model: LineCrf, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, model: LineCrf, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose score reaches the threshold."""
-    return score(docs, model, text_col, "_quality").where(F.col("_quality") >= threshold).drop("_quality")
+    """The rows of `docs` whose score reaches the threshold, with all their columns, whatever their names."""
+    own = "_quality"
+    while own in docs.columns:
+        own += "_"
+    return score(docs, model, text_col, own).where(F.col(own) >= threshold).drop(own)

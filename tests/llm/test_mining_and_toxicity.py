@@ -96,3 +96,12 @@ def test_a_words_vectors_are_near_those_of_its_misspellings(model):
     near = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
     word = model.word_vector("pathetic")
     assert near(word, model.word_vector("pathettic")) > 0.8 and near(word, model.word_vector("pathettic")) > near(word, model.word_vector("the"))
+
+
+def test_quality_keeps_columns_of_clashing_and_dotted_names(spark):
+    from tagloom.llm import line_crf
+
+    model = line_crf.LineCrf(np.zeros(3 * len(line_crf.OWN) + 3), np.zeros((2, 2)), np.zeros(2), (1.0, 0.0), 0.9)
+    docs = spark.createDataFrame([(1, "", 5, "x"), (2, "a line", 6, "y")], "doc_id long, text string, _quality int, `a.b` string")
+    got = line_crf.keep_good(docs, model, 0.7)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "", 5, "x")]
