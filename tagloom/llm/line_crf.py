@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tagloom.llm.tables import bounded_batches, held_out
 from tagloom.llm.textblocks import blocks, codepoints, lookup, mix, through, utf8
@@ -271,18 +272,18 @@ def score(docs: DataFrame, model: LineCrf, text_col: str = "text", score_col: st
     text is of good quality. Null, empty and blank texts get the share of good
     among such texts of the sample, smoothed. The column replaces one of its name."""
     keep = [c for c in docs.columns if c != score_col]
+    # Columns go to the workers under plain names: a name may hold a dot.
+    plain = [f"c{k}" for k in range(len(keep))]
+    at = plain[keep.index(text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = utf8(batch.column(text_col))
+            raw, off = utf8(batch.column(at))
             parts = [np.zeros(0), *(score_texts(model, raw[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in blocks(off))]
-            columns = [batch.column(c) for c in carried]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(parts))], names=[*carried, score_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), pa.array(np.concatenate(parts))], names=[*plain, "score"])
 
-    carried = keep
-    quoted = [f"`{c}`" for c in keep]  # a name may hold a dot
-    schema = docs.select(quoted).schema.add(score_col, "double")
-    return bounded_batches(docs).select(quoted).mapInArrow(run, schema)
+    rows = bounded_batches(docs).select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, plain, strict=True)))
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField("score", DoubleType())])).toDF(*keep, score_col)
 
 
 def score_slim(docs: DataFrame, model: LineCrf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
