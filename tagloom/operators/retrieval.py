@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from tagloom.functions.text import norm_search_text, trigrams
@@ -49,11 +50,98 @@ def knn_join(emb: DataFrame, k: int, id_col: str = "item_id", vector: str = "emb
         return emb.sparkSession.createDataFrame([], "source long, candidate long, score double, rnk int")
     block_rows = block_rows or rows_for(emb.sparkSession.sparkContext.defaultParallelism, wide[0], max(256, min(8192, (4 << 20) // (8 * max(1, wide[1])))))
     group = (F.col(by) if by else F.lit(0)).cast("string")
-    cut = lambda d: d.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull() & group.isNotNull()).select(group.alias("g"), F.col(id_col).cast("long").alias("id"), F.lit(0.0).alias("tie"), F.col(vector).alias("v"))
+    cut = lambda d: _vector_rows(d, group, id_col, vector)
     rows = cut(emb)
     return block_topk(rows if queries is None else cut(queries), rows, k, _vectors, _cosines, block_rows).drop("g")
 
 
+def _vector_rows(df: DataFrame, group: Column, id_col: str, vector: str) -> DataFrame:
+    return df.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull() & group.isNotNull()).select(group.alias("g"), F.col(id_col).cast("long").alias("id"), F.lit(0.0).alias("tie"), F.col(vector).alias("v"))
+
+
+def projection_codes(rows: DataFrame, vector: str, width: int, tables: int, bits: int, probes: int, seed: int = 17) -> DataFrame:
+    """`rows` once for each hash table and probe, with the cell `g` of each: the signs of `bits` random projections. The first
+    probe is a vector's own cell; the others turn the sign of one projection each, those nearest to zero first."""
+    planes = np.random.default_rng(seed).normal(size=(tables * bits, width))
+    kept = [c for c in rows.columns]
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            column = batch.column(vector)
+            x = np.asarray(column.flatten(), np.float64).reshape(n, -1) if n else np.zeros((0, width))
+            seen = (x @ planes.T).reshape(n, tables, bits)
+            own = ((seen > 0) << np.arange(bits)).sum(axis=2)
+            flips = np.argsort(np.abs(seen), axis=2, kind="stable")[:, :, : max(0, probes - 1)]
+            cells = np.concatenate([own[:, :, None], own[:, :, None] ^ (1 << flips)], axis=2)
+            per = cells.shape[2]
+            take = pa.array(np.repeat(np.arange(n), tables * per))
+            names = np.char.add(np.char.add(np.tile(np.repeat(np.arange(tables), per), n).astype(str), ":"), cells.reshape(-1).astype(str))
+            for a in range(0, len(take), 50_000):
+                part = slice(a, a + 50_000)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take[part]) for c in kept), pa.array(names[part])], names=[*kept, "g"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField("g", StringType())]))
+
+
+def knn_join_hashed(emb: DataFrame, k: int, id_col: str = "item_id", vector: str = "embedding", queries: DataFrame | None = None, tables: int = 8, probes: int = 4, cell_rows: int = 2_000, bits: int | None = None) -> DataFrame:
+    """(source, candidate, score, rnk): nearest rows by cosine as `knn_join` has them, most of them, for work that
+    grows with the rows and not with their square.
+
+    Every row stands in one cell of each of `tables` hash tables of random projections, with as many bits as leave
+    about `cell_rows` rows a cell; a source looks into `probes` cells of each. Rows of one cell meet in blocks, so that a cell of very many
+    rows is the work of many tasks. Scores and ranks are exact among the rows met; `knn_join` is the exact way, taken too
+    where looking into so many cells would cost as much."""
+    held = emb.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull())
+    n, wide = held.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
+    if bits is None:
+        bits = max(0, int(np.ceil(np.log2(max(1, (n or 0) / cell_rows)))))
+        bits = bits if tables * min(probes, bits + 1) < 1 << bits else 0
+    if not n or not bits:
+        return knn_join(emb, k, id_col, vector, queries)
+    probes = min(probes, bits + 1)
+    block_rows = rows_for(emb.sparkSession.sparkContext.defaultParallelism, n, max(256, min(8192, (4 << 20) // (8 * max(1, wide)))))
+    cells = lambda df, seen: projection_codes(_vector_rows(df, F.lit("").cast("string"), id_col, vector).drop("g"), "v", wide, tables, bits, seen)
+    best = block_topk(cells(held if queries is None else queries, probes), cells(held, 1), k, _vectors, _cosines, block_rows)
+    once = best.groupBy("source", "candidate").agg(F.max("score").alias("score"))
+    order = W.partitionBy("source").orderBy(F.desc("score"), "candidate")
+    return once.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k)
+
+
+def refresh_neighbors(lists: DataFrame, emb: DataFrame, changed: DataFrame, gone: DataFrame, k: int, id_col: str = "item_id", vector: str = "embedding") -> DataFrame:
+    """The neighbour lists that differ after a change, whole: (source, candidate, score, rnk), rows of what
+    `knn_join(emb, k)` gives, with the sources that have no list any more as rows of a null candidate.
+
+    lists: (source, candidate, score, rnk) before; emb: all vectors now; changed(id): new items and those of another vector;
+    gone(id): deleted items. Changed items meet all, and all meet the changed ones; only lists that lost a member
+    are made anew. So the work is that of changed x all, not all x all. Write the result with `replace_by_key` on `source`."""
+    new = emb.join(changed.select(F.col(id_col)).distinct(), id_col, "left_semi")
+    out_of_date = changed.select(F.col(id_col).alias("candidate")).unionByName(gone.select(F.col(id_col).alias("candidate"))).distinct()
+    lost = lists.join(out_of_date, "candidate", "left_semi").select(F.col("source").alias(id_col)).distinct()
+    again = Staged(lost.unionByName(changed.select(id_col)).distinct().join(gone.select(id_col), id_col, "left_anti"), "neighbours-again").df
+    made = knn_join(emb, k, id_col, vector, queries=emb.join(again, id_col, "left_semi"))
+    rest = emb.join(again, id_col, "left_anti")
+    met = _against(rest, new, k, id_col, vector)
+    touched = met.select("source").distinct()
+    merged = lists.join(touched, "source", "left_semi").select("source", "candidate", "score").unionByName(met.select("source", "candidate", "score"))
+    order = W.partitionBy("source").orderBy(F.desc("score"), "candidate")
+    merged = merged.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k)
+    # A list to which nothing new has come near stays as it is.
+    entered = Staged(merged, "neighbours-merged").df
+    moved = entered.join(new.select(F.col(id_col).alias("candidate")), "candidate", "left_semi").select("source").distinct()
+    ended = lists.select("source").distinct().join(gone.select(F.col(id_col).alias("source")), "source", "left_semi")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("candidate", "long"), ("score", "double"), ("rnk", "int"))]
+    return made.unionByName(entered.join(moved, "source", "left_semi").select("source", "candidate", "score", "rnk")).unionByName(ended.select("source", *none))
+
+
+def _against(sources: DataFrame, candidates: DataFrame, k: int, id_col: str, vector: str) -> DataFrame:
+    """The `k` nearest of `candidates` for each of `sources`, two tables."""
+    n, wide = candidates.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
+    block_rows = rows_for(sources.sparkSession.sparkContext.defaultParallelism, n or 0, max(256, min(8192, (4 << 20) // (8 * max(1, wide or 1)))))
+    group = F.lit("0")
+    return block_topk(_vector_rows(sources, group, id_col, vector), _vector_rows(candidates, group, id_col, vector), k, _vectors, _cosines, block_rows).drop("g")
+
+
 def _tag_lists(table: pa.Table) -> bytes:
     """For each predicate the (tag, row) of a block's asks and gives, in order of tag."""
     out = []

@@ -21,6 +21,7 @@ from tagloom.operators.graph import connected_components
 from tagloom.queries_reports import GROUPS, norm_sql, tokens_sql
 from tagloom.queries_scoring import _CONF, _JOINED, _OFFERS, _PREFS, _SCORES
 from tagloom.queries_tables import _fresh, _groups
+from tagloom.plans.staging import stage
 from tagloom.registry import query
 from tagloom.sources import inputs as I
 
@@ -297,6 +298,26 @@ def precompute_candidates(spark, sf):
     return S.knn_join(_emb(spark, sf), 300).select("source", "candidate", "rnk")
 
 
+@query("knn_join_hashed")
+def knn_join_hashed(spark, sf):
+    e = _emb(spark, sf)
+    return S.knn_join_hashed(e, 10, queries=e.where("item_id % 20 = 0"), bits=5).select("source", "candidate", "rnk")
+
+
+_NOW = "e AS (SELECT vec_id, CASE WHEN vec_id % 13 = 5 THEN list_reverse(embedding::DOUBLE[]) ELSE embedding::DOUBLE[] END AS v FROM embeddings WHERE vec_id % 17 <> 3)"
+
+
+@query("refresh_neighbors", f"WITH {_NOW} SELECT source, candidate, CAST(rnk AS INT) AS rnk FROM (SELECT a.vec_id AS source, b.vec_id AS candidate, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id) AS rnk FROM e a JOIN e b ON a.vec_id <> b.vec_id) x WHERE rnk <= 10")
+def refresh_neighbors(spark, sf):
+    """Some items go, some are new and some get another vector; the lists that this changes take the place of the old ones."""
+    e = _emb(spark, sf)
+    old = e.where("item_id % 11 <> 7")
+    now = e.where("item_id % 17 <> 3").withColumn("embedding", F.when(F.col("item_id") % 13 == 5, F.reverse("embedding")).otherwise(F.col("embedding")))
+    lists = stage(S.knn_join(old, 10), "lists")
+    part = S.refresh_neighbors(lists, now, now.where("item_id % 11 = 7 or item_id % 13 = 5").select("item_id"), old.where("item_id % 17 = 3").select("item_id"), 10)
+    return B.replace_by_key(lists, stage(part, "slice"), ["source"]).where("candidate is not null").select("source", "candidate", "rnk")
+
+
 _LABELS = "lab AS (SELECT label, k, avg(v) AS v FROM (SELECT label, unnest(embedding::DOUBLE[]) AS v, unnest(range(len(embedding))) AS k FROM embeddings) x GROUP BY label, k), labels_ AS (SELECT label, list(round(v, 6) ORDER BY k) AS e FROM lab GROUP BY label)"
 
 
