@@ -29,14 +29,18 @@ def collapse_normalized(raw: DataFrame) -> DataFrame:
     return x.groupBy("context", "norm").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("tag", "n"))).alias("members"))
 
 
+#: Least Jaccard similarity at which a seed absorbs a tag.
+_ALIKE = 0.66
+
+
 def merge_surface_variants(tags: DataFrame, most: int = 50_000) -> DataFrame:
     """(context, base, norm): the seed that absorbs each normalised tag.
 
     Within a bucket of (last token, number of tokens), seeds in order of count,
     length and tag absorb later tags of Jaccard similarity 0.66 or more. With
     fewer than five tokens that means equal token sets, which needs no bucket:
-    only longer tags, and those with a repeated token, go through a grouped
-    pandas step. A bucket of over `most` tags is an error.
+    only longer tags, and those with a repeated token, are compared: in a grouped pandas step where a bucket
+    has at most `most` of them, else in rounds over all machines (`absorbed_in_rounds`), with the same result.
     """
     x = tags.withColumns({"toks": tokenize_tag("norm"), "head": head_token("norm")}).withColumn("len", F.size("toks"))
     plain = (F.col("len") < 5) & (F.size(F.array_distinct("toks")) == F.col("len"))
@@ -45,23 +49,61 @@ def merge_surface_variants(tags: DataFrame, most: int = 50_000) -> DataFrame:
     short = easy.select("context", F.first("norm").over(order).alias("base"), "norm")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError("a bucket has more tags than the bound")
         rows = sorted(((-n, len(t), t, frozenset(k)) for t, n, k in zip(pdf["norm"], pdf["n"], pdf["toks"], strict=True)))
         left, out = rows, []
         while left:
             seed, rest = left[0], []
             out.append((seed[2], seed[2]))
             for r in left[1:]:
-                if len(seed[3] & r[3]) / len(seed[3] | r[3]) >= 0.66:
+                if len(seed[3] & r[3]) / len(seed[3] | r[3]) >= _ALIKE:
                     out.append((seed[2], r[2]))
                 else:
                     rest.append(r)
             left = rest
         return pd.DataFrame({"context": pdf["context"].iloc[0], "base": [a for a, _ in out], "norm": [b for _, b in out]})
 
-    long = x.where(~plain).select("context", "head", "len", "norm", "n", "toks").groupBy("context", "head", "len").applyInPandas(run, "context string, base string, norm string")
-    return short.unionByName(long)
+    key = ["context", "head", "len"]
+    long = x.where(~plain).select(*key, "norm", "n", "toks")
+    sizes = stage(long.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), "buckets")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+    of = lambda big: long.alias("a").join(sizes.where(F.col("_n") > most if big else F.col("_n") <= most).alias("b"), same, "left_semi")
+    small = of(False).groupBy(*key).applyInPandas(run, "context string, base string, norm string")
+    if not sizes.where(F.col("_n") > most).limit(1).count():
+        return short.unionByName(small)
+    return short.unionByName(small).unionByName(absorbed_in_rounds(of(True), key))
+
+
+def absorbed_in_rounds(tags: DataFrame, key: list[str]) -> DataFrame:
+    """(context, base, norm) of tags(*key, norm, n, toks) as the loop over each bucket gives it, for buckets of any size.
+
+    Tags of Jaccard similarity 0.66 share one of the few rarest tokens of each. In a round, an open tag that is the
+    first of the open tags for all of these is a seed, since no earlier one can absorb it; so a token has at
+    most one new seed, and a round's work is linear in the tags. A tag that a seed absorbs is never a seed; it waits for
+    earlier seeds, which later rounds may still find. The first open tag is always a seed, so that every round settles some."""
+    bucket = F.xxhash64(*key)
+    x = tags.select("context", "norm", bucket.alias("bucket"), F.struct((-F.col("n")).alias("n"), F.length("norm").alias("size"), F.col("norm").alias("tag")).alias("place"), F.array_distinct("toks").alias("toks"))
+    df = x.select("bucket", F.explode("toks").alias("token")).groupBy("bucket", "token").agg(F.count(F.lit(1)).alias("df"))
+    rare = x.select("context", "bucket", "norm", F.explode("toks").alias("token")).join(df, ["bucket", "token"]).groupBy("context", "bucket", "norm").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by"))
+    first = F.slice(F.transform("by", lambda t: t["token"]), 1, F.size("by") - F.ceil(F.lit(_ALIKE) * F.size("by") - 1e-9).cast("int") + 1)
+    own = ["context", "bucket", "norm"]
+    state = stage(x.join(rare.select(*own, first.alias("keys")), own).withColumn("best", F.lit(None).cast(x.schema["place"].dataType)), "tags")
+    done = []
+    while state.where("best is null").limit(1).count():
+        open_ = state.where("best is null")
+        each = open_.select(*own, "place", F.explode("keys").alias("token"))
+        leads = each.groupBy("bucket", "token").agg(F.min("place").alias("lead"))
+        ahead = each.join(leads, ["bucket", "token"]).groupBy(*own).agg(F.every(F.col("place") == F.col("lead")).alias("_all")).where("_all").select(*own)
+        seeds = stage(open_.join(ahead, own, "left_semi"), "seeds")
+        done.append(seeds.select("context", F.col("norm").alias("base"), "norm"))
+        rest = state.join(seeds.select(*own), own, "left_anti")
+        by_token = seeds.select("bucket", F.explode("keys").alias("token"), F.col("place").alias("seed"), F.col("toks").alias("held"))
+        met = rest.select(*own, "place", "toks", F.explode("keys").alias("token")).join(by_token, ["bucket", "token"]).where((F.col("seed") < F.col("place")) & (token_jaccard(F.col("toks"), F.col("held")) >= _ALIKE))
+        found = met.groupBy(*own).agg(F.min("seed").alias("_seed"))
+        state = stage(rest.join(found, own, "left").withColumn("best", F.least("best", "_seed")).drop("_seed"), "tags")
+    out = state.select("context", F.col("best.tag").alias("base"), "norm")
+    for d in done:
+        out = out.unionByName(d)
+    return out
 
 
 def canon_v1(raw: DataFrame) -> DataFrame:
