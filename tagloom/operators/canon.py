@@ -7,7 +7,7 @@ member_tags, pattern_type, anchor_tokens).
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -141,10 +141,36 @@ def with_tokens(groups: DataFrame, profile: Profile, leaves: bool) -> DataFrame:
     return groups.withColumns({"toks": toks, "rid": F.xxhash64("context", "canon_tag")})
 
 
-def blocked_self_join(rows: DataFrame, least: int = 2, most: int = 200, bucket: int | None = None, tokens: str = "toks") -> DataFrame:
-    """(context, a, b), a < b: row pairs of a context that share a token held by `least` to `most` rows."""
+class Counters:
+    """Figures of a stage that are counted as its rows pass by, in the pass that writes them, and not by a second one."""
+
+    def __init__(self) -> None:
+        self._seen: list[Observation] = []
+
+    def watched(self, df: DataFrame, name: str, **figures: Column) -> DataFrame:
+        """`df` written once, with its figures counted meanwhile."""
+        seen = Observation()
+        self._seen.append(seen)
+        return stage(df.observe(seen, *(c.alias(n) for n, c in figures.items())), name)
+
+    def read(self) -> dict[str, int]:
+        """The figures so far; of equal names the sums."""
+        out: dict[str, int] = {}
+        for seen in self._seen:
+            for name, n in seen.get.items():
+                out[name] = out.get(name, 0) + (n or 0)
+        return out
+
+
+def blocked_self_join(rows: DataFrame, least: int = 2, most: int = 200, bucket: int | None = None, tokens: str = "toks", counters: Counters | None = None) -> DataFrame:
+    """(context, a, b), a < b: row pairs of a context that share a token held by `least` to `most` rows.
+
+    `counters` get buckets and skipped_buckets: tokens in reach, and those of too many rows."""
     t = rows.select("context", "rid", F.explode(tokens).alias("token")).distinct()
-    df = t.groupBy("context", "token").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= least) & (F.col("df") <= min(most, bucket or most)))
+    df, top = t.groupBy("context", "token").agg(F.count(F.lit(1)).alias("df")), min(most, bucket or most)
+    if counters is not None:
+        df = counters.watched(df, "buckets", buckets=F.count_if((F.col("df") >= least) & (F.col("df") <= top)), skipped_buckets=F.count_if(F.col("df") > top))
+    df = df.where((F.col("df") >= least) & (F.col("df") <= top))
     kept = t.join(df.select("context", "token"), ["context", "token"])
     other = kept.select("context", "token", F.col("rid").alias("b"))
     return kept.withColumnRenamed("rid", "a").join(other, ["context", "token"]).where("a < b").select("context", "a", "b").distinct()
@@ -202,14 +228,20 @@ def _merge(groups: DataFrame, accepted: DataFrame, pattern: str) -> DataFrame:
     return groups.select(*COLUMNS).join(accepted.select("context", "canon_tag"), ["context", "canon_tag"], "left_anti").select(*COLUMNS).unionByName(out)
 
 
-def canon_v3(groups: DataFrame, encoder=hashed_tf_embedding) -> DataFrame:
-    """Blocked pairs with cosine 0.74 and Jaccard 0.5; components of 2 to 25, with two shared tokens from six on. Music contexts stay."""
+def canon_v3(groups: DataFrame, encoder=hashed_tf_embedding, counters: Counters | None = None) -> DataFrame:
+    """Blocked pairs with cosine 0.74 and Jaccard 0.5; components of 2 to 25, with two shared tokens from six on. Music contexts stay.
+
+    `counters` get buckets, skipped_buckets, pairs, oversized_groups, merged_groups and merged_rows."""
+    counters = counters or Counters()
     groups = stage(groups, "groups")
     rows = stage(embedded(with_tokens(groups.where(~F.col("context").isin("music_primary", "music_secondary")), V3, False), normalize_tag("canon_tag"), encoder), "rows")
-    edges = stage(similar_pairs(blocked_self_join(rows, 2, 250, 200), rows, 0.74, 0.5), "pairs")
-    x = _components(rows, edges)
-    x = x.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("context", "component"))).where("size between 2 and 25").join(_anchors(x, ["context", "component"]), ["context", "component"], "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<string>")))
-    return _merge(groups, x.where((F.col("size") < 6) | (F.size("anchors") >= 2)), "semantic_bucket")
+    edges = counters.watched(similar_pairs(blocked_self_join(rows, 2, 250, 200, counters=counters), rows, 0.74, 0.5), "pairs", pairs=F.count(F.lit(1)))
+    # A component is named for its first row, so that this row stands for it in counts.
+    x = _components(rows, edges).drop("embedding").withColumn("size", F.count(F.lit(1)).over(W.partitionBy("context", "component")))
+    x = counters.watched(x, "sized", oversized_groups=F.count_if((F.col("size") > 25) & (F.col("rid") == F.col("component"))))
+    x = x.where("size between 2 and 25").join(_anchors(x, ["context", "component"]), ["context", "component"], "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<string>")))
+    accepted = x.where((F.col("size") < 6) | (F.size("anchors") >= 2))
+    return _merge(groups, counters.watched(accepted, "accepted", merged_groups=F.count_if(F.col("rid") == F.col("component")), merged_rows=F.count(F.lit(1))), "semantic_bucket")
 
 
 def canon_v4(groups: DataFrame, most_members: int = 5_000) -> DataFrame:
@@ -275,10 +307,11 @@ def canon_v5(groups: DataFrame, encoder=hashed_tf_embedding) -> DataFrame:
     x = _components(rows, stage(similar_pairs(pairs, rows, 0.79, 0.22), "pairs"))
     x = stage(x.drop("embedding").withColumn("size", F.count(F.lit(1)).over(W.partitionBy("context", "component"))).where("size >= 2"), "merged")
     key = ["context", "component"]
+    total = x.groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list(_leaves())))).alias("total")).where("total <= 64").select(*key)
+    x = stage(x.join(total, key), "bounded")  # before any of a component's pairs are met
     alike = avg_pairwise_jaccard(x.withColumn("tokens", F.col("toks")), key, "rid")
     cover = dominant_token_coverage(x.select(*key, "rid", F.explode_outer("toks").alias("token")), key, "rid")
-    total = x.groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list(_leaves())))).alias("total"))
-    good = alike.join(cover, key).join(total, key).where("jaccard >= 0.22 and coverage >= 0.6 and total <= 64").select(*key)
+    good = alike.join(cover, key).where("jaccard >= 0.22 and coverage >= 0.6").select(*key)
     x = x.join(good, key).join(_anchors(x, key), key, "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<string>")))
     return _merge(groups, x, "v5_semantic")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -46,6 +46,33 @@ def unique_tag_counts(tags: DataFrame) -> DataFrame:
     return tags.groupBy("context").agg(F.countDistinct("tag").alias("tags"))
 
 
+class TagStates:
+    """Counts of tags in mergeable partial states, appended batch by batch and merged on reading.
+
+    A batch of tags(context, tag) leaves its counts, and a sketch of its distinct tags for each context, in a folder of
+    its own; a batch that is run again replaces its folder, so that nothing counts twice. Reading adds counts and
+    joins sketches, whatever the batches were; null and blank tags count nothing."""
+
+    def __init__(self, spark: SparkSession, path: str, precision: int = 14) -> None:
+        self.spark, self.path, self.precision = spark, path, precision
+
+    def append(self, tags: DataFrame, batch: int) -> None:
+        own = tags.select("context", F.trim("tag").alias("tag")).where("tag <> ''").groupBy("context", "tag").agg(F.count(F.lit(1)).alias("n"))
+        own.write.mode("overwrite").parquet(f"{self.path}/counts/batch={batch}")
+        held = self.spark.read.schema(own.schema).parquet(f"{self.path}/counts/batch={batch}")
+        held.groupBy("context").agg(F.hll_sketch_agg("tag", F.lit(self.precision)).alias("sketch")).write.mode("overwrite").parquet(f"{self.path}/sketches/batch={batch}")
+
+    def counts(self) -> DataFrame:
+        """(context, tag, n): exact."""
+        rows = self.spark.read.schema("context string, tag string, n long, batch int").parquet(f"{self.path}/counts")
+        return rows.groupBy("context", "tag").agg(F.sum("n").alias("n"))
+
+    def unique(self) -> DataFrame:
+        """(context, tags): distinct tags by the joined sketches, within a percent or so; counts are not read."""
+        rows = self.spark.read.schema("context string, sketch binary, batch int").parquet(f"{self.path}/sketches")
+        return rows.groupBy("context").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("tags"))
+
+
 def document_frequency(tokens: DataFrame, row: str) -> DataFrame:
     return tokens.groupBy("context", "token").agg(F.countDistinct(row).alias("df"))
 

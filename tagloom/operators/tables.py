@@ -169,9 +169,13 @@ def append_activity(events: DataFrame, path: str) -> None:
 
 
 def run_summary(results: DataFrame, run: str = "run_id", status: str = "status") -> DataFrame:
-    count = lambda c: F.count_if(c)
-    s = F.col(status)
-    return results.groupBy(run).agg(F.count(F.lit(1)).alias("attempted"), count(s == "completed").alias("completed"), count(s == "error").alias("errors"), count(~s.isin("completed", "error")).alias("skipped"))
+    """One row a run: attempted, completed, errors, skipped, and skips, a map of every other status and its count; a null
+    status is skipped as 'unknown'."""
+    per = results.groupBy(run, F.coalesce(status, F.lit("unknown")).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    skip = ~F.col("_s").isin("completed", "error")
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0)).alias
+    skips = F.map_from_entries(F.sort_array(F.collect_list(F.when(skip, F.struct("_s", "_n"))))).alias("skips")
+    return per.groupBy(run).agg(F.sum("_n").alias("attempted"), of(F.col("_s") == "completed")("completed"), of(F.col("_s") == "error")("errors"), of(skip)("skipped"), skips)
 
 
 def presence(ids: DataFrame, a: DataFrame, b: DataFrame, key: str, flag: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import normalize_tag, tokenize_tag
 from tagloom.operators import reports as P
 from tagloom.operators import tables as B
+from tagloom.plans.staging import shared_folder
 from tagloom.queries_tables import _groups
 from tagloom.registry import query
 from tagloom.sources import inputs as I
@@ -39,6 +42,26 @@ def tag_counts(spark, sf):
     return P.count_by(both, ["context", "tag"], "n")
 
 
+def _states(spark, sf):
+    """All tags, appended in five batches."""
+    tags = I.item_tags(spark, sf).select("item_id", "context", "tag").unionByName(I.list_tags(spark, sf).select("item_id", F.col("field").alias("context"), "tag"))
+    states = P.TagStates(spark, f"{shared_folder(spark)}/tagloom-states-{uuid.uuid4().hex}")
+    for k in range(5):
+        states.append(tags.where(F.col("item_id") % 5 == k), k)
+    return states
+
+
+@query("tag_counts_merged", "SELECT context, tag, count(*) AS n FROM (SELECT context, tag FROM fx_item_tags UNION ALL SELECT field, tag FROM fx_list_tags) x GROUP BY context, tag")
+def tag_counts_merged(spark, sf):
+    return _states(spark, sf).counts()
+
+
+@query("unique_tags_sketched", "SELECT context, count(DISTINCT tag) AS tags FROM (SELECT context, tag FROM fx_item_tags UNION ALL SELECT field, tag FROM fx_list_tags) x GROUP BY context")
+def unique_tags_sketched(spark, sf):
+    """Sketches of up to some hundreds of values are exact."""
+    return _states(spark, sf).unique()
+
+
 @query("unique_tag_counts", "SELECT context, count(DISTINCT tag) AS tags FROM fx_raw_tags GROUP BY context")
 def unique_tag_counts(spark, sf):
     return P.unique_tag_counts(I.raw_tags(spark, sf))

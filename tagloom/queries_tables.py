@@ -104,10 +104,11 @@ def append_events(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("run_log", "SELECT user_id AS run_id, count(*) AS attempted, count(*) FILTER (event_type = 'purchase') AS completed, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type NOT IN ('purchase', 'error')) AS skipped FROM events GROUP BY user_id")
+@query("run_log", "SELECT user_id AS run_id, count(*) AS attempted, count(*) FILTER (event_type = 'purchase') AS completed, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type NOT IN ('purchase', 'error')) AS skipped, coalesce(any_value(skips), '') AS skips FROM events LEFT JOIN (SELECT user_id AS u, string_agg(event_type || '=' || n, '|' ORDER BY event_type) AS skips FROM (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type NOT IN ('purchase', 'error') GROUP BY ALL) x GROUP BY user_id) y ON u = user_id GROUP BY user_id")
 def run_log(spark, sf):
     e = R(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.when(F.col("event_type") == "purchase", "completed").otherwise(F.col("event_type")).alias("status"))
-    return B.run_summary(e)
+    pairs = F.transform(F.map_entries("skips"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string")))
+    return B.run_summary(e).withColumn("skips", F.array_join(pairs, "|"))
 
 
 @query("join_metadata_semantics", "SELECT p_partkey AS item_id, p_name AS name, coalesce(positive, 0) AS positive, coalesce(owners, 0) AS owners FROM part LEFT JOIN (SELECT * FROM fx_signals WHERE item_id % 4 <> 0) s ON p_partkey = item_id")
