@@ -159,8 +159,9 @@ def misspelt(word: bytes, rng: np.random.Generator) -> bytes:
     return left + int(ord("*") if kind == 3 else rng.integers(48, 58)).to_bytes(4, "little") + right
 
 
-def fit(texts: list[str], label: np.ndarray, window: int = 4, bits: int = 18, width: int = 8, steps: int = 700, batch: int = 64, left_out: float = 0.6, unseen: float = 0.4, wrong: float = 0.5, forms: int = 2, apart: int = 5, rate: float = 0.25, ease: float = 1e-6, seed: int = 11) -> SubwordModel:
-    """Vectors and softmax by AdaGrad on the cross-entropy of whole texts; both labels weigh the same.
+def fit(texts: list[str], label: np.ndarray, toxic_share: float | None = None, window: int = 4, bits: int = 18, width: int = 8, steps: int = 700, batch: int = 64, left_out: float = 0.6, unseen: float = 0.4, wrong: float = 0.5, forms: int = 2, apart: int = 10, rate: float = 0.25, ease: float = 1e-6, seed: int = 11) -> SubwordModel:
+    """Vectors and softmax by AdaGrad on the cross-entropy of whole texts; both labels weigh the same. The
+    curve is for texts of which `toxic_share` are toxic; without it, for those given.
 
     In each step, at random, a share `left_out` of the n-grams is ignored, a share `wrong` of the texts
     is read with its words misspelt, and a share `unseen` of the windows of toxic texts may not speak for them,
@@ -257,7 +258,10 @@ def fit(texts: list[str], label: np.ndarray, window: int = 4, bits: int = 18, wi
             model.bias -= 0.05 * slope_b / np.sqrt(seen_b)
     judged = tried if len(np.unique(label[tried])) == 2 else held
     z = np.concatenate([forward(judged[a : a + batch], 1.0)[0] for a in range(0, len(judged), batch)])
-    model.curve = _curve(z, label[judged])
+    a, b = _curve(z, label[judged])
+    if toxic_share is not None and 0 < toxic_share < 1:  # a sample of even labels has more toxic texts than the corpus
+        b += np.log(toxic_share / (1 - toxic_share)) - np.log(label[judged].mean() / (1 - label[judged].mean()))
+    model.curve = (a, float(b))
     return model
 
 
@@ -267,9 +271,9 @@ def _curve(z: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     weight = np.ones(len(z))
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))
-        g = np.array([(weight * (label - p) * z).sum() - 0.5 * (a - 1), (weight * (label - p)).sum()])
+        g = np.array([(weight * (label - p) * z).sum() - 0.1 * (a - 1), (weight * (label - p)).sum()])
         w = weight * p * (1 - p) + 1e-9
-        h = np.array([[(w * z * z).sum() + 0.5, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
+        h = np.array([[(w * z * z).sum() + 0.1, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
         move = np.clip(np.linalg.solve(h, g), -1, 1)
         a, b = a + move[0], b + move[1]
         if np.abs(move).max() < 1e-6:
@@ -283,18 +287,19 @@ def toxic_held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2500, sample_chars: int = 20_000, **settings) -> SubwordModel:
-    """Fits on at most `sample_rows` labelled documents, half of either label where there are
+    """Fits on at most `sample_rows` labelled documents, half of them toxic where there are
     as many: those of lowest id hash, without held-out ids, null labels and texts over
     `sample_chars` characters, and one text an id, the first in order. That bounds what the driver holds;
     scoring has no such bound. Ids of several labels count as toxic."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~toxic_held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("label")).groupBy("id").agg(F.max("label").alias("label"))
+    share, toxic = known.agg(F.avg("label"), F.sum("label")).first()
     pick = lambda v, n: known.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(n)
-    chosen = pick(1, sample_rows // 2).unionByName(pick(0, sample_rows - sample_rows // 2))
+    chosen = pick(1, sample_rows // 2).unionByName(pick(0, sample_rows - min(toxic or 0, sample_rows // 2)))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id").where(F.length("text") <= sample_chars)
     sample = rows.groupBy("id", "label").agg(F.min("text").alias("text")).toArrow()
     order = np.lexsort((np.array([hash_of(t) for t in sample.column("text").to_pylist()], np.uint32), np.asarray(sample.column("label")))) if len(sample) else []
     texts, label = sample.column("text").to_pylist(), np.asarray(sample.column("label"))
-    return fit([texts[k] for k in order], label[order] if len(order) else np.zeros(0, np.int64), **settings)
+    return fit([texts[k] for k in order], label[order] if len(order) else np.zeros(0, np.int64), share, **settings)
 
 
 def hash_of(text: str) -> int:
