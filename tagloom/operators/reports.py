@@ -129,9 +129,23 @@ def child_count_histogram(parents: DataFrame, children: DataFrame, key: str) ->
     return left_join_count(parents, children, key).groupBy(F.col("n").alias("children")).agg(F.count(F.lit(1)).alias("parents"))
 
 
-def exact_tag_hits(list_tags: DataFrame, fields: list[str]) -> DataFrame:
-    """For every tag the number of items that hold it, by field."""
-    return list_tags.groupBy("tag").pivot("field", fields).agg(F.countDistinct("item_id")).fillna(0)
+def exact_tag_hits(tags: DataFrame, hits: dict[str, list[str]]) -> DataFrame:
+    """For every tag of tags(item_id, field, tag) the number of items that hold it in the fields of each kind of
+    hit; tags without any have no row."""
+    kind = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(n).alias("_hit")) for n, fields in hits.items() for f in fields)))
+    kinds = tags.sparkSession.range(1).select(kind.alias("x")).select("x.field", "x._hit")
+    return tags.join(F.broadcast(kinds), "field").groupBy("tag").pivot("_hit", list(hits)).agg(F.countDistinct("item_id")).fillna(0)
+
+
+def catalog_audit(catalog: DataFrame, done: DataFrame, key: str, most: int = 20) -> DataFrame:
+    """One row: ids of the catalog, how many of them `done` has, how many it lacks, how many ids of `done` the catalog
+    lacks, and the first `most` missing ids in order. Repeated and null ids count once and not at all."""
+    ids = lambda d, flag: d.where(F.col(key).isNotNull()).select(key).distinct().withColumn(flag, F.lit(True))
+    both = ids(catalog, "_a").join(ids(done, "_b"), key, "full")
+    missing = F.col("_a").isNotNull() & F.col("_b").isNull()
+    sums = both.agg(F.count("_a").alias("catalog"), F.count_if(F.col("_a") & F.col("_b")).alias("present"), F.count_if(missing).alias("missing"), F.count_if(F.col("_a").isNull()).alias("unknown"))
+    first = both.where(missing).select(key).orderBy(key).limit(most).agg(F.sort_array(F.collect_list(key)).alias("first_missing"))
+    return sums.crossJoin(first)  # a row each
 
 
 def frequent_tags(sets: DataFrame, least: int = 3) -> DataFrame:
@@ -153,6 +167,7 @@ def activity_report(events: DataFrame) -> DataFrame:
         top_labels(events, ["click", "view"], F.col("user_id"), 10, "top_opened"),
         top_labels(events, ["purchase"], F.col("user_id"), 10, "top_picked"),
         chart(events.where("event_type = 'click'"), "clicks_by_source", detail),
+        top_labels(events, ["view"], detail, 10, "top_queries"),
         chart(events, "daily_activity", F.to_date("ts")),
     ]
     out = parts[0]

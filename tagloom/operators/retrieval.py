@@ -207,14 +207,21 @@ def prescreen_candidates(list_tags: DataFrame, popularity: DataFrame, k: int = 4
     return block_topk(rows, rows, k, _tag_lists, _tag_hits, block_rows).select("source", "candidate", F.col("score").cast("long").alias("hits"), "rnk")
 
 
-def retrieve_candidates(precomputed: DataFrame, prescreened: DataFrame, nearest: DataFrame, limit: int = 300) -> DataFrame:
-    """Precomputed candidates of a source if it has any, else prescreened and nearest ones in turn."""
+def retrieve_candidates(precomputed: DataFrame, prescreened: DataFrame, nearest: DataFrame, limit: int = 300, changed: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+    """(source, candidate, rnk): the stored candidates of a source if it has any, else a live list: nearest ones for
+    default weights; prescreened and nearest ones in turn for the sources of `changed`(source), whose weights or boosts are
+    not the default (without it, for all).
+
+    Only candidates that `items`(item_id) has count, at their place in the list; a source of whose first `limit` stored
+    candidates none is left gets a live list too."""
     from tagloom.operators.tables import interleave
 
-    has = precomputed.select("source").distinct()
-    lists = prescreened.select("source", F.lit(1).alias("list_no"), "rnk", "candidate").unionByName(nearest.select("source", F.lit(2).alias("list_no"), "rnk", "candidate"))
-    merged = interleave(lists.join(has, "source", "left_anti"), limit)
-    return precomputed.where(F.col("rnk") <= limit).select("source", "candidate", F.col("rnk").cast("int").alias("rnk")).unionByName(merged)
+    there = (lambda d: d) if items is None else lambda d: d.join(items.select(F.col("item_id").alias("candidate")).distinct(), "candidate", "left_semi")
+    stored = there(precomputed.where(F.col("rnk") <= limit).select("source", "candidate", F.col("rnk").cast("int").alias("rnk")))
+    has = stored.select("source").distinct()
+    fine = prescreened if changed is None else prescreened.join(changed.select("source").distinct(), "source", "left_semi")
+    lists = fine.select("source", F.lit(1).alias("list_no"), "rnk", "candidate").unionByName(nearest.select("source", F.lit(2).alias("list_no"), "rnk", "candidate"))
+    return stored.select("source", "candidate", "rnk").unionByName(there(interleave(lists.join(has, "source", "left_anti"), limit)).select("source", "candidate", "rnk"))
 
 
 def search_keys(q: DataFrame, names: DataFrame) -> DataFrame:

@@ -232,12 +232,17 @@ def daily_activity(spark, sf):
     return P.count_by(R(spark, sf, "events"), [F.to_date("ts").cast("string").alias("day")])
 
 
-_FIELDS = ["niche_anchors", "identity_tags", "micro_tags", "setting_tags", "music_primary", "music_secondary", "signature_tag"]
+#: Each kind of hit and the fields or contexts that count for it.
+_HITS = {
+    "signature_hits": ["signature_tag"], "anchor_hits": ["niche_anchors"], "identity_hits": ["identity_tags"], "micro_hits": ["micro_tags"], "setting_hits": ["setting_tags"], "music_hits": ["music_primary", "music_secondary"],
+    "mechanics_hits": ["mechanics"], "narrative_hits": ["narrative"], "vibe_hits": ["vibe"], "structure_loop_hits": ["structure_loop"],
+}
 
 
-@query("exact_tag_hits", "SELECT tag, " + ", ".join(f"count(DISTINCT item_id) FILTER (field = '{f}') AS {f}" for f in _FIELDS) + " FROM fx_list_tags WHERE field NOT LIKE 'genre%' GROUP BY tag")
+@query("exact_tag_hits", "SELECT tag, " + ", ".join(f"count(DISTINCT item_id) FILTER (field IN ({', '.join(repr(f) for f in fs)})) AS {n}" for n, fs in _HITS.items()) + " FROM (SELECT item_id, field, tag FROM fx_list_tags UNION ALL SELECT item_id, context, tag FROM fx_item_tags) x WHERE field NOT LIKE 'genre%' GROUP BY tag")
 def exact_tag_hits(spark, sf):
-    return P.exact_tag_hits(I.list_tags(spark, sf).where("field not like 'genre%'"), _FIELDS)
+    contexts = I.item_tags(spark, sf).select("item_id", F.col("context").alias("field"), "tag")
+    return P.exact_tag_hits(I.list_tags(spark, sf).select("item_id", "field", "tag").unionByName(contexts), _HITS)
 
 
 @query("frequent_tags", "SELECT source AS set_id, context, tag, count(DISTINCT item_id) AS items FROM fx_candidates JOIN fx_item_tags ON item_id = candidate GROUP BY ALL HAVING count(DISTINCT item_id) >= 3")
@@ -250,6 +255,7 @@ def frequent_tags(spark, sf):
 UNION ALL (SELECT 'top_opened', CAST(user_id AS VARCHAR) AS l, count(*) AS v FROM events WHERE event_type IN ('click', 'view') GROUP BY 2 ORDER BY v DESC, l LIMIT 10)
 UNION ALL (SELECT 'top_picked', CAST(user_id AS VARCHAR) AS l, count(*) AS v FROM events WHERE event_type = 'purchase' GROUP BY 2 ORDER BY v DESC, l LIMIT 10)
 UNION ALL SELECT 'clicks_by_source', json_extract_string(props, '$.k'), count(*) FROM events WHERE event_type = 'click' GROUP BY 2
+UNION ALL (SELECT 'top_queries', json_extract_string(props, '$.k') AS l, count(*) AS v FROM events WHERE event_type = 'view' AND json_extract_string(props, '$.k') IS NOT NULL GROUP BY 2 ORDER BY v DESC, l LIMIT 10)
 UNION ALL SELECT 'daily_activity', CAST(CAST(ts AS DATE) AS VARCHAR), count(*) FROM events GROUP BY 2""")
 def activity_report(spark, sf):
     return P.activity_report(R(spark, sf, "events"))
@@ -262,10 +268,11 @@ def catalog_report(spark, sf):
     return P.chart(p, "types", F.col("p_type")).unionByName(P.chart(p, "brands", F.col("p_brand"))).unionByName(review_count_buckets(spark, sf))
 
 
-@query("catalog_status_audit", "SELECT count(*) AS catalog, count(b.doc_id) AS with_labels, count(*) - count(b.doc_id) AS missing, min(CASE WHEN b.doc_id IS NULL THEN d.doc_id END) AS first_missing FROM documents d LEFT JOIN labels b ON b.doc_id = d.doc_id")
+@query("catalog_status_audit", """WITH m AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) SELECT (SELECT count(*) FROM documents) AS catalog, (SELECT count(DISTINCT d.doc_id) FROM documents d JOIN labels b ON d.doc_id = b.doc_id) AS present, (SELECT count(*) FROM m) AS missing,
+ (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS unknown, (SELECT string_agg(doc_id, ',' ORDER BY doc_id) FROM (SELECT doc_id FROM m ORDER BY doc_id LIMIT 20) x) AS first_missing""")
 def catalog_status_audit(spark, sf):
-    d = R(spark, sf, "documents").select("doc_id").join(R(spark, sf, "labels").select("doc_id", F.lit(1).alias("has")), "doc_id", "left")
-    return d.agg(F.count(F.lit(1)).alias("catalog"), F.count("has").alias("with_labels"), F.count_if(F.col("has").isNull()).alias("missing"), F.min(F.when(F.col("has").isNull(), F.col("doc_id"))).alias("first_missing"))
+    got = P.catalog_audit(R(spark, sf, "documents"), R(spark, sf, "labels"), "doc_id")
+    return got.withColumn("first_missing", F.array_join(F.col("first_missing").cast("array<string>"), ","))
 
 
 @query("stage_metrics", f"""WITH {GROUPS}, b AS (SELECT context, tag FROM fx_raw_tags), a AS (SELECT context, canon_tag AS tag FROM groups_) SELECT 'rows_in' AS metric, context, count(*) AS value FROM b GROUP BY context UNION ALL SELECT 'rows_out', context, count(*) FROM a GROUP BY context

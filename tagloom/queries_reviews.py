@@ -404,7 +404,8 @@ def prescreen_topk(spark, sf):
 def retrieve_candidates(spark, sf):
     pre = I.candidates(spark, sf).where("source % 2 = 0")
     near = S.knn_join(_emb(spark, sf), 300)
-    return S.retrieve_candidates(pre, _prescreened(spark, sf, 450), near, 300)
+    changed = I.signals(spark, sf).where("item_id % 3 = 0").select(F.col("item_id").alias("source"))
+    return S.retrieve_candidates(pre, _prescreened(spark, sf, 450), near, 300, changed, I.axes(spark, sf).where("item_id % 29 <> 0").select("item_id"))
 
 
 def _search_inputs(spark, sf):

@@ -168,6 +168,18 @@ def test_interleave_keeps_the_turn(spark):
     assert {r.source for r in out.collect()} == {1, 2}
 
 
+def test_retrieval_takes_stored_then_live_lists(spark):
+    table = lambda rows: spark.createDataFrame(rows, "source long, candidate long, rnk int")
+    pre = table([(1, 10, 1), (1, 11, 2), (1, 12, 3), (2, 90, 1), (2, 91, 2)])
+    screen, near = table([(s, c, k + 1) for s in (1, 2, 3, 4) for k, c in enumerate((20, 21, 22))]), table([(s, c, k + 1) for s in (1, 2, 3, 4) for k, c in enumerate((30, 20, 31))])
+    ids = lambda x, name: spark.createDataFrame([(k,) for k in x], f"{name} long")
+    got = {}
+    for r in retrieve_candidates(pre, screen, near, 4, ids([3], "source"), ids([10, 12, 20, 21, 22, 30, 31], "item_id")).orderBy("source", "rnk").collect():
+        got.setdefault(r.source, []).append((r.candidate, r.rnk))
+    # Stored; stored ones all gone, so the live list of default weights; changed weights; default weights.
+    assert got == {1: [(10, 1), (12, 3)], 2: [(30, 1), (20, 2), (31, 3)], 3: [(20, 1), (30, 2), (21, 3), (31, 4)], 4: [(30, 1), (20, 2), (31, 3)]}
+
+
 def test_canon_v1_and_v4(spark):
     raw = spark.createDataFrame([("niche_anchors", t, n) for t, n in (("red car race", 5), ("race red car", 2), ("Car-Race red", 1), ("a b c d e race", 4), ("a b c x e race", 3), ("cars", 1))], "context string, tag string, n long")
     got = {r.canon_tag: r for r in C.canon_v1(raw).collect()}
