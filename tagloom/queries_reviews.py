@@ -596,13 +596,24 @@ def _matched(spark, sf):
     return M.matched_tags_topk(I.candidates(spark, sf), M.build_preferences(tags, lists), M.candidate_weights(tags, lists))
 
 
-@query("explain_match", f"""WITH {_PREFS}, {_OFFERS}, {_JOINED}, mt AS (SELECT *, row_number() OVER (PARTITION BY source, candidate, context ORDER BY round(pref, 9) DESC, tag) AS k FROM joined WHERE kind <> 'genre'), f AS (SELECT source, candidate, context, tag FROM mt WHERE k <= CASE WHEN context IN ('identity', 'setting') THEN 4 ELSE 3 END),
-b(context, tag, delta) AS (VALUES ('mechanics', '1-URGENT', 30.0e0), ('mechanics', '2-HIGH', 20.0e0), ('narrative', 'BUILDING', 25.0e0)) SELECT source, candidate, context, tag, delta FROM (SELECT f.*, delta, row_number() OVER (PARTITION BY source, candidate ORDER BY delta DESC, f.context, f.tag) AS r FROM f JOIN b ON b.context = f.context AND b.tag = f.tag) x WHERE r = 1""")
+#: A user's requests; the last is for a tag that no item has.
+_ASKED = [("mechanics", "1-URGENT", 30.0), ("mechanics", "2-HIGH", 20.0), ("narrative", "BUILDING", 25.0), ("vibe", "nothing", 40.0)]
+
+
+@query("explain_match", f"""WITH {_PREFS}, {_OFFERS}, {_JOINED}, {_CONF}, {_SCORES}, mt AS (SELECT *, row_number() OVER (PARTITION BY source, candidate, context ORDER BY round(pref, 9) DESC, tag) AS k FROM joined WHERE kind <> 'genre'), f AS (SELECT source, candidate, context, tag, k FROM mt WHERE k <= CASE WHEN context IN ('identity', 'setting') THEN 4 ELSE 3 END),
+b(context, tag, requested) AS (VALUES {', '.join(f"('{c}', '{t}', {w}e0)" for c, t, w in _ASKED)}), rise AS (SELECT * FROM (SELECT s.source, b.*, requested - coalesce(weight, 0) AS delta FROM (SELECT DISTINCT source FROM f) s CROSS JOIN b LEFT JOIN fx_item_tags i ON i.item_id = s.source AND i.context = b.context AND i.tag = b.tag) x WHERE delta > 1),
+h AS (UNPIVOT (SELECT source, candidate, {', '.join(f'round(coalesce(o_{c}, 0), 9) AS {c}' for c in ['mechanics', 'narrative', 'vibe'])} FROM over_) ON mechanics, narrative, vibe INTO NAME context VALUE hit),
+e AS (SELECT f.source, f.candidate, f.context, f.tag, requested, coalesce(hit, 0) AS hit, true AS exact, requested AS by_ FROM f JOIN rise r ON r.source = f.source AND r.context = f.context AND r.tag = f.tag LEFT JOIN h ON h.source = f.source AND h.candidate = f.candidate AND h.context = f.context
+ UNION ALL SELECT f.source, f.candidate, f.context, f.tag, m.requested, hit, false, delta FROM f JOIN (SELECT source, context, max(requested) AS requested, max(delta) AS delta FROM rise GROUP BY ALL) m ON m.source = f.source AND m.context = f.context JOIN h ON h.source = f.source AND h.candidate = f.candidate AND h.context = f.context AND hit > 0 WHERE k = 1)
+SELECT source, candidate, context, tag, requested, hit, exact FROM (SELECT *, row_number() OVER (PARTITION BY source, candidate ORDER BY exact DESC, by_ DESC, CASE WHEN exact THEN -hit END, context, tag) AS r FROM e) x WHERE r = 1""")
 def explain_match(spark, sf):
     from tagloom.operators.views import explain_match as explain
 
-    boosts = spark.createDataFrame([("mechanics", "1-URGENT", 30.0), ("mechanics", "2-HIGH", 20.0), ("narrative", "BUILDING", 25.0)], "context string, tag string, delta double")
-    return explain(_matched(spark, sf), boosts)
+    tags, lists = I.item_tags(spark, sf), I.list_tags(spark, sf)
+    over = M.pair_overlaps(I.candidates(spark, sf).select("source", "candidate"), M.build_preferences(tags, lists), M.candidate_weights(tags, lists))
+    contexts = ["mechanics", "narrative", "vibe"]
+    hits = over.select("source", "candidate", *(F.round(f"o_{c}", 9).alias(c) for c in contexts)).unpivot(["source", "candidate"], contexts, "context", "hit")
+    return explain(_matched(spark, sf), spark.createDataFrame(_ASKED, "context string, tag string, requested double"), tags, hits)
 
 
 @query("reason_chips", f"""WITH {_PREFS}, {_OFFERS}, {_JOINED}, mt AS (SELECT *, row_number() OVER (PARTITION BY source, candidate, context ORDER BY round(pref, 9) DESC, tag) AS k FROM joined WHERE kind <> 'genre'),

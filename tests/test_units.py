@@ -412,3 +412,15 @@ def test_a_streams_batches_are_as_many_files_each(spark):
     seen = []
     A.run_once(fed.stream(spark), each=lambda df, k: seen.append(sorted(r.event_id for r in df.select("event_id").collect())))
     assert seen == [list(range(2500)), list(range(2500, 2507)), list(range(2507, 3000))]
+
+
+def test_explained_matches(spark):
+    from tagloom.operators.views import explain_match
+
+    matched = spark.createDataFrame([(1, 2, "mechanics", ["Rope-Dance", "jump"]), (1, 2, "vibe", ["calm"]), (1, 3, "vibe", ["calm"]), (1, 4, "setting", ["sea"]), (5, 2, "mechanics", ["jump"])], "source long, candidate long, context string, tags array<string>")
+    boosts = spark.createDataFrame([("mechanics", "rope dance", 10.0), ("mechanics", "jump", 30.0), ("vibe", "dark", 50.0), ("vibe", "odd", 8.0)], "context string, tag string, requested double")
+    base = spark.createDataFrame([(1, "mechanics", "jump", 29.5), (5, "mechanics", "jump", 30.0)], "item_id long, context string, tag string, weight double")
+    hits = spark.createDataFrame([(1, 2, "mechanics", 0.4), (1, 2, "vibe", 0.9), (1, 3, "vibe", 0.2), (5, 2, "mechanics", 0.5)], "source long, candidate long, context string, hit double")
+    got = {(r.source, r.candidate): (r.context, r.tag, r.requested, r.exact) for r in explain_match(matched, boosts, base, hits).collect()}
+    # jump is hardly above what the source had; dark is nobody's, so its context's first matched tag stands in.
+    assert got == {(1, 2): ("mechanics", "Rope-Dance", 10.0, True), (1, 3): ("vibe", "calm", 50.0, False), (5, 2): ("mechanics", "jump", 10.0, False)}
