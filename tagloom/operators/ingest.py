@@ -92,6 +92,34 @@ def query_document(parts: Column) -> Column:
     return F.array_join(F.flatten(F.transform(parts, lambda p: F.array_repeat(p["text"], p["times"]))), "\n")
 
 
+def query_parts(base: Column, lists: dict[str, Column], weights: dict[str, float], boosts: dict[str, dict[str, float]] | None = None, soundtrack: dict[str, float] | None = None) -> Column:
+    """The (text, times) of an item's query for `query_document`, without blank ones.
+
+    base: array of the item's own parts. For every context of a weight over 0 a `focus:` line and its first four tags of
+    `lists` (arrays of its heaviest tags; for music all), each as often as the weight says (by 18, at most 5). Then the six
+    heaviest boosts of each context, alone and as `context:tag`, and four of the soundtrack (by 24, at most 4). Weights and boosts are a
+    profile, known when the query is planned."""
+    times = lambda w, step, most: max(1, min(round(float(w) / step), most))
+    part = lambda text, n: F.struct(text.alias("text"), F.lit(n).alias("times"))
+    each = lambda texts, n: F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t: part(t, n))
+    out = [each(base, 1)]
+    for context, w in weights.items():
+        if w > 0:
+            n = times(w, 18.0, 5)
+            out.append(F.array(part(F.lit(f"focus:{context}"), n)))
+            if context in lists:
+                first = lists[context] if context == "music" else F.slice(lists[context], 1, 4)
+                out.append(each(first, n))
+    heaviest = lambda table, most: sorted(table.items(), key=lambda x: -x[1])[:most]
+    for context, table in (boosts or {}).items():
+        for tag, w in heaviest(table, 6):
+            n = times(w, 24.0, 4)
+            out.append(F.array(part(F.lit(tag), n), part(F.lit(f"{context}:{tag}"), n)))
+    for tag, w in heaviest(soundtrack or {}, 4):
+        out.append(F.array(part(F.lit(tag), times(w, 24.0, 4))))
+    return F.filter(F.concat(*out), lambda p: F.trim(F.coalesce(p["text"], F.lit(""))) != "")
+
+
 def serving_row(items: DataFrame, signals: DataFrame) -> DataFrame:
     """Items with signals, a search name, and '' or 0 for what is missing."""
     from tagloom.functions.text import norm_search_text

@@ -249,10 +249,51 @@ def retrieval_document(spark, sf):
     return p.select("p_partkey", G.retrieval_document(F.col("p_name"), F.lit(" "), F.array("p_type"), F.array("p_brand"), none, F.array(F.concat(F.lit("mechanics:"), "p_name"))).alias("out"))
 
 
-@query("query_document", "SELECT p_partkey, p_name || repeat(chr(10) || p_type, CAST(greatest(1, least(5, round_even(p_size / 18.0e0, 0))) AS INT)) AS out FROM part")
+#: A profile: weights of contexts, boosts of tags, boosts of the soundtrack.
+_PROFILE = ({"mechanics": 27.0, "vibe": 0.0, "structure_loop": 45.0, "identity": 63.0, "setting": 5.0, "music": 100.0}, {"mechanics": {"1-URGENT": 60.0, "5-LOW": 12.0, **{f"m{k}": float(k) for k in range(6)}}, "setting": {"sea": 100.0}}, {"calm": 36.0, "loud": 84.0})
+
+
+def _profile_sql() -> str:
+    """The profile's lines as rows (item_id, o1, o2, text, times), by the rule of `query_parts`."""
+    weights, boosts, music = _PROFILE
+    times = lambda w, step, most: f"CAST(greatest(1, least({most}, round_even({w}e0 / {step}, 0))) AS INT)"
+    rows, at = [], 10
+    for c, w in weights.items():
+        if w > 0:
+            n = times(w, 18, 5)
+            rows.append(f"SELECT p_partkey, {at}, 0, 'focus:{c}', {n} FROM part")
+            fields = {"identity": "signature_tag,niche_anchors,identity_tags", "setting": "setting_tags", "music": "music_primary,music_secondary"}.get(c)
+            source = f"SELECT item_id, tag, row_number() OVER (PARTITION BY item_id ORDER BY instr('{fields}', field), pos) AS k FROM fx_list_tags WHERE field IN ({', '.join(repr(f) for f in fields.split(','))})" if fields else f"SELECT item_id, tag, pos AS k FROM fx_ranked_tags WHERE context = '{c}'"
+            rows.append(f"SELECT item_id, {at + 1}, k, tag, {n} FROM ({source}) x" + ("" if c == "music" else " WHERE k <= 4"))
+            at += 2
+    for c, table in boosts.items():
+        for t, w in sorted(table.items(), key=lambda x: -x[1])[:6]:
+            for text in (t, f"{c}:{t}"):
+                rows.append(f"SELECT p_partkey, {at}, 0, '{text}', {times(w, 24, 4)} FROM part")
+                at += 1
+    for t, w in sorted(music.items(), key=lambda x: -x[1])[:4]:
+        rows.append(f"SELECT p_partkey, {at}, 0, '{t}', {times(w, 24, 4)} FROM part")
+        at += 1
+    return " UNION ALL ".join(rows)
+
+
+@query("query_document", f"WITH rows_(item_id, o1, o2, text, times) AS (SELECT p_partkey, 0, 0, p_name, 1 FROM part UNION ALL SELECT item_id, 1, row_number() OVER (PARTITION BY item_id ORDER BY context, pos), context || ':' || tag, 1 FROM fx_ranked_tags UNION ALL {_profile_sql()}) SELECT p_partkey, string_agg(repeat(chr(10) || text, times), '' ORDER BY o1, o2)[2:] AS out FROM rows_ JOIN part ON p_partkey = item_id GROUP BY p_partkey")
 def query_document(spark, sf):
-    parts = F.array(F.struct(F.col("p_name").alias("text"), F.lit(1).alias("times")), F.struct(F.col("p_type").alias("text"), G.query_repeats(F.col("p_size").cast("double"), 18, 5).alias("times")))
-    return R(spark, sf, "part").select("p_partkey", G.query_document(parts).alias("out"))
+    ordered = lambda x: F.transform(F.sort_array(F.collect_list(x)), lambda t: t["text"])
+    ranked = I.ranked_tags(spark, sf)
+    contexts = ["mechanics", "structure_loop"]
+    own = ranked.groupBy("item_id").agg(
+        ordered(F.struct("context", "pos", F.concat_ws(":", "context", "tag").alias("text"))).alias("all_tags"),
+        *(ordered(F.when(F.col("context") == c, F.struct("pos", F.col("tag").alias("text")))).alias(c) for c in contexts),
+    )
+    fields = {"identity": ["signature_tag", "niche_anchors", "identity_tags"], "setting": ["setting_tags"], "music": ["music_primary", "music_secondary"]}
+    place = lambda fs: F.array_position(F.array(*map(F.lit, fs)), F.col("field"))
+    lists = I.list_tags(spark, sf).groupBy("item_id").agg(*(ordered(F.when(F.col("field").isin(fs), F.struct(place(fs).alias("o"), "pos", F.col("tag").alias("text")))).alias(n) for n, fs in fields.items()))
+    items = R(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), "p_name").join(own, "item_id", "left").join(lists, "item_id", "left")
+    base = F.concat(F.array("p_name"), F.coalesce("all_tags", F.array().cast("array<string>")))
+    weights, boosts, music = _PROFILE
+    parts = G.query_parts(base, {c: F.col(c) for c in [*contexts, *fields]}, weights, boosts, music)
+    return items.select(F.col("item_id").alias("p_partkey"), G.query_document(parts).alias("out"))
 
 
 @query("serving_table", "SELECT p_partkey AS item_id, p_name AS name, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS search_name, coalesce(owners, 0) AS owners FROM part LEFT JOIN (SELECT * FROM fx_signals WHERE item_id % 4 <> 0) s ON s.item_id = p_partkey")
