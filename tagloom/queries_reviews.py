@@ -669,11 +669,19 @@ def reason_chips(spark, sf):
     return chips(_matched(spark, sf)).withColumns({c: F.array_join(c, "|") for c in ("reasons", "others")})
 
 
-@query("featured_tag_groups", "SELECT item_id, field, string_agg(tag, '|' ORDER BY pos, tag) AS tags FROM fx_list_tags WHERE pos <= 3 AND field NOT LIKE 'genre%' GROUP BY item_id, field")
+from tagloom.operators.views import FEATURED  # noqa: E402
+
+_FEATURED = ", ".join(f"({k + 1}, '{label}', '{context}', '{f}', {i}, {most})" for k, (label, context, fields, most) in enumerate(FEATURED) for i, f in enumerate(fields))
+
+
+@query("featured_tag_groups", f"""WITH rules(place, label, context, field, part, most) AS (VALUES {_FEATURED}), t AS (SELECT item_id, field, tag, pos FROM fx_list_tags UNION ALL SELECT item_id, context, tag, pos FROM fx_ranked_tags),
+o AS (SELECT item_id, place, label, r.context, most, tag, min({{'part': part, 'pos': pos}}) AS spot FROM t JOIN rules r ON r.field = t.field GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY item_id, place ORDER BY spot, tag) AS k FROM o)
+SELECT item_id, place, label, context, string_agg(tag, '|' ORDER BY k) AS tags FROM k WHERE k <= most GROUP BY ALL""".replace("{{", "{").replace("}}", "}"))
 def featured_tag_groups(spark, sf):
     from tagloom.operators.views import featured_tag_groups as featured
 
-    return featured(I.list_tags(spark, sf).where("field not like 'genre%'"), 3).withColumn("tags", F.array_join("tags", "|"))
+    tags = I.list_tags(spark, sf).select("item_id", "field", "tag", "pos").unionByName(I.ranked_tags(spark, sf).select("item_id", F.col("context").alias("field"), "tag", "pos"))
+    return featured(tags).withColumn("tags", F.array_join("tags", "|"))
 
 
 @query("item_profile", "SELECT p_partkey AS item_id, p_name AS name, p_type AS genre, count(*) AS n_tags FROM part JOIN fx_item_tags ON item_id = p_partkey GROUP BY ALL")
