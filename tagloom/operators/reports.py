@@ -19,6 +19,19 @@ def chart(df: DataFrame, title: str, label: Column, top: int | None = None) -> D
     return rows.select(F.lit(title).alias("title"), "label", "value")
 
 
+def as_chart(df: DataFrame, title: str, label: Column, value: str = "value") -> DataFrame:
+    """Counted rows of any shape as a chart."""
+    return df.select(F.lit(title).alias("title"), label.cast("string").alias("label"), F.col(value).cast("long").alias("value"))
+
+
+def report(charts: list[DataFrame]) -> DataFrame:
+    """Charts in one long table (title, label, value)."""
+    out = charts[0].select("title", "label", "value")
+    for c in charts[1:]:
+        out = out.unionByName(c.select("title", "label", "value"))
+    return out
+
+
 def bucketed(value: Column, bounds: list[tuple[float, str]], last: str, missing: str | None = None) -> Column:
     """The label of the first bound that the value is below."""
     out = F.when(value.isNull(), F.lit(missing)) if missing is not None else None

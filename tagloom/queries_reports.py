@@ -11,7 +11,7 @@ from tagloom.operators import reports as P
 from tagloom.operators import tables as B
 from tagloom.plans.staging import shared_folder
 from tagloom.queries_tables import _groups
-from tagloom.registry import query
+from tagloom.registry import ORACLES, QUERIES, query
 from tagloom.sources import inputs as I
 
 R = I.read
@@ -261,11 +261,26 @@ def activity_report(spark, sf):
     return P.activity_report(R(spark, sf, "events"))
 
 
-@query("catalog_report", """SELECT 'types' AS title, p_type AS label, count(*) AS value FROM part GROUP BY 2 UNION ALL SELECT 'brands', p_brand, count(*) FROM part GROUP BY 2
-UNION ALL SELECT 'reviews', CASE WHEN review_count < 1 THEN '0' WHEN review_count < 50 THEN '1-49' WHEN review_count < 500 THEN '50-499' WHEN review_count < 5000 THEN '500-4,999' WHEN review_count < 50000 THEN '5,000-49,999' ELSE '50,000+' END, count(*) FROM fx_signals GROUP BY 2""")
+#: The report's charts: query, title where it has none of its own, label and value in SQL.
+_CHARTS = [
+    ("table_row_counts", "tables", "label", "value"), ("games_by_year", None, "label", "value"), ("review_count_buckets", None, "label", "value"), ("positivity_buckets", None, "label", "value"), ("top_genres", None, "label", "value"),
+    ("top_signature_tags", None, "label", "value"), ("asset_coverage", "assets", "label", "value"), ("occurrences_by_context", "occurrences", "context", "occurrences"), ("groups_by_context", "groups", "context", "value"),
+    ("top_canon_tags", "canon", "canon_tag", "total_occurrences"), ("child_count_histogram", "children", "CAST(children AS VARCHAR)", "parents"), ("candidate_coverage", None, "label", "value"), ("status_breakdown", "status", "status", "n"),
+]
+
+
+def _catalog_sql() -> str:
+    return " UNION ALL ".join(f"SELECT {repr(title) if title else 'title'} AS title, {label} AS label, CAST({value} AS BIGINT) AS value FROM ({ORACLES[name]}) c{k}" for k, (name, title, label, value) in enumerate(_CHARTS))
+
+
+@query("catalog_report", _catalog_sql())
 def catalog_report(spark, sf):
-    p = R(spark, sf, "part")
-    return P.chart(p, "types", F.col("p_type")).unionByName(P.chart(p, "brands", F.col("p_brand"))).unionByName(review_count_buckets(spark, sf))
+    """All charts of the catalog."""
+    charts = []
+    for name, title, label, value in _CHARTS:
+        one = QUERIES[name](spark, sf)
+        charts.append(P.as_chart(one, title, F.expr(label.replace("VARCHAR", "STRING")), value) if title else one)
+    return P.report(charts)
 
 
 @query("catalog_status_audit", """WITH m AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) SELECT (SELECT count(*) FROM documents) AS catalog, (SELECT count(DISTINCT d.doc_id) FROM documents d JOIN labels b ON d.doc_id = b.doc_id) AS present, (SELECT count(*) FROM m) AS missing,
