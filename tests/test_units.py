@@ -1,5 +1,6 @@
 """Small cases worked out by hand."""
 
+import math
 import os
 import random
 import re
@@ -320,18 +321,28 @@ def test_sample_reviews_composes_its_parts(spark):
     said = {}
     for r in W.lexicon_scores(kept, lexicon(spark)).collect():
         said.setdefault(r.review_id, {})[r.category] = r.score
+    letters = "eao"
+    encoder = lambda t: F.array(*((F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double") for c in letters))
+
+    def near(text, prompt):
+        a, b = ([t.count(c) for c in letters] for t in (text, prompt))
+        size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / size, 9) if size else 0.0
+
     want = {}
     for item in {r.item_id for r in reviews.select("item_id").collect()}:
         mine = [f for f in facts.values() if f.item_id == item and f.q > 0]
+        mine = mine if any(said.get(f.review_id) for f in mine) else []
         picked = []
         for order, category in enumerate(W.PRIORITY):
             scored = []
             for f in mine:
                 by = {c: s * f.q for c, s in said.get(f.review_id, {}).items()}
-                if by:
-                    score = by.get("explainability", 0.0) + 0.5 * by.get("descriptive", 0.0) + f.depth if category == "systems_depth" else by.get(category, 0.0)
-                    scored += [(-score, f.review_id)] if score > 0 else []
-            picked += [(order, k, i) for k, (_, i) in enumerate(sorted(scored)[:30][: min(5, W.CATEGORY_LIMITS.get(category, 0))])]
+                score = by.get("explainability", 0.0) + 0.5 * by.get("descriptive", 0.0) + f.depth if category == "systems_depth" else by.get(category, 0.0)
+                scored += [(-round(score, 9), f.review_id)] if score > 0 else []
+            pool = sorted(scored)[: W.POOLS[category]]
+            again = sorted((-near(facts[i].text, W.PROMPTS[category]), place, i) for place, (_, i) in enumerate(pool))
+            picked += [(order, k, i) for k, (_, _, i) in enumerate(again[: W.CATEGORY_LIMITS[category]])]
         texts, rows = set(), []
         for order, _, i in sorted(picked):
             if facts[i].text.strip(" ") not in texts:
@@ -340,7 +351,7 @@ def test_sample_reviews_composes_its_parts(spark):
         status = "ok" if rows else "no_insightful_reviews" if any(f.item_id == item for f in facts.values()) else "no_reviews_after_filtering"
         want[item] = (status, rows[:14])
     got = {}
-    for r in W.sample_reviews(reviews, lexicon(spark)).orderBy("item_id", "place").collect():
+    for r in W.sample_reviews(reviews, lexicon(spark), encoder).orderBy("item_id", "place").collect():
         got.setdefault(r.item_id, (r.status, []))[1].extend([(r.category, r.review_id)] if r.place else [])
     assert got == want and {s for s, _ in got.values()} >= {"ok", "no_reviews_after_filtering"}
 
