@@ -53,3 +53,42 @@ def test_pairs_of_lists_are_the_same_beyond_the_limit_of_a_broadcast(spark):
     want = sorted((i, c) for i in range(40) for g, c in [(g, c) for g in range(3) for c in range(40) if (c + g) % 2] + [(0, 999)] if g == i % 3 and c != i)
     for limit in (0, 48 << 20):
         assert sorted(tuple(r) for r in lists.pairs(limit).select("source", "candidate").collect()) == want
+
+
+def test_chips_and_explanations_of_rows_are_those_of_long_tables(spark):
+    from tagloom.operators import views as V
+
+    tables, lists = _items(spark), _lists(spark)
+    prefs, offers = R.build_preferences(*tables[:2]), R.candidate_weights(*tables[:2])
+    long, hits = R.matched_tags_topk(lists, prefs, offers), R.pair_overlaps(lists, prefs, offers)
+    boosts = spark.createDataFrame([("mechanics", "me1", 30.0), ("mechanics", "me5", 5.0), ("vibe", "vi2", 20.0), ("vibe", "none", 40.0)], "context string, tag string, requested double")
+    asked = V.asked_of(tables[0].select(F.col("item_id").alias("source")).distinct(), boosts, tables[0])
+    rows = R.matched_rows(lists, prefs, offers, sources=asked)
+    assert _rows(V.chips_of_rows(rows, list(R.MATCHED))) == _rows(V.reason_chips(long))
+    contexts = ["mechanics", "vibe"]
+    hits = hits.select("source", "candidate", *(F.col(f"o_{c}").alias(c) for c in contexts)).unpivot(["source", "candidate"], contexts, "context", "hit")
+    want = _rows(V.explain_match(long, boosts, tables[0], hits))
+    assert len(want) > 100 and _rows(V.explain_rows(rows, {c: F.col(f"o_{c}") for c in contexts}, list(R.MATCHED))) == want
+
+
+def test_frequent_tags_of_lists_are_those_of_their_pairs(spark):
+    from tagloom.operators import reports as P
+
+    tags, lists = _items(spark)[0], _lists(spark)
+    sets = lists.pairs().select(F.col("source").alias("set_id"), F.col("candidate").alias("item_id")).join(tags, "item_id")
+    assert _rows(P.frequent_tags_of_lists(lists, tags)) == _rows(P.frequent_tags(sets))
+
+
+def test_a_task_sends_on_one_edge_a_node(spark):
+    from tagloom.operators.graph import connected_components, spanning_forest
+
+    ends = spark.range(30_000).selectExpr("id % 300 as u", "(id * 7) % 299 + 300 * (id % 2) as v")
+    assert spanning_forest(ends.coalesce(1), most=1_000).count() == ends.select("u").union(ends.select("v")).distinct().count()
+    assert connected_components(ends, "u", "v").select("component").distinct().count() == 1
+
+
+def test_facts_are_dealt_by_item_and_by_their_number(spark, monkeypatch):
+    from tagloom.sources import inputs as I
+
+    monkeypatch.setattr(I, "_TASK_FACTS", 500)
+    assert I.lines(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 10
