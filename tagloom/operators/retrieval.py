@@ -189,7 +189,9 @@ def prescreen_candidates(list_tags: DataFrame, popularity: DataFrame, k: int = 4
     boosts(item_id, field, tag), with fields boost:identity, boost:setting and
     boost:music, add to the bases' tags. Tags may be held by a large share of
     all items, so pairs are not joined by tag: blocks of items meet (`block_topk`),
-    and only the best `k` of a source and task are shuffled.
+    and only the best `k` of a source and task are shuffled. Items that ask for the same tags are one kind of sources, and items that
+    give the same one kind of candidates: only kinds meet, for work that grows with their number squared, and a kind's list is
+    made once for all its sources, which each leave out themselves.
     """
     rules = [(f, i) for i, (fields, _, _) in enumerate(PREDICATES) for f in fields]
     tags = list_tags.select("item_id", "field", F.trim("tag").alias("tag")).where("tag <> ''").distinct()
@@ -201,10 +203,27 @@ def prescreen_candidates(list_tags: DataFrame, popularity: DataFrame, k: int = 4
     rank = popularity.groupBy(F.col("candidate").alias("id")).agg(F.max("popularity").cast("double").alias("popularity"))
     items = asks.join(gives, "id", "full").join(rank, "id", "left")
     tie = F.coalesce(-F.col("popularity"), F.lit(float("inf")))
-    rows = items.select(F.lit("").alias("g"), F.col("id").cast("long").alias("id"), tie.alias("tie"), F.coalesce("asks", none).alias("asks"), F.coalesce("gives", none).alias("gives"))
-    rows = Staged(rows, "prescreen").df
-    block_rows = block_rows or rows_for(list_tags.sparkSession.sparkContext.defaultParallelism, rows.count(), 4096)
-    return block_topk(rows, rows, k, _tag_lists, _tag_hits, block_rows).select("source", "candidate", F.col("score").cast("long").alias("hits"), "rnk")
+    rows = items.select(F.col("id").cast("long").alias("id"), tie.alias("tie"), F.sort_array(F.coalesce("asks", none)).alias("asks"), F.sort_array(F.coalesce("gives", none)).alias("gives"))
+    alike = W.partitionBy("gives").orderBy("tie", "id")
+    rows = Staged(rows.withColumns({"list_id": F.min("id").over(W.partitionBy("asks")), "kind": F.first("id").over(alike), "pos": F.row_number().over(alike)}), "prescreen").df
+    # Doubled ids, odd for sources: a kind of sources is never taken for itself among the kinds of candidates.
+    block = lambda d, key, asks, gives: d.select(F.lit("").alias("g"), key.alias("id"), "tie", asks.alias("asks"), gives.alias("gives"))
+    ask = block(rows.where("id = list_id"), F.col("id") * 2 + 1, F.col("asks"), none)
+    have = block(rows.where("pos = 1"), F.col("id") * 2, none, F.col("gives"))
+    n_ask, n_have = rows.agg(F.count_if(F.expr("id = list_id")), F.count_if(F.expr("pos = 1"))).first()
+    block_rows = block_rows or rows_for(list_tags.sparkSession.sparkContext.defaultParallelism, max(n_ask, n_have), 4096)
+    best = block_topk(ask, have, k + 1, _tag_lists, _tag_hits, block_rows).select(F.expr("(source - 1) div 2").alias("list_id"), F.expr("candidate div 2").alias("kind"), "score")
+    # Kinds of fewer points than the best k + 1 members have are not looked into.
+    first = rows.where(F.col("pos") <= k + 1).select("kind", F.col("id").alias("candidate"), "tie")
+    counted = best.join(first.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "kind")
+    above = F.sum("n").over(W.partitionBy("list_id").orderBy(F.desc("score"))) - F.sum("n").over(W.partitionBy("list_id", "score"))
+    some = counted.withColumn("above", above).where(F.col("above") <= k).select("list_id", "kind", "score").join(first, "kind")
+    at = F.row_number().over(W.partitionBy("list_id").orderBy(F.desc("score"), "tie", "candidate"))
+    listed = Staged(some.withColumn("at", at).where(F.col("at") <= k + 1).select("list_id", "candidate", F.col("score").cast("long").alias("hits"), "at"), "prescreened").df
+    own = listed.select("list_id", F.col("candidate").alias("source"), F.col("at").alias("place"))
+    members = rows.select("list_id", F.col("id").alias("source")).join(own, ["list_id", "source"], "left")
+    rnk = F.col("at") - F.coalesce((F.col("place") < F.col("at")).cast("int"), F.lit(0))
+    return members.join(listed, "list_id").where("source <> candidate").select("source", "candidate", "hits", rnk.alias("rnk")).where(F.col("rnk") <= k)
 
 
 def retrieve_candidates(precomputed: DataFrame, prescreened: DataFrame, nearest: DataFrame, limit: int = 300, changed: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
