@@ -62,7 +62,7 @@ def test_chips_and_explanations_of_rows_are_those_of_long_tables(spark):
     prefs, offers = R.build_preferences(*tables[:2]), R.candidate_weights(*tables[:2])
     long, hits = R.matched_tags_topk(lists, prefs, offers), R.pair_overlaps(lists, prefs, offers)
     boosts = spark.createDataFrame([("mechanics", "me1", 30.0), ("mechanics", "me5", 5.0), ("vibe", "vi2", 20.0), ("vibe", "none", 40.0)], "context string, tag string, requested double")
-    asked = V.asked_of(tables[0].select(F.col("item_id").alias("source")).distinct(), boosts, tables[0])
+    asked = V.asked_of(lists.members.select("source"), boosts, tables[0])
     rows = R.matched_rows(lists, prefs, offers, sources=asked)
     assert _rows(V.chips_of_rows(rows, list(R.MATCHED))) == _rows(V.reason_chips(long))
     contexts = ["mechanics", "vibe"]
@@ -92,3 +92,30 @@ def test_facts_are_dealt_by_item_and_by_their_number(spark, monkeypatch):
 
     monkeypatch.setattr(I, "_TASK_FACTS", 500)
     assert I.lines(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 10
+
+
+def test_prescreen_meets_kinds_of_items_and_not_items(spark, monkeypatch):
+    """Copies are one kind: they stand in order of popularity and id, and none is its own candidate."""
+    from tagloom.operators import retrieval as S
+
+    rng = random.Random(3)
+    fields = ["signature_tag", "niche_anchors", "identity_tags", "micro_tags", "setting_tags", "music_primary", "genre.primary"]
+    kinds = [[(f, f"t{rng.randint(0, 4)}") for f in fields for _ in range(rng.randint(0, 2))] for _ in range(12)]
+    of = {i: kinds[i % 12 if i % 5 else 0] for i in range(90)}
+    popular = {i: rng.randint(0, 3) for i in of if i % 7}
+    tags = spark.createDataFrame([(i, f, t) for i, k in of.items() for f, t in k], "item_id long, field string, tag string")
+    met = []
+    real = S.block_topk
+    monkeypatch.setattr(S, "block_topk", lambda a, b, *more: met.append((a.count(), b.count())) or real(a, b, *more))
+    for k in (5, 40, 200):
+        got = {tuple(r) for r in S.prescreen_candidates(tags, spark.createDataFrame(list(popular.items()), "candidate long, popularity long"), k, block_rows=3).collect()}
+        want = set()
+        for i, mine in of.items():
+            found = []
+            for j, theirs in of.items():
+                hits = sum(w for fs, to, w in S.PREDICATES if {t for f, t in mine if f in fs} & {t for f, t in theirs if f == to})
+                if j != i and hits:
+                    found.append((-hits, -popular[j] if j in popular else float("inf"), j))
+            want |= {(i, j, -h, n + 1) for n, (h, _, j) in enumerate(sorted(found)[:k])}
+        assert got == want
+    assert max(max(x) for x in met) <= 12
