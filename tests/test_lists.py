@@ -119,3 +119,13 @@ def test_prescreen_meets_kinds_of_items_and_not_items(spark, monkeypatch):
             want |= {(i, j, -h, n + 1) for n, (h, _, j) in enumerate(sorted(found)[:k])}
         assert got == want
     assert max(max(x) for x in met) <= 12
+
+
+def test_tables_of_items_are_grouped_without_a_shuffle_and_facts_are_joined_once(spark):
+    from tagloom.sources import inputs as I
+
+    sf = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for rows in (I.item_tags(spark, sf), I.list_tags(spark, sf), I.signals(spark, sf)):
+        assert "Exchange" not in plan(rows.groupBy("item_id").count())
+    assert "lineitem" not in plan(I.signals(spark, sf)) and "Exchange" not in plan(I.ranked_tags(spark, sf))
