@@ -129,3 +129,43 @@ def test_tables_of_items_are_grouped_without_a_shuffle_and_facts_are_joined_once
     for rows in (I.item_tags(spark, sf), I.list_tags(spark, sf), I.signals(spark, sf)):
         assert "Exchange" not in plan(rows.groupBy("item_id").count())
     assert "lineitem" not in plan(I.signals(spark, sf)) and "Exchange" not in plan(I.ranked_tags(spark, sf))
+
+
+def test_ranked_lists_merge_as_their_pairs_do_without_a_shuffle_of_pairs(spark):
+    from tagloom.operators import tables as B
+    from tagloom.queries_tables import hydrate_ranked, round_robin_merge
+
+    lists = _lists(spark)
+    listed = lists.listed.withColumns({"list_no": (F.col("candidate") % 3).cast("int"), "rnk": F.col("candidate") * 7 % 43})
+    pairs = SharedLists(lists.members, listed)
+    for limit in (4, 300):
+        assert _rows(B.interleave_lists(pairs, limit)) == _rows(B.interleave(pairs.pairs().drop("list_id"), limit))
+    for query in (hydrate_ranked, round_robin_merge):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        top = plan[: plan.index("Repartition")]
+        assert "Window" not in top and "Aggregate" not in top and "FlatMapGroups" not in top
+
+
+def test_a_task_keeps_the_best_of_a_few_source_rows_at_a_time(monkeypatch):
+    """Many source rows, many blocks: the rows held at once do not grow with the source block."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tagloom.operators import blocks as K
+
+    rng = np.random.default_rng(1)
+    sizes, real = [], K._keep
+    monkeypatch.setattr(K, "_keep", lambda parts, k: sizes.append(sum(len(p[0]) for p in parts)) or real(parts, k))
+    ids, own = np.arange(4_000), [np.arange(a, a + 500) for a in range(0, 6_000, 500)]
+    table = rng.integers(0, 50, (4_000, 6_000)).astype(float)
+    score = lambda a, b, rows: table[rows, int(b) : int(b) + 500].copy()
+    row = lambda side, i, f: (("g", 0, 0, side, i.tobytes(), np.zeros(len(i)).tobytes(), f))
+    rows = [row(0, o, str(o[0]).encode()) for o in own] + [row(1, ids, b"")]
+    names = ["g", "down", "across", "side", "ids", "ties", "features"]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])], names=names)
+    got = pa.Table.from_batches(list(K._meet(300, score)(iter([batch]))))
+    assert got.num_rows == 4_000 * 300 and max(sizes) < 1_200_000
+    for s in (0, 1_777, 3_999):
+        mine = np.asarray(got.column("candidate"))[np.asarray(got.column("source")) == s]
+        want = sorted((-table[s, c], c) for c in range(6_000) if c != s)[:300]
+        assert mine.tolist() == [c for _, c in want]
