@@ -169,3 +169,29 @@ def test_a_task_keeps_the_best_of_a_few_source_rows_at_a_time(monkeypatch):
         mine = np.asarray(got.column("candidate"))[np.asarray(got.column("source")) == s]
         want = sorted((-table[s, c], c) for c in range(6_000) if c != s)[:300]
         assert mine.tolist() == [c for _, c in want]
+
+
+def test_pairs_of_some_contexts_carry_and_pack_these_alone(spark):
+    tables, lists = _items(spark), _lists(spark)
+    prefs, offers = R.build_preferences(*tables[:2]), R.candidate_weights(*tables[:2])
+    whole = R.pair_overlaps(lists, prefs, offers).cache()
+    for only in (["genre"], ["identity", "setting"], R.VECTOR):
+        got = R.pair_overlaps(lists, prefs, offers, only)
+        own = [f"t_{c}" if c not in R.VECTOR else f"a_{c}" for c in only] + [f"o_{c}" for c in only] + (list(R._ROLES) if "identity" in only else [])
+        assert sorted(got.columns) == sorted(["source", "candidate", *own])
+        assert _rows(got) == _rows(whole.select(*got.columns))
+    packed = lambda only: R.packed_preferences(prefs, only).agg(F.count("source"), F.sum(F.length("want")), F.count_if(F.length("want") == 0)).first()
+    (n, size, none), (all_n, all_size, _) = packed(["setting"]), packed(None)
+    assert n == all_n and none > 0 and size < all_size / 10
+
+
+def test_closeness_of_pairs_is_made_in_their_cells_without_genres(spark):
+    tables, lists = _items(spark), _lists(spark)
+    prefs, offers = R.build_preferences(*tables[:2]), R.candidate_weights(*tables[:2])
+    base = tables[2].select(F.col("item_id").alias("source"), *(F.col(x).alias(f"b_{x}") for x in R.AXES))
+    own = tables[2].withColumnRenamed("item_id", "candidate")
+    sources, only = R.packed_preferences(prefs, ["identity"]).drop("want_tag").join(base, "source"), ["identity"]
+    got = R.list_overlaps(lists.bare(), sources, R.packed_offers(offers, only).join(own, "candidate", "right"), appeal=True, only=only)
+    assert sorted(got.columns) == sorted(["source", "candidate", "t_identity", "o_identity", "closeness", *R._ROLES])
+    want = lists.bare().pairs().join(base, "source").join(own, "candidate", "left").select("source", "candidate", R.appeal_distance().alias("closeness"))
+    assert _rows(got.select(*want.columns)) == _rows(want.join(sources.select("source"), "source", "left_semi"))
