@@ -195,3 +195,16 @@ def test_closeness_of_pairs_is_made_in_their_cells_without_genres(spark):
     assert sorted(got.columns) == sorted(["source", "candidate", "t_identity", "o_identity", "closeness", *R._ROLES])
     want = lists.bare().pairs().join(base, "source").join(own, "candidate", "left").select("source", "candidate", R.appeal_distance().alias("closeness"))
     assert _rows(got.select(*want.columns)) == _rows(want.join(sources.select("source"), "source", "left_semi"))
+
+
+def test_tasks_of_the_join_of_the_facts_grow_with_the_facts(spark, monkeypatch):
+    import re
+
+    from tagloom.sources import inputs as I
+
+    monkeypatch.setattr(I, "_TASK_FACTS", 500)
+    sf = "/root/testdata/sf0.001"
+    n = I.fact_tasks(spark, sf)
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = I.lines(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert {(k, int(p)) for k, p in re.findall(r"hashpartitioning\((\w_orderkey)#\d+L?, (\d+)\)", plan)} == {("l_orderkey", n), ("o_orderkey", n)}
