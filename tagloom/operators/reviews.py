@@ -62,11 +62,14 @@ def filter_funnel(reviews: DataFrame, least_words: int = 50) -> DataFrame:
 
 
 def filter_with_fallback(reviews: DataFrame, strict: int = 50, relaxed: int = 20) -> DataFrame:
-    """The reviews of at least `strict` words of an item, or of `relaxed` where it has none; `mode` tells which."""
+    """The reviews of at least `strict` words of an item, or of `relaxed` where it has none; `mode` tells which. Texts stay where they
+    are read: one flag an item is joined to them (by broadcast up to a million items), since an item may have any number of reviews."""
     s, r = (F.lit(True), F.lit(True))
     for (_, a), (_, b) in zip(keep_flags(strict), keep_flags(relaxed), strict=True):
         s, r = s & a, r & b
-    x = reviews.withColumns({"_s": s, "_r": r}).withColumn("_any", F.max("_s").over(W.partitionBy("item_id")))
+    x = reviews.withColumns({"_s": s, "_r": r})
+    items = stage(x.groupBy(F.col("item_id").alias("_item")).agg(F.max("_s").alias("_any")), "strict-items")
+    x = x.join(F.broadcast(items) if items.count() <= 1_000_000 else items, F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
     return x.where(F.when(F.col("_any"), F.col("_s")).otherwise(F.col("_r"))).withColumn("mode", F.when(F.col("_any"), "strict").otherwise("relaxed")).drop("_s", "_r", "_any")
 
 
@@ -192,8 +195,9 @@ def sample_reviews(reviews: DataFrame, lexicon: DataFrame, encoder=hashed_tf_emb
     Each category's best by score are read again: the nearest to its prompt by the encoder's vectors come first.
     Depth counts even in a review without a word of the lexicon; an item of which no review has one has no sample."""
     kept = filter_with_fallback(reviews, strict, relaxed).withColumn("text", strip_checkbox_emoji(F.col("text")))
-    rated = kept.withColumns({"q": quality_multiplier(F.col("text")), "depth": systems_depth_bonus(F.col("text"))}).where("q > 0").select("item_id", "review_id", "text", "q", "depth")
-    rated = stage(rated, "rated-reviews")
+    rated = kept.withColumns({"q": quality_multiplier(F.col("text")), "depth": systems_depth_bonus(F.col("text"))}).select("item_id", "review_id", "text", "q", "depth")
+    kept = stage(rated, "rated-reviews")
+    rated = kept.where("q > 0")  # of the written rows: the patterns are searched once a text
     raw = lexicon_scores(rated, lexicon)
     part = lambda c, w: F.sum(F.when(F.col("category") == c, F.col("score") * w).otherwise(0.0))
     plain = ("descriptive", "artistic", "music")
@@ -203,6 +207,7 @@ def sample_reviews(reviews: DataFrame, lexicon: DataFrame, encoder=hashed_tf_emb
     each = [F.struct(F.lit(c).alias("category"), z(c).alias("score")) for c in plain] + [F.struct(F.lit("systems_depth").alias("category"), (z("explainability") + z("descriptive") * 0.5 + F.col("depth")).alias("score"))]
     scores = wide.select("item_id", "review_id", F.explode(F.array(*each)).alias("x")).select("item_id", "review_id", "x.category", "x.score")
     pool = category_pools(scores, POOLS).join(rated.select("review_id", "text"), "review_id")
+    pool = pool.repartition(reviews.sparkSession.sparkContext.defaultParallelism, "review_id")  # few rows, but each is encoded
     picked = sample_union_cap(best_of_pools(rerank_by_prompt(pool, encoder), CATEGORY_LIMITS))
     had = kept.select("item_id").distinct().withColumn("_k", F.lit(True))
     items = reviews.select("item_id").distinct().join(had, "item_id", "left")

@@ -435,3 +435,14 @@ def test_explained_matches(spark):
     got = {(r.source, r.candidate): (r.context, r.tag, r.requested, r.exact) for r in explain_match(matched, boosts, base, hits).collect()}
     # jump is hardly above what the source had; dark is nobody's, so its context's first matched tag stands in.
     assert got == {(1, 2): ("mechanics", "Rope-Dance", 10.0, True), (1, 3): ("vibe", "calm", 50.0, False), (5, 2): ("mechanics", "jump", 10.0, False)}
+
+
+def test_filtered_reviews_stay_where_they_are_read(spark):
+    from tagloom.operators.reviews import filter_with_fallback
+
+    text = {"s": "word " * 60, "r": "word " * 25, "x": "no"}
+    rows = [(i, f"{i}{k}{n}", text[k], False, 99) for i, kinds in ((1, "srx"), (2, "rx"), (3, "x"), (None, "sr"), (None, "s")) for n, k in enumerate(kinds)]
+    got = filter_with_fallback(spark.createDataFrame(rows, "item_id long, review_id string, text string, refunded boolean, playtime_min int"))
+    assert sorted((r.review_id, r.mode) for r in got.collect()) == [("1s0", "strict"), ("2r0", "relaxed"), ("Nones0", "strict"), ("Nones0", "strict")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
