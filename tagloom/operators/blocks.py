@@ -19,6 +19,8 @@ from tagloom.plans.staging import Staged
 
 #: Rows of candidates that a task holds before it keeps the best.
 _KEPT = 500_000
+#: Rows that a task ranks at the end.
+_RANKED = 1_000_000
 _PACK = "g string, blocks long, b long, ids binary, ties binary, features binary"
 
 
@@ -115,20 +117,27 @@ def meet_blocks(ask: DataFrame, have: DataFrame, k: int, score: Callable[[bytes,
     Source blocks and candidate blocks of a group are laid out as a grid that is cut into cells, as
     square as may be; a task holds a cell's candidate blocks (at most `hold_bytes`) and meets its source blocks with
     them one at a time. A block is sent to one row or column of cells, so that for n blocks and t tasks each
-    side is shuffled about sqrt(t) times, not n times."""
+    side is shuffled about sqrt(t) times, not n times.
+
+    Many best rows are dealt by source to as many tasks as their number asks for. They are not sorted before that: a cell gives
+    at most k a source, so that there is hardly a row to leave out, and its rows would be held as they grow with the cell."""
     tasks = ask.sparkSession.sparkContext.defaultParallelism
     size = F.length("features") + F.length("ids") + F.length("ties")
-    per_group = ask.groupBy("g").agg(F.max("blocks").alias("asked")).join(have.groupBy("g").agg(F.max("blocks").alias("had"), F.max(size).alias("bytes")), "g")
+    per_group = ask.groupBy("g").agg(F.max("blocks").alias("asked"), F.sum(F.length("ids") / 8).alias("rows")).join(have.groupBy("g").agg(F.max("blocks").alias("had"), F.max(size).alias("bytes")), "g")
     total = per_group.agg(F.sum(F.col("asked") * F.col("had"))).first()[0]
     cell = max(1, int(total or 0) // (8 * tasks))  # meetings of two blocks in one task
     across = F.greatest(F.lit(1), F.least("had", F.floor(F.lit(hold_bytes) / F.greatest("bytes", F.lit(1))), F.greatest(F.lit(int(np.ceil(np.sqrt(cell)))), F.ceil(F.lit(cell) / F.col("asked"))))).cast("long")
     plan = per_group.withColumn("wide", across).withColumn("tall", F.greatest(F.lit(1), F.least("asked", F.floor(F.lit(cell) / F.col("wide")))).cast("long"))
-    cells = plan.agg(F.sum(F.ceil(F.col("asked") / F.col("tall")) * F.ceil(F.col("had") / F.col("wide")))).first()[0]
+    beside = F.ceil(F.col("had") / F.col("wide"))
+    cells, met = plan.agg(F.sum(F.ceil(F.col("asked") / F.col("tall")) * beside), F.sum(F.col("rows") * beside)).first()
     every = lambda n, step: F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col(n) / F.col(step)) - 1).cast("long")))
     left = ask.drop("blocks").join(plan, "g").select("g", F.floor(F.col("b") / F.col("tall")).cast("long").alias("down"), every("had", "wide").alias("across"), F.lit(1).alias("side"), "b", "ids", "ties", "features")
     right = have.drop("blocks").join(plan, "g").select("g", every("asked", "tall").alias("down"), F.floor(F.col("b") / F.col("wide")).cast("long").alias("across"), F.lit(0).alias("side"), "b", "ids", "ties", "features")
     shuffled = left.unionByName(right).repartition(max(1, min(int(cells or 1), 32 * tasks)), "g", "down", "across").sortWithinPartitions("g", "down", "across", "side", "b")
     best = shuffled.mapInArrow(_meet(k, score), f"g string, source long, candidate long, tie double, score {score_type}")
+    ranking = -int(-(met or 0) * k // _RANKED)
+    if ranking > tasks:
+        best = best.repartition(ranking, "g", "source")
     order = W.partitionBy("g", "source").orderBy(F.desc("score"), "tie", "candidate")
     return best.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k).select("g", "source", "candidate", "score", "rnk")
 

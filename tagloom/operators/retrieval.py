@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window as W
 from tagloom.functions.text import norm_search_text, trigrams
 from tagloom.functions.weights import let
 from tagloom.operators.blocks import block_topk, rows_for
+from tagloom.operators.lists import SharedLists
 from tagloom.plans.staging import Staged
 
 # The prescreen's predicates: fields of the base (or its boosts), field of the candidate, weight.
@@ -182,7 +184,7 @@ def _tag_hits(a: bytes, b: bytes, rows: slice) -> np.ndarray:
     return total
 
 
-def prescreen_candidates(list_tags: DataFrame, popularity: DataFrame, k: int = 450, boosts: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
+def prescreen_candidates(list_tags: DataFrame, popularity: DataFrame, k: int = 450, boosts: DataFrame | None = None, block_rows: int | None = None, sources: DataFrame | None = None) -> DataFrame:
     """(source, candidate, hits, rnk): candidates with a tag in common, by the summed
     weight of the predicates that hold, each counted once; ties by popularity and id.
 
@@ -193,6 +195,18 @@ def prescreen_candidates(list_tags: DataFrame, popularity: DataFrame, k: int = 4
     give the same one kind of candidates: only kinds meet, for work that grows with their number squared, and a kind's list is
     made once for all its sources, which each leave out themselves.
     """
+    lists = prescreen_lists(list_tags, popularity, k, boosts, block_rows, sources)
+    return lists.members.join(lists.listed, "list_id").where("source <> candidate").select("source", "candidate", "hits", place_rank().alias("rnk")).where(F.col("rnk") <= k)
+
+
+def place_rank() -> Column:
+    """A candidate's rank for a member of its list: the member's own `place` moves later ones up by one."""
+    return F.col("at") - F.coalesce((F.col("place") < F.col("at")).cast("int"), F.lit(0))
+
+
+def prescreen_lists(list_tags: DataFrame, popularity: DataFrame, k: int = 450, boosts: DataFrame | None = None, block_rows: int | None = None, sources: DataFrame | None = None) -> SharedLists:
+    """The lists of `prescreen_candidates`, members(list_id, source, place) and listed(list_id, candidate, hits, at), of all
+    items or of `sources`(source) alone, which then are the only ones to ask."""
     rules = [(f, i) for i, (fields, _, _) in enumerate(PREDICATES) for f in fields]
     tags = list_tags.select("item_id", "field", F.trim("tag").alias("tag")).where("tag <> ''").distinct()
     asked = tags if boosts is None else tags.unionByName(boosts.select("item_id", "field", F.trim("tag").alias("tag")))
@@ -205,12 +219,15 @@ def prescreen_candidates(list_tags: DataFrame, popularity: DataFrame, k: int = 4
     tie = F.coalesce(-F.col("popularity"), F.lit(float("inf")))
     rows = items.select(F.col("id").cast("long").alias("id"), tie.alias("tie"), F.sort_array(F.coalesce("asks", none)).alias("asks"), F.sort_array(F.coalesce("gives", none)).alias("gives"))
     alike = W.partitionBy("gives").orderBy("tie", "id")
-    rows = Staged(rows.withColumns({"list_id": F.min("id").over(W.partitionBy("asks")), "kind": F.first("id").over(alike), "pos": F.row_number().over(alike)}), "prescreen").df
+    wanted = F.lit(True)
+    if sources is not None:
+        rows, wanted = rows.join(sources.select(F.col("source").alias("id"), F.lit(True).alias("wanted")).distinct(), "id", "left"), F.coalesce("wanted", F.lit(False))
+    rows = Staged(rows.withColumns({"wanted": wanted, "asked": F.max(wanted).over(W.partitionBy("asks")), "list_id": F.min("id").over(W.partitionBy("asks")), "kind": F.first("id").over(alike), "pos": F.row_number().over(alike)}), "prescreen").df
     # Doubled ids, odd for sources: a kind of sources is never taken for itself among the kinds of candidates.
     block = lambda d, key, asks, gives: d.select(F.lit("").alias("g"), key.alias("id"), "tie", asks.alias("asks"), gives.alias("gives"))
-    ask = block(rows.where("id = list_id"), F.col("id") * 2 + 1, F.col("asks"), none)
+    ask = block(rows.where("asked and id = list_id"), F.col("id") * 2 + 1, F.col("asks"), none)
     have = block(rows.where("pos = 1"), F.col("id") * 2, none, F.col("gives"))
-    n_ask, n_have = rows.agg(F.count_if(F.expr("id = list_id")), F.count_if(F.expr("pos = 1"))).first()
+    n_ask, n_have = rows.agg(F.count_if(F.expr("asked and id = list_id")), F.count_if(F.expr("pos = 1"))).first()
     block_rows = block_rows or rows_for(list_tags.sparkSession.sparkContext.defaultParallelism, max(n_ask, n_have), 4096)
     best = block_topk(ask, have, k + 1, _tag_lists, _tag_hits, block_rows).select(F.expr("(source - 1) div 2").alias("list_id"), F.expr("candidate div 2").alias("kind"), "score")
     # Kinds of fewer points than the best k + 1 members have are not looked into.
@@ -221,26 +238,53 @@ def prescreen_candidates(list_tags: DataFrame, popularity: DataFrame, k: int = 4
     at = F.row_number().over(W.partitionBy("list_id").orderBy(F.desc("score"), "tie", "candidate"))
     listed = Staged(some.withColumn("at", at).where(F.col("at") <= k + 1).select("list_id", "candidate", F.col("score").cast("long").alias("hits"), "at"), "prescreened").df
     own = listed.select("list_id", F.col("candidate").alias("source"), F.col("at").alias("place"))
-    members = rows.select("list_id", F.col("id").alias("source")).join(own, ["list_id", "source"], "left")
-    rnk = F.col("at") - F.coalesce((F.col("place") < F.col("at")).cast("int"), F.lit(0))
-    return members.join(listed, "list_id").where("source <> candidate").select("source", "candidate", "hits", rnk.alias("rnk")).where(F.col("rnk") <= k)
+    return SharedLists(rows.where("wanted").select("list_id", F.col("id").alias("source")).join(own, ["list_id", "source"], "left"), listed)
 
 
-def retrieve_candidates(precomputed: DataFrame, prescreened: DataFrame, nearest: DataFrame, limit: int = 300, changed: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+def retrieve_candidates(precomputed: DataFrame | SharedLists, prescreened: DataFrame | Callable[[DataFrame | None], DataFrame], nearest: DataFrame | Callable[[DataFrame], DataFrame], limit: int = 300, changed: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
     """(source, candidate, rnk): the stored candidates of a source if it has any, else a live list: nearest ones for
     default weights; prescreened and nearest ones in turn for the sources of `changed`(source), whose weights or boosts are
     not the default (without it, for all).
 
     Only candidates that `items`(item_id) has count, at their place in the list; a source of whose first `limit` stored
-    candidates none is left gets a live list too."""
+    candidates none is left gets a live list too.
+
+    Stored candidates may be shared lists with `place` and `at`: which sources have any is then read off the lists. Live lists may be
+    functions, so that none is made that stored ones replace: prescreened(sources) makes those of sources(source), nearest(without)
+    all but those of without(source). Ranks of live lists count from 1 and repeat no candidate, so that places beyond `limit` are never given. A
+    column `there` of a live list says whether `items` has the candidate; without it the pairs are joined with `items`."""
     from tagloom.operators.tables import interleave
 
-    there = (lambda d: d) if items is None else lambda d: d.join(items.select(F.col("item_id").alias("candidate")).distinct(), "candidate", "left_semi")
-    stored = there(precomputed.where(F.col("rnk") <= limit).select("source", "candidate", F.col("rnk").cast("int").alias("rnk")))
-    has = stored.select("source").distinct()
-    fine = prescreened if changed is None else prescreened.join(changed.select("source").distinct(), "source", "left_semi")
-    lists = fine.select("source", F.lit(1).alias("list_no"), "rnk", "candidate").unionByName(nearest.select("source", F.lit(2).alias("list_no"), "rnk", "candidate"))
-    return stored.select("source", "candidate", "rnk").unionByName(there(interleave(lists.join(has, "source", "left_anti"), limit)).select("source", "candidate", "rnk"))
+    # Both sides are sorted and shuffled: ids in parquet are so small that Spark would broadcast any number of them.
+    held = None if items is None else items.select(F.col("item_id").alias("candidate")).distinct()
+    there = (lambda d: d) if items is None else lambda d: d.join(held.hint("merge"), "candidate", "left_semi")
+    if isinstance(precomputed, SharedLists):
+        lists = SharedLists(precomputed.members, Staged(there(precomputed.listed), "stored").df)
+        stored = lists.pairs().select("source", "candidate", place_rank().cast("int").alias("rnk")).where(F.col("rnk") <= limit)
+        has = Staged(_with_any(lists, limit), "has-stored").df
+    else:
+        stored = there(precomputed.where(F.col("rnk") <= limit).select("source", "candidate", F.col("rnk").cast("int").alias("rnk")))
+        has = stored.select("source").distinct()
+    without = lambda d: d.join(has.hint("merge"), "source", "left_anti")
+    apart = None if changed is None else Staged(without(changed.select("source").distinct()), "changed").df
+    fine = prescreened(apart) if callable(prescreened) else prescreened if apart is None else prescreened.join(apart, "source", "left_semi")
+    fine, near = without(fine) if apart is None else fine, nearest(has) if callable(nearest) else without(nearest)
+
+    def part(d: DataFrame, no: int) -> DataFrame:
+        if items is not None and "there" not in d.columns:
+            d = d.join(held.withColumn("there", F.lit(True)).hint("merge"), "candidate", "left")
+        return d.where(F.col("rnk") <= limit).select("source", F.lit(no).alias("list_no"), "rnk", "candidate", *([] if items is None else [F.coalesce("there", F.lit(False)).alias("there")]))
+
+    # Two lists of at most `limit` places a changed source: about a million rows a task.
+    tasks = None if apart is None else max(apart.sparkSession.sparkContext.defaultParallelism, -(-2 * limit * apart.count() // 1_000_000))
+    given = interleave(part(fine, 1).unionByName(part(near, 2)), limit, tasks=tasks)
+    return stored.select("source", "candidate", "rnk").unionByName((given if items is None else given.where("there")).select("source", "candidate", "rnk"))
+
+
+def _with_any(lists: SharedLists, limit: int) -> DataFrame:
+    """(source) of the members that have a candidate other than themselves within the first `limit` places: one of the first two of their list."""
+    first = lists.listed.withColumn("k", F.row_number().over(W.partitionBy("list_id").orderBy("at", "candidate"))).where("k <= 2")
+    return lists.members.join(first.select("list_id", "candidate", "at"), "list_id").where((F.col("source") != F.col("candidate")) & (place_rank() <= limit)).select("source").distinct()
 
 
 def search_keys(q: DataFrame, names: DataFrame) -> DataFrame:
