@@ -8,6 +8,7 @@ those are shuffled again. No row for a pair of rows is ever made.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ _PACK = "g string, blocks long, b long, ids binary, ties binary, features binary
 
 
 def packed(rows: DataFrame, block_rows: int, features: Callable[[pa.Table], bytes]) -> DataFrame:
-    """One row per block of rows(g, id, tie, ...): ids and ties in order of tie and id, and the block's features."""
+    """One row per block of rows(g, id, tie, ...): ids and ties in order of tie and id, and the block's features. Rows are dealt by their
+    id, or by a column `deal`: equal ones to one block."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, ties = np.asarray(table.column("id"), np.int64), np.asarray(table.column("tie"), np.float64)
@@ -36,7 +38,7 @@ def packed(rows: DataFrame, block_rows: int, features: Callable[[pa.Table], byte
         return pa.table([*head.columns, *(pa.array([x], pa.binary()) for x in data)], names=["g", "blocks", "b", "ids", "ties", "features"])
 
     sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
-    dealt = rows.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = rows.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("deal" if "deal" in rows.columns else "id"), F.col("blocks")))
     return dealt.groupBy("g", "b").applyInArrow(run, _PACK)
 
 
@@ -142,13 +144,69 @@ def meet_blocks(ask: DataFrame, have: DataFrame, k: int, score: Callable[[bytes,
     return best.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k).select("g", "source", "candidate", "score", "rnk")
 
 
-def block_topk(sources: DataFrame, candidates: DataFrame, k: int, features: Callable[[pa.Table], bytes], score: Callable[[bytes, bytes, slice], np.ndarray], block_rows: int) -> DataFrame:
+@dataclass(frozen=True)
+class Search:
+    """Another way to meet blocks: begin(candidates) takes the features of all candidate blocks of a cell and gives what makes, of the
+    features of a source block, batches of columns source, candidate, tie, score and rnk and others of `columns`."""
+
+    begin: Callable[[list[bytes]], Callable[[bytes], Iterator[dict[str, np.ndarray]]]]
+    columns: str
+    features: Callable[[pa.Table], bytes]
+    candidate_rows: int
+    hold_bytes: int = 160 << 20
+
+
+def _search(search: Search):
+    names = [c.split()[0] for c in search.columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, meet = None, [], None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at = lambda c: batch.column(c)[i].as_py()  # noqa: B023, E731
+                mine = (at("g"), at("cell"))
+                if mine != key:
+                    key, held, meet = mine, [], None
+                if at("side") == 0:
+                    held.append(at("features"))
+                    continue
+                if meet is None:
+                    meet, held = search.begin(held) if held else lambda _: (), []
+                for rows in meet(at("features")):
+                    yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(rows["source"]), pa.string()), *(pa.array(rows[c]) for c in names)], names=["g", *names])
+
+    return run
+
+
+def search_blocks(ask: DataFrame, have: DataFrame, k: int, search: Search) -> DataFrame:
+    """(g, source, candidate, score, rnk, ...) of packed blocks as `search` meets them. A cell holds all candidate blocks of a group within
+    `hold_bytes` and meets some of its source blocks, so that its ranks are final; only beyond that cells' best rows are ranked again."""
+    tasks = ask.sparkSession.sparkContext.defaultParallelism
+    plan = ask.groupBy("g").agg(F.count(F.lit(1)).alias("asked")).join(have.groupBy("g").agg(F.least(F.count(F.lit(1)), F.ceil(F.sum(F.length("features")) / search.hold_bytes)).alias("across")), "g")
+    plan = plan.withColumn("down", F.least("asked", F.lit(4 * tasks))).withColumn("first", F.sum(F.col("across") * F.col("down")).over(W.orderBy("g").rowsBetween(W.unboundedPreceding, -1)))
+    plan = Staged(plan.select("g", "across", "down", F.coalesce("first", F.lit(0)).alias("first")), "search-plan").df
+    cells, most = plan.agg(F.sum(F.col("across") * F.col("down")), F.max("across")).first()
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    place = lambda d, down, across, side: d.join(plan, "g").withColumn("down_", down).withColumn("across_", across).select("g", (F.col("first") + F.col("down_") * F.col("across") + F.col("across_")).alias("cell"), F.lit(side).alias("side"), "b", "features")
+    left = place(ask, F.pmod("b", F.col("down")), every("across"), 1)
+    right = place(have, every("down"), F.pmod("b", F.col("across")), 0)
+    n = max(1, min(int(cells or 1), 32 * tasks))
+    dealt = left.unionByName(right).repartitionById(n, F.pmod("cell", F.lit(n)).cast("int")).sortWithinPartitions("g", "cell", "side", "b")
+    best = dealt.mapInArrow(_search(search), f"g string, {search.columns}")
+    if (most or 0) > 1:
+        best = best.withColumn("rnk", F.row_number().over(W.partitionBy("g", "source").orderBy(F.desc("score"), "tie", "candidate"))).where(F.col("rnk") <= k)
+    return best.drop("tie")
+
+
+def block_topk(sources: DataFrame, candidates: DataFrame, k: int, features: Callable[[pa.Table], bytes], score: Callable[[bytes, bytes, slice], np.ndarray] | None, block_rows: int, search: Search | None = None) -> DataFrame:
     """(g, source, candidate, score, rnk): for each row of sources(g, id, tie, ...) the `k`
     best candidates of its group g by score, then tie and id; an id is never its own candidate.
 
     features(table) packs a block's rows; score(a, b, rows) gives the matrix of
     scores of some source rows of block a and all rows of block b, with `none_of` it
-    for pairs that don't count."""
+    for pairs that don't count. `search` takes the place of scores where not all pairs need be looked at."""
+    if search:
+        return search_blocks(pack_blocks(sources, features, block_rows, "source-blocks"), pack_blocks(candidates, search.features, search.candidate_rows, "candidate-blocks"), k, search)
     have = pack_blocks(candidates, features, block_rows, "candidate-blocks")
     ask = have if sources is candidates else pack_blocks(sources, features, block_rows, "source-blocks")
     return meet_blocks(ask, have, k, score)

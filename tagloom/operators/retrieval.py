@@ -15,18 +15,11 @@ from pyspark.sql.window import Window as W
 
 from tagloom.functions.text import norm_search_text, trigrams
 from tagloom.functions.weights import let
-from tagloom.operators.blocks import block_topk, rows_for
+from tagloom.operators.blocks import Search, block_topk, rows_for
 from tagloom.operators.lists import SharedLists
+from tagloom.operators.prescreen import FIELDS, LEADING, PREDICATES, best_of, pack_candidates, pack_sources  # noqa: F401
 from tagloom.plans.staging import Staged
 
-# The prescreen's predicates: fields of the base (or its boosts), field of the candidate, weight.
-PREDICATES = [
-    (["signature_tag"], "signature_tag", 18), (["niche_anchors"], "niche_anchors", 12), (["identity_tags", "micro_tags"], "identity_tags", 7), (["identity_tags", "micro_tags"], "micro_tags", 3),
-    (["boost:identity"], "identity_tags", 5), (["boost:identity"], "niche_anchors", 7), (["setting_tags"], "setting_tags", 8), (["boost:setting"], "setting_tags", 5),
-    (["music_primary", "music_secondary", "boost:music"], "music_primary", 7), (["music_primary", "music_secondary", "boost:music"], "music_secondary", 5), (["genre.primary"], "genre.primary", 10), (["genre.sub"], "genre.sub", 7), (["genre.sub_sub"], "genre.sub_sub", 4),
-]
-
-
 def _vectors(table: pa.Table) -> bytes:
     """Unit vectors of a block; zero stays zero."""
     flat = table.column("v").combine_chunks()
@@ -144,59 +137,43 @@ def _against(sources: DataFrame, candidates: DataFrame, k: int, id_col: str, vec
     return block_topk(_vector_rows(sources, group, id_col, vector), _vector_rows(candidates, group, id_col, vector), k, _vectors, _cosines, block_rows).drop("g")
 
 
-def _tag_lists(table: pa.Table) -> bytes:
-    """For each predicate the (tag, row) of a block's asks and gives, in order of tag."""
-    out = []
-    for column in ("asks", "gives"):
-        x = table.column(column).combine_chunks()
-        row = np.repeat(np.arange(len(table)), np.diff(np.asarray(x.offsets)))
-        flat = x.flatten()
-        p, tag = np.asarray(flat.field("p"), np.int64), np.asarray(flat.field("t"), np.int64)
-        order = np.lexsort((row, tag, p))
-        out += [p[order], tag[order], row[order]]
-    return struct.pack("<3q", len(table), len(out[0]), len(out[3])) + b"".join(x.astype(np.int64).tobytes() for x in out)
-
-
-def _tag_hits(a: bytes, b: bytes, rows: slice) -> np.ndarray:
-    """Summed weights of the predicates that a source and a candidate satisfy by any tag."""
-    _, asked, _ = struct.unpack_from("<3q", a)
-    m, skip, given = struct.unpack_from("<3q", b)
-    p1, t1, r1 = np.frombuffer(a, np.int64, 3 * asked, 24).reshape(3, -1)
-    p2, t2, r2 = np.frombuffer(b, np.int64, 3 * given, 24 + 24 * skip).reshape(3, -1)
-    n = rows.stop - rows.start
-    total = np.zeros((n, m), np.float64)
-    for p, (_, _, weight) in enumerate(PREDICATES):
-        one, two = slice(*np.searchsorted(p1, [p, p + 1])), slice(*np.searchsorted(p2, [p, p + 1]))
-        inside = (r1[one] >= rows.start) & (r1[one] < rows.stop)
-        ta, ra, tb, rb = t1[one][inside], r1[one][inside] - rows.start, t2[two], r2[two]
-        lo, hi = np.searchsorted(tb, ta, "left"), np.searchsorted(tb, ta, "right")
-        hit = np.zeros((n, m), bool)
-        rare = hi - lo <= 64
-        count = (hi - lo)[rare]
-        which = np.repeat(np.flatnonzero(rare), count)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + lo[which]
-        hit[ra[which], rb[at]] = True
-        for tag in np.unique(ta[~rare]):  # tags of many candidates: rows by columns at once
-            k = np.searchsorted(tb, [tag, tag + 1])
-            hit[np.ix_(np.unique(ra[ta == tag]), np.unique(rb[k[0] : k[1]]))] = True
-        total += np.where(hit, weight, 0)
-    total[total == 0] = -np.inf
-    return total
-
-
-def prescreen_candidates(list_tags: DataFrame, popularity: DataFrame, k: int = 450, boosts: DataFrame | None = None, block_rows: int | None = None, sources: DataFrame | None = None) -> DataFrame:
+def prescreen_candidates(list_tags: DataFrame, popularity: DataFrame, k: int = 450, boosts: DataFrame | None = None, block_rows: int | None = None, sources: DataFrame | None = None, there: DataFrame | None = None, hold_bytes: int | None = None) -> DataFrame:
     """(source, candidate, hits, rnk): candidates with a tag in common, by the summed
-    weight of the predicates that hold, each counted once; ties by popularity and id.
+    weight of the predicates that hold, each counted once; ties by popularity and id. `sources`(source): those that are asked for, else all;
+    with `there`(candidate) a column of that name says whether it has the candidate.
 
     boosts(item_id, field, tag), with fields boost:identity, boost:setting and
     boost:music, add to the bases' tags. Tags may be held by a large share of
-    all items, so pairs are not joined by tag: blocks of items meet (`block_topk`),
-    and only the best `k` of a source and task are shuffled. Items that ask for the same tags are one kind of sources, and items that
-    give the same one kind of candidates: only kinds meet, for work that grows with their number squared, and a kind's list is
-    made once for all its sources, which each leave out themselves.
-    """
-    lists = prescreen_lists(list_tags, popularity, k, boosts, block_rows, sources)
-    return lists.members.join(lists.listed, "list_id").where("source <> candidate").select("source", "candidate", "hits", place_rank().alias("rnk")).where(F.col("rnk") <= k)
+    all items, so pairs are not joined by tag: blocks of items meet (`block_topk`). Items that ask for the same tags are one kind of sources, and
+    items that give the same one kind of candidates. A task holds candidates by kinds and looks at those that can be
+    among a source's best (`prescreen.Held`), for work that grows with the sources and with how many these are."""
+    code = F.coalesce(*(F.when(F.col("field") == f, F.lit(i)) for i, f in enumerate(FIELDS)))
+    tag = lambda d: d.select("item_id", code.alias("f"), F.trim("tag").alias("tag")).where("item_id is not null and f is not null and tag <> ''").select(F.col("item_id").cast("long").alias("id"), F.struct("f", F.xxhash64("tag").alias("t")).alias("x"))
+    own = tag(list_tags).groupBy("id").agg(F.array_sort(F.collect_set("x")).alias("tags"))
+    asked = own if boosts is None else tag(list_tags).unionByName(tag(boosts)).groupBy("id").agg(F.array_sort(F.collect_set("x")).alias("tags"))
+    rank = popularity.groupBy(F.col("candidate").cast("long").alias("id")).agg(F.max("popularity").cast("double").alias("popularity"))
+    known = own.join(rank, "id", "left")
+    known = known.withColumn("there", F.lit(True)) if there is None else known.join(there.select(F.col("candidate").cast("long").alias("id"), F.lit(True).alias("there")).distinct(), "id", "left")
+    alike = W.partitionBy("tags").orderBy("tie", "id")
+    first = known.select("id", "tags", F.coalesce(-F.col("popularity"), F.lit(float("inf"))).alias("tie"), F.coalesce("there", F.lit(False)).alias("there")).withColumn("pos", F.row_number().over(alike)).where(F.col("pos") <= k + 1)
+    kinds = first.groupBy("tags").agg(F.min("id").alias("id"), F.collect_list(F.struct("tie", "id", "there")).alias("members"))
+    if sources is not None:
+        asked = asked.join(sources.select(F.col("source").cast("long").alias("id")).distinct(), "id", "left_semi")
+    # A kind of very many sources, or sources of one signature and genres, are the work of many tasks.
+    part = F.floor((F.row_number().over(W.partitionBy("tags").orderBy("id")) - 1) / _KIND_SOURCES)
+    asks = asked.withColumn("part", part).groupBy("tags", "part").agg(F.min("id").alias("id"), F.collect_list("id").alias("members"))
+    lead = F.xxhash64(F.filter("tags", lambda x: x["f"].isin([FIELDS.index(f) for f in LEADING])))
+    asks = asks.withColumn("lead", lead).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("lead"))).withColumn("deal", F.xxhash64("lead", F.pmod("id", F.ceil(F.col("n") / 256))))
+    block = lambda d, *more: d.select(F.lit("").alias("g"), "id", F.lit(0.0).alias("tie"), *more, "tags", "members")
+    asks, kinds = Staged(block(asks, "deal"), "prescreen-sources").df, Staged(block(kinds), "prescreen-candidates").df
+    rows = block_rows or max(1, min(2048, asks.count() // (8 * list_tags.sparkSession.sparkContext.defaultParallelism)))
+    search = Search(best_of(k), "source long, candidate long, tie double, score long, there boolean, rnk int", pack_candidates, block_rows or 50_000, hold_bytes or Search.hold_bytes)
+    best = block_topk(asks, kinds, k, pack_sources, None, rows, search)
+    return best.select("source", "candidate", F.col("score").alias("hits"), *(() if there is None else ("there",)), "rnk")
+
+
+#: Sources of one kind that a block's row stands for.
+_KIND_SOURCES = 4096
 
 
 def place_rank() -> Column:
@@ -204,43 +181,6 @@ def place_rank() -> Column:
     return F.col("at") - F.coalesce((F.col("place") < F.col("at")).cast("int"), F.lit(0))
 
 
-def prescreen_lists(list_tags: DataFrame, popularity: DataFrame, k: int = 450, boosts: DataFrame | None = None, block_rows: int | None = None, sources: DataFrame | None = None) -> SharedLists:
-    """The lists of `prescreen_candidates`, members(list_id, source, place) and listed(list_id, candidate, hits, at), of all
-    items or of `sources`(source) alone, which then are the only ones to ask."""
-    rules = [(f, i) for i, (fields, _, _) in enumerate(PREDICATES) for f in fields]
-    tags = list_tags.select("item_id", "field", F.trim("tag").alias("tag")).where("tag <> ''").distinct()
-    asked = tags if boosts is None else tags.unionByName(boosts.select("item_id", "field", F.trim("tag").alias("tag")))
-    array = lambda pairs: F.filter(F.array(*(F.when(F.col("field") == f, F.struct(F.lit(i).cast("long").alias("p"), F.xxhash64("tag").alias("t"))) for f, i in pairs)), lambda x: x.isNotNull())
-    asks = asked.groupBy(F.col("item_id").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list(array(rules)))).alias("asks"))
-    gives = tags.groupBy(F.col("item_id").alias("id")).agg(F.flatten(F.collect_list(array([(to, i) for i, (_, to, _) in enumerate(PREDICATES)]))).alias("gives"))
-    none = F.array().cast("array<struct<p:bigint,t:bigint>>")
-    rank = popularity.groupBy(F.col("candidate").alias("id")).agg(F.max("popularity").cast("double").alias("popularity"))
-    items = asks.join(gives, "id", "full").join(rank, "id", "left")
-    tie = F.coalesce(-F.col("popularity"), F.lit(float("inf")))
-    rows = items.select(F.col("id").cast("long").alias("id"), tie.alias("tie"), F.sort_array(F.coalesce("asks", none)).alias("asks"), F.sort_array(F.coalesce("gives", none)).alias("gives"))
-    alike = W.partitionBy("gives").orderBy("tie", "id")
-    wanted = F.lit(True)
-    if sources is not None:
-        rows, wanted = rows.join(sources.select(F.col("source").alias("id"), F.lit(True).alias("wanted")).distinct(), "id", "left"), F.coalesce("wanted", F.lit(False))
-    rows = Staged(rows.withColumns({"wanted": wanted, "asked": F.max(wanted).over(W.partitionBy("asks")), "list_id": F.min("id").over(W.partitionBy("asks")), "kind": F.first("id").over(alike), "pos": F.row_number().over(alike)}), "prescreen").df
-    # Doubled ids, odd for sources: a kind of sources is never taken for itself among the kinds of candidates.
-    block = lambda d, key, asks, gives: d.select(F.lit("").alias("g"), key.alias("id"), "tie", asks.alias("asks"), gives.alias("gives"))
-    ask = block(rows.where("asked and id = list_id"), F.col("id") * 2 + 1, F.col("asks"), none)
-    have = block(rows.where("pos = 1"), F.col("id") * 2, none, F.col("gives"))
-    n_ask, n_have = rows.agg(F.count_if(F.expr("asked and id = list_id")), F.count_if(F.expr("pos = 1"))).first()
-    block_rows = block_rows or rows_for(list_tags.sparkSession.sparkContext.defaultParallelism, max(n_ask, n_have), 4096)
-    best = block_topk(ask, have, k + 1, _tag_lists, _tag_hits, block_rows).select(F.expr("(source - 1) div 2").alias("list_id"), F.expr("candidate div 2").alias("kind"), "score")
-    # Kinds of fewer points than the best k + 1 members have are not looked into.
-    first = rows.where(F.col("pos") <= k + 1).select("kind", F.col("id").alias("candidate"), "tie")
-    counted = best.join(first.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "kind")
-    above = F.sum("n").over(W.partitionBy("list_id").orderBy(F.desc("score"))) - F.sum("n").over(W.partitionBy("list_id", "score"))
-    some = counted.withColumn("above", above).where(F.col("above") <= k).select("list_id", "kind", "score").join(first, "kind")
-    at = F.row_number().over(W.partitionBy("list_id").orderBy(F.desc("score"), "tie", "candidate"))
-    listed = Staged(some.withColumn("at", at).where(F.col("at") <= k + 1).select("list_id", "candidate", F.col("score").cast("long").alias("hits"), "at"), "prescreened").df
-    own = listed.select("list_id", F.col("candidate").alias("source"), F.col("at").alias("place"))
-    return SharedLists(rows.where("wanted").select("list_id", F.col("id").alias("source")).join(own, ["list_id", "source"], "left"), listed)
-
-
 def retrieve_candidates(precomputed: DataFrame | SharedLists, prescreened: DataFrame | Callable[[DataFrame | None], DataFrame], nearest: DataFrame | Callable[[DataFrame], DataFrame], limit: int = 300, changed: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
     """(source, candidate, rnk): the stored candidates of a source if it has any, else a live list: nearest ones for
     default weights; prescreened and nearest ones in turn for the sources of `changed`(source), whose weights or boosts are
